@@ -94,7 +94,37 @@ def truth_table(
             )
         )
     grouped = qca.groupBy(*[F.col(c) for c in conditions]).agg(*aggs)
-    total = F.sum("outcome_positive_cases").over(Window.partitionBy())
+    return finish_truth_table(
+        grouped,
+        conditions,
+        consistency_cutoff=consistency_cutoff,
+        min_cases=min_cases,
+        contradiction_lower=contradiction_lower,
+        contradiction_upper=contradiction_upper,
+        validate=validate,
+        sort=sort,
+    )
+
+
+def finish_truth_table(
+    grouped: DataFrame,
+    conditions: list[str],
+    by: list[str] | None = None,
+    consistency_cutoff: float = K.DEFAULT_CONSISTENCY_CUTOFF,
+    min_cases: int = K.DEFAULT_MIN_CASES,
+    contradiction_lower: float = K.DEFAULT_CONTRADICTION_LOWER,
+    contradiction_upper: float = K.DEFAULT_CONTRADICTION_UPPER,
+    validate: bool = True,
+    sort: bool = True,
+) -> DataFrame:
+    """Measures, label and status from aggregated groups.
+
+    ``grouped`` has the ``by`` columns, the conditions, ``n_cases``,
+    ``outcome_positive_cases``, ``_bad_outcome`` and optionally ``_members``. The grand
+    total of positives is a window over the (few) aggregated rows, per ``by`` group.
+    """
+    by = by or []
+    total = F.sum("outcome_positive_cases").over(Window.partitionBy(*[F.col(b) for b in by]))
     cons = F.col("outcome_positive_cases") / F.col("n_cases")
     cov = F.try_divide(F.col("outcome_positive_cases").cast("double"), total.cast("double"))
     out = (
@@ -104,14 +134,14 @@ def truth_table(
     )
     if not validate:
         out = out.filter(all_present(conditions))
-    cols = [F.col(c).cast("int").alias(c) for c in conditions] + [
+    cols = [F.col(b) for b in by] + [F.col(c).cast("int").alias(c) for c in conditions] + [
         configuration_label(conditions).alias("configuration"),
         F.col("n_cases"),
         F.col("outcome_positive_cases"),
         F.bround("_cons", 4).alias("consistency"),
         F.bround("_cov", 4).alias("raw_coverage"),
     ]
-    if with_cases:
+    if "_members" in grouped.columns:
         cols.append(F.array_join(F.transform("_members", lambda m: m["id"]), ", ").alias("cases"))
     cols.append(
         status(F.col("_cons"), F.col("n_cases"), consistency_cutoff, min_cases, contradiction_lower, contradiction_upper).alias(
@@ -120,7 +150,7 @@ def truth_table(
     )
     out = out.select(*cols)
     if sort:
-        out = out.orderBy(*truth_table_order(conditions))
+        out = out.orderBy(*[F.col(b) for b in by], *truth_table_order(conditions))
     return out
 
 

@@ -16,6 +16,8 @@ from . import relations as R
 from . import sqlgen as Q
 from ..operators.calibrate import calibrate, qca_ready
 from ..operators.truth_table import configuration_members, solutions, truth_table
+from ..operators import thresholds as TH
+from .. import constants as K
 
 LI_THRESHOLD = 0.5
 LI_SOLUTION_CUTOFF = 0.333
@@ -64,6 +66,34 @@ def q_configuration_members(spark: SparkSession, sf: str) -> DataFrame:
     return configuration_members(ready, R.EM_CONDITIONS, tt=tt)
 
 
+def _li_detail(spark: SparkSession, sf: str) -> DataFrame:
+    return TH.sensitivity_detail(R.li_scores(spark, sf), K.DEFAULT_THRESHOLD_GRID, consistency_cutoff=LI_SOLUTION_CUTOFF)
+
+
+def q_sensitivity_detail(spark: SparkSession, sf: str) -> DataFrame:
+    return _li_detail(spark, sf)
+
+
+def q_sensitivity_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return TH.sensitivity_summary(_li_detail(spark, sf))
+
+
+def q_sensitivity_solutions(spark: SparkSession, sf: str) -> DataFrame:
+    return TH.sensitivity_solutions(_li_detail(spark, sf), R.LI_CONDITIONS, LI_SOLUTION_CUTOFF)
+
+
+def q_configuration_stability(spark: SparkSession, sf: str) -> DataFrame:
+    return TH.configuration_stability(_li_detail(spark, sf))
+
+
+def q_threshold_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    return TH.suggest_thresholds(R.li_scores(spark, sf))
+
+
+def q_score_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return TH.score_summary(R.li_scores(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truth_table": q_truth_table,
     "solutions": q_solutions,
@@ -72,6 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crisp_membership": q_crisp_membership,
     "qca_ready": q_qca_ready,
     "configuration_members": q_configuration_members,
+    "sensitivity_detail": q_sensitivity_detail,
+    "sensitivity_summary": q_sensitivity_summary,
+    "sensitivity_solutions": q_sensitivity_solutions,
+    "configuration_stability": q_configuration_stability,
+    "threshold_suggestions": q_threshold_suggestions,
+    "score_summary": q_score_summary,
 }
 
 
@@ -89,7 +125,16 @@ def oracle() -> dict[str, str]:
     crisp = Q.crisp_cols(R.EM_CONDITIONS, EM_THRESHOLD)
     em_conds = ", ".join(R.EM_CONDITIONS)
     em_tt = Q.truth_table_sql(em, R.EM_CONDITIONS, EM_THRESHOLD)
+    li_detail = Q.sensitivity_detail_sql(Q.LI_SCORES_SQL, R.LI_CONDITIONS, K.DEFAULT_THRESHOLD_GRID, LI_SOLUTION_CUTOFF)
     return {
+        "sensitivity_detail": li_detail,
+        "sensitivity_summary": Q.sensitivity_summary_sql(li_detail),
+        "sensitivity_solutions": Q.sensitivity_solutions_sql(li_detail, R.LI_CONDITIONS, LI_SOLUTION_CUTOFF),
+        "configuration_stability": Q.stability_sql(li_detail),
+        "threshold_suggestions": Q.quantile_rows_sql(
+            Q.LI_SCORES_SQL, R.LI_CONDITIONS, K.THRESHOLD_RULES, "suggested_threshold", "rule", "interpretation"
+        ),
+        "score_summary": Q.quantile_rows_sql(Q.LI_SCORES_SQL, R.LI_CONDITIONS, K.SUMMARY_STATISTICS, "value", "statistic"),
         "truth_table": li_tt,
         "solutions": Q.solutions_sql(li_tt_cut, R.LI_CONDITIONS, LI_SOLUTION_CUTOFF),
         "prototype_cosine_scores": f"SELECT case_id, outcome, {em_r6} FROM ({em})",

@@ -98,3 +98,104 @@ WHERE consistency >= {cutoff!r} AND n_cases >= {min_cases} AND status = 'suffici
 LI = LI_CONDITIONS
 EM = EM_CONDITIONS
 DL_NAMES = [p[0] for p in DL_PROTOTYPES]
+
+
+def sensitivity_detail_sql(scores_sql: str, conditions: list[str], grid: list[float], cutoff: float = 0.8,
+                           min_cases: int = 1) -> str:
+    conds = ", ".join(conditions)
+    crisp = ", ".join(
+        f"CASE WHEN {c}_score IS NULL OR isnan({c}_score) THEN NULL "
+        f"ELSE CAST({c}_score >= threshold AS INTEGER) END AS {c}"
+        for c in conditions
+    )
+    g = ", ".join(repr(float(t)) for t in grid)
+    return f"""
+WITH s AS ({scores_sql}),
+c AS (SELECT threshold, {crisp}, outcome FROM s, (SELECT unnest([{g}]::DOUBLE[]) AS threshold) grid),
+g AS (SELECT threshold, {conds}, COUNT(*) AS n_cases,
+             CAST(COALESCE(SUM(outcome), 0) AS BIGINT) AS outcome_positive_cases
+      FROM c GROUP BY threshold, {conds}),
+t AS (SELECT *, CAST(outcome_positive_cases AS DOUBLE) / n_cases AS cons,
+             CAST(outcome_positive_cases AS DOUBLE)
+               / NULLIF(SUM(outcome_positive_cases) OVER (PARTITION BY threshold), 0) AS cov
+      FROM g)
+SELECT threshold, {conds}, {label_sql(conditions)} AS configuration, n_cases, outcome_positive_cases,
+       round_even(cons, 4) AS consistency, round_even(cov, 4) AS raw_coverage,
+       {status_sql('cons', 'n_cases', cutoff, min_cases)} AS status
+FROM t"""
+
+
+def mean4_sql(x: str) -> str:
+    return f"round_even(SUM(CAST(round_even({x} * 10000.0, 0) AS BIGINT)) / COUNT({x}), 0) / 10000.0"
+
+
+def sensitivity_summary_sql(detail_sql: str) -> str:
+    return f"""
+WITH d AS ({detail_sql})
+SELECT threshold, CAST(COUNT(*) AS INTEGER) AS n_configurations,
+       CAST(count_if(status = 'sufficient') AS INTEGER) AS n_sufficient,
+       CAST(count_if(status = 'contradictory') AS INTEGER) AS n_contradictory,
+       CAST(count_if(status = 'weak') AS INTEGER) AS n_weak,
+       {mean4_sql('consistency')} AS mean_consistency, MAX(consistency) AS max_consistency,
+       {mean4_sql('raw_coverage')} AS mean_raw_coverage, MAX(raw_coverage) AS max_raw_coverage,
+       CAST(SUM(n_cases) AS BIGINT) AS total_cases_in_truth_table
+FROM d GROUP BY threshold"""
+
+
+def sensitivity_solutions_sql(detail_sql: str, conditions: list[str], cutoff: float, min_cases: int = 1) -> str:
+    order = ", ".join(f"{c} ASC" for c in conditions)
+    return f"""
+WITH d AS ({detail_sql})
+SELECT threshold,
+       CAST(row_number() OVER (PARTITION BY threshold
+            ORDER BY status ASC, consistency DESC, n_cases DESC, {order}) AS INTEGER) AS solution_id,
+       configuration, n_cases, outcome_positive_cases, consistency, raw_coverage,
+       printf('When the configuration [%s] is present, the outcome occurs in %d out of %d observed case(s).',
+              configuration, outcome_positive_cases, n_cases) AS interpretation
+FROM d
+WHERE consistency >= {cutoff!r} AND n_cases >= {min_cases} AND status = 'sufficient'"""
+
+
+def stability_sql(detail_sql: str) -> str:
+    def lst(cond: str | None) -> str:
+        f = f" FILTER (WHERE {cond})" if cond else ""
+        return f"COALESCE(string_agg(CAST(threshold AS VARCHAR), ', ' ORDER BY threshold){f}, '')"
+
+    def cnt(cond: str | None) -> str:
+        f = f" FILTER (WHERE {cond})" if cond else ""
+        return f"CAST(COUNT(DISTINCT threshold){f} AS INTEGER)"
+
+    suf, con, weak = "status = 'sufficient'", "status = 'contradictory'", "status = 'weak'"
+    return f"""
+WITH d AS ({detail_sql})
+SELECT configuration,
+       {cnt(None)} AS n_thresholds_observed, {cnt(suf)} AS n_thresholds_sufficient,
+       {cnt(con)} AS n_thresholds_contradictory, {cnt(weak)} AS n_thresholds_weak,
+       {lst(None)} AS thresholds_observed, {lst(suf)} AS sufficient_thresholds,
+       {lst(con)} AS contradictory_thresholds, {lst(weak)} AS weak_thresholds,
+       {mean4_sql('consistency')} AS mean_consistency, {mean4_sql('raw_coverage')} AS mean_raw_coverage,
+       {mean4_sql('n_cases')} AS mean_n_cases
+FROM d GROUP BY configuration"""
+
+
+def pooled_sql(scores_sql: str, conditions: list[str]) -> str:
+    cols = ", ".join(f"CAST({c}_score AS DOUBLE)" for c in conditions)
+    return f"SELECT unnest([{cols}]) AS value FROM ({scores_sql})"
+
+
+def quantile_rows_sql(scores_sql: str, conditions: list[str], rows: list[tuple], value_name: str,
+                      label_name: str, extra: str | None = None) -> str:
+    """rows: (label, prob[, text]) -> one SELECT per row over the pooled quantiles."""
+    pooled = pooled_sql(scores_sql, conditions)
+    parts = []
+    for r in rows:
+        label, p = r[0], r[1]
+        if p == 0.0:
+            q = "MIN(value)"
+        elif p == 1.0:
+            q = "MAX(value)"
+        else:
+            q = f"quantile_cont(value, {p!r})"
+        ex = f", '{r[2]}' AS {extra}" if extra else ""
+        parts.append(f"SELECT '{label}' AS {label_name}, round_even({q}, 4) AS {value_name}{ex} FROM p")
+    return f"WITH p AS (SELECT value FROM ({pooled}) WHERE value IS NOT NULL AND NOT isnan(value))\n" + "\nUNION ALL ".join(parts)
