@@ -18,6 +18,11 @@ from ..operators.calibrate import calibrate, qca_ready
 from ..operators.truth_table import configuration_members, solutions, truth_table
 from ..operators import thresholds as TH
 from .. import constants as K
+from ..functions.text import explanation_terms, shared_terms
+from ..operators import chart_data as G
+from ..operators import checks as C
+from ..operators import explain as X
+from ..operators import tfidf as T
 
 LI_THRESHOLD = 0.5
 LI_SOLUTION_CUTOFF = 0.333
@@ -94,6 +99,87 @@ def q_score_summary(spark: SparkSession, sf: str) -> DataFrame:
     return TH.score_summary(R.li_scores(spark, sf))
 
 
+def q_crisp_domain_report(spark: SparkSession, sf: str) -> DataFrame:
+    out, cross, inn = EM_ANCHORS
+    fz = qca_ready(calibrate(R.li_scores(spark, sf), method="fuzzy", full_out=out, crossover=cross, full_in=inn), case_id="_none")
+    return C.crisp_domain_report(fz, R.LI_CONDITIONS + ["outcome"])
+
+
+def q_top_two_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    return X.top_two(R.em_scores(spark, sf))
+
+
+def q_confidence_counts(spark: SparkSession, sf: str) -> DataFrame:
+    c = X.with_confidence(R.em_scores(spark, sf))
+    return c.groupBy("confidence").agg(F.count(F.lit(1)).alias("n_cases"))
+
+
+def q_explanation_terms(spark: SparkSession, sf: str) -> DataFrame:
+    d = R.table(spark, sf, "documents").select("doc_id", explanation_terms(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_terms"), F.array_join("t", " ").alias("terms"))
+
+
+def q_shared_terms(spark: SparkSession, sf: str) -> DataFrame:
+    protos = R.dl_prototypes(spark).select(
+        F.col("condition_name").alias("condition"), explanation_terms(F.col("prototype")).alias("pt")
+    )
+    d = R.table(spark, sf, "documents").select("doc_id", explanation_terms(F.col("text")).alias("dt"))
+    j = d.crossJoin(F.broadcast(protos)).select("doc_id", "condition", shared_terms(F.col("dt"), F.col("pt")).alias("m"))
+    return j.select("doc_id", "condition", F.size("m").alias("n_shared"), F.array_join("m", ", ").alias("matched_terms"))
+
+
+def q_tfidf_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return T.vocabulary(R.table(spark, sf, "documents")).select("term", "tf", "df")
+
+
+def _dl_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return T.tfidf_prototype_scores(R.dl_texts(spark, sf), R.dl_prototypes(spark), R.DL_CONDITIONS)
+
+
+def q_tfidf_prototype_scores(spark: SparkSession, sf: str) -> DataFrame:
+    s = _dl_scores(spark, sf).select("case_id", "outcome", *[f"{c}_score" for c in R.DL_CONDITIONS])
+    return _round6(s, [f"{c}_score" for c in R.DL_CONDITIONS])
+
+
+def q_rich_explanations(spark: SparkSession, sf: str) -> DataFrame:
+    s = _dl_scores(spark, sf).select("case_id", "text", "outcome", *[f"{c}_score" for c in R.DL_CONDITIONS])
+    return X.rich_explanations(s, R.dl_prototypes(spark)).drop("text", "top_prototype")
+
+
+def q_score_long(spark: SparkSession, sf: str) -> DataFrame:
+    return _round6(G.score_long(R.em_scores(spark, sf)), ["similarity_score"])
+
+
+def q_score_box(spark: SparkSession, sf: str) -> DataFrame:
+    return _round6(G.score_box(R.em_scores(spark, sf)), ["min", "q1", "median", "q3", "max"])
+
+
+def q_membership_bins(spark: SparkSession, sf: str) -> DataFrame:
+    out, cross, inn = EM_ANCHORS
+    fz = calibrate(R.em_scores(spark, sf), method="fuzzy", full_out=out, crossover=cross, full_in=inn)
+    return G.membership_bins(fz, R.EM_CONDITIONS)
+
+
+def q_coverage_points(spark: SparkSession, sf: str) -> DataFrame:
+    return G.coverage_points(q_truth_table(spark, sf))
+
+
+def q_label_report(spark: SparkSession, sf: str) -> DataFrame:
+    return C.label_report(R.dl_texts(spark, sf), conditions=["quality", "toxic"])
+
+
+def q_training_report(spark: SparkSession, sf: str) -> DataFrame:
+    return C.training_report(R.dl_texts(spark, sf), ["quality", "toxic"])
+
+
+def q_binary_label_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return C.binary_label_columns_report(R.dl_texts(spark, sf))
+
+
+def q_prototype_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return C.prototype_issues(R.benchmark_prototypes(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truth_table": q_truth_table,
     "solutions": q_solutions,
@@ -108,6 +194,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "configuration_stability": q_configuration_stability,
     "threshold_suggestions": q_threshold_suggestions,
     "score_summary": q_score_summary,
+    "crisp_domain_report": q_crisp_domain_report,
+    "top_two_conditions": q_top_two_conditions,
+    "confidence_counts": q_confidence_counts,
+    "explanation_terms": q_explanation_terms,
+    "shared_terms": q_shared_terms,
+    "tfidf_vocabulary": q_tfidf_vocabulary,
+    "tfidf_prototype_scores": q_tfidf_prototype_scores,
+    "rich_explanations": q_rich_explanations,
+    "score_long": q_score_long,
+    "score_box": q_score_box,
+    "membership_bins": q_membership_bins,
+    "coverage_points": q_coverage_points,
+    "label_report": q_label_report,
+    "training_report": q_training_report,
+    "binary_label_columns": q_binary_label_columns,
+    "prototype_quality": q_prototype_quality,
 }
 
 
@@ -126,7 +228,8 @@ def oracle() -> dict[str, str]:
     em_conds = ", ".join(R.EM_CONDITIONS)
     em_tt = Q.truth_table_sql(em, R.EM_CONDITIONS, EM_THRESHOLD)
     li_detail = Q.sensitivity_detail_sql(Q.LI_SCORES_SQL, R.LI_CONDITIONS, K.DEFAULT_THRESHOLD_GRID, LI_SOLUTION_CUTOFF)
-    return {
+    extra = _oracle_more(em, li_tt)
+    return extra | {
         "sensitivity_detail": li_detail,
         "sensitivity_summary": Q.sensitivity_summary_sql(li_detail),
         "sensitivity_solutions": Q.sensitivity_solutions_sql(li_detail, R.LI_CONDITIONS, LI_SOLUTION_CUTOFF),
@@ -148,3 +251,176 @@ SELECT r.case_id, {', '.join('r.' + c for c in R.EM_CONDITIONS)}, {Q.label_sql(R
        r.outcome, tt.status
 FROM r LEFT JOIN tt ON tt.configuration = {Q.label_sql(R.EM_CONDITIONS, 'r.')}""",
     }
+
+
+def _oracle_more(em: str, li_tt: str) -> dict[str, str]:
+    out, cross, inn = EM_ANCHORS
+    li_f = ", ".join(f"{Q.fuzzy_expr(c + '_score', out, cross, inn)} AS {c}" for c in R.LI_CONDITIONS)
+    dom_cols = R.LI_CONDITIONS + ["outcome"]
+    dom_aggs = ", ".join(
+        f"CAST(count_if({c} IS NULL) AS BIGINT) AS {c}__missing, "
+        f"CAST(count_if({c} IS NOT NULL AND CAST({c} AS DOUBLE) NOT IN (0.0, 1.0)) AS BIGINT) AS {c}__invalid, "
+        f"MIN(CASE WHEN {c} IS NOT NULL AND CAST({c} AS DOUBLE) NOT IN (0.0, 1.0) THEN CAST({c} AS DOUBLE) END) AS {c}__min, "
+        f"MAX(CASE WHEN {c} IS NOT NULL AND CAST({c} AS DOUBLE) NOT IN (0.0, 1.0) THEN CAST({c} AS DOUBLE) END) AS {c}__max"
+        for c in dom_cols
+    )
+    dom_rows = "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", __rows AS n_rows, {c}__missing AS n_missing, {c}__invalid AS n_invalid, "
+        f"{c}__min AS min_invalid, {c}__max AS max_invalid, "
+        f"CASE WHEN {c}__invalid > 0 THEN 'error' ELSE 'pass' END AS severity FROM a"
+        for c in dom_cols
+    )
+    em_keep = ["case_id", "outcome"]
+    tt2 = Q.top_two_ctes(em, R.EM_CONDITIONS, em_keep)
+    em_long = "\nUNION ALL ".join(
+        f"SELECT case_id, outcome, '{c}' AS condition, round_even({c}_score, 6) AS similarity_score FROM ({em})"
+        for c in R.EM_CONDITIONS
+    )
+    em_fz_long = "\nUNION ALL ".join(
+        f"SELECT '{c}' AS condition, {Q.fuzzy_expr(c + '_score', out, cross, inn)} AS v FROM ({em})" for c in R.EM_CONDITIONS
+    )
+    box = "\nUNION ALL ".join(
+        f"SELECT '{c}' AS condition, COUNT(v) AS n, round_even(MIN(v), 6) AS min, round_even(quantile_cont(v, 0.25), 6) AS q1, "
+        f"round_even(quantile_cont(v, 0.5), 6) AS median, round_even(quantile_cont(v, 0.75), 6) AS q3, round_even(MAX(v), 6) AS max "
+        f"FROM (SELECT {c}_score AS v FROM ({em}))"
+        for c in R.EM_CONDITIONS
+    )
+    protos_terms = ", ".join(
+        f"({Q.sql_str(n)}, {Q.sql_str(p)})" for n, p, _ in R.DL_PROTOTYPES
+    )
+    dl_scores = Q.tfidf_scores_sql(Q.DL_SQL, R.DL_PROTOTYPES, "t.case_id, t.outcome, t.text")
+    dl_tt2 = Q.top_two_ctes(dl_scores, R.DL_CONDITIONS, ["case_id", "outcome", "text"])
+    return {
+        "crisp_domain_report": f"""
+WITH f AS (SELECT {li_f}, outcome FROM ({Q.LI_SCORES_SQL})),
+a AS (SELECT COUNT(*) AS __rows, {dom_aggs} FROM f)
+{dom_rows}""",
+        "top_two_conditions": f"""
+WITH {tt2}
+SELECT case_id, CAST(NULL AS VARCHAR) AS text, n1 AS top_condition, round_even(t1, 4) AS top_score,
+       n2 AS second_condition, round_even(t2, 4) AS second_score, round_even(t1 - t2, 4) AS score_gap, outcome
+FROM tt2""",
+        "confidence_counts": f"""
+WITH {tt2}
+SELECT {Q.confidence_sql('t1', 't2')} AS confidence, COUNT(*) AS n_cases FROM tt2 GROUP BY 1""",
+        "explanation_terms": f"""
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_terms, array_to_string(t, ' ') AS terms
+FROM (SELECT doc_id, {Q.explanation_terms_sql('text')} AS t FROM documents)""",
+        "shared_terms": f"""
+WITH d AS (SELECT doc_id, {Q.explanation_terms_sql('text')} AS dt FROM documents),
+p AS (SELECT cond AS condition, {Q.explanation_terms_sql('ptext')} AS pt FROM (VALUES {protos_terms}) v(cond, ptext)),
+m AS (SELECT doc_id, condition, {Q.shared_terms_sql('dt', 'pt')} AS m FROM d, p)
+SELECT doc_id, condition, CAST(len(m) AS INTEGER) AS n_shared, array_to_string(m, ', ') AS matched_terms FROM m""",
+        "tfidf_vocabulary": f"""
+WITH {Q.vocab_ctes('SELECT doc_id AS id, text FROM documents')}
+SELECT term, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df FROM vocab""",
+        "tfidf_prototype_scores": "SELECT case_id, outcome, "
+        + ", ".join(f"round_even({c}_score, 6) AS {c}_score" for c in R.DL_CONDITIONS)
+        + f" FROM ({Q.tfidf_scores_sql(Q.DL_SQL, R.DL_PROTOTYPES, 't.case_id, t.outcome')})",
+        "rich_explanations": f"""
+WITH {dl_tt2},
+pr AS (SELECT cond, {Q.explanation_terms_sql('ptext')} AS pt FROM (VALUES {protos_terms}) v(cond, ptext)),
+x AS (SELECT tt2.*, {Q.confidence_sql('t1', 't2')} AS confidence,
+             {Q.shared_terms_sql(Q.explanation_terms_sql('tt2.text'), "coalesce(pr.pt, [])")} AS m
+      FROM tt2 LEFT JOIN pr ON pr.cond = tt2.n1)
+SELECT case_id, n1 AS top_condition, round_even(t1, 4) AS top_score, n2 AS second_condition,
+       round_even(t2, 4) AS second_score, round_even(t1 - t2, 4) AS score_gap, confidence,
+       array_to_string(m, ', ') AS matched_terms,
+       printf('The text is most strongly associated with ''%s'' (score = %.4f, confidence = %s). ', n1, t1, confidence)
+       || CASE WHEN t2 IS NULL THEN 'No second condition is available.'
+               ELSE printf('The top score exceeds the second-best condition (%s) by %.4f.', n2, t1 - t2) END
+       || ' '
+       || CASE WHEN len(m) > 0 THEN 'Matched lexical cues include: ' || array_to_string(m, ', ') || '.'
+               ELSE 'No direct lexical overlap was detected; the match is mainly based on semantic embedding similarity.' END
+         AS interpretation_note,
+       outcome
+FROM x""",
+        "score_long": em_long,
+        "score_box": box,
+        "membership_bins": f"""
+WITH l AS ({em_fz_long}),
+b AS (SELECT condition, CAST(least(greatest(floor(v * 10), 0), 9) AS INTEGER) AS bin FROM l WHERE v IS NOT NULL)
+SELECT condition, bin, CAST(bin AS DOUBLE) / 10 AS bin_low, CAST(bin + 1 AS DOUBLE) / 10 AS bin_high, COUNT(*) AS n_cases
+FROM b GROUP BY condition, bin""",
+        "coverage_points": f"SELECT configuration, consistency, raw_coverage, n_cases, status FROM ({li_tt})",
+        "label_report": _label_report_sql(["quality", "toxic"]),
+        "training_report": "\nUNION ALL ".join(
+            f"SELECT '{c}' AS condition, COUNT(*) AS n_training_cases, CAST(SUM(COALESCE({c}, 0)) AS BIGINT) AS n_positive, "
+            f"CAST(COUNT(*) - SUM(COALESCE({c}, 0)) AS BIGINT) AS n_negative, "
+            f"round_even(SUM(COALESCE({c}, 0)) / COUNT(*), 4) AS positive_rate FROM ({Q.DL_SQL})"
+            for c in ["quality", "toxic"]
+        ),
+        "binary_label_columns": "\nUNION ALL ".join(
+            f"SELECT '{c}' AS column_name, COALESCE(bool_and({c} IS NULL OR CAST({c} AS DOUBLE) IN (0.0, 1.0)), true) AS is_binary "
+            f"FROM ({Q.DL_SQL})"
+            for c in ["quality", "toxic"]
+        ),
+        "prototype_quality": _prototype_issues_sql(),
+    }
+
+
+def _label_report_sql(conds: list[str]) -> str:
+    aggs = ", ".join(
+        f"COALESCE(bool_and({c} IS NULL OR CAST({c} AS DOUBLE) IN (0.0, 1.0)), true) AS ok_{c}, "
+        f"CAST(SUM(COALESCE({c}, 0)) AS BIGINT) AS pos_{c}"
+        for c in conds
+    )
+    rows = []
+    for i, c in enumerate(conds):
+        neg = f"(n - pos_{c})"
+        rows += [
+            (f"NOT ok_{c}", "binary_labels", c, "error", f"'Column ''{c}'' must contain only 0/1 labels.'"),
+            (f"ok_{c} AND pos_{c} = 0", "positives", c, "error",
+             f"'Condition ''{c}'' has no positive examples. At least one label=1 is required.'"),
+            (f"ok_{c} AND {neg} = 0", "negatives", c, "error",
+             f"'Condition ''{c}'' has no negative examples. At least one label=0 is required.'"),
+            (f"ok_{c} AND ((pos_{c} > 0 AND pos_{c} < 3) OR ({neg} > 0 AND {neg} < 3))", "few_examples", c, "warning",
+             f"printf('Condition ''{c}'' has limited examples (positive=%d, negative=%d). Predictions may be unstable.', pos_{c}, {neg})"),
+        ]
+    rows.append(("blank > 0", "empty_text", "text", "warning", "printf('%d row(s) have empty text values.', blank)"))
+    sel = "\n  UNION ALL ".join(
+        f"SELECT {i} AS o, '{chk}' AS \"check\", '{col}' AS \"column\", '{sev}' AS severity, {msg} AS message FROM a WHERE {cond}"
+        for i, (cond, chk, col, sev, msg) in enumerate(rows)
+    )
+    return f"""
+WITH a AS (SELECT COUNT(*) AS n,
+                  count_if(text IS NULL OR trim(regexp_replace(text, '\\s+', ' ', 'g')) IN ('', 'nan', 'None')) AS blank,
+                  {aggs}
+           FROM ({Q.DL_SQL})),
+i AS ({sel})
+SELECT "check", "column", severity, message FROM i
+UNION ALL
+SELECT 'labeled_data', NULL, 'pass', 'Labeled data passed basic validation checks.' WHERE (SELECT COUNT(*) FROM i) = 0"""
+
+
+def _prototype_issues_sql() -> str:
+    words = "len(list_filter(regexp_split_to_array(prototype, '\\s+'), lambda w: w <> ''))"
+    blank = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g')) IN ('', 'nan', 'None')"
+    return f"""
+WITH p AS (SELECT 'topic' || CAST(item_id % 16 AS VARCHAR) AS condition_name,
+                  COALESCE(text, 'nan') AS prototype,
+                  CASE WHEN item_id % 4 = 3 THEN 'outcome' ELSE 'condition' END AS type
+           FROM benchmark),
+c AS (SELECT count_if(type = 'condition') AS nc, count_if(type = 'outcome') AS no FROM p)
+SELECT 'empty_value' AS "check", 'condition_name' AS "column", 'error' AS severity, condition_name AS item,
+       'Column ''condition_name'' contains an empty value.' AS message FROM p WHERE {blank('condition_name')}
+UNION ALL SELECT 'empty_value', 'prototype', 'error', condition_name, 'Column ''prototype'' contains an empty value.'
+  FROM p WHERE {blank('prototype')}
+UNION ALL SELECT 'empty_value', 'type', 'error', condition_name, 'Column ''type'' contains an empty value.'
+  FROM p WHERE {blank('type')}
+UNION ALL SELECT 'duplicate_condition_name', 'condition_name', 'error', condition_name,
+       printf('condition_name ''%s'' occurs %d times.', condition_name, COUNT(*))
+  FROM p GROUP BY condition_name HAVING COUNT(*) > 1
+UNION ALL SELECT DISTINCT 'invalid_type', 'type', 'error', type,
+       printf('Invalid type value ''%s''. Allowed values are ''condition'' and ''outcome''.', type)
+  FROM p WHERE type NOT IN ('condition', 'outcome')
+UNION ALL SELECT 'no_condition_prototype', 'type', 'error', NULL,
+       'No condition prototype found. At least one row with type=''condition'' is required.' FROM c WHERE nc = 0
+UNION ALL SELECT 'short_prototype', 'prototype', 'warning', condition_name,
+       printf('Prototype of ''%s'' is very short (%d words); scores may be unstable.', condition_name, {words})
+  FROM p WHERE {words} < 5
+UNION ALL SELECT 'long_prototype', 'prototype', 'warning', condition_name,
+       printf('Prototype of ''%s'' is very long (%d words); it may mix several concepts.', condition_name, {words})
+  FROM p WHERE {words} > 80
+UNION ALL SELECT 'outcome_prototype_notice', 'type', 'info', NULL,
+       printf('%d outcome prototype(s) detected; only condition prototypes are scored.', no) FROM c WHERE no > 0"""

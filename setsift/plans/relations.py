@@ -88,3 +88,14 @@ def dl_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dl_prototypes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DL_PROTOTYPES, "condition_name string, prototype string, type string")
+
+
+def benchmark_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A concept table derived from ``benchmark``: names repeat every 16 items, every
+    fourth item is an outcome prototype (exercises every prototype check)."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(
+        F.concat(F.lit("topic"), (F.col("item_id") % 16).cast("string")).alias("condition_name"),
+        F.col("text").alias("prototype"),
+        F.when(F.col("item_id") % 4 == 3, F.lit("outcome")).otherwise(F.lit("condition")).alias("type"),
+    )

@@ -199,3 +199,107 @@ def quantile_rows_sql(scores_sql: str, conditions: list[str], rows: list[tuple],
         ex = f", '{r[2]}' AS {extra}" if extra else ""
         parts.append(f"SELECT '{label}' AS {label_name}, round_even({q}, 4) AS {value_name}{ex} FROM p")
     return f"WITH p AS (SELECT value FROM ({pooled}) WHERE value IS NOT NULL AND NOT isnan(value))\n" + "\nUNION ALL ".join(parts)
+
+
+# ---------------------------------------------------------------- text, TF-IDF, explanations
+DL_SQL = """
+SELECT d.doc_id AS case_id, d.text, CAST(l.quality AS INTEGER) AS outcome,
+       CAST(l.quality AS INTEGER) AS quality, CAST(l.toxic AS INTEGER) AS toxic
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def norm_text_sql(t: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({t}, '')), '\\s+', ' ', 'g'))"
+
+
+def explanation_terms_sql(t: str) -> str:
+    from ..constants import STOPWORDS_HAN, STOPWORDS_LATIN
+
+    stop = "[" + ", ".join(sql_str(w) for w in STOPWORDS_LATIN + STOPWORDS_HAN) + "]"
+    n = norm_text_sql(t)
+    latin = f"regexp_extract_all(lower({n}), '[a-zA-Z][a-zA-Z_\\-]{{2,}}')"
+    han = (
+        f"flatten(list_transform(regexp_extract_all({n}, '[\\x{{4e00}}-\\x{{9fff}}]+'), "
+        "lambda r: flatten([[substr(r, i, n) for i in range(1, length(r) - n + 2)] for n in [2, 3, 4]])))"
+    )
+    return f"list_filter(list_concat({latin}, {han}), lambda x: length(trim(x)) >= 2 AND NOT list_contains({stop}, x))"
+
+
+def shared_terms_sql(a: str, b: str, limit: int = 12) -> str:
+    inter = f"list_intersect(list_distinct({a}), list_distinct({b}))"
+    return (
+        f"list_transform(list_sort(list_transform({inter}, lambda x: {{'k': -length(x), 't': x}})), lambda s: s.t)[1:{limit}]"
+    )
+
+
+def grams_sql(src: str) -> str:
+    """(id, term) character 1-2-grams of padded lower-cased words of (id, text) rows."""
+    return f"""
+  (WITH w AS (SELECT id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\\s+')) AS w FROM {src}),
+        p AS (SELECT id, ' ' || w || ' ' AS p FROM w WHERE w <> '')
+   SELECT id, substr(p, i, 1) AS term FROM (SELECT id, p, unnest(range(1, length(p) + 1)) AS i FROM p)
+   UNION ALL
+   SELECT id, substr(p, i, 2) AS term FROM (SELECT id, p, unnest(range(1, length(p))) AS i FROM p))"""
+
+
+def vocab_ctes(docs_sql: str, max_features: int = 5000, max_df: float = 0.95) -> str:
+    """CTEs docs(id, text), dt(id, term, c), nd(n), vocab(term, tf, df, n)."""
+    return f"""docs AS ({docs_sql}),
+dt AS (SELECT id, term, COUNT(*) AS c FROM {grams_sql('docs')} GROUP BY id, term),
+nd AS (SELECT COUNT(*) AS n FROM docs),
+st AS (SELECT term, SUM(c) AS tf, COUNT(*) AS df FROM dt GROUP BY term),
+vocab AS (SELECT term, tf, df, n FROM st, nd WHERE df <= {max_df!r} * n AND df >= 1
+          ORDER BY tf DESC, term ASC LIMIT {max_features})"""
+
+
+def tfidf_scores_sql(texts_sql: str, prototypes: list[tuple], keep: str) -> str:
+    """Wide cosine scores of TF-IDF vectors (vocabulary fitted on the texts)."""
+    vals = ", ".join(f"({sql_str(n)}, {sql_str(p)})" for n, p, _ in prototypes)
+    piv = ", ".join(
+        f"COALESCE(MAX(pair.s) FILTER (WHERE pair.cond = {sql_str(n)}), 0.0) AS {n}_score" for n, _, _ in prototypes
+    )
+    return f"""
+WITH t AS ({texts_sql}),
+{vocab_ctes('SELECT case_id AS id, text FROM t')},
+idf AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM vocab),
+dw AS (SELECT dt.id, dt.term, dt.c * idf.idf AS x FROM dt JOIN idf ON idf.term = dt.term),
+dn AS (SELECT id, sqrt(SUM(x * x)) AS nrm FROM dw GROUP BY id),
+pr AS (SELECT * FROM (VALUES {vals}) v(cond, text)),
+pdt AS (SELECT id AS cond, term, COUNT(*) AS c FROM {grams_sql('(SELECT cond AS id, text FROM pr)')} GROUP BY id, term),
+pw AS (SELECT pdt.cond, pdt.term, pdt.c * idf.idf AS x FROM pdt JOIN idf ON idf.term = pdt.term),
+pn AS (SELECT cond, sqrt(SUM(x * x)) AS nrm FROM pw GROUP BY cond),
+pair AS (SELECT dw.id, pw.cond, SUM((dw.x / dn.nrm) * (pw.x / pn.nrm)) AS s
+         FROM dw JOIN dn ON dn.id = dw.id JOIN pw ON pw.term = dw.term JOIN pn ON pn.cond = pw.cond
+         GROUP BY dw.id, pw.cond)
+SELECT {keep}, {piv}
+FROM t LEFT JOIN pair ON pair.id = t.case_id
+GROUP BY {keep}"""
+
+
+def top_two_ctes(scores_sql: str, conditions: list[str], keep: list[str]) -> str:
+    """CTE tt2(keep..., t1, n1, t2, n2) with the best and second score per case."""
+    k = ", ".join(keep)
+    longs = "\n  UNION ALL ".join(
+        f"SELECT {k}, {i} AS pos, '{c}' AS name, CASE WHEN isnan({c}_score) THEN NULL ELSE {c}_score END AS v FROM s"
+        for i, c in enumerate(conditions)
+    )
+    return f"""s AS ({scores_sql}),
+l AS ({longs}),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY v IS NULL, v DESC, pos) AS rn FROM l),
+tt2 AS (SELECT {', '.join('a.' + x for x in keep)},
+               CASE WHEN a.v IS NULL THEN NULL ELSE a.name END AS n1, a.v AS t1, b.name AS n2, b.v AS t2
+        FROM r a LEFT JOIN r b ON b.case_id = a.case_id AND b.rn = 2 WHERE a.rn = 1)"""
+
+
+def confidence_sql(t1: str, t2: str) -> str:
+    gap = f"({t1} - {t2})"
+    return (
+        f"CASE WHEN {t1} IS NULL THEN 'unknown' "
+        f"WHEN {t1} >= 0.5 AND ({gap} IS NULL OR {gap} >= 0.1) THEN 'high' "
+        f"WHEN {t1} >= 0.35 AND ({gap} IS NULL OR {gap} >= 0.05) THEN 'medium' "
+        f"WHEN {t1} >= 0.25 THEN 'low' ELSE 'very low' END"
+    )
