@@ -180,6 +180,14 @@ def q_prototype_quality(spark: SparkSession, sf: str) -> DataFrame:
     return C.prototype_issues(R.benchmark_prototypes(spark, sf))
 
 
+def q_supervised_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.classify import fit_classifiers
+
+    clf = fit_classifiers(R.dl_texts(spark, sf), ["quality", "toxic"])
+    docs = R.table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text")
+    return _round6(clf.predict_scores(docs).drop("text"), ["quality_score", "toxic_score"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truth_table": q_truth_table,
     "solutions": q_solutions,
@@ -210,6 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "training_report": q_training_report,
     "binary_label_columns": q_binary_label_columns,
     "prototype_quality": q_prototype_quality,
+    "supervised_scores": q_supervised_scores,
 }
 
 
