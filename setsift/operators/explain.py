@@ -15,6 +15,7 @@ from .. import constants as K
 from ..functions.calibration import clean_score
 from ..functions.text import explanation_terms, shared_terms
 from .columns import condition_name, score_columns
+from .partitioning import spread
 from .score import select_prototypes
 
 MAX_BROADCAST_PROTOTYPES = 100_000
@@ -135,7 +136,7 @@ def rich_explanations(
     n_protos = select_prototypes(prototypes).count()
     if n_protos > MAX_BROADCAST_PROTOTYPES:
         raise ValueError(f"{n_protos} prototypes: too many to broadcast; concept lists are expected to be small.")
-    t = _with_top_two(scores)
+    t = _with_top_two(spread(scores, case_id if case_id in scores.columns else None))
     lookup = F.broadcast(prototype_lookup(prototypes))
     j = t.join(lookup, t["_top_name"] == lookup["_pname"], "left")
     txt = F.col(text) if text in scores.columns else F.lit("")

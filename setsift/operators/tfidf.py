@@ -1,11 +1,11 @@
 """Character n-gram TF-IDF on Spark: vocabulary, vectors and prototype similarity.
 
-Vocabulary (``vocabulary``): every document contributes each of its n-grams once with
-``tf=1`` and each *distinct* n-gram once with ``df=1``, plus one sentinel row that
-counts the document; a single explode feeds one aggregate grouped by term, whose
-partial aggregation leaves at most one row per distinct term per task before the
-shuffle (no (document, term) pairs are shuffled). Terms with df above ``max_df`` of
-the documents are dropped and the top ``max_features`` by total count are kept
+Vocabulary (``vocabulary``): documents are hash-partitioned by their key (the text is
+shuffled once); n-grams are exploded and counted per (document, term) inside each
+partition -- that grouping is already satisfied by the document partitioning, so it
+adds no exchange -- and only the partial per-term sums (bounded by the distinct terms
+of a task) are shuffled for the final (term, tf, df). Terms with df above ``max_df``
+of the documents are dropped and the top ``max_features`` by total count are kept
 (ties by term), which is a bounded top-k.
 
 Vectors (``TfidfModel.transform``): the bounded vocabulary and idf weights go into
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.text import char_wb_ngrams
 from ..functions.vectors import dot
+from .partitioning import by_document, spread
 
 TOKENS = "_tokens"
 
@@ -35,24 +36,32 @@ def with_tokens(df: DataFrame, text: str = "text", n_min: int = K.NGRAM_MIN, n_m
     return df.withColumn(TOKENS, char_wb_ngrams(F.col(text), n_min, n_max))
 
 
-def term_stats(texts: DataFrame, text: str = "text", n_min: int = K.NGRAM_MIN, n_max: int = K.NGRAM_MAX) -> DataFrame:
-    """(term, tf, df) for every n-gram plus one row with a NULL term whose df is the document count."""
-    toks = char_wb_ngrams(F.col(text), n_min, n_max)
-    entry = "struct<term:string,tf:bigint,df:bigint>"
-    occurrences = F.transform(toks, lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("tf"), F.lit(0).cast("long").alias("df")))
-    presence = F.transform(F.array_distinct(toks), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("tf"), F.lit(1).cast("long").alias("df")))
-    sentinel = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"), F.lit(1).cast("long").alias("df")))
-    items = F.concat(occurrences.cast(f"array<{entry}>"), presence.cast(f"array<{entry}>"), sentinel.cast(f"array<{entry}>"))
-    return (
-        texts.select(F.explode(items).alias("e"))
-        .groupBy(F.col("e.term").alias("term"))
-        .agg(F.sum("e.tf").alias("tf"), F.sum("e.df").alias("df"))
+def term_stats(texts: DataFrame, text: str = "text", key: str | None = None,
+               n_min: int = K.NGRAM_MIN, n_max: int = K.NGRAM_MAX) -> DataFrame:
+    """(term, tf, df) for every n-gram of the texts.
+
+    Documents are hash-partitioned by ``key`` first (the text is shuffled once), so the
+    per-document count of each term is a local aggregate inside each partition; only
+    partial (term, tf, df) rows -- bounded by the distinct terms per task -- are
+    shuffled for the final count. No (document, term) pair crosses the network.
+    """
+    docs, key = by_document(texts.select(*([key] if key else []), text), key)
+    grams = char_wb_ngrams(F.col(text), n_min, n_max)
+    per_doc = (
+        docs.select(F.col(key), F.explode(grams).alias("term"))
+        .groupBy(key, "term")
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    return per_doc.groupBy("term").agg(
+        F.sum("c").alias("tf"),
+        F.count(F.lit(1)).alias("df"),
     )
 
 
 def vocabulary(
     texts: DataFrame,
     text: str = "text",
+    key: str | None = None,
     max_features: int | None = K.MAX_FEATURES,
     min_df: float = K.MIN_DF,
     max_df: float = K.MAX_DF,
@@ -60,9 +69,10 @@ def vocabulary(
     n_max: int = K.NGRAM_MAX,
 ) -> DataFrame:
     """(term, tf, df, n_docs) of the kept vocabulary, most frequent first (lazy)."""
-    stats = term_stats(texts, text, n_min, n_max)
-    n = stats.filter(F.col("term").isNull()).select(F.col("df").alias("n_docs"))
-    terms = stats.filter(F.col("term").isNotNull()).crossJoin(F.broadcast(n))
+    stats = term_stats(texts, text, key, n_min, n_max)
+    # document count from a separate global count (one row; the scan needs no column)
+    n = texts.agg(F.count(F.lit(1)).alias("n_docs"))
+    terms = stats.crossJoin(F.broadcast(n))
     hi = F.col("df") <= (F.lit(float(max_df)) * F.col("n_docs") if isinstance(max_df, float) else F.lit(max_df))
     lo = F.col("df") >= (F.lit(float(min_df)) * F.col("n_docs") if isinstance(min_df, float) else F.lit(min_df))
     kept = terms.filter(hi & lo).orderBy(F.col("tf").desc(), F.col("term").asc())
@@ -98,12 +108,13 @@ class TfidfModel:
 def fit_tfidf(
     texts: DataFrame,
     text: str = "text",
+    key: str | None = None,
     max_features: int | None = K.MAX_FEATURES,
     min_df: float = K.MIN_DF,
     max_df: float = K.MAX_DF,
 ) -> TfidfModel:
     """Fit the vocabulary (one aggregate job; at most ``max_features`` rows to the driver)."""
-    rows = vocabulary(texts, text, max_features, min_df, max_df).select("term", "df", "n_docs").collect()
+    rows = vocabulary(texts, text, key, max_features, min_df, max_df).select("term", "df", "n_docs").collect()
     if not rows:
         raise ValueError("empty vocabulary; the texts have no words")
     rows = sorted(rows, key=lambda r: r["term"])
@@ -118,6 +129,7 @@ def tfidf_prototype_scores(
     conditions: list[str],
     text: str = "text",
     model: TfidfModel | None = None,
+    key: str | None = "case_id",
 ) -> DataFrame:
     """Cosine of each text's TF-IDF vector to each prototype's, as ``<condition>_score``.
 
@@ -125,7 +137,8 @@ def tfidf_prototype_scores(
     non-zero coordinates (at most the vocabulary) define a slice of every text vector,
     and the m dot products run on that slice against a one-row broadcast table.
     """
-    model = model or fit_tfidf(texts, text)
+    key = key if key in texts.columns else None
+    model = model or fit_tfidf(texts, text, key)
     pv = model.transform(prototypes.select(F.col("condition_name"), F.col("prototype").alias("_ptext")), "v", "_ptext")
     got = {r["condition_name"]: r["v"] for r in pv.select("condition_name", "v").collect()}
     missing = [c for c in conditions if c not in got]
@@ -137,7 +150,7 @@ def tfidf_prototype_scores(
         return texts.withColumns({f"{c}_score": F.lit(0.0) for c in conditions})
     weights = [[float(got[c][i]) for i in idx] for c in conditions]
     row = spark.createDataFrame([tuple(weights)], ", ".join(f"`{c}_w` array<double>" for c in conditions))
-    feats = model.transform(texts, "_f", text)
+    feats = model.transform(spread(texts, key), "_f", text)
     sliced = VectorSlicer(inputCol="_f", outputCol="_fs", indices=idx).transform(feats)
     arr = sliced.withColumn("_fa", vector_to_array("_fs")).drop("_f", "_fs")
     scored = arr.crossJoin(F.broadcast(row)).withColumns({f"{c}_score": dot("_fa", f"{c}_w") for c in conditions})

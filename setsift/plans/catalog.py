@@ -23,6 +23,7 @@ from ..operators import chart_data as G
 from ..operators import checks as C
 from ..operators import explain as X
 from ..operators import tfidf as T
+from ..operators.partitioning import spread
 
 LI_THRESHOLD = 0.5
 LI_SOLUTION_CUTOFF = 0.333
@@ -115,7 +116,7 @@ def q_confidence_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_explanation_terms(spark: SparkSession, sf: str) -> DataFrame:
-    d = R.table(spark, sf, "documents").select("doc_id", explanation_terms(F.col("text")).alias("t"))
+    d = spread(R.table(spark, sf, "documents"), "doc_id").select("doc_id", explanation_terms(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").alias("n_terms"), F.array_join("t", " ").alias("terms"))
 
 
@@ -123,13 +124,13 @@ def q_shared_terms(spark: SparkSession, sf: str) -> DataFrame:
     protos = R.dl_prototypes(spark).select(
         F.col("condition_name").alias("condition"), explanation_terms(F.col("prototype")).alias("pt")
     )
-    d = R.table(spark, sf, "documents").select("doc_id", explanation_terms(F.col("text")).alias("dt"))
+    d = spread(R.table(spark, sf, "documents"), "doc_id").select("doc_id", explanation_terms(F.col("text")).alias("dt"))
     j = d.crossJoin(F.broadcast(protos)).select("doc_id", "condition", shared_terms(F.col("dt"), F.col("pt")).alias("m"))
     return j.select("doc_id", "condition", F.size("m").alias("n_shared"), F.array_join("m", ", ").alias("matched_terms"))
 
 
 def q_tfidf_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return T.vocabulary(R.table(spark, sf, "documents")).select("term", "tf", "df")
+    return T.vocabulary(R.table(spark, sf, "documents"), key="doc_id").select("term", "tf", "df")
 
 
 def _dl_scores(spark: SparkSession, sf: str) -> DataFrame:

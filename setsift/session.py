@@ -25,6 +25,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("SETSIFT_DRIVER_MEMORY", "16g"),
     }
     if shuffle_partitions:
