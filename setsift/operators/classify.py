@@ -1,49 +1,56 @@
 """Supervised scoring: TF-IDF features and one logistic regression per condition.
 
-The objective is the one of an L2-penalised logistic regression with C = 1 and
-balanced class weights: with weights w_i = n / (2 n_class(i)) (they sum to n), the
-penalty 1/2 ||b||^2 + sum_i w_i loss_i equals, up to the factor n, Spark ML's
-(1/sum w) sum_i w_i loss_i + (regParam/2) ||b||^2 with regParam = 1/n, no feature
-standardisation and an unpenalised intercept. Training runs on the cluster (Spark
-ML's distributed L-BFGS); the feature table is persisted across the m fits.
+Each condition gets an L2-penalised logistic regression (C = 1) with balanced class
+weights w = n / (2 n_class), fitted by :mod:`.logistic` (driver-side L-BFGS over the
+vocabulary-sized coefficient vector, every loss/gradient evaluation one Spark job over
+the persisted sparse features; all conditions are fitted in the same jobs).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from .checks import _label_value, label_report, raise_on_error
+from .logistic import fit_logistic, with_probabilities
+from .partitioning import spread
 from .tfidf import TfidfModel, fit_tfidf
 
 
+def sparse_features(df: DataFrame, model: TfidfModel, text: str, key: str | None = None) -> DataFrame:
+    """Adds ``features`` (the L2-normalised TF-IDF vector) and its non-zero coordinates
+    as ``idx`` / ``val`` arrays."""
+    d = len(model.terms)
+    f = model.transform(spread(df, key), "features", text).withColumn("_dense", vector_to_array("features"))
+    dense = F.col("_dense")
+    idx = F.filter(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: dense[i] != F.lit(0.0))
+    return f.withColumn("idx", idx).withColumn("val", F.transform(F.col("idx"), lambda i: dense[i])).drop("_dense")
+
+
 @dataclass
 class ConditionClassifier:
-    """Fitted vectoriser and one model per condition."""
+    """Fitted vectoriser and, per condition, coefficients and intercept."""
 
     tfidf: TfidfModel
-    models: dict[str, LogisticRegressionModel] = field(default_factory=dict)
+    models: dict[str, tuple[np.ndarray, float, int]] = field(default_factory=dict)
     text: str = "text"
 
-    def predict_scores(self, texts: DataFrame) -> DataFrame:
+    def predict_scores(self, texts: DataFrame, key: str | None = "case_id") -> DataFrame:
         """Adds ``<condition>_score`` = P(label = 1) for every fitted condition."""
         if not self.models:
             raise RuntimeError("The supervised classifier has not been fitted yet.")
         if self.text not in texts.columns:
             raise ValueError(f"Text column '{self.text}' not found in prediction data.")
-        df = self.tfidf.transform(texts, "_features", self.text)
-        for c, m in self.models.items():
-            m = m.copy()
-            m.setFeaturesCol("_features").setProbabilityCol(f"_p_{c}").setRawPredictionCol(f"_r_{c}").setPredictionCol(f"_y_{c}")
-            df = m.transform(df)
-            df = df.withColumn(f"{c}_score", vector_to_array(F.col(f"_p_{c}"))[1]).drop(f"_p_{c}", f"_r_{c}", f"_y_{c}")
-        return df.drop("_features")
+        key = key if key in texts.columns else None
+        df = sparse_features(texts, self.tfidf, self.text, key)
+        models = {c: (m[0], m[1]) for c, m in self.models.items()}
+        return with_probabilities(df, models).drop("features", "idx", "val")
 
 
 def fit_classifiers(
@@ -51,44 +58,40 @@ def fit_classifiers(
     conditions: list[str],
     text: str = "text",
     max_iter: int = K.MAX_ITER,
-    tol: float = 1e-6,
+    tol: float = 1e-4,
     validate: bool = True,
+    key: str | None = "case_id",
 ) -> ConditionClassifier:
     """Validate, fit the vocabulary on the labeled texts, then one model per condition."""
     if validate:
         raise_on_error(label_report(labeled, text, conditions), "labeled data")
+    key = key if key in labeled.columns else None
     base = labeled.select(
+        *([F.col(key)] if key else []),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text),
-        *[_label_value(labeled, c).alias(c) for c in conditions],
+        *[_label_value(labeled, c).cast("double").alias(c) for c in conditions],
+    )
+    model = fit_tfidf(base, text, key)
+    counts = base.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in conditions]).first()
+    n = counts["n"]
+    weights = {}
+    for c in conditions:
+        pos = counts[c] or 0.0
+        neg = n - pos
+        if pos == 0 or neg == 0:
+            raise ValueError(f"Condition '{c}' needs both positive and negative examples.")
+        weights[f"{c}__w"] = F.when(F.col(c) == 1, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * neg)))
+    data = (
+        sparse_features(base, model, text, key)
+        .withColumns(weights)
+        .select("features", "idx", "val", *conditions, *weights)
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    model = fit_tfidf(base, text)
-    feats = model.transform(base, "_features", text).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = feats.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in conditions]).first()
-        n = counts["n"]
-        out = ConditionClassifier(model, {}, text)
-        for c in conditions:
-            pos = counts[c] or 0
-            neg = n - pos
-            if pos == 0 or neg == 0:
-                raise ValueError(f"Condition '{c}' needs both positive and negative examples.")
-            w = F.when(F.col(c) == 1, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * neg)))
-            lr = LogisticRegression(
-                featuresCol="_features",
-                labelCol="_label",
-                weightCol="_w",
-                regParam=1.0 / n,
-                elasticNetParam=0.0,
-                standardization=False,
-                fitIntercept=True,
-                maxIter=max_iter,
-                tol=tol,
-                family="binomial",
-            )
-            out.models[c] = lr.fit(feats.select("_features", F.col(c).cast("double").alias("_label"), w.alias("_w")))
-        return out
+        fitted = fit_logistic(data, conditions, len(model.terms), max_iter=max_iter, tol=tol)
     finally:
-        feats.unpersist()
+        data.unpersist()
+    return ConditionClassifier(model, {c: fitted[c] for c in conditions}, text)
 
 
 def fit_predict_scores(labeled: DataFrame, texts: DataFrame, conditions: list[str], text: str = "text") -> DataFrame:

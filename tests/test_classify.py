@@ -25,7 +25,7 @@ def _newton(X, y, w, reg=1.0, iters=100):
 
 def test_supervised_matches_newton(spark):
     df = spark.createDataFrame(LABELED_DEMO, "case_id string, text string, " + ", ".join(f"{c} int" for c in CONDITIONS))
-    clf = fit_classifiers(df, CONDITIONS)
+    clf = fit_classifiers(df, CONDITIONS, tol=1e-9)
     scored = {r.case_id: r for r in clf.predict_scores(df).collect()}
     feats = clf.tfidf.transform(df, "f").select("case_id", "f").collect()
     X = np.array([r.f.toArray() for r in feats])
