@@ -30,12 +30,12 @@ def score_box(scores: DataFrame) -> DataFrame:
     rows = []
     for c in score_columns(scores):
         vals = scores.select(F.col(c).cast("double").alias("v"))
-        n = vals.filter(F.col("v").isNotNull() & ~F.isnan("v")).count()
-        if n == 0:
+        try:
+            q = exact_quantiles(vals, "v", [0.0, 0.25, 0.5, 0.75, 1.0])
+        except ValueError:  # no value at all
             rows.append((condition_name(c), 0, None, None, None, None, None))
             continue
-        q = exact_quantiles(vals, "v", [0.0, 0.25, 0.5, 0.75, 1.0])
-        rows.append((condition_name(c), n, q[0.0], q[0.25], q[0.5], q[0.75], q[1.0]))
+        rows.append((condition_name(c), q["n"], q[0.0], q[0.25], q[0.5], q[0.75], q[1.0]))
     return scores.sparkSession.createDataFrame(
         rows, "condition string, n long, min double, q1 double, median double, q3 double, max double"
     )

@@ -9,9 +9,18 @@ enough partitions untouched, so on a large table it adds no shuffle at all.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_SHUFFLE = re.compile(r"(?<!Broadcast)Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)")
+
+
+def has_shuffle(df: DataFrame) -> bool:
+    """Whether the physical plan already redistributes rows (planning only, no job)."""
+    return bool(_SHUFFLE.search(df._jdf.queryExecution().executedPlan().toString()))
+
 
 def target_partitions(df: DataFrame) -> int:
     spark = df.sparkSession
@@ -19,9 +28,13 @@ def target_partitions(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame, key: str | Column | None = None) -> DataFrame:
-    """Repartition by ``key`` only when the input has fewer partitions than cores."""
+    """Repartition by ``key`` only when the input has fewer partitions than cores.
+
+    A plan that already shuffles is left alone (its partition count is the shuffle's);
+    for scan-only plans the number of input splits decides.
+    """
     sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() >= sc.defaultParallelism:
+    if has_shuffle(df) or df.rdd.getNumPartitions() >= sc.defaultParallelism:
         return df
     n = target_partitions(df)
     return df.repartition(n, F.col(key) if isinstance(key, str) else key) if key is not None else df.repartition(n)

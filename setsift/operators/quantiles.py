@@ -26,9 +26,10 @@ def _interval_values(values: DataFrame, col: str, lo: float, hi: float) -> DataF
 def select_ranks(values: DataFrame, col: str, ranks: list[int], n: int, vmin: float, vmax: float,
                  max_exact: int = 200_000, bins: int = 4096) -> dict[int, float]:
     """Values at the given 0-based ranks of the sorted non-null column."""
-    found: dict[int, float] = {}
+    # the smallest and largest value are known already
+    found: dict[int, float] = {r: (vmin if r == 0 else vmax) for r in ranks if r in (0, n - 1)}
     # pending: rank -> (lo, hi, offset, count) with offset = number of values < lo
-    pending = {r: (vmin, vmax, 0, n) for r in sorted(set(ranks))}
+    pending = {r: (vmin, vmax, 0, n) for r in sorted(set(ranks)) if r not in found}
     while pending:
         by_interval: dict[tuple, list[int]] = {}
         for r, iv in pending.items():
@@ -70,7 +71,8 @@ def lerp(a: float, b: float, t: float) -> float:
 
 def exact_quantiles(values: DataFrame, col: str, probs: list[float], max_exact: int = 200_000,
                     bins: int = 4096) -> dict[float, float]:
-    """Linear-interpolation quantiles of the non-null, non-NaN values of ``col``."""
+    """Linear-interpolation quantiles of the non-null, non-NaN values of ``col``
+    (keyed by probability; the key ``"n"`` holds the number of values)."""
     v = F.col(col).cast("double")
     clean = values.select(v.alias(col)).filter(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
     stats = clean.agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
@@ -85,7 +87,9 @@ def exact_quantiles(values: DataFrame, col: str, probs: list[float], max_exact:
         need[p] = (lo_r, hi_r, h - lo_r)
     ranks = sorted({r for lo_r, hi_r, _ in need.values() for r in (lo_r, hi_r)})
     at = select_ranks(clean, col, ranks, n, stats["lo"], stats["hi"], max_exact=max_exact, bins=bins)
-    return {p: lerp(at[lo_r], at[hi_r], t) for p, (lo_r, hi_r, t) in need.items()}
+    out: dict = {p: lerp(at[lo_r], at[hi_r], t) for p, (lo_r, hi_r, t) in need.items()}
+    out["n"] = n
+    return out
 
 
 def approx_quantiles(values: DataFrame, col: str, probs: list[float], accuracy: int = 100_000) -> dict[float, float]:
