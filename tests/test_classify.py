@@ -52,3 +52,19 @@ def test_reports(spark):
     assert rep[("binary_labels", "y")] == "error"
     assert rep[("label_column", "z")] == "error"
     assert rep[("empty_text", "text")] == "warning"
+
+
+def test_long_form_equals_array_form(spark):
+    from setsift.operators.classify import sparse_features
+    from setsift.operators.logistic import fit_logistic
+    from setsift.operators.tfidf import fit_tfidf
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(LABELED_DEMO, "case_id string, text string, " + ", ".join(f"{c} int" for c in CONDITIONS))
+    m = fit_tfidf(df, "text", "case_id")
+    data = sparse_features(df, m, "text", "case_id").withColumns(
+        {**{c: F.col(c).cast("double") for c in CONDITIONS}, **{f"{c}__w": F.lit(1.0) for c in CONDITIONS}}).cache()
+    a = fit_logistic(data, CONDITIONS, len(m.terms), tol=1e-8, long_form=False)
+    b = fit_logistic(data, CONDITIONS, len(m.terms), tol=1e-8, long_form=True)
+    for c in CONDITIONS:
+        assert np.abs(a[c][0] - b[c][0]).max() < 1e-5
