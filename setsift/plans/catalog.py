@@ -189,6 +189,19 @@ def q_supervised_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _round6(clf.predict_scores(docs).drop("text"), ["quality_score", "toxic_score"])
 
 
+DL_THRESHOLD = 0.30
+
+
+def q_pipeline_truth_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole prototype-mode run (checks, TF-IDF scoring, checkpoint, calibration,
+    truth table) over documents joined with labels; its truth table is returned."""
+    from .pipeline import RunSettings, run_prototype
+
+    out = run_prototype(R.dl_texts(spark, sf).select("case_id", "text", "outcome"), R.dl_prototypes(spark),
+                        RunSettings(crisp_threshold=DL_THRESHOLD, run_threshold_sensitivity=False))
+    return out["truth_table"]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truth_table": q_truth_table,
     "solutions": q_solutions,
@@ -220,6 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "binary_label_columns": q_binary_label_columns,
     "prototype_quality": q_prototype_quality,
     "supervised_scores": q_supervised_scores,
+    "pipeline_truth_table": q_pipeline_truth_table,
 }
 
 
@@ -366,6 +380,9 @@ FROM b GROUP BY condition, bin""",
             for c in ["quality", "toxic"]
         ),
         "prototype_quality": _prototype_issues_sql(),
+        "pipeline_truth_table": Q.truth_table_sql(
+            Q.tfidf_scores_sql(Q.DL_SQL, R.DL_PROTOTYPES, "t.case_id, t.outcome"), R.DL_CONDITIONS, DL_THRESHOLD
+        ),
     }
 
 

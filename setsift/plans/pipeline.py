@@ -1,6 +1,7 @@
 """End-to-end runs: prototype mode, supervised mode, and stage-wise runs from files.
 
-A run returns a dict of lazy DataFrames keyed by result-table name. The score table
+A run returns a mapping of lazy DataFrames keyed by result-table name; tables whose
+construction needs a job (quantiles, some checks) are only built when asked for. The score table
 feeds every later table, so it is materialised once with a reliable checkpoint (in
 ``spark.checkpoint.dir``), which also cuts its lineage: a lost executor recomputes
 from the checkpoint, not from the raw texts.
@@ -8,6 +9,7 @@ from the checkpoint, not from the raw texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
@@ -27,6 +29,35 @@ from ..session import cut_lineage
 from ..sources import io
 
 
+class LazyTables(Mapping):
+    """Result tables by name, each built on first access.
+
+    Building some tables runs jobs (quantile selection, checks); a caller asking for
+    one table does not pay for the others.
+    """
+
+    def __init__(self) -> None:
+        self._make: dict[str, Callable[[], DataFrame]] = {}
+        self._built: dict[str, DataFrame] = {}
+
+    def add(self, name: str, make: Callable[[], DataFrame]) -> None:
+        self._make[name] = make
+
+    def put(self, name: str, df: DataFrame) -> None:
+        self._make[name] = lambda: df
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._make[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._make)
+
+    def __len__(self) -> int:
+        return len(self._make)
+
+
 @dataclass
 class RunSettings:
     scoring_method: str = "Prototype similarity"
@@ -42,41 +73,38 @@ class RunSettings:
     extra: dict = field(default_factory=dict)
 
 
-def _downstream(scores: DataFrame, s: RunSettings, case_id: str, outcome: str, text: str) -> dict[str, DataFrame]:
+def _downstream(out: LazyTables, scores: DataFrame, s: RunSettings, case_id: str, outcome: str, text: str) -> LazyTables:
     conditions = [condition_name(c) for c in score_columns(scores)]
-    fuzzy = calibrate(scores, "fuzzy", s.full_out, s.crossover, s.full_in, protected=(case_id, text, outcome))
-    crisp = calibrate(scores, "crisp", threshold=s.crisp_threshold, protected=(case_id, text, outcome))
+    protected = (case_id, text, outcome)
+    fuzzy = calibrate(scores, "fuzzy", s.full_out, s.crossover, s.full_in, protected=protected)
+    crisp = calibrate(scores, "crisp", threshold=s.crisp_threshold, protected=protected)
     # the truth table is built from crisp membership whichever calibration is shown
     ready = qca_ready(crisp, conditions, outcome=outcome, case_id=case_id)
     tt = truth_table(ready, conditions, outcome=outcome, case_id=case_id,
                      consistency_cutoff=s.consistency_cutoff, min_cases=s.min_cases)
-    out = {
-        "score_table": scores,
-        "top_condition_explanation": X.top_two(scores, case_id=case_id, text=text, outcome=outcome),
-        "threshold_suggestions": TH.suggest_thresholds(scores),
-        "score_distribution_summary": TH.score_summary(scores),
-        "calibrated_membership_table_fuzzy": fuzzy,
-        "calibrated_membership_table_crisp": crisp,
-        "qca_ready_dataset": ready,
-        "truth_table": tt,
-        "solution_configurations": solutions(tt, s.consistency_cutoff, s.min_cases, conditions=conditions),
-        "score_long": G.score_long(scores, (case_id, outcome)),
-        "membership_bins_fuzzy": G.membership_bins(fuzzy, conditions),
-        "membership_bins_crisp": G.membership_bins(crisp, conditions),
-        "coverage_points": G.coverage_points(tt),
-    }
+    out.put("score_table", scores)
+    out.add("top_condition_explanation", lambda: X.top_two(scores, case_id=case_id, text=text, outcome=outcome))
+    out.add("threshold_suggestions", lambda: TH.suggest_thresholds(scores))
+    out.add("score_distribution_summary", lambda: TH.score_summary(scores))
+    out.put("calibrated_membership_table_fuzzy", fuzzy)
+    out.put("calibrated_membership_table_crisp", crisp)
+    out.put("qca_ready_dataset", ready)
+    out.put("truth_table", tt)
+    out.add("solution_configurations", lambda: solutions(tt, s.consistency_cutoff, s.min_cases, conditions=conditions))
+    out.add("score_long", lambda: G.score_long(scores, (case_id, outcome)))
+    out.add("membership_bins_fuzzy", lambda: G.membership_bins(fuzzy, conditions))
+    out.add("membership_bins_crisp", lambda: G.membership_bins(crisp, conditions))
+    out.add("coverage_points", lambda: G.coverage_points(tt))
     if s.run_threshold_sensitivity:
         grid = parse_threshold_grid(s.threshold_grid_text)
-        sens = TH.threshold_sensitivity(scores.drop(*[c for c in (text,) if c in scores.columns]), grid, outcome,
-                                        s.consistency_cutoff, s.min_cases)
-        out |= {
-            "threshold_sensitivity_summary": sens["summary"],
-            "threshold_sensitivity_details": sens["detail"],
-            "threshold_sensitivity_solutions": sens["solutions"],
-            "configuration_stability_table": sens["stability"],
-        }
+        sens_scores = scores.drop(*[c for c in (text,) if c in scores.columns])
+        sens = TH.threshold_sensitivity(sens_scores, grid, outcome, s.consistency_cutoff, s.min_cases)
+        out.put("threshold_sensitivity_summary", sens["summary"])
+        out.put("threshold_sensitivity_details", sens["detail"])
+        out.put("threshold_sensitivity_solutions", sens["solutions"])
+        out.put("configuration_stability_table", sens["stability"])
     settings = {k: v for k, v in asdict(s).items() if k != "extra"} | s.extra
-    out["analysis_settings"] = io.settings_table(scores.sparkSession, settings)
+    out.add("analysis_settings", lambda: io.settings_table(scores.sparkSession, settings))
     return out
 
 
@@ -90,7 +118,7 @@ def run_prototype(
     vector_col: str | None = None,
     prototype_vector_col: str | None = None,
     checkpoint: bool = True,
-) -> dict[str, DataFrame]:
+) -> LazyTables:
     """Prototype mode: cosine to prototype vectors when vector columns are given,
     otherwise lexical TF-IDF similarity of the texts to the prototype texts."""
     s = settings or RunSettings()
@@ -104,9 +132,10 @@ def run_prototype(
         scores = tfidf_prototype_scores(base, select_prototypes(prototypes), names, text)
     if checkpoint:
         scores = cut_lineage(scores)
-    out = {"prototype_quality": report}
-    out |= _downstream(scores, s, case_id, outcome, text)
-    out["rich_text_prototype_explanations"] = X.rich_explanations(scores, prototypes, text, case_id, outcome)
+    out = LazyTables()
+    out.put("prototype_quality", report)
+    _downstream(out, scores, s, case_id, outcome, text)
+    out.add("rich_text_prototype_explanations", lambda: X.rich_explanations(scores, prototypes, text, case_id, outcome))
     return out
 
 
@@ -119,7 +148,7 @@ def run_supervised(
     case_id: str = "case_id",
     outcome: str = "outcome",
     checkpoint: bool = True,
-) -> dict[str, DataFrame]:
+) -> LazyTables:
     """Supervised mode: validate the labeled table, fit one classifier per condition,
     score the texts, then the same tables as prototype mode (without explanations)."""
     s = settings or RunSettings(scoring_method="Supervised classifier")
@@ -131,11 +160,10 @@ def run_supervised(
     scores = clf.predict_scores(texts.select(case_id, text, outcome))
     if checkpoint:
         scores = cut_lineage(scores)
-    out = {
-        "supervised_validation_report": report,
-        "supervised_training_report": C.training_report(labeled, conditions),
-    }
-    return out | _downstream(scores, s, case_id, outcome, text)
+    out = LazyTables()
+    out.put("supervised_validation_report", report)
+    out.add("supervised_training_report", lambda: C.training_report(labeled, conditions))
+    return _downstream(out, scores, s, case_id, outcome, text)
 
 
 # ---------------------------------------------------------------- stage-wise runs (files in, files out)

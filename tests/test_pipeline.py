@@ -23,7 +23,7 @@ def test_prototype_run(spark):
     assert out["threshold_sensitivity_summary"].count() == 6
     assert [r.severity for r in out["prototype_quality"].collect()] == ["info"]
     d = tempfile.mkdtemp(prefix="setsift-test-")
-    written = io.write_bundle({k: v for k, v in out.items() if k in ("truth_table", "score_table", "analysis_settings")}, d, "csv")
+    written = io.write_bundle({k: out[k] for k in ("truth_table", "score_table", "analysis_settings")}, d, "csv")
     back = io.read_table(spark, written["truth_table"], "csv", schema=out["truth_table"].schema)
     assert sorted(back.collect()) == sorted(tt)
 
