@@ -8,9 +8,11 @@ of a task) are shuffled for the final (term, tf, df). Terms with df above ``max_
 of the documents are dropped and the top ``max_features`` by total count are kept
 (ties by term), which is a bounded top-k.
 
-Vectors (``TfidfModel.transform``): the bounded vocabulary and idf weights go into
-Spark ML's ``CountVectorizerModel`` -> ``ElementwiseProduct`` -> ``Normalizer``,
-per-row JVM transforms with no shuffle: raw count x (ln((1+n)/(1+df)) + 1), L2-normed.
+Vectors (``TfidfModel.transform``, for the classifier): the bounded vocabulary and
+idf weights go into Spark ML's ``CountVectorizerModel`` -> ``ElementwiseProduct`` ->
+``Normalizer``, per-row JVM transforms with no shuffle: raw count x
+(ln((1+n)/(1+df)) + 1), L2-normed. Prototype similarity needs no vectors: it is sums
+over the per-document n-gram counts (``tfidf_prototype_scores``).
 """
 
 from __future__ import annotations
@@ -18,16 +20,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import char_wb_ngrams
-from ..functions.vectors import dot
-from .partitioning import by_document, spread
+from ..functions.text import char_wb_ngrams, words
+from .partitioning import by_document
 
 TOKENS = "_tokens"
 
@@ -36,6 +36,24 @@ def with_tokens(df: DataFrame, text: str = "text", n_min: int = K.NGRAM_MIN, n_m
     return df.withColumn(TOKENS, char_wb_ngrams(F.col(text), n_min, n_max))
 
 
+def term_counts(docs: DataFrame, key: str, text: str = "text", n_min: int = K.NGRAM_MIN,
+                n_max: int = K.NGRAM_MAX) -> DataFrame:
+    """(key, term, c): how often each character n-gram occurs in each document.
+
+    ``docs`` must already be hash-partitioned by ``key`` (see ``by_document``): words and
+    n-gram positions are exploded (code-generated generators; ``substring`` only ever
+    runs on one short padded word, never on a whole document, where positional access
+    would be quadratic), and the grouping by (key, term) is satisfied by the document
+    partitioning, so it runs inside each partition without an exchange.
+    """
+    w = docs.select(F.col(key), F.explode(words(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("_w"))
+    p = w.select(key, F.concat(F.lit(" "), F.col("_w"), F.lit(" ")).alias("_p"))
+    pos = p.select(key, "_p", F.explode(F.sequence(F.lit(1), F.length("_p"))).alias("_i"))
+    grams = [F.when(F.col("_i") + F.lit(n - 1) <= F.length("_p"), F.substring("_p", F.col("_i"), F.lit(n))) for n in range(n_min, n_max + 1)]
+    terms = pos.select(key, F.explode(F.array(*grams)).alias("term")).filter(F.col("term").isNotNull())
+    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"))
+
+
 def term_stats(texts: DataFrame, text: str = "text", key: str | None = None,
                n_min: int = K.NGRAM_MIN, n_max: int = K.NGRAM_MAX) -> DataFrame:
     """(term, tf, df) for every n-gram of the texts.
@@ -46,16 +64,8 @@ def term_stats(texts: DataFrame, text: str = "text", key: str | None = None,
     shuffled for the final count. No (document, term) pair crosses the network.
     """
     docs, key = by_document(texts.select(*([key] if key else []), text), key)
-    grams = char_wb_ngrams(F.col(text), n_min, n_max)
-    per_doc = (
-        docs.select(F.col(key), F.explode(grams).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    return per_doc.groupBy("term").agg(
-        F.sum("c").alias("tf"),
-        F.count(F.lit(1)).alias("df"),
-    )
+    per_doc = term_counts(docs, key, text, n_min, n_max)
+    return per_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
 def vocabulary(
@@ -123,6 +133,29 @@ def fit_tfidf(
     return TfidfModel([r["term"] for r in rows], idf, n, text)
 
 
+def prototype_weights(model: TfidfModel, prototypes: DataFrame, conditions: list[str]) -> DataFrame:
+    """(term, idf, <condition>_w ...): idf and the L2-normalised TF-IDF weight of every
+    prototype on the vocabulary terms it contains. At most the vocabulary cap rows."""
+    spark = prototypes.sparkSession
+    p, key = by_document(prototypes.select(F.col("condition_name").alias("_cond"), F.col("prototype").alias("_ptext")), "_cond")
+    counts = term_counts(p, "_cond", "_ptext", model.n_min, model.n_max).collect()
+    idf = dict(zip(model.terms, model.idf))
+    per: dict[str, dict[str, float]] = {c: {} for c in conditions}
+    for r in counts:
+        if r["_cond"] in per and r["term"] in idf:
+            per[r["_cond"]][r["term"]] = r["c"] * idf[r["term"]]
+    missing = [c for c in conditions if c not in {r["_cond"] for r in counts}]
+    if missing:
+        raise ValueError(f"No prototype text for: {missing}")
+    for c, ws in per.items():
+        norm = math.sqrt(sum(v * v for v in ws.values()))
+        per[c] = {t: (v / norm if norm > 0 else 0.0) for t, v in ws.items()}
+    terms = sorted({t for ws in per.values() for t in ws})
+    rows = [(t, idf[t], *[per[c].get(t, 0.0) for c in conditions]) for t in terms]
+    schema = "term string, idf double, " + ", ".join(f"`{c}_w` double" for c in conditions)
+    return spark.createDataFrame(rows, schema)
+
+
 def tfidf_prototype_scores(
     texts: DataFrame,
     prototypes: DataFrame,
@@ -133,25 +166,27 @@ def tfidf_prototype_scores(
 ) -> DataFrame:
     """Cosine of each text's TF-IDF vector to each prototype's, as ``<condition>_score``.
 
-    The model is fitted on the texts unless given. Prototype vectors are m rows: their
-    non-zero coordinates (at most the vocabulary) define a slice of every text vector,
-    and the m dot products run on that slice against a one-row broadcast table.
+    The model is fitted on the texts unless given. Texts are hash-partitioned by
+    document once; per-document n-gram counts join the vocabulary table (idf) and the
+    prototype weights by broadcast (both at most the vocabulary cap in rows), and the
+    norm and the m dot products are sums per document inside the partition. Joining
+    the scores back to the texts is co-partitioned. No vector column is built.
     """
     key = key if key in texts.columns else None
     model = model or fit_tfidf(texts, text, key)
-    pv = model.transform(prototypes.select(F.col("condition_name"), F.col("prototype").alias("_ptext")), "v", "_ptext")
-    got = {r["condition_name"]: r["v"] for r in pv.select("condition_name", "v").collect()}
-    missing = [c for c in conditions if c not in got]
-    if missing:
-        raise ValueError(f"No prototype for: {missing}")
-    idx = sorted({int(i) for c in conditions for i in got[c].indices})
     spark = texts.sparkSession
-    if not idx:
-        return texts.withColumns({f"{c}_score": F.lit(0.0) for c in conditions})
-    weights = [[float(got[c][i]) for i in idx] for c in conditions]
-    row = spark.createDataFrame([tuple(weights)], ", ".join(f"`{c}_w` array<double>" for c in conditions))
-    feats = model.transform(spread(texts, key), "_f", text)
-    sliced = VectorSlicer(inputCol="_f", outputCol="_fs", indices=idx).transform(feats)
-    arr = sliced.withColumn("_fa", vector_to_array("_fs")).drop("_f", "_fs")
-    scored = arr.crossJoin(F.broadcast(row)).withColumns({f"{c}_score": dot("_fa", f"{c}_w") for c in conditions})
-    return scored.drop("_fa", *[f"{c}_w" for c in conditions])
+    vocab = spark.createDataFrame(list(zip(model.terms, model.idf)), "term string, idf double")
+    weights = prototype_weights(model, prototypes, conditions).drop("idf")
+    docs, dkey = by_document(texts, key)
+    counts = term_counts(docs, dkey, text, model.n_min, model.n_max)
+    x = F.col("c") * F.col("idf")
+    j = counts.join(F.broadcast(vocab), "term").join(F.broadcast(weights), "term", "left")
+    per_doc = j.groupBy(dkey).agg(
+        F.sum(x * x).alias("_n2"), *[F.sum(x * F.coalesce(F.col(f"{c}_w"), F.lit(0.0))).alias(f"_d_{c}") for c in conditions]
+    )
+    norm = F.sqrt(F.col("_n2"))
+    scores = per_doc.select(
+        dkey, *[F.when(F.col("_n2") > 0, F.col(f"_d_{c}") / norm).otherwise(F.lit(0.0)).alias(f"{c}_score") for c in conditions]
+    )
+    out = docs.join(scores, dkey, "left").withColumns({f"{c}_score": F.coalesce(F.col(f"{c}_score"), F.lit(0.0)) for c in conditions})
+    return out.drop("_doc") if key is None else out
