@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .checks import _label_value, label_report, raise_on_error
-from .logistic import fit_logistic, with_probabilities
+from .logistic import fit_logistic, sigmoid
 from .partitioning import spread
-from .tfidf import TfidfModel, fit_tfidf
+from .tfidf import TfidfModel, fit_tfidf, normalized_dot_scores
 
 
 def sparse_features(df: DataFrame, model: TfidfModel, text: str, key: str | None = None) -> DataFrame:
@@ -42,15 +42,24 @@ class ConditionClassifier:
     text: str = "text"
 
     def predict_scores(self, texts: DataFrame, key: str | None = "case_id") -> DataFrame:
-        """Adds ``<condition>_score`` = P(label = 1) for every fitted condition."""
+        """Adds ``<condition>_score`` = P(label = 1) for every fitted condition.
+
+        The margin x.b of the normalised TF-IDF vector is a sum over the per-document
+        n-gram counts against a (term, coefficient) table -- the same plan as the
+        lexical prototype scores, no vector column."""
         if not self.models:
             raise RuntimeError("The supervised classifier has not been fitted yet.")
         if self.text not in texts.columns:
             raise ValueError(f"Text column '{self.text}' not found in prediction data.")
         key = key if key in texts.columns else None
-        df = sparse_features(texts, self.tfidf, self.text, key)
-        models = {c: (m[0], m[1]) for c, m in self.models.items()}
-        return with_probabilities(df, models).drop("features", "idx", "val")
+        names = list(self.models)
+        spark = texts.sparkSession
+        rows = [(t, *[float(self.models[c][0][i]) for c in names]) for i, t in enumerate(self.tfidf.terms)]
+        weights = spark.createDataFrame(rows, "term string, " + ", ".join(f"`{c}_w` double" for c in names))
+        margins = normalized_dot_scores(texts, self.tfidf, weights, names, self.text, key, suffix="__m")
+        return margins.withColumns(
+            {f"{c}_score": sigmoid(F.col(f"{c}__m") + F.lit(float(self.models[c][1]))) for c in names}
+        ).drop(*[f"{c}__m" for c in names])
 
 
 def fit_classifiers(

@@ -156,37 +156,52 @@ def prototype_weights(model: TfidfModel, prototypes: DataFrame, conditions: list
     return spark.createDataFrame(rows, schema)
 
 
-def tfidf_prototype_scores(
+def normalized_dot_scores(
     texts: DataFrame,
-    prototypes: DataFrame,
-    conditions: list[str],
+    model: TfidfModel,
+    weights: DataFrame,
+    names: list[str],
     text: str = "text",
-    model: TfidfModel | None = None,
     key: str | None = "case_id",
+    suffix: str = "_score",
 ) -> DataFrame:
-    """Cosine of each text's TF-IDF vector to each prototype's, as ``<condition>_score``.
+    """Adds ``<name><suffix>`` = (x . w_name) / ||x|| for the L2-normalised TF-IDF vector x
+    of every text, with ``weights`` = (term, <name>_w ...) over vocabulary terms.
 
-    The model is fitted on the texts unless given. Texts are hash-partitioned by
-    document once; per-document n-gram counts join the vocabulary table (idf) and the
-    prototype weights by broadcast (both at most the vocabulary cap in rows), and the
-    norm and the m dot products are sums per document inside the partition. Joining
-    the scores back to the texts is co-partitioned. No vector column is built.
+    Texts are hash-partitioned by document once; per-document n-gram counts join the
+    vocabulary (idf) and the weights by broadcast (at most the vocabulary cap in rows),
+    and the norm and dot products are sums per document inside the partition. The
+    result joins back to the texts co-partitioned. No vector column is built.
     """
     key = key if key in texts.columns else None
-    model = model or fit_tfidf(texts, text, key)
     spark = texts.sparkSession
     vocab = spark.createDataFrame(list(zip(model.terms, model.idf)), "term string, idf double")
-    weights = prototype_weights(model, prototypes, conditions).drop("idf")
     docs, dkey = by_document(texts, key)
     counts = term_counts(docs, dkey, text, model.n_min, model.n_max)
     x = F.col("c") * F.col("idf")
     j = counts.join(F.broadcast(vocab), "term").join(F.broadcast(weights), "term", "left")
     per_doc = j.groupBy(dkey).agg(
-        F.sum(x * x).alias("_n2"), *[F.sum(x * F.coalesce(F.col(f"{c}_w"), F.lit(0.0))).alias(f"_d_{c}") for c in conditions]
+        F.sum(x * x).alias("_n2"), *[F.sum(x * F.coalesce(F.col(f"{n}_w"), F.lit(0.0))).alias(f"_d_{n}") for n in names]
     )
     norm = F.sqrt(F.col("_n2"))
-    scores = per_doc.select(
-        dkey, *[F.when(F.col("_n2") > 0, F.col(f"_d_{c}") / norm).otherwise(F.lit(0.0)).alias(f"{c}_score") for c in conditions]
+    dots = per_doc.select(
+        dkey, *[F.when(F.col("_n2") > 0, F.col(f"_d_{n}") / norm).otherwise(F.lit(0.0)).alias(f"{n}{suffix}") for n in names]
     )
-    out = docs.join(scores, dkey, "left").withColumns({f"{c}_score": F.coalesce(F.col(f"{c}_score"), F.lit(0.0)) for c in conditions})
+    out = docs.join(dots, dkey, "left").withColumns({f"{n}{suffix}": F.coalesce(F.col(f"{n}{suffix}"), F.lit(0.0)) for n in names})
     return out.drop("_doc") if key is None else out
+
+
+def tfidf_prototype_scores(
+    texts: DataFrame,
+    prototypes: DataFrame,
+    conditions: list[str],
+    text: str = "text",
+    model: TfidfModel | None = None,
+    key: str | None = "case_id",
+) -> DataFrame:
+    """Cosine of each text's TF-IDF vector to each prototype's, as ``<condition>_score``
+    (the model is fitted on the texts unless given)."""
+    key = key if key in texts.columns else None
+    model = model or fit_tfidf(texts, text, key)
+    weights = prototype_weights(model, prototypes, conditions).drop("idf")
+    return normalized_dot_scores(texts, model, weights, conditions, text, key)
