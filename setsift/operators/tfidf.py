@@ -30,6 +30,13 @@ from ..functions.text import char_wb_ngrams, words
 from .partitioning import by_document
 
 TOKENS = "_tokens"
+# A vocabulary (and any per-term table derived from it) is broadcast only up to this
+# many terms; with the default cap of 5000 features it always is.
+MAX_BROADCAST_TERMS = 2_000_000
+
+
+def _small(df: DataFrame, n_rows: int) -> DataFrame:
+    return F.broadcast(df) if n_rows <= MAX_BROADCAST_TERMS else df
 
 
 def with_tokens(df: DataFrame, text: str = "text", n_min: int = K.NGRAM_MIN, n_max: int = K.NGRAM_MAX) -> DataFrame:
@@ -179,7 +186,8 @@ def normalized_dot_scores(
     docs, dkey = by_document(texts, key)
     counts = term_counts(docs, dkey, text, model.n_min, model.n_max)
     x = F.col("c") * F.col("idf")
-    j = counts.join(F.broadcast(vocab), "term").join(F.broadcast(weights), "term", "left")
+    n_terms = len(model.terms)
+    j = counts.join(_small(vocab, n_terms), "term").join(_small(weights, n_terms), "term", "left")
     per_doc = j.groupBy(dkey).agg(
         F.sum(x * x).alias("_n2"), *[F.sum(x * F.coalesce(F.col(f"{n}_w"), F.lit(0.0))).alias(f"_d_{n}") for n in names]
     )

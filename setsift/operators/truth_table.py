@@ -15,6 +15,7 @@ from .. import constants as K
 from ..functions.labels import configuration_label, solution_sentence, status
 from .columns import condition_columns
 
+MAX_BROADCAST_CONFIGURATIONS = 1 << 20
 TT_MEASURES = ["configuration", "n_cases", "outcome_positive_cases", "consistency", "raw_coverage"]
 
 
@@ -121,7 +122,10 @@ def finish_truth_table(
 
     ``grouped`` has the ``by`` columns, the conditions, ``n_cases``,
     ``outcome_positive_cases``, ``_bad_outcome`` and optionally ``_members``. The grand
-    total of positives is a window over the (few) aggregated rows, per ``by`` group.
+    total of positives (per ``by`` group) is a window over the aggregated rows -- at
+    most 2^m per ``by`` value, whatever the number of cases. A separate global sum
+    joined back would read the input a second time (column pruning makes the two
+    aggregates differ, so Spark cannot reuse the exchange).
     """
     by = by or []
     total = F.sum("outcome_positive_cases").over(Window.partitionBy(*[F.col(b) for b in by]))
@@ -217,5 +221,9 @@ def configuration_members(
         F.col(outcome),
     ).filter(all_present(conditions))
     if tt is not None:
-        members = members.join(F.broadcast(tt.select("configuration", "status")), "configuration", "left")
+        status_of = tt.select("configuration", "status")
+        # the truth table has at most 2^m rows: broadcast it while that bound is small
+        if 2 ** len(conditions) <= MAX_BROADCAST_CONFIGURATIONS:
+            status_of = F.broadcast(status_of)
+        members = members.join(status_of, "configuration", "left")
     return members
