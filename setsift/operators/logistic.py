@@ -250,13 +250,3 @@ def fit_logistic(
         for df in cached:
             df.unpersist()
     return result
-
-
-def with_probabilities(df: DataFrame, models: dict[str, tuple[np.ndarray, float]], suffix: str = "_score") -> DataFrame:
-    """Adds ``<name><suffix>`` = sigmoid(margin) for every model, from ``idx``/``val``."""
-    names = list(models)
-    coefs = coefficient_row(df.sparkSession, [models[n] for n in names])
-    out = df.crossJoin(F.broadcast(coefs)).withColumns(
-        {f"{n}{suffix}": sigmoid(_margin(F.col("idx"), F.col("val"), F.col(f"_b{j}"), F.col(f"_b0{j}"))) for j, n in enumerate(names)}
-    )
-    return out.drop(*[c for j in range(len(names)) for c in (f"_b{j}", f"_b0{j}")])

@@ -18,7 +18,7 @@ over the per-document n-gram counts (``tfidf_prototype_scores``).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import DenseVector
@@ -108,10 +108,6 @@ class TfidfModel:
     text: str = "text"
     n_min: int = K.NGRAM_MIN
     n_max: int = K.NGRAM_MAX
-    _index: dict[str, int] = field(default_factory=dict, repr=False)
-
-    def __post_init__(self) -> None:
-        self._index = {t: i for i, t in enumerate(self.terms)}
 
     def transform(self, df: DataFrame, output: str = "features", text: str | None = None) -> DataFrame:
         """Adds an L2-normalised TF-IDF vector column (Spark ML ``Vector``)."""

@@ -217,10 +217,14 @@ def threshold_sensitivity(
     contradiction_lower: float = K.DEFAULT_CONTRADICTION_LOWER,
     contradiction_upper: float = K.DEFAULT_CONTRADICTION_UPPER,
 ) -> dict[str, DataFrame]:
-    """summary, detail, solutions and stability over the threshold grid (all lazy)."""
+    """summary, detail, solutions and stability over the threshold grid (all lazy).
+
+    The detail has at most T * 2^m rows; it is persisted so that the three tables built
+    from it read the scores once between them.
+    """
     detail = sensitivity_detail(
         scores, thresholds, outcome, consistency_cutoff, min_cases, contradiction_lower, contradiction_upper
-    )
+    ).persist()
     conditions = [condition_name(c) for c in score_columns(scores)]
     return {
         "summary": sensitivity_summary(detail),
