@@ -1,9 +1,9 @@
 """Prototype similarity scores (dense embeddings and lexical TF-IDF) into a wide table.
 
-Texts × prototypes is an all-pairs product by definition, but the prototype side is a
-handful of concept descriptions. It is turned into a single row (one vector column per
-condition) by a global aggregate, which always yields exactly one row, and joined with
-``broadcast``: a nested-loop join against one row is a per-row projection, no shuffle.
+Texts x prototypes is an all-pairs product by definition, but the prototype side is a
+handful of concept descriptions (m vectors). They are gathered into one row by a
+global aggregate (always exactly one row), read on the driver (bounded: m x dimension
+numbers) and used as literal arrays, so scoring is a projection: no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -36,6 +36,11 @@ def prototype_names(prototypes: DataFrame, include_outcome: bool = False, order_
     return names
 
 
+# Prototype vectors are inlined as literals up to this many numbers in total (e.g. 100
+# prototypes of dimension 1000); beyond it the one-row table is broadcast instead.
+MAX_INLINE_VALUES = 100_000
+
+
 def prototype_cosine_wide(
     texts: DataFrame,
     prototype_row: DataFrame,
@@ -44,13 +49,28 @@ def prototype_cosine_wide(
 ) -> DataFrame:
     """Add ``<condition>_score`` = cosine(text vector, ``<condition>_vec``) per condition.
 
-    ``prototype_row`` must have exactly one row with ``<condition>_vec`` array columns
-    (as built by a global aggregate). It is broadcast; scoring is then narrow.
+    ``prototype_row`` has exactly one row with ``<condition>_vec`` array columns (as a
+    global aggregate builds it). Its m vectors are read on the driver -- m x dimension
+    numbers, checked against a bound -- and enter the plan as literal arrays, so the
+    scoring is a plain projection of every text row: no join at all. Larger prototype
+    sets are broadcast as the one-row table instead.
     """
-    vecs = prototype_row.select(*[F.col(f"{c}_vec") for c in conditions])
-    joined = texts.crossJoin(F.broadcast(vecs))
-    scored = joined.withColumns({f"{c}_score": cosine(F.col(vector_col), F.col(f"{c}_vec")) for c in conditions})
-    return scored.drop(*[f"{c}_vec" for c in conditions])
+    one = prototype_row.select(*[F.col(f"{c}_vec") for c in conditions])
+    size = one.select(sum(F.coalesce(F.size(f"{c}_vec"), F.lit(0)) for c in conditions).alias("n")).first()["n"]
+    if size > MAX_INLINE_VALUES:
+        # one row, broadcast: a nested-loop join that emits exactly one row per text
+        joined = texts.crossJoin(F.broadcast(one))
+        scored = joined.withColumns({f"{c}_score": cosine(F.col(vector_col), F.col(f"{c}_vec")) for c in conditions})
+        return scored.drop(*[f"{c}_vec" for c in conditions])
+    row = one.collect()
+    if len(row) != 1:
+        raise ValueError(f"expected one prototype row, got {len(row)}")
+    vecs = {c: row[0][f"{c}_vec"] for c in conditions}
+    missing = [c for c, v in vecs.items() if v is None]
+    if missing:
+        raise ValueError(f"No prototype vector for: {missing}")
+    lit_vec = {c: F.array(*[F.lit(float(x)) for x in v]) for c, v in vecs.items()}
+    return texts.withColumns({f"{c}_score": cosine(F.col(vector_col), lit_vec[c]) for c in conditions})
 
 
 def prototype_cosine(

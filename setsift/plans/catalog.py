@@ -121,11 +121,15 @@ def q_explanation_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_shared_terms(spark: SparkSession, sf: str) -> DataFrame:
-    protos = R.dl_prototypes(spark).select(
-        F.col("condition_name").alias("condition"), explanation_terms(F.col("prototype")).alias("pt")
+    # prototype terms are expressions over literals (folded once), so no join is needed
+    per = F.array(
+        *[
+            F.struct(F.lit(name).alias("condition"), shared_terms(F.col("dt"), explanation_terms(F.lit(text))).alias("m"))
+            for name, text, _ in R.DL_PROTOTYPES
+        ]
     )
     d = spread(R.table(spark, sf, "documents"), "doc_id").select("doc_id", explanation_terms(F.col("text")).alias("dt"))
-    j = d.crossJoin(F.broadcast(protos)).select("doc_id", "condition", shared_terms(F.col("dt"), F.col("pt")).alias("m"))
+    j = d.select("doc_id", F.explode(per).alias("p")).select("doc_id", "p.condition", "p.m")
     return j.select("doc_id", "condition", F.size("m").alias("n_shared"), F.array_join("m", ", ").alias("matched_terms"))
 
 
