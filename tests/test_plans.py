@@ -12,7 +12,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"supervised_scores"}))
+@pytest.mark.parametrize("name", sorted(E.queries()))
 def test_no_python_udf(spark, name):
     plan = _plan(E.queries()[name](spark, SF001))
     assert not any(p in plan for p in PY), plan
