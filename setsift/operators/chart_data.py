@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import condition_name, require_columns, score_columns
-from .quantiles import exact_quantiles
+from .quantiles import grouped_quantiles
 
 
 def score_long(scores: DataFrame, id_cols: tuple[str, ...] = ("case_id", "outcome")) -> DataFrame:
@@ -26,16 +26,17 @@ def score_long(scores: DataFrame, id_cols: tuple[str, ...] = ("case_id", "outcom
 
 
 def score_box(scores: DataFrame) -> DataFrame:
-    """condition, n, min, q1, median, q3, max of the non-missing scores of each condition."""
+    """condition, n, min, q1, median, q3, max of the non-missing scores of each condition
+    (exact quantiles of all conditions refined together: one scan per refinement level)."""
+    names = [condition_name(c) for c in score_columns(scores)]
+    q = grouped_quantiles(score_long(scores, ()), "condition", "similarity_score", [0.0, 0.25, 0.5, 0.75, 1.0])
     rows = []
-    for c in score_columns(scores):
-        vals = scores.select(F.col(c).cast("double").alias("v"))
-        try:
-            q = exact_quantiles(vals, "v", [0.0, 0.25, 0.5, 0.75, 1.0])
-        except ValueError:  # no value at all
-            rows.append((condition_name(c), 0, None, None, None, None, None))
-            continue
-        rows.append((condition_name(c), q["n"], q[0.0], q[0.25], q[0.5], q[0.75], q[1.0]))
+    for name in names:
+        if name not in q:
+            rows.append((name, 0, None, None, None, None, None))
+        else:
+            r = q[name]
+            rows.append((name, r["n"], r[0.0], r[0.25], r[0.5], r[0.75], r[1.0]))
     return scores.sparkSession.createDataFrame(
         rows, "condition string, n long, min double, q1 double, median double, q3 double, max double"
     )

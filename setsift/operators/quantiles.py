@@ -18,51 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _interval_values(values: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
-    v = F.col(col)
-    return values.filter((v >= F.lit(lo)) & (v <= F.lit(hi)))
-
-
-def select_ranks(values: DataFrame, col: str, ranks: list[int], n: int, vmin: float, vmax: float,
-                 max_exact: int = 200_000, bins: int = 4096) -> dict[int, float]:
-    """Values at the given 0-based ranks of the sorted non-null column."""
-    # the smallest and largest value are known already
-    found: dict[int, float] = {r: (vmin if r == 0 else vmax) for r in ranks if r in (0, n - 1)}
-    # pending: rank -> (lo, hi, offset, count) with offset = number of values < lo
-    pending = {r: (vmin, vmax, 0, n) for r in sorted(set(ranks)) if r not in found}
-    while pending:
-        by_interval: dict[tuple, list[int]] = {}
-        for r, iv in pending.items():
-            by_interval.setdefault(iv, []).append(r)
-        nxt: dict[int, tuple] = {}
-        for (lo, hi, off, cnt), rs in by_interval.items():
-            if lo == hi:
-                for r in rs:
-                    found[r] = lo
-                continue
-            part = _interval_values(values, col, lo, hi)
-            if cnt <= max_exact:
-                vals = sorted(row[0] for row in part.select(col).collect())
-                for r in rs:
-                    found[r] = vals[r - off]
-                continue
-            width = (hi - lo) / bins
-            b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-            hist = sorted(
-                part.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(col).alias("lo"), F.max(col).alias("hi")).collect(),
-                key=lambda row: row["b"],
-            )
-            for r in rs:
-                before = off
-                for h in hist:
-                    if r < before + h["c"]:
-                        nxt[r] = (h["lo"], h["hi"], before, h["c"])
-                        break
-                    before += h["c"]
-        pending = nxt
-    return found
-
-
 def lerp(a: float, b: float, t: float) -> float:
     """Linear interpolation in the numerically symmetric form used by numpy."""
     d = b - a
@@ -74,21 +29,100 @@ def exact_quantiles(values: DataFrame, col: str, probs: list[float], max_exact:
     """Linear-interpolation quantiles of the non-null, non-NaN values of ``col``
     (keyed by probability; the key ``"n"`` holds the number of values)."""
     v = F.col(col).cast("double")
-    clean = values.select(v.alias(col)).filter(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
-    stats = clean.agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    n = stats["n"]
-    if not n:
+    out = grouped_quantiles(values.select(F.lit(0).alias("_g"), v.alias(col)), "_g", col, probs, max_exact, bins)
+    if 0 not in out:
         raise ValueError("No valid score values found.")
-    need = {}
-    for p in probs:
-        h = (n - 1) * p
-        lo_r = int(math.floor(h))
-        hi_r = min(lo_r + 1, n - 1)
-        need[p] = (lo_r, hi_r, h - lo_r)
-    ranks = sorted({r for lo_r, hi_r, _ in need.values() for r in (lo_r, hi_r)})
-    at = select_ranks(clean, col, ranks, n, stats["lo"], stats["hi"], max_exact=max_exact, bins=bins)
-    out: dict = {p: lerp(at[lo_r], at[hi_r], t) for p, (lo_r, hi_r, t) in need.items()}
-    out["n"] = n
+    return out[0]
+
+
+def grouped_quantiles(values: DataFrame, group: str, col: str, probs: list[float], max_exact: int = 200_000,
+                      bins: int = 4096) -> dict:
+    """Exact quantiles per group, all groups refined in the same passes.
+
+    Each pass is one job over ``values``: rows are tagged with the pending interval of
+    their group they fall into (intervals of one group at one refinement level are
+    disjoint), then either counted in equal-width bins per interval or, for intervals
+    holding at most ``max_exact`` values, collected. Returns {group: {prob: value, "n": n}}.
+    """
+    v = F.col(col).cast("double")
+    clean = values.select(F.col(group), v.alias(col)).filter(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
+    stats = clean.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).collect()
+    found: dict = {}
+    pending: dict = {}
+    need: dict = {}
+    for r in stats:
+        g, n = r[group], r["n"]
+        need[g] = {}
+        for p in probs:
+            h = (n - 1) * p
+            lo_r = int(math.floor(h))
+            need[g][p] = (lo_r, min(lo_r + 1, n - 1), h - lo_r)
+        for rank in {x for a, b, _ in need[g].values() for x in (a, b)}:
+            if rank in (0, n - 1):
+                found[(g, rank)] = r["lo"] if rank == 0 else r["hi"]
+            else:
+                pending[(g, rank)] = (r["lo"], r["hi"], 0, n)
+    while pending:
+        intervals: dict = {}
+        for (g, rank), iv in pending.items():
+            intervals.setdefault((g, iv), []).append(rank)
+        nxt: dict = {}
+        small, large = [], []
+        for (g, (lo, hi, off, cnt)), ranks in intervals.items():
+            if lo == hi:
+                for rank in ranks:
+                    found[(g, rank)] = lo
+            elif cnt <= max_exact:
+                small.append((g, lo, hi, off, ranks))
+            else:
+                large.append((g, lo, hi, off, ranks))
+
+        def tag(items):
+            expr = None
+            for k, (g, lo, hi, _, _) in enumerate(items):
+                cond = (F.col(group) == F.lit(g)) & (F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi))
+                expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
+            return expr
+
+        if small:
+            rows = clean.select(tag(small).alias("_k"), F.col(col)).filter(F.col("_k").isNotNull()).collect()
+            per: dict = {}
+            for row in rows:
+                per.setdefault(row["_k"], []).append(row[col])
+            for k, (g, lo, hi, off, ranks) in enumerate(small):
+                vals = sorted(per.get(k, []))
+                for rank in ranks:
+                    found[(g, rank)] = vals[rank - off]
+        if large:
+            k_col = tag(large)
+            lo_of = F.element_at(F.array(*[F.lit(float(x[1])) for x in large]), F.col("_k") + 1)
+            width_of = F.element_at(F.array(*[F.lit((x[2] - x[1]) / bins) for x in large]), F.col("_k") + 1)
+            b = F.least(F.floor((F.col(col) - lo_of) / width_of), F.lit(bins - 1)).cast("int")
+            hist = (
+                clean.select(k_col.alias("_k"), F.col(col))
+                .filter(F.col("_k").isNotNull())
+                .groupBy("_k", b.alias("b"))
+                .agg(F.count(F.lit(1)).alias("c"), F.min(col).alias("lo"), F.max(col).alias("hi"))
+                .collect()
+            )
+            per_k: dict = {}
+            for h in hist:
+                per_k.setdefault(h["_k"], []).append(h)
+            for k, (g, lo, hi, off, ranks) in enumerate(large):
+                hs = sorted(per_k.get(k, []), key=lambda h: h["b"])
+                for rank in ranks:
+                    before = off
+                    for h in hs:
+                        if rank < before + h["c"]:
+                            nxt[(g, rank)] = (h["lo"], h["hi"], before, h["c"])
+                            break
+                        before += h["c"]
+        pending = nxt
+    out: dict = {}
+    for r in stats:
+        g = r[group]
+        out[g] = {p: lerp(found[(g, a)], found[(g, b)], t) for p, (a, b, t) in need[g].items()}
+        out[g]["n"] = r["n"]
     return out
 
 

@@ -84,3 +84,22 @@ def test_histogram_select_matches_sort(spark):
     exp = np.quantile(np.array(vals), probs)
     for p, e in zip(probs, exp):
         assert abs(got[p] - e) < 1e-12
+
+
+def test_grouped_select_matches_numpy(spark):
+    import random
+
+    import numpy as np
+
+    from setsift.operators.quantiles import grouped_quantiles
+
+    rnd = random.Random(5)
+    data = {g: [rnd.gauss(g, 1) ** 2 for _ in range(800 * (g + 1))] + [float(g)] * 300 for g in range(3)}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs], "g int, v double")
+    probs = [0.0, 0.25, 0.5, 0.6, 0.75, 1.0]
+    got = grouped_quantiles(df, "g", "v", probs, max_exact=40, bins=8)
+    for g, vs in data.items():
+        exp = np.quantile(np.array(vs), probs)
+        assert got[g]["n"] == len(vs)
+        for p, e in zip(probs, exp):
+            assert abs(got[g][p] - e) < 1e-12
