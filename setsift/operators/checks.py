@@ -204,7 +204,11 @@ def training_report(df: DataFrame, conditions: list[str]) -> DataFrame:
 def prototype_quality(prototypes: DataFrame) -> DataFrame:
     """Ordered checks of a prototype table: missing column (stops), empty values,
     duplicate names, invalid types, no condition row (errors), short / long prototypes
-    (warnings), outcome rows (info); a pass row when nothing is found."""
+    (warnings), outcome rows (info); a pass row when nothing is found.
+
+    One row per check with the affected names listed in the message, as the original
+    reports them; row positions come from a window over the whole table. Meant for
+    concept tables of a few rows -- use :func:`prototype_issues` for large tables."""
     spark = prototypes.sparkSession
     missing = [c for c in K.PROTOTYPE_COLUMNS if c not in prototypes.columns]
     if missing:
