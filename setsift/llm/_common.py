@@ -85,6 +85,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
+def golden(k: int) -> np.uint64:
+    """The k-th step of a sequence that spreads over all 64-bit numbers."""
+    return U64(k * int(GOLDEN) % 2**64)
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 

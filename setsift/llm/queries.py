@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from setsift.llm._common import table
+from setsift.llm.decontam import contained_items
+from setsift.llm.fingerprints import fingerprint_table
 from setsift.llm.licenses import license_scan
 from setsift.llm.mixing import MARKS, mix_table
+from setsift.llm.near_dedup import near_duplicates
 from setsift.llm.quality import quality_table
+from setsift.llm.sharding import shard_table
 from setsift.llm.substring import substring_dedup
+from setsift.llm.suffix_dedup import repeated_strings_removed
 from setsift.llm.token_files import token_table
 
 #: Tokenizer file, by its public name, and the id that ends a document.
@@ -39,8 +44,40 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("doc_key")
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings_removed(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_table(table(spark, sf_dir, "documents"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_quality, op4_mixing, op5_substring_dedup)
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_token_files,
+        op3_quality,
+        op4_mixing,
+        op5_substring_dedup,
+        op6_near_duplicates,
+        op7_suffix_dedup,
+        op8_decontamination,
+        op9_sharding,
+        op10_fingerprints,
+    )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,4 +161,30 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS
 FROM w LEFT JOIN agg USING (r)
 """
 
-ORACLE: dict[str, str] = {"op1_license_scan": _OP1, "op4_mixing": _OP4, "op5_substring_dedup": _OP5}
+_OP6 = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sh AS (
+  SELECT DISTINCT r, doc_id, s FROM (
+    SELECT r, doc_id, words[i] || ' ' || words[i+1] AS s FROM w, unnest(range(1, len(words))) AS t(i)
+    UNION ALL SELECT r, doc_id, words[1] FROM w WHERE len(words) = 1)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT r AS x, r AS y FROM w UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least_ AS (SELECT x, min(doc_id) AS component_id FROM reach JOIN w ON w.r = reach.y GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM w JOIN least_ ON x = w.r LEFT JOIN n ON n.r = w.r
+"""
+
+_WORDS = f"regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+_OP8 = f"""
+WITH d AS (SELECT DISTINCT doc_id, text, {_WORDS} AS words FROM documents),
+b AS (SELECT DISTINCT item_id, text, {_WORDS} AS words, least(5, len({_WORDS})) AS k FROM benchmark),
+items AS (SELECT DISTINCT item_id, k, array_to_string(words[i:i+k-1], ' ') AS s FROM b, unnest(range(1, len(words) - k + 2)) AS t(i) WHERE k > 0),
+sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id),
+held AS (SELECT DISTINCT doc_id, l.k AS k, array_to_string(words[i:i+l.k-1], ' ') AS s FROM d, (SELECT DISTINCT k FROM b WHERE k > 0) l, unnest(range(1, len(words) - l.k + 2)) AS t(i)),
+shared AS (SELECT doc_id, item_id, count(*) AS c FROM held JOIN items USING (k, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n AS n_shingles, c AS n_shared, c / n::DOUBLE AS containment FROM shared JOIN sizes USING (item_id) WHERE 100 * c >= 80 * n
+"""
+
+ORACLE: dict[str, str] = {"op6_near_duplicates": _OP6, "op8_decontamination": _OP8, "op1_license_scan": _OP1, "op4_mixing": _OP4, "op5_substring_dedup": _OP5}
