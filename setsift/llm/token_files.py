@@ -10,11 +10,13 @@ folder must be mounted on driver and executors (memory maps need a file system p
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -26,11 +28,10 @@ from setsift.llm._common import new_path, slim
 
 PART_SCHEMA = "first_id long, part string, n_docs long, n_tokens long"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Texts in which white space is only single blanks and single line feeds between other characters can be cut at these.
-ODD = re.compile(r"[^\S \n]|[ \n]{2}|^[ \n]|[ \n]$|<\|")
+#: In texts whose white space is only single blanks and single line feeds between other characters, the pieces.
 PIECE = re.compile(r" ?[^ \n]+|\n")
 #: Pieces whose ids a worker remembers, and the longest such piece in characters.
-CACHE_PIECES, CACHE_CHARS = 300_000, 40
+CACHE_PIECES, CACHE_CHARS = 800_000, 40
 
 
 def mounted(path: str) -> str:
@@ -60,23 +61,34 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, text: str) -> list[str]:
+        """The pieces of a text; the text itself where it cannot be cut."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[:1].isspace() or text[-1:].isspace():
+            return [text]
+        out = PIECE.findall(text)
+        return out if len(text.split()) == len(out) - text.count("\n") else [text]  # else: other white space
+
     def texts(self, texts: list[str], end: int) -> Iterator[bytes]:
         known, tail = self.known, np.array([end], self.dtype).tobytes()
-        for text in texts:
-            if ODD.search(text):
-                yield self._encode([text])[0] + tail
-                continue
-            pieces = PIECE.findall(text)
-            new = [p for p in set(pieces) if p not in known]
-            if len(known) + len(new) > CACHE_PIECES:
-                known.clear()
-                new = list(set(pieces))
-            for i in range(0, len(new), 4096):
-                known.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096]), strict=True))
-            yield b"".join([known[p] for p in pieces]) + tail
-            for p in new:
-                if len(p) > CACHE_CHARS:
-                    del known[p]
+        pieces = [self._pieces(t) for t in texts]
+        new = list(set().union(*pieces).difference(known))
+        if len(known) + len(new) > CACHE_PIECES:
+            for p in list(itertools.islice(known, CACHE_PIECES // 2)):  # the oldest half
+                del known[p]
+            new = list(set().union(*pieces).difference(known))
+        for i in range(0, len(new), 4096):
+            known.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096]), strict=True))
+        for own in pieces:
+            yield b"".join([known[p] for p in own]) + tail
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del known[p]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One a worker process, for all its tasks."""
+    return Encoder(path)
 
 
 def _put(path: str, data: list[bytes]) -> None:
@@ -99,7 +111,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         tmp = f"{folder}/{name}.tmp"
         with open(tmp, "wb") as out:
             for b in batches:
-                enc = enc or Encoder(tokenizer)
+                enc = enc or encoder(tokenizer)
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
                     ids += part.column(0).to_pylist()
