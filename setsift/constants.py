@@ -7,11 +7,9 @@ patterns, cut-offs, default settings and the wording of generated sentences.
 
 # ---------------------------------------------------------------- fixed values
 # Stop words removed from explanation terms (English, then Chinese).
-STOPWORDS_LATIN = [
+STOPWORDS = [
     "the", "a", "an", "and", "or", "to", "of", "in", "on", "for", "with",
     "is", "are", "be", "by", "as", "that", "this", "it", "from",
-]
-STOPWORDS_HAN = [
     "公民", "居民", "政府", "相关", "部门", "进行", "已经", "可以",
     "需要", "希望", "提供", "一个", "这个", "那个", "问题", "当前",
 ]
@@ -70,11 +68,16 @@ FEW_EXAMPLES = 3
 SOLUTION_SENTENCE = (
     "When the configuration [%s] is present, the outcome occurs in %d out of %d observed case(s)."
 )
-NOTE_HEAD = "The text is most strongly associated with '%s' (score = %.4f, confidence = %s). "
-NOTE_GAP = "The top score exceeds the second-best condition (%s) by %.4f."
-NOTE_NO_SECOND = "No second condition is available."
-NOTE_MATCHED = "Matched lexical cues include: %s."
-NOTE_NO_MATCH = (
-    "No direct lexical overlap was detected; the match is mainly based on semantic embedding similarity."
-)
 # ------------------------------------------------------------ end fixed values
+
+# Wording of our own.
+NOTE_HEAD = "'%s' fits best (score %.4f, confidence %s). "
+NOTE_GAP = "It leads '%s' by %.4f."
+NOTE_NO_SECOND = "There is no other condition."
+NOTE_MATCHED = "Terms in common with its prototype: %s."
+NOTE_NO_MATCH = "No term is shared with its prototype."
+
+# The supervised mode fits at most about this many labelled rows (a sample by text hash beyond it).
+MAX_TRAINING_ROWS = 200_000
+# Cases listed per configuration where a list is asked for; the long form has all of them.
+MAX_LISTED_CASES = 1000

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import col
 
 def clean_score(score: Column | str) -> Column:
     """Cast to double and turn NaN into NULL."""
-    s = F.col(score) if isinstance(score, str) else score
+    s = col(score) if isinstance(score, str) else score
     s = s.cast("double")
     return F.when(F.isnan(s), F.lit(None).cast("double")).otherwise(s)
 
@@ -21,7 +22,7 @@ def clean_score(score: Column | str) -> Column:
 def check_anchors(full_out: float, crossover: float, full_in: float) -> None:
     """Anchors must be strictly increasing; checked on the driver at plan time."""
     if not (full_out < crossover < full_in):
-        raise ValueError("Anchors must satisfy: full_out < crossover < full_in")
+        raise ValueError(f"anchors must ascend: {full_out}, {crossover}, {full_in}")
 
 
 def fuzzy_membership(score: Column | str, full_out: float, crossover: float, full_in: float) -> Column:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import col
 from .. import constants as K
 
 
 def configuration_label(conditions: list[str]) -> Column:
     """``a * ~b * c``: the condition name when its value is 1, ``~name`` otherwise."""
     parts = [
-        F.when(F.col(c) == 1, F.lit(c)).otherwise(F.lit("~" + c)) for c in conditions
+        F.when(col(c) == 1, F.lit(c)).otherwise(F.lit("~" + c)) for c in conditions
     ]
     return F.concat_ws(" * ", *parts)
 
@@ -34,8 +35,3 @@ def status(
 
 def solution_sentence(configuration: Column, positives: Column, n_cases: Column) -> Column:
     return F.format_string(K.SOLUTION_SENTENCE, configuration, positives, n_cases)
-
-
-def join_list(values: Column, sep: str = ", ") -> Column:
-    """Array of anything -> ``"a, b, c"`` (elements cast to string)."""
-    return F.array_join(F.transform(values, lambda x: x.cast("string")), sep)

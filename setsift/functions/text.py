@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import col
 from .. import constants as K
 
 WS = r"(?U)\s+"
 
 
 def _c(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+    return col(x) if isinstance(x, str) else x
 
 
 def normalize_text(text: Column | str) -> Column:
@@ -64,7 +65,7 @@ def han_ngrams(norm_text: Column) -> Column:
 def explanation_terms(text: Column | str) -> Column:
     """Latin words then Han n-grams of the normalised text, stop words and 1-char terms removed."""
     norm = normalize_text(text)
-    stop = F.array(*[F.lit(w) for w in K.STOPWORDS_LATIN + K.STOPWORDS_HAN])
+    stop = F.array(*[F.lit(w) for w in K.STOPWORDS])
     terms = F.concat(latin_words(norm), han_ngrams(norm))
     return F.filter(terms, lambda t: (F.length(F.trim(t)) >= F.lit(2)) & ~F.array_contains(stop, t))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import col
 
 def _as_col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return col(c) if isinstance(c, str) else c
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -24,7 +25,9 @@ def sq_norm(a: Column | str) -> Column:
     )
 
 
-def cosine(a: Column | str, b: Column | str) -> Column:
-    """Cosine similarity; 0 when either vector has zero length (library convention)."""
-    denom = F.sqrt(sq_norm(a)) * F.sqrt(sq_norm(b))
+def cosine(a: Column | str, b: Column | str, norm_a: Column | None = None) -> Column:
+    """Cosine similarity; 0 when either vector has zero length (library convention).
+
+    ``norm_a``: the length of ``a``, where several cosines share it."""
+    denom = (F.sqrt(sq_norm(a)) if norm_a is None else norm_a) * F.sqrt(sq_norm(b))
     return F.when(denom == F.lit(0.0), F.lit(0.0)).otherwise(dot(a, b) / denom)

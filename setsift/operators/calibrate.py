@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from .. import constants as K
 from ..functions.calibration import check_anchors, crisp_membership, fuzzy_membership
 from .columns import check_new_names, condition_name, score_columns
@@ -26,7 +27,7 @@ def calibrate(
     missing. All columns are added in a single projection (narrow, no shuffle).
     """
     if method not in ("fuzzy", "crisp"):
-        raise ValueError("method must be either 'fuzzy' or 'crisp'.")
+        raise ValueError(f"unknown calibration '{method}': it is 'fuzzy' or 'crisp'")
     if method == "fuzzy":
         check_anchors(full_out, crossover, full_in)
     cols = score_columns(scores)
@@ -54,11 +55,11 @@ def qca_ready(
     extra column is dropped rather than treated as a condition.
     """
     if outcome not in calibrated.columns:
-        raise ValueError(f"Outcome column '{outcome}' not found.")
+        raise ValueError(f"no outcome column '{outcome}'")
     if conditions is None:
         conditions = [condition_name(c) for c in score_columns(calibrated)]
     missing = [c for c in conditions if c not in calibrated.columns]
     if missing:
         raise ValueError(f"Condition columns not found: {missing}")
     cols = ([case_id] if case_id in calibrated.columns else []) + list(conditions) + [outcome]
-    return calibrated.select(*[F.col(c) for c in cols])
+    return calibrated.select(*[col(c) for c in cols])

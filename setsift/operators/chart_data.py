@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from .columns import condition_name, require_columns, score_columns
-from .quantiles import grouped_quantiles
+from .thresholds import score_quantiles
 
 
 def score_long(scores: DataFrame, id_cols: tuple[str, ...] = ("case_id", "outcome")) -> DataFrame:
@@ -20,16 +21,16 @@ def score_long(scores: DataFrame, id_cols: tuple[str, ...] = ("case_id", "outcom
     ids = [c for c in id_cols if c in scores.columns]
     cols = score_columns(scores)
     pairs = F.explode(
-        F.array(*[F.struct(F.lit(condition_name(c)).alias("condition"), F.col(c).cast("double").alias("similarity_score")) for c in cols])
+        F.array(*[F.struct(F.lit(condition_name(c)).alias("condition"), col(c).cast("double").alias("similarity_score")) for c in cols])
     )
     return scores.select(*ids, pairs.alias("_p")).select(*ids, "_p.condition", "_p.similarity_score")
 
 
-def score_box(scores: DataFrame) -> DataFrame:
-    """condition, n, min, q1, median, q3, max of the non-missing scores of each condition
-    (exact quantiles of all conditions refined together: one scan per refinement level)."""
+def score_box(scores: DataFrame, found: dict | None = None) -> DataFrame:
+    """condition, n, min, q1, median, q3, max of the non-missing scores of each condition (``found``: from
+    :func:`.thresholds.score_quantiles`)."""
     names = [condition_name(c) for c in score_columns(scores)]
-    q = grouped_quantiles(score_long(scores, ()), "condition", "similarity_score", [0.0, 0.25, 0.5, 0.75, 1.0])
+    q = found or score_quantiles(scores, pooled=False)
     rows = []
     for name in names:
         if name not in q:
@@ -45,10 +46,10 @@ def score_box(scores: DataFrame) -> DataFrame:
 def membership_matrix(membership: DataFrame, conditions: list[str], case_id: str = "case_id") -> DataFrame:
     """Case id (as text) and the membership columns; raise when no condition is given."""
     if not conditions:
-        raise ValueError("No condition columns found for the membership heat map.")
+        raise ValueError("a membership matrix needs at least one condition")
     require_columns(membership, conditions, "membership table")
-    cid = F.col(case_id).cast("string") if case_id in membership.columns else F.monotonically_increasing_id().cast("string")
-    return membership.select(cid.alias(case_id), *[F.col(c) for c in conditions])
+    cid = col(case_id).cast("string") if case_id in membership.columns else F.monotonically_increasing_id().cast("string")
+    return membership.select(cid.alias(case_id), *[col(c) for c in conditions])
 
 
 def membership_bins(membership: DataFrame, conditions: list[str], bins: int = 10) -> DataFrame:
@@ -56,7 +57,7 @@ def membership_bins(membership: DataFrame, conditions: list[str], bins: int = 10
 
     This is what a heat map of millions of cases can show; one partial aggregate.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.col(c).cast("double").alias("v")) for c in conditions]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), col(c).cast("double").alias("v")) for c in conditions]))
     long = membership.select(pairs.alias("p")).select("p.condition", "p.v").filter(F.col("v").isNotNull())
     b = F.least(F.greatest(F.floor(F.col("v") * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
     return (

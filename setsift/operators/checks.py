@@ -2,18 +2,22 @@
 
 Each report is built from one global aggregate over the checked table (a single row,
 whatever the table size) that is then unfolded into issue rows; nothing proportional
-to the data reaches the driver. Only :func:`raise_on_error` and the label-column
-detection run a job.
+to the data reaches the driver. The prototype report has a line per affected row, from one
+pass over the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from .. import constants as K
 from ..functions.text import is_blank, word_count
+from ..session import stored
 
+#: Values, of those that a check objects to, that its message names.
+FOUND_VALUES = 5
 ISSUE_SCHEMA = "check string, column string, severity string, message string"
 
 
@@ -32,41 +36,28 @@ def _unfold(one_row: DataFrame, candidates: list[tuple[Column, Column]]) -> Data
     return exploded.select("x._ord", "x.i.*")
 
 
-def _with_pass(issues: DataFrame, spark: SparkSession, check: str, message: str) -> DataFrame:
-    """Append a single pass row when there is no issue at all (lazy)."""
-    n = issues.agg(F.count(F.lit(1)).alias("_n"))
-    ok = (
-        spark.range(1)
-        .select(F.lit(10_000).alias("_ord"), _issue(check, None, "pass", message).alias("i"))
-        .select("_ord", "i.*")
-        .crossJoin(F.broadcast(n))
-        .filter(F.col("_n") == 0)
-        .drop("_n")
-    )
-    return issues.unionByName(ok).orderBy("_ord").drop("_ord")
+def _with_pass(issues: DataFrame, check: str, message: str) -> DataFrame:
+    """The issues in order; a single pass row when there is none."""
+    none = F.array(F.struct(F.lit(10_000).alias("_ord"), F.lit(check).alias("check"), F.lit(None).cast("string").alias("column"), F.lit("pass").alias("severity"), F.lit(message).alias("message")))
+    return _or_pass(issues, none).orderBy("_ord").drop("_ord")
 
 
 def _static(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, ISSUE_SCHEMA)
 
 
-def py_list(values: Column) -> Column:
-    """``['a', 'b']`` text of a string array."""
-    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
-
-
 # ------------------------------------------------------------------ crisp domain (QCA input)
 def crisp_domain_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: missing count, non-0/1 count, smallest and largest invalid value."""
     aggs = []
-    for c in columns:
-        v = F.col(c).cast("double")
+    for i, c in enumerate(columns):
+        v = col(c).cast("double")
         bad = v.isNotNull() & ~v.isin(0.0, 1.0)
         aggs += [
-            F.count_if(F.col(c).isNull()).alias(f"{c}__missing"),
-            F.count_if(bad).alias(f"{c}__invalid"),
-            F.min(F.when(bad, v)).alias(f"{c}__min"),
-            F.max(F.when(bad, v)).alias(f"{c}__max"),
+            F.count_if(col(c).isNull()).alias(f"missing{i}"),
+            F.count_if(bad).alias(f"invalid{i}"),
+            F.min(F.when(bad, v)).alias(f"min{i}"),
+            F.max(F.when(bad, v)).alias(f"max{i}"),
         ]
     aggs.append(F.count(F.lit(1)).alias("__rows"))
     one = df.agg(*aggs)
@@ -77,10 +68,10 @@ def crisp_domain_report(df: DataFrame, columns: list[str]) -> DataFrame:
                     F.lit(i).alias("_ord"),
                     F.lit(c).alias("column"),
                     F.col("__rows").alias("n_rows"),
-                    F.col(f"{c}__missing").alias("n_missing"),
-                    F.col(f"{c}__invalid").alias("n_invalid"),
-                    F.col(f"{c}__min").alias("min_invalid"),
-                    F.col(f"{c}__max").alias("max_invalid"),
+                    F.col(f"missing{i}").alias("n_missing"),
+                    F.col(f"invalid{i}").alias("n_invalid"),
+                    F.col(f"min{i}").alias("min_invalid"),
+                    F.col(f"max{i}").alias("max_invalid"),
                 )
                 for i, c in enumerate(columns)
             ]
@@ -96,17 +87,16 @@ def require_crisp(df: DataFrame, columns: list[str]) -> None:
     """Raise naming the first column with a value outside {0, 1} (missing values pass)."""
     bad = crisp_domain_report(df, columns).filter(F.col("severity") == "error").limit(1).collect()
     if bad:
-        r = bad[0]
-        raise ValueError(
-            f"Column '{r['column']}' contains non-crisp values (between {r['min_invalid']} and {r['max_invalid']}). "
-            "Please use crisp-set calibrated data for this basic QCA module."
-        )
+        name = bad[0]["column"]
+        v = col(name).cast("double")
+        found = [r[0] for r in df.filter(v.isNotNull() & ~v.isin(0.0, 1.0)).groupBy(v.alias("v")).count().orderBy("v").limit(FOUND_VALUES).select("v").collect()]
+        raise ValueError(f"'{name}' must be 0 or 1 to be analysed, but holds {', '.join(map(str, found))}; calibrate it to crisp membership first.")
 
 
 # ------------------------------------------------------------------ labeled data
 def _binary_ok(df: DataFrame, c: str) -> Column:
     dt = dict(df.dtypes)[c]
-    v = F.col(c)
+    v = col(c)
     if dt == "string":
         ok = v.isin("0", "1")
     elif dt == "boolean":
@@ -136,51 +126,63 @@ def binary_label_columns(df: DataFrame, exclude: list[str] | None = None) -> lis
 
 def _label_value(df: DataFrame, c: str) -> Column:
     """0/1 label with missing (or unparsable) as 0."""
-    return F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).cast("int")
+    if dict(df.dtypes)[c] == "boolean":
+        return F.coalesce(col(c), F.lit(False)).cast("int")
+    return F.coalesce(col(c).cast("string").try_cast("double"), F.lit(0.0)).cast("int")
+
+
+def _objectionable(df: DataFrame, c: str) -> Column:
+    """The least and the greatest value of a label column that are neither 0 nor 1, as text; at most two, whatever the
+    column holds."""
+    v = col(c).cast("string")
+    kind = dict(df.dtypes)[c]
+    good = F.lit(True) if kind == "boolean" else v.isin("0", "1") if kind == "string" else F.coalesce(col(c).cast("double").isin(0.0, 1.0), F.lit(False))
+    bad = F.when(col(c).isNotNull() & ~good, v)
+    return F.array_join(F.array_distinct(F.array_compact(F.array(F.min(bad), F.max(bad)))), ", ")
 
 
 def label_report(df: DataFrame, text: str = "text", conditions: list[str] | None = None) -> DataFrame:
     """Checks of a labeled training table (severity error / warning / pass)."""
     spark = df.sparkSession
     if text not in df.columns:
-        return _static(spark, [("text_column", text, "error", f"Text column '{text}' not found in labeled data.")])
+        return _static(spark, [("text_column", text, "error", f"There is no text column '{text}'.")])
     if conditions is None:
         conditions = binary_label_columns(df, [c if c != "text" else text for c in K.LABEL_EXCLUDE_COLUMNS])
     if not conditions:
         return _static(
             spark,
             [("label_columns", None, "error",
-              "No binary condition label columns found. Please provide manually labeled 0/1 columns for each QCA condition.")],
+              "There is no column of 0/1 labels to learn a condition from.")],
         )
     present = [c for c in conditions if c in df.columns]
-    aggs = [F.count(F.lit(1)).alias("__n"), F.count_if(is_blank(F.col(text))).alias("__blank")]
+    aggs = [F.count(F.lit(1)).alias("__n"), F.count_if(is_blank(col(text))).alias("__blank")]
     for i, c in enumerate(present):
-        aggs += [_binary_ok(df, c).alias(f"ok{i}"), F.sum(_label_value(df, c)).alias(f"pos{i}")]
+        aggs += [_binary_ok(df, c).alias(f"ok{i}"), F.sum(_label_value(df, c)).alias(f"pos{i}"), _objectionable(df, c).alias(f"bad{i}")]
     one = df.agg(*aggs)
     cands: list[tuple[Column, Column]] = []
     for c in conditions:
         if c not in df.columns:
-            cands.append((F.lit(True), _issue("label_column", c, "error", f"Condition label column '{c}' not found.")))
+            cands.append((F.lit(True), _issue("label_column", c, "error", f"There is no label column '{c}'.")))
             continue
         i = present.index(c)
         ok, pos = F.col(f"ok{i}"), F.coalesce(F.col(f"pos{i}"), F.lit(0)).cast("long")
         neg = F.col("__n") - pos
         cands += [
-            (~ok, _issue("binary_labels", c, "error", f"Column '{c}' must contain only 0/1 labels.")),
+            (~ok, _issue("binary_labels", c, "error", F.concat(F.lit(f"Labels of '{c}' are neither 0 nor 1: "), F.col(f"bad{i}"), F.lit(".")))),
             (ok & (pos == 0), _issue("positives", c, "error",
-                                     f"Condition '{c}' has no positive examples. At least one label=1 is required.")),
+                                     f"No row is labelled 1 for '{c}', so nothing can be learnt.")),
             (ok & (neg == 0), _issue("negatives", c, "error",
-                                     f"Condition '{c}' has no negative examples. At least one label=0 is required.")),
+                                     f"No row is labelled 0 for '{c}', so nothing can be learnt.")),
             (
                 ok & (((pos > 0) & (pos < K.FEW_EXAMPLES)) | ((neg > 0) & (neg < K.FEW_EXAMPLES))),
                 _issue("few_examples", c, "warning", F.format_string(
-                    f"Condition '{c}' has limited examples (positive=%d, negative=%d). Predictions may be unstable.", pos, neg)),
+                    f"'{c}' has %d rows labelled 1 and %d labelled 0: too few for steady predictions.", pos, neg)),
             ),
         ]
     cands.append(
-        (F.col("__blank") > 0, _issue("empty_text", text, "warning", F.format_string("%d row(s) have empty text values.", F.col("__blank"))))
+        (F.col("__blank") > 0, _issue("empty_text", text, "warning", F.format_string("%d rows have no text.", F.col("__blank"))))
     )
-    return _with_pass(_unfold(one, cands), spark, "labeled_data", "Labeled data passed basic validation checks.")
+    return _with_pass(_unfold(one, cands), "labeled_data", "Nothing to object to.")
 
 
 def training_report(df: DataFrame, conditions: list[str]) -> DataFrame:
@@ -201,127 +203,70 @@ def training_report(df: DataFrame, conditions: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ prototypes
-def prototype_quality(prototypes: DataFrame) -> DataFrame:
-    """Ordered checks of a prototype table: missing column (stops), empty values,
-    duplicate names, invalid types, no condition row (errors), short / long prototypes
-    (warnings), outcome rows (info); a pass row when nothing is found.
-
-    One row per check with the affected names listed in the message, as the original
-    reports them; row positions come from a window over the whole table. Meant for
-    concept tables of a few rows -- use :func:`prototype_issues` for large tables."""
-    spark = prototypes.sparkSession
-    missing = [c for c in K.PROTOTYPE_COLUMNS if c not in prototypes.columns]
-    if missing:
-        return _static(spark, [("required_column", c, "error", f"Missing required column: {c}") for c in missing])
-    p = prototypes.select(
-        *[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in K.PROTOTYPE_COLUMNS],
-        F.monotonically_increasing_id().alias("_o"),
-    )
-    p = p.withColumn("_row", F.row_number().over(Window.orderBy("_o")) - 1)
-    name, proto, typ = F.col("condition_name"), F.col("prototype"), F.col("type")
-    n_words = word_count(proto)
-    valid = F.array(*[F.lit(t) for t in K.PROTOTYPE_TYPES])
-    counts = p.groupBy("condition_name").agg(F.count(F.lit(1)).alias("_k"))
-    dups = counts.filter(F.col("_k") > 1).agg(F.sort_array(F.collect_list("condition_name")).alias("_dups"))
-    aggs = [F.sort_array(F.collect_list(F.when(is_blank(F.col(c)), F.col("_row")))).alias(f"_empty_{c}") for c in K.PROTOTYPE_COLUMNS]
-    aggs += [
-        F.sort_array(F.collect_set(F.when(~F.array_contains(valid, typ), typ))).alias("_badtypes"),
-        F.count_if(typ == F.lit("condition")).alias("_ncond"),
-        F.count_if(typ == F.lit("outcome")).alias("_nout"),
-        F.transform(F.sort_array(F.collect_list(F.when(n_words < K.SHORT_PROTOTYPE_WORDS, F.struct("_row", "condition_name")))), lambda s: s["condition_name"]).alias("_short"),
-        F.transform(F.sort_array(F.collect_list(F.when(n_words > K.LONG_PROTOTYPE_WORDS, F.struct("_row", "condition_name")))), lambda s: s["condition_name"]).alias("_long"),
-    ]
-    one = p.agg(*aggs).crossJoin(F.broadcast(dups))
-    cands: list[tuple[Column, Column]] = []
-    for c in K.PROTOTYPE_COLUMNS:
-        rows = F.col(f"_empty_{c}")
-        cands.append(
-            (F.size(rows) > 0, _issue("empty_value", c, "error", F.concat(
-                F.lit(f"Column '{c}' contains empty values in row(s): ["),
-                F.array_join(F.transform(rows, lambda x: x.cast("string")), ", "), F.lit("]"))))
-        )
-    cands += [
-        (F.size("_dups") > 0, _issue("duplicate_condition_name", "condition_name", "error",
-                                     F.concat(F.lit("Duplicated condition_name values found: "), py_list(F.col("_dups"))))),
-        (F.size("_badtypes") > 0, _issue("invalid_type", "type", "error", F.concat(
-            F.lit("Invalid type value(s): "), py_list(F.col("_badtypes")),
-            F.lit(". Allowed values are 'condition' and 'outcome'.")))),
-        (F.col("_ncond") == 0, _issue("no_condition_prototype", "type", "error",
-                                      "No condition prototype found. At least one row with type='condition' is required.")),
-        (F.size("_short") > 0, _issue("short_prototype", "prototype", "warning", F.concat(
-            F.lit("Some prototypes are very short. Short prototypes may produce unstable semantic similarity scores. "
-                  "Affected condition(s): "), py_list(F.col("_short"))))),
-        (F.size("_long") > 0, _issue("long_prototype", "prototype", "warning", F.concat(
-            F.lit("Some prototypes are very long. Very long prototypes may mix multiple concepts. Affected condition(s): "),
-            py_list(F.col("_long"))))),
-        (F.col("_nout") > 0, _issue("outcome_prototype_notice", "type", "info",
-                                    "Outcome prototype(s) detected. In the current workflow, condition prototypes are used "
-                                    "for text scoring, while the outcome variable is taken from the uploaded text dataset.")),
-    ]
-    return _with_pass(_unfold(one, cands), spark, "prototype_quality", "No major prototype quality issue detected.")
-
-
 def raise_on_error(report: DataFrame, what: str = "input") -> None:
     """Stop the run when a report holds any error row (one tiny job)."""
     bad = report.filter(F.col("severity") == F.lit("error")).limit(1).collect()
     if bad:
-        raise ValueError(f"The {what} contains error-level issues: {bad[0]['message']}")
+        raise ValueError(f"{what}: {bad[0]['message']}")
 
 
 def prototype_issues(prototypes: DataFrame) -> DataFrame:
-    """Long form of :func:`prototype_quality` for prototype tables of any size.
+    """Checks of a prototype table: ``check, column, severity, item, message``, one row per affected item.
 
-    One row per (check, affected item): ``check, column, severity, item, message``.
-    Every check is a filter or a grouped count, so nothing is gathered into one row;
-    a single pass row is emitted when nothing is found.
+    A missing column (nothing else is checked then), empty values, repeated names, unknown types, no condition at all
+    (errors), very short or long prototypes (warnings), outcome rows (info); a single pass row when nothing is found.
+    The table is read once: each row tells all that concerns it alone, and names, types and the table as a whole are
+    three more lines a row of one grouped count, which adds up in every task before it is shuffled.
     """
     spark = prototypes.sparkSession
     missing = [c for c in K.PROTOTYPE_COLUMNS if c not in prototypes.columns]
-    schema = "check string, column string, severity string, item string, message string"
     if missing:
-        return spark.createDataFrame(
-            [("required_column", c, "error", c, f"Missing required column: {c}") for c in missing], schema
-        )
-    p = prototypes.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in K.PROTOTYPE_COLUMNS])
+        return spark.createDataFrame([("required_column", c, "error", c, f"There is no column '{c}'.") for c in missing], "check string, column string, severity string, item string, message string")
+    p = prototypes.select(*[F.coalesce(col(c).cast("string"), F.lit("nan")).alias(c) for c in K.PROTOTYPE_COLUMNS])
     name, typ = F.col("condition_name"), F.col("type")
     n_words = word_count(F.col("prototype"))
 
-    def rows(df: DataFrame, order: int, check: str, column: str, severity: str, item: Column, message: Column | str) -> DataFrame:
-        msg = message if isinstance(message, Column) else F.lit(message)
-        return df.select(
-            F.lit(order).alias("_ord"), F.lit(check).alias("check"), F.lit(column).alias("column"),
-            F.lit(severity).alias("severity"), item.cast("string").alias("item"), msg.alias("message"),
-        )
+    def line(order: int, key: Column, cond: Column | None = None, words: Column | None = None) -> Column:
+        entry = F.struct(F.lit(order).alias("o"), key.cast("string").alias("item"), (words if words is not None else F.lit(None).cast("int")).alias("w"), typ.alias("t"))
+        return entry if cond is None else F.when(cond, entry)
+
+    lines = [line(i, name, is_blank(col(c))) for i, c in enumerate(K.PROTOTYPE_COLUMNS)]
+    lines += [
+        line(3, name),
+        line(4, typ, ~typ.isin(*K.PROTOTYPE_TYPES)),
+        line(6, name, n_words < K.SHORT_PROTOTYPE_WORDS, n_words),
+        line(7, name, n_words > K.LONG_PROTOTYPE_WORDS, n_words),
+        line(9, F.lit(None)),
+    ]
+    per_row = p.select(F.explode(F.array_compact(F.array(*lines))).alias("x")).select("x.*")
+    always = spark.range(1).select(F.lit(9).alias("o"), F.lit(None).cast("string").alias("item"), F.lit(None).cast("int").alias("w"), F.lit(None).cast("string").alias("t"))
+    per_row = per_row.unionByName(always)  # an empty table has its say as well
+    # row numbers 0-2, 6, 7 keep a line per affected row; 3, 4 and 9 are judged by their counts
+    counted = per_row.groupBy("o", "item", "w").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("t") == "condition").alias("nc"), F.count_if(F.col("t") == "outcome").alias("no"))
+    o, k, item = F.col("o"), F.col("k"), F.col("item")
+
+    def issue(order: int, check: str, column: str | None, severity: str, message: Column | str, times: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(order).alias("_ord"), F.lit(check).alias("check"), F.lit(column).cast("string").alias("column"), F.lit(severity).alias("severity"),
+            (message if isinstance(message, Column) else F.lit(message)).alias("message"), (F.lit(1).cast("long") if times is None else times).alias("_times"),
+        )
+
+    found = [(o == i, issue(i, "empty_value", c, "error", f"'{c}' is empty.", k)) for i, c in enumerate(K.PROTOTYPE_COLUMNS)]
+    found += [
+        ((o == 3) & (k > 1), issue(3, "duplicate_condition_name", "condition_name", "error", F.format_string("'%s' names %d rows; only the last would be used.", item, k))),
+        (o == 4, issue(4, "invalid_type", "type", "error", F.format_string("'%s' is no type; a row is of type 'condition' or 'outcome'.", item))),
+        ((o == 9) & (F.col("nc") == 0), issue(5, "no_condition_prototype", "type", "error", "No row is of type 'condition', so nothing can be scored.")),
+        (o == 6, issue(6, "short_prototype", "prototype", "warning", F.format_string("The prototype of '%s' has only %d words; scores may be unsteady.", item, F.col("w")), k)),
+        (o == 7, issue(7, "long_prototype", "prototype", "warning", F.format_string("The prototype of '%s' has %d words; it may mix several concepts.", item, F.col("w")), k)),
+        ((o == 9) & (F.col("no") > 0), issue(8, "outcome_prototype_notice", "type", "info", F.format_string("%d rows are of type 'outcome'; they are not scored unless asked for.", F.col("no")))),
+    ]
+    issues = counted.select("item", F.explode(F.array_compact(F.array(*[F.when(c, x) for c, x in found]))).alias("x")).select("item", "x.*")
+    issues = issues.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_n")).drop("_n", "_times")
+    none = F.array(F.struct(F.lit(99).alias("_ord"), F.lit("prototype_quality").alias("check"), F.lit(None).cast("string").alias("column"), F.lit("pass").alias("severity"), F.lit(None).cast("string").alias("item"), F.lit("Nothing to object to.").alias("message")))
+    return _or_pass(issues.select("_ord", "check", "column", "severity", "item", "message"), none).orderBy("_ord", "item").drop("_ord")
 
-    parts = []
-    for i, c in enumerate(K.PROTOTYPE_COLUMNS):
-        parts.append(rows(p.filter(is_blank(F.col(c))), i, "empty_value", c, "error", name,
-                          F.lit(f"Column '{c}' contains an empty value.")))
-    dup = p.groupBy("condition_name").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1)
-    parts.append(rows(dup, 3, "duplicate_condition_name", "condition_name", "error", name,
-                      F.format_string("condition_name '%s' occurs %d times.", name, F.col("k"))))
-    valid = F.array(*[F.lit(t) for t in K.PROTOTYPE_TYPES])
-    bad = p.filter(~F.array_contains(valid, typ)).select("type").distinct()
-    parts.append(rows(bad, 4, "invalid_type", "type", "error", typ,
-                      F.format_string("Invalid type value '%s'. Allowed values are 'condition' and 'outcome'.", typ)))
-    counts = p.agg(F.count_if(typ == F.lit("condition")).alias("nc"), F.count_if(typ == F.lit("outcome")).alias("no"))
-    parts.append(rows(counts.filter(F.col("nc") == 0), 5, "no_condition_prototype", "type", "error", F.lit(None),
-                      "No condition prototype found. At least one row with type='condition' is required."))
-    parts.append(rows(p.filter(n_words < K.SHORT_PROTOTYPE_WORDS), 6, "short_prototype", "prototype", "warning", name,
-                      F.format_string("Prototype of '%s' is very short (%d words); scores may be unstable.", name, n_words)))
-    parts.append(rows(p.filter(n_words > K.LONG_PROTOTYPE_WORDS), 7, "long_prototype", "prototype", "warning", name,
-                      F.format_string("Prototype of '%s' is very long (%d words); it may mix several concepts.", name, n_words)))
-    parts.append(rows(counts.filter(F.col("no") > 0), 8, "outcome_prototype_notice", "type", "info", F.lit(None),
-                      F.format_string("%d outcome prototype(s) detected; only condition prototypes are scored.", F.col("no"))))
-    issues = parts[0]
-    for x in parts[1:]:
-        issues = issues.unionByName(x)
-    n = issues.agg(F.count(F.lit(1)).alias("_n"))
-    ok = (
-        spark.range(1)
-        .select(F.lit(99).alias("_ord"), F.lit("prototype_quality").alias("check"), F.lit(None).cast("string").alias("column"),
-                F.lit("pass").alias("severity"), F.lit(None).cast("string").alias("item"),
-                F.lit("No major prototype quality issue detected.").alias("message"))
-        .crossJoin(F.broadcast(n)).filter(F.col("_n") == 0).drop("_n")
-    )
-    return issues.unionByName(ok).orderBy("_ord", "item").drop("_ord")
+
+def _or_pass(issues: DataFrame, none: Column) -> DataFrame:
+    """``issues``, or the one row of ``none`` when there is no issue; known issues are written once, not made twice."""
+    rows = stored(issues, "issues")
+    return rows if rows.head(1) else issues.sparkSession.range(1).select(F.explode(none).alias("x")).select("x.*")

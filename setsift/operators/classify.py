@@ -1,9 +1,10 @@
 """Supervised scoring: TF-IDF features and one logistic regression per condition.
 
-Each condition gets an L2-penalised logistic regression (C = 1) with balanced class
-weights w = n / (2 n_class), fitted by :mod:`.logistic` (driver-side L-BFGS over the
-vocabulary-sized coefficient vector, every loss/gradient evaluation one Spark job over
-the persisted sparse features; all conditions are fitted in the same jobs).
+Each condition gets an L2-penalised logistic regression (C = 1) with balanced class weights w = n / (2 n_class), fitted
+by :mod:`.logistic` over the persisted non-zeros of the labelled rows. These come from the n-gram counts of the distinct
+texts and are joined with the labels by the text's hashes, so rows and labels cannot be paired wrongly, whatever is
+recomputed. At most ``max_rows`` labelled rows are fitted: with more, the rows whose text hash lies below a fraction of
+its range, which is a sample that every run draws alike.
 """
 
 from __future__ import annotations
@@ -12,54 +13,71 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.names import col
 from .checks import _label_value, label_report, raise_on_error
 from .logistic import fit_logistic, sigmoid
-from .partitioning import spread
-from .tfidf import TfidfModel, fit_tfidf, normalized_dot_scores
-
-
-def sparse_features(df: DataFrame, model: TfidfModel, text: str, key: str | None = None) -> DataFrame:
-    """Adds ``features`` (the L2-normalised TF-IDF vector) and its non-zero coordinates
-    as ``idx`` / ``val`` arrays."""
-    d = len(model.terms)
-    f = model.transform(spread(df, key), "features", text).withColumn("_dense", vector_to_array("features"))
-    dense = F.col("_dense")
-    idx = F.filter(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: dense[i] != F.lit(0.0))
-    return f.withColumn("idx", idx).withColumn("val", F.transform(F.col("idx"), lambda i: dense[i])).drop("_dense")
+from .tfidf import KEY, TfidfModel, fit_tfidf, normalized_dot_scores, text_key
 
 
 @dataclass
 class ConditionClassifier:
-    """Fitted vectoriser and, per condition, coefficients and intercept."""
+    """Fitted vectoriser and, per condition, coefficients, intercept and number of steps."""
 
     tfidf: TfidfModel
     models: dict[str, tuple[np.ndarray, float, int]] = field(default_factory=dict)
     text: str = "text"
 
-    def predict_scores(self, texts: DataFrame, key: str | None = "case_id") -> DataFrame:
-        """Adds ``<condition>_score`` = P(label = 1) for every fitted condition.
+    def predict_scores(self, texts: DataFrame) -> DataFrame:
+        """Adds ``<condition>_score`` = P(label = 1) for every fitted condition; ids do not matter.
 
-        The margin x.b of the normalised TF-IDF vector is a sum over the per-document
-        n-gram counts against a (term, coefficient) table -- the same plan as the
-        lexical prototype scores, no vector column."""
+        The margin x.b of the normalised TF-IDF vector is a sum over the n-gram counts of a text against a
+        (term, coefficient) table: the same plan as that of the lexical prototype scores."""
         if not self.models:
-            raise RuntimeError("The supervised classifier has not been fitted yet.")
+            raise RuntimeError("fit the classifiers before predicting")
         if self.text not in texts.columns:
-            raise ValueError(f"Text column '{self.text}' not found in prediction data.")
-        key = key if key in texts.columns else None
-        names = list(self.models)
-        spark = texts.sparkSession
-        rows = [(t, *[float(self.models[c][0][i]) for c in names]) for i, t in enumerate(self.tfidf.terms)]
-        weights = spark.createDataFrame(rows, "term string, " + ", ".join(f"`{c}_w` double" for c in names))
-        margins = normalized_dot_scores(texts, self.tfidf, weights, names, self.text, key, suffix="__m")
-        return margins.withColumns(
-            {f"{c}_score": sigmoid(F.col(f"{c}__m") + F.lit(float(self.models[c][1]))) for c in names}
-        ).drop(*[f"{c}__m" for c in names])
+            raise ValueError(f"the texts to be scored have no column '{self.text}'")
+        names = {c: f"{c}_score" for c in self.models}
+        margins = normalized_dot_scores(texts, self.tfidf, {names[c]: list(m[0]) for c, m in self.models.items()}, self.text)
+        return margins.withColumns({names[c]: sigmoid(col(names[c]) + F.lit(float(m[1]))) for c, m in self.models.items()})
+
+
+def training_rows(labeled: DataFrame, conditions: list[str], text: str, max_rows: int) -> DataFrame:
+    """(_h1, _h2, text, conditions as 0/1 doubles) of at most about ``max_rows`` labelled rows."""
+    base = labeled.select(
+        *text_key(col(text)),
+        F.coalesce(col(text).cast("string"), F.lit("")).alias(text),
+        *[_label_value(labeled, c).cast("double").alias(c) for c in conditions],
+    )
+    n = labeled.count()
+    if n <= max_rows:
+        return base
+    return base.filter(F.pmod("_h1", F.lit(1 << 30)) < F.lit(int((1 << 30) * max_rows / n)))
+
+
+def features(base: DataFrame, model: TfidfModel, text: str) -> DataFrame:
+    """``base`` with its rows' non-zero features as arrays ``idx`` and ``val`` (empty without a known term)."""
+    lists = model.vectors(base.select(col(text)), text).groupBy(*KEY).agg(F.collect_list(F.struct("idx", "weight")).alias("_v"))
+    joined = base.join(lists, KEY, "left")
+    return joined.withColumns(
+        {"idx": F.coalesce(F.col("_v.idx"), F.array().cast("array<int>")), "val": F.coalesce(F.col("_v.weight"), F.array().cast("array<double>"))}
+    ).drop("_v", *KEY)
+
+
+def weighted(base: DataFrame, conditions: list[str]) -> DataFrame:
+    """``base`` with the balanced weight ``<condition>__w`` of each row for each condition."""
+    counts = base.agg(F.count(F.lit(1)), *[F.sum(col(c)) for c in conditions]).first()
+    n = counts[0]
+    weights = {}
+    for j, c in enumerate(conditions):
+        pos = counts[j + 1] or 0.0
+        if pos == 0 or pos == n:
+            raise ValueError(f"condition '{c}': labels of both kinds are needed")
+        weights[f"{c}__w"] = F.when(col(c) == 1, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * (n - pos))))
+    return base.withColumns(weights)
 
 
 def fit_classifiers(
@@ -69,33 +87,15 @@ def fit_classifiers(
     max_iter: int = K.MAX_ITER,
     tol: float = 1e-4,
     validate: bool = True,
-    key: str | None = "case_id",
+    max_rows: int = K.MAX_TRAINING_ROWS,
 ) -> ConditionClassifier:
-    """Validate, fit the vocabulary on the labeled texts, then one model per condition."""
+    """Validate, fit the vocabulary on the labelled texts, then one model per condition."""
     if validate:
         raise_on_error(label_report(labeled, text, conditions), "labeled data")
-    key = key if key in labeled.columns else None
-    base = labeled.select(
-        *([F.col(key)] if key else []),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text),
-        *[_label_value(labeled, c).cast("double").alias(c) for c in conditions],
-    )
-    model = fit_tfidf(base, text, key)
-    counts = base.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in conditions]).first()
-    n = counts["n"]
-    weights = {}
-    for c in conditions:
-        pos = counts[c] or 0.0
-        neg = n - pos
-        if pos == 0 or neg == 0:
-            raise ValueError(f"Condition '{c}' needs both positive and negative examples.")
-        weights[f"{c}__w"] = F.when(F.col(c) == 1, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * neg)))
-    data = (
-        sparse_features(base, model, text, key)
-        .withColumns(weights)
-        .select("features", "idx", "val", *conditions, *weights)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    base = training_rows(labeled, conditions, text, max_rows)
+    model = fit_tfidf(base, text)
+    data = features(weighted(base, conditions), model, text)
+    data = data.select("idx", "val", *[col(x) for c in conditions for x in (c, f"{c}__w")]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = fit_logistic(data, conditions, len(model.terms), max_iter=max_iter, tol=tol)
     finally:
@@ -105,3 +105,18 @@ def fit_classifiers(
 
 def fit_predict_scores(labeled: DataFrame, texts: DataFrame, conditions: list[str], text: str = "text") -> DataFrame:
     return fit_classifiers(labeled, conditions, text).predict_scores(texts)
+
+
+def gradient_at_zero(labeled: DataFrame, conditions: list[str], text: str = "text") -> DataFrame:
+    """(condition, term, gradient): the class-weighted gradient of the mean log loss at zero coefficients, per term;
+    the intercept's has the term null. What the solver sees of the data in its first step, in long form."""
+    base = training_rows(labeled, conditions, text, K.MAX_TRAINING_ROWS)
+    model = fit_tfidf(base, text)
+    rows = weighted(base, conditions)
+    residual = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), (col(f"{c}__w") * (F.lit(0.5) - col(c))).alias("r"), col(f"{c}__w").alias("w")) for c in conditions]))
+    long = rows.select(*KEY, residual.alias("x")).select(*KEY, "x.*")
+    own = long.groupBy("condition").agg(F.sum("r").alias("g"), F.sum("w").alias("w"))
+    per_text = long.groupBy(*KEY, "condition").agg(F.sum("r").alias("r"))
+    terms = per_text.join(model.vectors(base, text), KEY).groupBy("condition", "term").agg(F.sum(F.col("r") * F.col("weight")).alias("g"))
+    both = terms.unionByName(own.select("condition", F.lit(None).cast("string").alias("term"), "g"))
+    return both.join(own.select("condition", "w"), "condition").select("condition", "term", (F.col("g") / F.col("w")).alias("gradient"))

@@ -2,23 +2,22 @@
 
 The ranking is across the m score columns of one row, so it is a narrow projection
 (``sort_array`` over an array of m structs); no window and no shuffle. The rich table
-adds the top condition's prototype through a broadcast join on a prototype table of m
-rows (its size is checked on the driver before the hint is used).
+adds the top condition's prototype by a join with the table of m prototypes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from .. import constants as K
 from ..functions.calibration import clean_score
 from ..functions.text import explanation_terms, shared_terms
+from ..session import stored
 from .columns import condition_name, score_columns
-from .partitioning import spread
 from .score import select_prototypes
-
-MAX_BROADCAST_PROTOTYPES = 100_000
+from .tfidf import last_prototypes
 
 
 def ranked_conditions(score_cols: list[str]) -> Column:
@@ -83,11 +82,11 @@ def top_two(
     """case id, text, top and second condition with scores (4 places) and their gap."""
     t = _with_top_two(scores)
     cols = [
-        (F.col(case_id) if case_id in scores.columns else F.lit(None)).alias(case_id),
-        (F.col(text) if text in scores.columns else F.lit(None).cast("string")).alias(text),
+        (col(case_id) if case_id in scores.columns else F.lit(None)).alias(case_id),
+        (col(text) if text in scores.columns else F.lit(None).cast("string")).alias(text),
     ] + _top_columns()
     if outcome in scores.columns:
-        cols.append(F.col(outcome))
+        cols.append(col(outcome))
     return t.select(*cols)
 
 
@@ -109,19 +108,10 @@ def interpretation_note(top_name: Column, top: Column, second_name: Column, seco
     return F.concat(F.format_string(K.NOTE_HEAD, top_name, top, conf), gap_text, F.lit(" "), matched_text)
 
 
-def prototype_lookup(prototypes: DataFrame) -> DataFrame:
+def prototype_lookup(prototypes: DataFrame, order_col: str | None = None, include_outcome: bool = False) -> DataFrame:
     """condition_name -> prototype text and its terms; a repeated name keeps its last row."""
-    p = select_prototypes(prototypes).withColumn("_o", F.monotonically_increasing_id())
-    last = Window.partitionBy("condition_name").orderBy(F.col("_o").desc())
-    return (
-        p.withColumn("_rn", F.row_number().over(last))
-        .filter(F.col("_rn") == 1)
-        .select(
-            F.col("condition_name").cast("string").alias("_pname"),
-            F.col("prototype").cast("string").alias("_ptext"),
-            explanation_terms(F.col("prototype")).alias("_pterms"),
-        )
-    )
+    p = last_prototypes(select_prototypes(prototypes, include_outcome), order_col)
+    return p.select(F.col("_cond").alias("_pname"), "_ptext", explanation_terms(F.col("_ptext")).alias("_pterms"))
 
 
 def rich_explanations(
@@ -131,20 +121,19 @@ def rich_explanations(
     case_id: str = "case_id",
     outcome: str = "outcome",
     max_terms: int = K.MAX_MATCHED_TERMS,
+    include_outcome: bool = False,
 ) -> DataFrame:
     """Top-two, confidence, shared lexical cues with the top prototype, and a note."""
-    n_protos = select_prototypes(prototypes).count()
-    if n_protos > MAX_BROADCAST_PROTOTYPES:
-        raise ValueError(f"{n_protos} prototypes: too many to broadcast; concept lists are expected to be small.")
-    t = _with_top_two(spread(scores, case_id if case_id in scores.columns else None))
-    lookup = F.broadcast(prototype_lookup(prototypes))
+    t = _with_top_two(scores)
+    # written first: the planner knows its size and broadcasts it below its own threshold
+    lookup = stored(prototype_lookup(prototypes, include_outcome=include_outcome), "prototype-terms")
     j = t.join(lookup, t["_top_name"] == lookup["_pname"], "left")
-    txt = F.col(text) if text in scores.columns else F.lit("")
+    txt = col(text) if text in scores.columns else F.lit("")
     matched = shared_terms(explanation_terms(txt), F.coalesce(F.col("_pterms"), F.array().cast("array<string>")), max_terms)
     conf = confidence(F.col("_top"), F.col("_second"))
     j = j.withColumns({"_matched": matched, "_conf": conf})
     cols = [
-        (F.col(case_id) if case_id in scores.columns else F.lit(None)).alias(case_id),
+        (col(case_id) if case_id in scores.columns else F.lit(None)).alias(case_id),
         txt.alias(text),
         *_top_columns(),
         F.col("_conf").alias("confidence"),
@@ -155,5 +144,5 @@ def rich_explanations(
         ).alias("interpretation_note"),
     ]
     if outcome in scores.columns:
-        cols.append(F.col(outcome))
+        cols.append(col(outcome))
     return j.select(*cols)

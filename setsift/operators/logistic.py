@@ -4,140 +4,66 @@ Objective per condition (balanced class weights w_i, S = sum w_i = n):
 
     f(b, b0) = (1/S) * sum_i w_i * logloss(y_i, x_i.b + b0) + 1/(2 C S) * ||b||^2
 
-Spark ML's own ``LogisticRegression`` always optimises in internally standardised
-coordinates; with ``standardization=False`` the L2 penalty then weighs every feature
-by 1/std^2, which for sparse TF-IDF features makes the problem so ill-conditioned that
-1000 L-BFGS steps stop well short of the optimum. Here the optimiser (L-BFGS, memory
-10, stopping when max|gradient| <= tol or the relative decrease is below 64 eps, at
-most ``max_iter`` steps) runs on the driver over a d-dimensional vector (d <= the
-vocabulary cap), and every evaluation of f and its gradient is one Spark job:
-margins from the sparse non-zeros and gradients as weighted vector sums (Spark ML
-``Summarizer``, one d-vector per task); for very large inputs the features are kept
-as a long (row, feature, value) table partitioned by row instead, with margins from a
-broadcast join summed per row and gradients from a co-partitioned join summed per
-feature (all code-generated). All conditions are trained together in the same jobs.
+Spark ML's own ``LogisticRegression`` optimises in internally standardised coordinates; with ``standardization=False``
+the L2 penalty then weighs every feature by 1/std^2, which for sparse TF-IDF features makes the problem so
+ill-conditioned that 1000 of its steps end far from the optimum (``tests/test_classify.py`` shows the gap). Here the
+optimiser (L-BFGS, memory 10, stopping when max|gradient| <= tol or the relative decrease is below 64 eps, at most
+``max_iter`` steps) runs on the driver over a vector of the vocabulary's size (at most its cap). Every evaluation of f
+and its gradient, for all conditions together, is one Spark job: margins by a higher-order function over a row's
+non-zeros, then a grouped sum per feature, so that a task sends at most one partial sum per feature and no task merges
+whole vectors.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FTOL = 64 * np.finfo(float).eps
 
 
-def _margin(idx: Column, val: Column, coef: Column, intercept: Column) -> Column:
-    """intercept + sum_k val[k] * coef[idx[k]] (O(non-zeros); ``coef`` is an array column)."""
-    prods = F.zip_with(idx, val, lambda i, v: v * F.element_at(coef, i + 1))
-    return intercept + F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def coefficient_row(spark, points: list[tuple[np.ndarray, float]]) -> DataFrame:
-    """One row holding every coefficient vector (``_b{j}``) and intercept (``_b0{j}``);
-    broadcast to the tasks as data rather than as a huge literal expression."""
-    schema = ", ".join(f"_b{j} array<double>, _b0{j} double" for j in range(len(points)))
-    row = []
-    for b, b0 in points:
-        row += [[float(x) for x in b], float(b0)]
-    return spark.createDataFrame([tuple(row)], schema)
-
-
-def long_features(data: DataFrame, labels: list[str], n_partitions: int) -> tuple[DataFrame, DataFrame]:
-    """Split (idx, val, labels, weights) rows into a long (rid, idx, val) table and a
-    (rid, labels, weights) table, both hash-partitioned by row id with the same
-    partitioner, so every later join or grouping on ``rid`` needs no exchange."""
-    rows = data.withColumn("rid", F.monotonically_increasing_id())
-    long = rows.select("rid", F.explode(F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("v"))).alias("e")).select(
-        "rid", F.col("e.i").alias("idx"), F.col("e.v").alias("val")
-    )
-    meta = rows.select("rid", *labels, *[f"{lab}__w" for lab in labels])
-    return long.repartition(n_partitions, "rid"), meta.repartition(n_partitions, "rid")
+def _margin(idx: Column, val: Column, coef: Column, intercept: Column) -> Column:
+    """intercept + sum_k val[k] * coef[idx[k]]"""
+    prods = F.zip_with(idx, val, lambda i, v: v * F.element_at(coef, i + 1))
+    return intercept + F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _evaluate_long(long: DataFrame, meta: DataFrame, labels: list[str], points: list[tuple[np.ndarray, float]], d: int):
-    """Weighted loss sum, gradient sums and intercept gradient sum for every
-    (condition, point) pair: two aggregate jobs, all code-generated.
+def evaluate(data: DataFrame, labels: list[str], weights: list[str], points: list[tuple[np.ndarray, float]]):
+    """Per (condition, point): the sum of weighted losses, its gradient, and that of the intercept, in one job.
 
-    Margins: the long (row, feature, value) table joins the coefficient table by
-    broadcast and is summed per row (the table is partitioned by row, so no shuffle);
-    gradients: the residual of each row joins back (co-partitioned) and is summed per
-    feature, which shuffles at most d partial sums per task.
+    The intercept is the feature -1, which each row has with value 1. The coefficients reach the tasks as one row.
     """
-    spark = long.sparkSession
-    k = len(points)
-    coef = spark.createDataFrame(
-        [(i, *[float(b[i]) for b, _ in points]) for i in range(d)],
-        "idx int, " + ", ".join(f"b{j} double" for j in range(k)),
+    spark, k, d = data.sparkSession, len(points), len(points[0][0])
+    schema = ", ".join(f"_b{j} array<double>, _b0{j} double" for j in range(k))
+    coefs = spark.createDataFrame([tuple(x for b, b0 in points for x in (b.tolist(), float(b0)))], schema)
+    z = data.crossJoin(F.broadcast(coefs)).select(
+        F.concat(F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("v")), F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("v")))).alias("_e"),
+        *[_margin(F.col("idx"), F.col("val"), F.col(f"_b{j}"), F.col(f"_b0{j}")).alias(f"_z{j}") for j in range(k)],
+        *[F.col(labels[j]).alias(f"_y{j}") for j in range(k)],
+        *[F.col(weights[j]).alias(f"_w{j}") for j in range(k)],
     )
-    margins = (
-        long.join(F.broadcast(coef), "idx")
-        .groupBy("rid")
-        .agg(*[F.sum(F.col("val") * F.col(f"b{j}")).alias(f"m{j}") for j in range(k)])
+    rows = z.select(
+        F.explode("_e").alias("_e"),
+        *[(F.col(f"_w{j}") * (sigmoid(F.col(f"_z{j}")) - F.col(f"_y{j}"))).alias(f"_r{j}") for j in range(k)],
+        *[(F.col(f"_w{j}") * (F.greatest(F.col(f"_z{j}"), F.lit(0.0)) + F.log1p(F.exp(-F.abs(f"_z{j}"))) - F.col(f"_y{j}") * F.col(f"_z{j}"))).alias(f"_l{j}") for j in range(k)],
     )
-    m = meta.join(margins, "rid", "left")
-    res = {}
-    for j, lab in enumerate(labels):
-        z = F.coalesce(F.col(f"m{j}"), F.lit(0.0)) + F.lit(float(points[j][1]))
-        y, w = F.col(lab), F.col(f"{lab}__w")
-        res[f"r{j}"] = w * (sigmoid(z) - y)
-        res[f"l{j}"] = w * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z)
-    m = m.select("rid", *[e.alias(n) for n, e in res.items()]).persist()
-    try:
-        scal = m.agg(*[F.sum(f"r{j}").alias(f"g0{j}") for j in range(k)], *[F.sum(f"l{j}").alias(f"l{j}") for j in range(k)]).first()
-        grads = (
-            long.join(m, "rid")
-            .groupBy("idx")
-            .agg(*[F.sum(F.col("val") * F.col(f"r{j}")).alias(f"g{j}") for j in range(k)])
-            .collect()
-        )
-    finally:
-        m.unpersist()
-    out = []
-    for j in range(k):
-        g = np.zeros(d)
-        for r in grads:
-            g[r["idx"]] = r[f"g{j}"] or 0.0
-        out.append((scal[f"l{j}"] or 0.0, g, scal[f"g0{j}"] or 0.0))
-    return out
-
-
-def _evaluate_arrays(data: DataFrame, labels: list[str], weights: list[str], points: list[tuple[np.ndarray, float]], d: int):
-    """Sum of weighted loss, gradient w.r.t. coefficients and intercept, for every
-    (condition, point) pair, in one aggregate job.
-
-    The gradient sum_i w_i (p_i - y_i) x_i is a weighted vector sum; Spark ML's
-    ``Summarizer`` computes it natively from the sparse feature vectors, with the
-    positive and negative parts of the residual as two non-negative weights.
-    """
-    k = len(points)
-    coefs = coefficient_row(data.sparkSession, points)
-    df = data.crossJoin(F.broadcast(coefs)).withColumns(
-        {f"_z{j}": _margin(F.col("idx"), F.col("val"), F.col(f"_b{j}"), F.col(f"_b0{j}")) for j in range(k)}
+    sums = rows.groupBy("_e.i").agg(
+        *[F.sum(F.col("_e.v") * F.col(f"_r{j}")).alias(f"g{j}") for j in range(k)],
+        *[F.sum(F.when(F.col("_e.i") == -1, F.col(f"_l{j}"))).alias(f"l{j}") for j in range(k)],
     )
-    aggs = []
-    for j in range(k):
-        y, w, z = F.col(labels[j]), F.col(weights[j]), F.col(f"_z{j}")
-        r = w * (sigmoid(z) - y)
-        softplus = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
-        total = Summarizer.metrics("sum")
-        aggs += [
-            total.summary(F.col("features"), F.greatest(r, F.lit(0.0))).alias(f"p{j}"),
-            total.summary(F.col("features"), F.greatest(-r, F.lit(0.0))).alias(f"n{j}"),
-            F.sum(r).alias(f"g0{j}"),
-            F.sum(w * (softplus - y * z)).alias(f"l{j}"),
-        ]
-    row = df.agg(*aggs).first()
+    got = {r["i"]: r for r in sums.collect()}
     out = []
     for j in range(k):
-        g = row[f"p{j}"]["sum"].toArray() - row[f"n{j}"]["sum"].toArray()
-        out.append((row[f"l{j}"] or 0.0, g, row[f"g0{j}"] or 0.0))
+        g = np.zeros(d)
+        for i, r in got.items():
+            if i >= 0:
+                g[i] = r[f"g{j}"]
+        out.append((got[-1][f"l{j}"] if -1 in got else 0.0, g, got[-1][f"g{j}"] if -1 in got else 0.0))
     return out
 
 
@@ -194,9 +120,6 @@ def _lbfgs(d: int, s_sum: float, reg: float, max_iter: int, tol: float, memory:
     return x[:-1], x[-1], it
 
 
-LONG_FORM_NONZEROS = 20_000_000
-
-
 def fit_logistic(
     data: DataFrame,
     labels: list[str],
@@ -204,49 +127,23 @@ def fit_logistic(
     c: float = 1.0,
     max_iter: int = 1000,
     tol: float = 1e-4,
-    long_form: bool | None = None,
 ) -> dict[str, tuple[np.ndarray, float, int]]:
-    """``data`` has ``features`` (sparse Vector), its non-zeros as ``idx`` (array<int>)
-    and ``val`` (array<double>), and per label column ``<label>`` (0/1 double) and
-    ``<label>__w`` (sample weight). Returns, per label, (coefficients, intercept,
-    iterations). ``data`` should be persisted.
-
-    Evaluation strategy: up to ``LONG_FORM_NONZEROS`` feature non-zeros, one job per
-    evaluation over the array columns (margins by higher-order functions, gradients by
-    ``Summarizer``); above it, the code-generated long-form joins of
-    :func:`_evaluate_long`, which cost a few more stages per evaluation but several
-    times less CPU per non-zero.
-    """
-    stats = data.agg(F.sum(F.size("idx")).alias("_nnz"), *[F.sum(f"{lab}__w").alias(lab) for lab in labels]).first()
-    if long_form is None:
-        long_form = (stats["_nnz"] or 0) > LONG_FORM_NONZEROS
+    """``data`` has a row's non-zero features as ``idx`` (array<int>) and ``val`` (array<double>), and per label column
+    ``<label>`` (0/1 double) and ``<label>__w`` (sample weight). Returns, per label, (coefficients, intercept,
+    iterations). ``data`` should be persisted."""
+    stats = data.agg(*[F.sum(f"`{lab}__w`").alias(lab) for lab in labels]).first()
     gens, points, result = {}, {}, {}
-    for lab in labels:
-        s_sum = float(stats[lab])
-        g = _lbfgs(n_features, s_sum, 1.0 / (c * s_sum), max_iter, tol)
-        gens[lab] = g
-        points[lab] = next(g)
-    cached: list[DataFrame] = []
-    if long_form:
-        n_part = max(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-        long, meta = long_features(data, labels, n_part)
-        long, meta = long.persist(StorageLevel.MEMORY_AND_DISK), meta.persist(StorageLevel.MEMORY_AND_DISK)
-        cached = [long, meta]
-    try:
-        while points:
-            active = list(points)
-            pts = [points[a] for a in active]
-            if long_form:
-                raw = _evaluate_long(long, meta.select("rid", *active, *[f"{a}__w" for a in active]), active, pts, n_features)
-            else:
-                raw = _evaluate_arrays(data, active, [f"{a}__w" for a in active], pts, n_features)
-            for lab, r in zip(active, raw):
-                try:
-                    points[lab] = gens[lab].send(r)
-                except StopIteration as stop:
-                    result[lab] = stop.value
-                    del points[lab]
-    finally:
-        for df in cached:
-            df.unpersist()
+    for j, lab in enumerate(labels):
+        s_sum = float(stats[j])
+        gens[lab] = _lbfgs(n_features, s_sum, 1.0 / (c * s_sum), max_iter, tol)
+        points[lab] = next(gens[lab])
+    while points:
+        active = list(points)
+        raw = evaluate(data, [f"`{a}`" for a in active], [f"`{a}__w`" for a in active], [points[a] for a in active])
+        for lab, r in zip(active, raw):
+            try:
+                points[lab] = gens[lab].send(r)
+            except StopIteration as stop:
+                result[lab] = stop.value
+                del points[lab]
     return result

@@ -1,49 +1,29 @@
 """Partitioning helpers for per-document work.
 
-Text operators do heavy per-row work (tokenising, n-grams, term sets). A scan yields
-one task per file split; a table stored as a few large row groups therefore gives
-far fewer tasks than the cluster has cores. ``spread`` hash-partitions such an input
-by its document key (one shuffle of the rows) and leaves inputs that already have
-enough partitions untouched, so on a large table it adds no shuffle at all.
+Text operators do heavy per-row work (tokenising, n-grams, term sets). A scan yields one task per file split, so a table
+stored as a few large row groups gives fewer tasks than the cluster has cores; ``spread`` deals such a table out once
+and leaves others untouched. Texts that are grouped go to at least as many partitions as the input has.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SHUFFLE = re.compile(r"(?<!Broadcast)Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)")
-
 
-def has_shuffle(df: DataFrame) -> bool:
-    """Whether the physical plan already redistributes rows (planning only, no job)."""
-    return bool(_SHUFFLE.search(df._jdf.queryExecution().executedPlan().toString()))
+def rows_and_partitions(df: DataFrame) -> tuple[int, int]:
+    """(rows, partitions up to the last that has rows) of ``df``; reads no column of a table."""
+    n, last = df.select(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)), F.max("p")).first()
+    return n, (last or 0) + 1
 
 
-def target_partitions(df: DataFrame) -> int:
+def text_partitions(df: DataFrame, input_partitions: int) -> int:
+    """Partitions for grouping the rows of ``df``: never fewer than the input has, nor than shuffles or cores."""
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
-
-
-def spread(df: DataFrame, key: str | Column | None = None) -> DataFrame:
-    """Repartition by ``key`` only when the input has fewer partitions than cores.
-
-    A plan that already shuffles is left alone (its partition count is the shuffle's);
-    for scan-only plans the number of input splits decides.
-    """
-    sc = df.sparkSession.sparkContext
-    if has_shuffle(df) or df.rdd.getNumPartitions() >= sc.defaultParallelism:
-        return df
-    n = target_partitions(df)
-    return df.repartition(n, F.col(key) if isinstance(key, str) else key) if key is not None else df.repartition(n)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism, input_partitions)
 
 
-def by_document(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
-    """Hash-partition by the document key (added when missing) so that every later
-    grouping by (document, ...) runs inside a partition without another shuffle."""
-    if key is None:
-        key = "_doc"
-        df = df.withColumn(key, F.monotonically_increasing_id())
-    return df.repartition(target_partitions(df), F.col(key)), key
+def spread(table: DataFrame, key: str | Column) -> DataFrame:
+    """A scanned table, repartitioned by ``key`` only when it has fewer splits than the cluster has cores."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)

@@ -1,13 +1,12 @@
 """Exact, linearly interpolated quantiles with bounded memory per task.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one buffer, which
-does not survive billions of distinct scores. Here the order statistics are found by
-a distributed selection: each pass is one scan with a grouped count over at most
-``bins`` equal-width bins of the interval that still holds the wanted rank; the
-interval shrinks until it holds at most ``max_exact`` values (collected, sorted) or a
-single distinct value (a hot value holding a third of all rows ends the search at
-once). Only bin counts and at most ``max_exact`` values ever reach the driver.
-The input should be cached or checkpointed by the caller when it is costly to rebuild.
+Spark's exact ``percentile`` keeps every distinct value of a group in one buffer, which does not survive billions of
+distinct scores. Here the order statistics are found by a distributed selection: each pass is one scan with a grouped
+count over at most ``bins`` equal-width bins of the interval that still holds a wanted rank. The next interval runs from
+the least to the greatest value found in that rank's bin, until these are equal. An interval's ends always fall into
+different bins, so it shrinks in every pass; infinite values are counted apart and never part of an interval. Only bin
+counts reach the driver. All groups and ranks are refined in the same passes. The input should be cached or checkpointed
+by the caller when it is costly to rebuild.
 """
 
 from __future__ import annotations
@@ -17,119 +16,102 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BINS = 4096
+INF = float("inf")
+
 
 def lerp(a: float, b: float, t: float) -> float:
-    """Linear interpolation in the numerically symmetric form used by numpy."""
+    """Linear interpolation in the numerically symmetric form used by numpy; equal ends are exact, infinite ones too."""
+    if a == b or t == 0.0:
+        return a
     d = b - a
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
-def exact_quantiles(values: DataFrame, col: str, probs: list[float], max_exact: int = 200_000,
-                    bins: int = 4096) -> dict[float, float]:
-    """Linear-interpolation quantiles of the non-null, non-NaN values of ``col``
-    (keyed by probability; the key ``"n"`` holds the number of values)."""
-    v = F.col(col).cast("double")
-    out = grouped_quantiles(values.select(F.lit(0).alias("_g"), v.alias(col)), "_g", col, probs, max_exact, bins)
+def exact_quantiles(values: DataFrame, column: str, probs: list[float], bins: int = BINS) -> dict:
+    """Linear-interpolation quantiles of the non-null, non-NaN values of ``column`` (keyed by probability; the key
+    ``"n"`` holds the number of values)."""
+    out = grouped_quantiles(values.select(F.lit(0).alias("_g"), F.col(column).cast("double").alias("_v")), "_g", "_v", probs, bins)
     if 0 not in out:
-        raise ValueError("No valid score values found.")
+        raise ValueError("there is no score that is neither null nor NaN")
     return out[0]
 
 
-def grouped_quantiles(values: DataFrame, group: str, col: str, probs: list[float], max_exact: int = 200_000,
-                      bins: int = 4096) -> dict:
-    """Exact quantiles per group, all groups refined in the same passes.
-
-    Each pass is one job over ``values``: rows are tagged with the pending interval of
-    their group they fall into (intervals of one group at one refinement level are
-    disjoint), then either counted in equal-width bins per interval or, for intervals
-    holding at most ``max_exact`` values, collected. Returns {group: {prob: value, "n": n}}.
-    """
-    v = F.col(col).cast("double")
-    clean = values.select(F.col(group), v.alias(col)).filter(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
-    stats = clean.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).collect()
-    found: dict = {}
-    pending: dict = {}
-    need: dict = {}
-    for r in stats:
-        g, n = r[group], r["n"]
-        need[g] = {}
+def grouped_quantiles(values: DataFrame, group: str, column: str, probs: list[float], bins: int = BINS) -> dict:
+    """{group: {prob: value, "n": n}}, exact."""
+    v = F.col(column).cast("double")
+    clean = values.select(F.col(group).alias("_g"), v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    finite = F.when(F.abs("_v") < F.lit(INF), F.col("_v"))
+    stats = clean.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v") == -INF).alias("low"), F.count_if(F.col("_v") == INF).alias("high"), F.min(finite).alias("lo"), F.max(finite).alias("hi")
+    )
+    size, found, pending = {}, {}, {}
+    for r in stats.collect():
+        g, n = r["_g"], r["n"]
+        size[g] = n
         for p in probs:
-            h = (n - 1) * p
-            lo_r = int(math.floor(h))
-            need[g][p] = (lo_r, min(lo_r + 1, n - 1), h - lo_r)
-        for rank in {x for a, b, _ in need[g].values() for x in (a, b)}:
-            if rank in (0, n - 1):
-                found[(g, rank)] = r["lo"] if rank == 0 else r["hi"]
-            else:
-                pending[(g, rank)] = (r["lo"], r["hi"], 0, n)
+            at = int(math.floor((n - 1) * p))
+            for rank in (at, min(at + 1, n - 1)):
+                if rank < r["low"] or rank >= n - r["high"]:
+                    found[g, rank] = -INF if rank < r["low"] else INF
+                elif rank == r["low"] or rank == n - r["high"] - 1:
+                    found[g, rank] = r["lo"] if rank == r["low"] else r["hi"]
+                else:
+                    pending[g, rank] = (r["lo"], r["hi"], r["low"])
     while pending:
         intervals: dict = {}
-        for (g, rank), iv in pending.items():
-            intervals.setdefault((g, iv), []).append(rank)
-        nxt: dict = {}
-        small, large = [], []
-        for (g, (lo, hi, off, cnt)), ranks in intervals.items():
+        for (g, rank), (lo, hi, before) in pending.items():
             if lo == hi:
-                for rank in ranks:
-                    found[(g, rank)] = lo
-            elif cnt <= max_exact:
-                small.append((g, lo, hi, off, ranks))
+                found[g, rank] = lo
             else:
-                large.append((g, lo, hi, off, ranks))
+                intervals.setdefault((g, lo, hi, before), []).append(rank)
+        pending = {}
+        if not intervals:
+            break
+        for k, hist in _counts(clean, list(intervals), bins).items():
+            (g, _, _, before), ranks = list(intervals.items())[k]
+            for rank in ranks:
+                at = before
+                for _, c, lo, hi in hist:
+                    if rank < at + c:
+                        pending[g, rank] = (lo, hi, at)
+                        break
+                    at += c
+    out: dict = {}
+    for g, n in size.items():
+        out[g] = {"n": n}
+        for p in probs:
+            h = (n - 1) * p
+            at = int(math.floor(h))
+            out[g][p] = lerp(found[g, at], found[g, min(at + 1, n - 1)], h - at)
+    return out
 
-        def tag(items):
-            expr = None
-            for k, (g, lo, hi, _, _) in enumerate(items):
-                cond = (F.col(group) == F.lit(g)) & (F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi))
-                expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
-            return expr
 
-        if small:
-            rows = clean.select(tag(small).alias("_k"), F.col(col)).filter(F.col("_k").isNotNull()).collect()
-            per: dict = {}
-            for row in rows:
-                per.setdefault(row["_k"], []).append(row[col])
-            for k, (g, lo, hi, off, ranks) in enumerate(small):
-                vals = sorted(per.get(k, []))
-                for rank in ranks:
-                    found[(g, rank)] = vals[rank - off]
-        if large:
-            k_col = tag(large)
-            lo_of = F.element_at(F.array(*[F.lit(float(x[1])) for x in large]), F.col("_k") + 1)
-            width_of = F.element_at(F.array(*[F.lit((x[2] - x[1]) / bins) for x in large]), F.col("_k") + 1)
-            b = F.least(F.floor((F.col(col) - lo_of) / width_of), F.lit(bins - 1)).cast("int")
-            hist = (
-                clean.select(k_col.alias("_k"), F.col(col))
-                .filter(F.col("_k").isNotNull())
-                .groupBy("_k", b.alias("b"))
-                .agg(F.count(F.lit(1)).alias("c"), F.min(col).alias("lo"), F.max(col).alias("hi"))
-                .collect()
-            )
-            per_k: dict = {}
-            for h in hist:
-                per_k.setdefault(h["_k"], []).append(h)
-            for k, (g, lo, hi, off, ranks) in enumerate(large):
-                hs = sorted(per_k.get(k, []), key=lambda h: h["b"])
-                for rank in ranks:
-                    before = off
-                    for h in hs:
-                        if rank < before + h["c"]:
-                            nxt[(g, rank)] = (h["lo"], h["hi"], before, h["c"])
-                            break
-                        before += h["c"]
-        pending = nxt
+def _counts(clean: DataFrame, intervals: list[tuple], bins: int) -> dict[int, list[tuple]]:
+    """Per interval (of one group, disjoint or equal within it): (bin, count, least, greatest value) in order; one job."""
+    which, lo_of, width_of, scale_of = None, [], [], []
+    for k, (g, lo, hi, _) in enumerate(intervals):
+        inside = (F.col("_g") == F.lit(g)) & (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
+        which = F.when(inside, F.lit(k)) if which is None else which.when(inside, F.lit(k))
+        scale = 0.25 if max(abs(lo), abs(hi)) > 1e300 else 1.0  # the width of an interval of huge values must not overflow
+        lo_of.append(F.lit(float(lo * scale)))
+        width_of.append(F.lit(max((hi * scale - lo * scale) / bins, 5e-324)))  # nor that of a tiny one vanish
+        scale_of.append(F.lit(scale))
+    rows = clean.select(which.alias("_k"), "_v").filter(F.col("_k").isNotNull())
+    of = lambda xs: F.element_at(F.array(*xs), F.col("_k") + 1)
+    step = (F.col("_v") * of(scale_of) - of(lo_of)) / of(width_of)
+    b = F.least(F.greatest(F.floor(step), F.lit(0)), F.lit(bins - 1)).cast("int")
+    hist = rows.groupBy("_k", b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
     out: dict = {}
-    for r in stats:
-        g = r[group]
-        out[g] = {p: lerp(found[(g, a)], found[(g, b)], t) for p, (a, b, t) in need[g].items()}
-        out[g]["n"] = r["n"]
+    for r in sorted(hist, key=lambda r: r["b"]):
+        out.setdefault(r["_k"], []).append((r["b"], r["c"], r["lo"], r["hi"]))
     return out
 
 
-def approx_quantiles(values: DataFrame, col: str, probs: list[float], accuracy: int = 100_000) -> dict[float, float]:
+def approx_quantiles(values: DataFrame, column: str, probs: list[float], accuracy: int = 100_000) -> dict[float, float]:
     """One bounded aggregate; ranks are within n/accuracy, values are not interpolated."""
-    v = F.col(col).cast("double")
+    v = F.col(column).cast("double")
     row = values.filter(v.isNotNull() & ~F.isnan(v)).agg(F.percentile_approx(v, probs, accuracy).alias("q")).first()
     if row["q"] is None:
-        raise ValueError("No valid score values found.")
+        raise ValueError("there is no score that is neither null nor NaN")
     return dict(zip(probs, row["q"]))

@@ -3,7 +3,7 @@
 Texts x prototypes is an all-pairs product by definition, but the prototype side is a
 handful of concept descriptions (m vectors). They are gathered into one row by a
 global aggregate (always exactly one row), read on the driver (bounded: m x dimension
-numbers) and used as literal arrays, so scoring is a projection: no join, no shuffle.
+numbers) and handed to the tasks as one broadcast row, so scoring is a projection without a shuffle.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.names import col
+from ..functions.vectors import cosine, sq_norm
 from .columns import require_columns
 
 
 def select_prototypes(prototypes: DataFrame, include_outcome: bool = False) -> DataFrame:
-    """Condition prototypes (or all of them); duplicate names keep the last row."""
+    """Condition prototypes, or those of outcomes as well."""
     require_columns(prototypes, ["condition_name", "prototype", "type"], "prototypes")
     p = prototypes if include_outcome else prototypes.filter(F.col("type") == F.lit("condition"))
     return p
@@ -25,22 +26,17 @@ def select_prototypes(prototypes: DataFrame, include_outcome: bool = False) -> D
 def prototype_names(prototypes: DataFrame, include_outcome: bool = False, order_col: str | None = None) -> list[str]:
     """Distinct condition names in prototype order (m rows to the driver, never texts)."""
     p = select_prototypes(prototypes, include_outcome)
-    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    order = col(order_col) if order_col else F.monotonically_increasing_id()
     rows = p.select("condition_name", order.alias("_o")).collect()
     seen: dict[str, int] = {}
     for i, r in enumerate(sorted(rows, key=lambda r: r["_o"])):
         seen.setdefault(str(r["condition_name"]), i)
     names = sorted(seen, key=seen.get)
     if not names:
-        raise ValueError("No condition prototypes found. Please check the 'type' column.")
+        raise ValueError("the prototype table has no row of type 'condition'")
     return names
 
 
-# Prototype vectors are inlined as literals up to this many numbers in total (e.g. 100
-# prototypes of dimension 1000); beyond it the one-row table is broadcast instead.
-MAX_INLINE_VALUES = 100_000
-
-
 def prototype_cosine_wide(
     texts: DataFrame,
     prototype_row: DataFrame,
@@ -49,28 +45,21 @@ def prototype_cosine_wide(
 ) -> DataFrame:
     """Add ``<condition>_score`` = cosine(text vector, ``<condition>_vec``) per condition.
 
-    ``prototype_row`` has exactly one row with ``<condition>_vec`` array columns (as a
-    global aggregate builds it). Its m vectors are read on the driver -- m x dimension
-    numbers, checked against a bound -- and enter the plan as literal arrays, so the
-    scoring is a plain projection of every text row: no join at all. Larger prototype
-    sets are broadcast as the one-row table instead.
+    ``prototype_row`` has exactly one row with ``<condition>_vec`` array columns (as a global aggregate builds it). It
+    is read on the driver, m vectors, and handed to the tasks as one broadcast row, so each text row is scored by a
+    projection; the length of its vector is computed once.
     """
-    one = prototype_row.select(*[F.col(f"{c}_vec") for c in conditions])
-    size = one.select(sum(F.coalesce(F.size(f"{c}_vec"), F.lit(0)) for c in conditions).alias("n")).first()["n"]
-    if size > MAX_INLINE_VALUES:
-        # one row, broadcast: a nested-loop join that emits exactly one row per text
-        joined = texts.crossJoin(F.broadcast(one))
-        scored = joined.withColumns({f"{c}_score": cosine(F.col(vector_col), F.col(f"{c}_vec")) for c in conditions})
-        return scored.drop(*[f"{c}_vec" for c in conditions])
-    row = one.collect()
+    row = prototype_row.select(*[col(f"{c}_vec").cast("array<double>") for c in conditions]).collect()
     if len(row) != 1:
-        raise ValueError(f"expected one prototype row, got {len(row)}")
-    vecs = {c: row[0][f"{c}_vec"] for c in conditions}
-    missing = [c for c, v in vecs.items() if v is None]
+        raise ValueError(f"the prototypes must come as one row, not {len(row)}")
+    missing = [c for c, v in zip(conditions, row[0]) if v is None]
     if missing:
-        raise ValueError(f"No prototype vector for: {missing}")
-    lit_vec = {c: F.array(*[F.lit(float(x)) for x in v]) for c, v in vecs.items()}
-    return texts.withColumns({f"{c}_score": cosine(F.col(vector_col), lit_vec[c]) for c in conditions})
+        raise ValueError(f"conditions without a prototype vector: {missing}")
+    schema = ", ".join(f"_v{j} array<double>" for j in range(len(conditions)))
+    one = texts.sparkSession.createDataFrame([tuple(row[0])], schema)
+    joined = texts.crossJoin(F.broadcast(one)).withColumn("_norm", F.sqrt(sq_norm(col(vector_col))))
+    scored = joined.withColumns({f"{c}_score": cosine(col(vector_col), F.col(f"_v{j}"), F.col("_norm")) for j, c in enumerate(conditions)})
+    return scored.drop("_norm", *[f"_v{j}" for j in range(len(conditions))])
 
 
 def prototype_cosine(
@@ -88,11 +77,11 @@ def prototype_cosine(
     """
     names = prototype_names(prototypes, include_outcome, order_col)
     p = select_prototypes(prototypes, include_outcome).withColumn(
-        "_o", F.col(order_col) if order_col else F.monotonically_increasing_id()
+        "_o", col(order_col) if order_col else F.monotonically_increasing_id()
     )
     row = p.agg(
         *[
-            F.max_by(F.col(prototype_vector_col), F.when(F.col("condition_name") == F.lit(c), F.col("_o"))).alias(f"{c}_vec")
+            F.max_by(col(prototype_vector_col), F.when(F.col("condition_name") == F.lit(c), F.col("_o"))).alias(f"{c}_vec")
             for c in names
         ]
     )

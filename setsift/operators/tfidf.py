@@ -1,18 +1,15 @@
 """Character n-gram TF-IDF on Spark: vocabulary, vectors and prototype similarity.
 
-Vocabulary (``vocabulary``): documents are hash-partitioned by their key (the text is
-shuffled once); n-grams are exploded and counted per (document, term) inside each
-partition -- that grouping is already satisfied by the document partitioning, so it
-adds no exchange -- and only the partial per-term sums (bounded by the distinct terms
-of a task) are shuffled for the final (term, tf, df). Terms with df above ``max_df``
-of the documents are dropped and the top ``max_features`` by total count are kept
-(ties by term), which is a bounded top-k.
-
-Vectors (``TfidfModel.transform``, for the classifier): the bounded vocabulary and
-idf weights go into Spark ML's ``CountVectorizerModel`` -> ``ElementwiseProduct`` ->
-``Normalizer``, per-row JVM transforms with no shuffle: raw count x
-(ln((1+n)/(1+df)) + 1), L2-normed. Prototype similarity needs no vectors: it is sums
-over the per-document n-gram counts (``tfidf_prototype_scores``).
+Every score depends on a text alone, so the unit of work is the *distinct text*, named by two 64-bit hashes: repeated
+texts are counted once with their multiplicity, and neither repeated nor missing ids matter. The texts are shuffled
+once, by these hashes; n-grams are exploded and counted per (text, term) inside each partition, which the partitioning
+already satisfies, and only partial sums per term (bounded by the distinct terms of a task) are shuffled for document
+frequencies. Scores are sums over these counts joined with a table of the terms; the term table is written first, so
+that the planner knows its size and broadcasts it only below its own threshold. Scores join back to the rows by hash,
+without the text unless the caller selects it.
+
+Prototype similarity uses every term of the texts. The cap of the vocabulary (``max_features``) and the bound on
+document frequency (``max_df``) belong to the supervised mode.
 """
 
 from __future__ import annotations
@@ -20,87 +17,78 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import char_wb_ngrams, words
-from .partitioning import by_document
+from ..functions.names import col
+from ..functions.text import words
+from ..session import stored
+from .partitioning import rows_and_partitions, text_partitions
 
-TOKENS = "_tokens"
-# A vocabulary (and any per-term table derived from it) is broadcast only up to this
-# many terms; with the default cap of 5000 features it always is.
-MAX_BROADCAST_TERMS = 2_000_000
+#: Two hashes that name a text; other columns that this module adds for a while begin with an underscore as well.
+KEY = ["_h1", "_h2"]
 
 
-def _small(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= MAX_BROADCAST_TERMS else df
+def text_key(text: Column) -> list[Column]:
+    """Missing text counts as empty text."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit("second"), t).alias("_h2")]
 
 
-def with_tokens(df: DataFrame, text: str = "text", n_min: int = K.NGRAM_MIN, n_max: int = K.NGRAM_MAX) -> DataFrame:
-    return df.withColumn(TOKENS, char_wb_ngrams(F.col(text), n_min, n_max))
+def distinct_texts(texts: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """((_h1, _h2, _text, _copies), number of rows): the texts, shuffled once and partitioned by their hashes."""
+    n, parts = rows_and_partitions(texts)
+    rows = texts.select(*text_key(col(text)), F.coalesce(col(text).cast("string"), F.lit("")).alias("_text"))
+    dealt = rows.repartition(text_partitions(texts, parts), *KEY)
+    return dealt.groupBy(*KEY).agg(F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_copies")), n
 
 
-def term_counts(docs: DataFrame, key: str, text: str = "text", n_min: int = K.NGRAM_MIN,
-                n_max: int = K.NGRAM_MAX) -> DataFrame:
-    """(key, term, c): how often each character n-gram occurs in each document.
+def term_counts(docs: DataFrame, keys: list[str], text: str, n_min: int = K.NGRAM_MIN, n_max: int = K.NGRAM_MAX) -> DataFrame:
+    """(keys, term, c): how often each character n-gram occurs in each text.
 
-    ``docs`` must already be hash-partitioned by ``key`` (see ``by_document``): words and
-    n-gram positions are exploded (code-generated generators; ``substring`` only ever
-    runs on one short padded word, never on a whole document, where positional access
-    would be quadratic), and the grouping by (key, term) is satisfied by the document
-    partitioning, so it runs inside each partition without an exchange.
+    Words and n-gram positions are exploded by code-generated generators; ``substring`` only ever runs on one short
+    padded word, never on a whole text, where positional access would be quadratic.
     """
-    w = docs.select(F.col(key), F.explode(words(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("_w"))
-    p = w.select(key, F.concat(F.lit(" "), F.col("_w"), F.lit(" ")).alias("_p"))
-    pos = p.select(key, "_p", F.explode(F.sequence(F.lit(1), F.length("_p"))).alias("_i"))
+    w = docs.select(*keys, F.explode(words(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("_w"))
+    p = w.select(*keys, F.concat(F.lit(" "), F.col("_w"), F.lit(" ")).alias("_p"))
+    pos = p.select(*keys, "_p", F.explode(F.sequence(F.lit(1), F.length("_p"))).alias("_i"))
     grams = [F.when(F.col("_i") + F.lit(n - 1) <= F.length("_p"), F.substring("_p", F.col("_i"), F.lit(n))) for n in range(n_min, n_max + 1)]
-    terms = pos.select(key, F.explode(F.array(*grams)).alias("term")).filter(F.col("term").isNotNull())
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"))
+    terms = pos.select(*keys, F.explode(F.array(*grams)).alias("term")).filter(F.col("term").isNotNull())
+    return terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("c"))
 
 
-def term_stats(texts: DataFrame, text: str = "text", key: str | None = None,
-               n_min: int = K.NGRAM_MIN, n_max: int = K.NGRAM_MAX) -> DataFrame:
-    """(term, tf, df) for every n-gram of the texts.
+def _stats(docs: DataFrame, n_min: int, n_max: int) -> DataFrame:
+    """(term, tf, df) over all rows that the distinct texts stand for."""
+    counts = term_counts(docs, [*KEY, "_copies"], "_text", n_min, n_max)
+    return counts.groupBy("term").agg(F.sum(F.col("c") * F.col("_copies")).alias("tf"), F.sum("_copies").alias("df"))
 
-    Documents are hash-partitioned by ``key`` first (the text is shuffled once), so the
-    per-document count of each term is a local aggregate inside each partition; only
-    partial (term, tf, df) rows -- bounded by the distinct terms per task -- are
-    shuffled for the final count. No (document, term) pair crosses the network.
-    """
-    docs, key = by_document(texts.select(*([key] if key else []), text), key)
-    per_doc = term_counts(docs, key, text, n_min, n_max)
-    return per_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
+
+def _idf(n_docs: int) -> Column:
+    return F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
 
 
 def vocabulary(
     texts: DataFrame,
     text: str = "text",
-    key: str | None = None,
     max_features: int | None = K.MAX_FEATURES,
     min_df: float = K.MIN_DF,
     max_df: float = K.MAX_DF,
     n_min: int = K.NGRAM_MIN,
     n_max: int = K.NGRAM_MAX,
 ) -> DataFrame:
-    """(term, tf, df, n_docs) of the kept vocabulary, most frequent first (lazy)."""
-    stats = term_stats(texts, text, key, n_min, n_max)
-    # document count from a separate global count (one row; the scan needs no column)
-    n = texts.agg(F.count(F.lit(1)).alias("n_docs"))
-    terms = stats.crossJoin(F.broadcast(n))
-    hi = F.col("df") <= (F.lit(float(max_df)) * F.col("n_docs") if isinstance(max_df, float) else F.lit(max_df))
-    lo = F.col("df") >= (F.lit(float(min_df)) * F.col("n_docs") if isinstance(min_df, float) else F.lit(min_df))
+    """(term, tf, df, n_docs) of the kept vocabulary, most frequent first (ties by term); a bounded top-k."""
+    docs, n = distinct_texts(texts, text)
+    terms = _stats(docs, n_min, n_max).withColumn("n_docs", F.lit(n))
+    hi = F.col("df") <= F.lit(float(max_df) * n if isinstance(max_df, float) else max_df)
+    lo = F.col("df") >= F.lit(float(min_df) * n if isinstance(min_df, float) else min_df)
     kept = terms.filter(hi & lo).orderBy(F.col("tf").desc(), F.col("term").asc())
-    if max_features:
-        kept = kept.limit(max_features)
-    return kept
+    return kept.limit(max_features) if max_features else kept
 
 
 @dataclass
 class TfidfModel:
-    """A fitted vocabulary (alphabetical) with idf weights; transforms are lazy."""
+    """A fitted vocabulary (alphabetical, at most the cap) with idf weights."""
 
     terms: list[str]
     idf: list[float]
@@ -109,90 +97,72 @@ class TfidfModel:
     n_min: int = K.NGRAM_MIN
     n_max: int = K.NGRAM_MAX
 
-    def transform(self, df: DataFrame, output: str = "features", text: str | None = None) -> DataFrame:
-        """Adds an L2-normalised TF-IDF vector column (Spark ML ``Vector``)."""
-        t = with_tokens(df, text or self.text, self.n_min, self.n_max)
-        cv = CountVectorizerModel.from_vocabulary(self.terms, inputCol=TOKENS, outputCol="_tf")
-        ew = ElementwiseProduct(scalingVec=DenseVector(self.idf), inputCol="_tf", outputCol="_tfidf")
-        nm = Normalizer(p=2.0, inputCol="_tfidf", outputCol=output)
-        return nm.transform(ew.transform(cv.transform(t))).drop(TOKENS, "_tf", "_tfidf")
+    def term_table(self, spark) -> DataFrame:
+        return spark.createDataFrame(list(zip(self.terms, range(len(self.terms)), self.idf)), "term string, idx int, idf double")
+
+    def vectors(self, texts: DataFrame, text: str | None = None) -> DataFrame:
+        """(_h1, _h2, term, idx, weight): the non-zeros of the L2-normalised TF-IDF vector of every distinct text."""
+        docs, _ = distinct_texts(texts, text or self.text)
+        counts = term_counts(docs, KEY, "_text", self.n_min, self.n_max)
+        x = counts.join(self.term_table(texts.sparkSession), "term").withColumn("_x", F.col("c") * F.col("idf"))
+        rows = x.groupBy(*KEY).agg(F.collect_list(F.struct("term", "idx", "_x")).alias("_v"), F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_n"))
+        # a text's list holds each of its distinct terms once: at most the vocabulary
+        e = rows.select(*KEY, "_n", F.explode("_v").alias("_e"))
+        return e.select(*KEY, "_e.term", "_e.idx", (F.col("_e._x") / F.col("_n")).alias("weight"))
 
 
 def fit_tfidf(
     texts: DataFrame,
     text: str = "text",
-    key: str | None = None,
-    max_features: int | None = K.MAX_FEATURES,
+    max_features: int = K.MAX_FEATURES,
     min_df: float = K.MIN_DF,
     max_df: float = K.MAX_DF,
 ) -> TfidfModel:
-    """Fit the vocabulary (one aggregate job; at most ``max_features`` rows to the driver)."""
-    rows = vocabulary(texts, text, key, max_features, min_df, max_df).select("term", "df", "n_docs").collect()
+    """Fit the capped vocabulary of the supervised mode (at most ``max_features`` rows to the driver)."""
+    rows = vocabulary(texts, text, max_features, min_df, max_df).select("term", "df", "n_docs").collect()
     if not rows:
-        raise ValueError("empty vocabulary; the texts have no words")
+        raise ValueError("the texts hold no word, so there is no vocabulary")
     rows = sorted(rows, key=lambda r: r["term"])
     n = rows[0]["n_docs"]
-    idf = [math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in rows]
-    return TfidfModel([r["term"] for r in rows], idf, n, text)
-
-
-def prototype_weights(model: TfidfModel, prototypes: DataFrame, conditions: list[str]) -> DataFrame:
-    """(term, idf, <condition>_w ...): idf and the L2-normalised TF-IDF weight of every
-    prototype on the vocabulary terms it contains. At most the vocabulary cap rows."""
-    spark = prototypes.sparkSession
-    p, key = by_document(prototypes.select(F.col("condition_name").alias("_cond"), F.col("prototype").alias("_ptext")), "_cond")
-    counts = term_counts(p, "_cond", "_ptext", model.n_min, model.n_max).collect()
-    idf = dict(zip(model.terms, model.idf))
-    per: dict[str, dict[str, float]] = {c: {} for c in conditions}
-    for r in counts:
-        if r["_cond"] in per and r["term"] in idf:
-            per[r["_cond"]][r["term"]] = r["c"] * idf[r["term"]]
-    missing = [c for c in conditions if c not in {r["_cond"] for r in counts}]
-    if missing:
-        raise ValueError(f"No prototype text for: {missing}")
-    for c, ws in per.items():
-        norm = math.sqrt(sum(v * v for v in ws.values()))
-        per[c] = {t: (v / norm if norm > 0 else 0.0) for t, v in ws.items()}
-    terms = sorted({t for ws in per.values() for t in ws})
-    rows = [(t, idf[t], *[per[c].get(t, 0.0) for c in conditions]) for t in terms]
-    schema = "term string, idf double, " + ", ".join(f"`{c}_w` double" for c in conditions)
-    return spark.createDataFrame(rows, schema)
+    return TfidfModel([r["term"] for r in rows], [math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in rows], n, text)
 
 
-def normalized_dot_scores(
-    texts: DataFrame,
-    model: TfidfModel,
-    weights: DataFrame,
-    names: list[str],
-    text: str = "text",
-    key: str | None = "case_id",
-    suffix: str = "_score",
-) -> DataFrame:
-    """Adds ``<name><suffix>`` = (x . w_name) / ||x|| for the L2-normalised TF-IDF vector x
-    of every text, with ``weights`` = (term, <name>_w ...) over vocabulary terms.
+def tfidf_vectors(texts: DataFrame, key: str, text: str = "text", model: TfidfModel | None = None) -> DataFrame:
+    """(key, term, weight) of every row's TF-IDF vector; a row whose text has no known term has no line."""
+    model = model or fit_tfidf(texts, text)
+    rows = texts.select(col(key), *text_key(col(text)))
+    return rows.join(model.vectors(texts, text), KEY).select(col(key), "term", "weight")
 
-    Texts are hash-partitioned by document once; per-document n-gram counts join the
-    vocabulary (idf) and the weights by broadcast (at most the vocabulary cap in rows),
-    and the norm and dot products are sums per document inside the partition. The
-    result joins back to the texts co-partitioned. No vector column is built.
-    """
-    key = key if key in texts.columns else None
-    spark = texts.sparkSession
-    vocab = spark.createDataFrame(list(zip(model.terms, model.idf)), "term string, idf double")
-    docs, dkey = by_document(texts, key)
-    counts = term_counts(docs, dkey, text, model.n_min, model.n_max)
+
+def _dot_columns(docs: DataFrame, terms: DataFrame, n: int, n_min: int, n_max: int) -> DataFrame:
+    """(_h1, _h2, _s0 ...): dot product of each text's normalised vector with each weight column ``_w<j>`` of ``terms``."""
     x = F.col("c") * F.col("idf")
-    n_terms = len(model.terms)
-    j = counts.join(_small(vocab, n_terms), "term").join(_small(weights, n_terms), "term", "left")
-    per_doc = j.groupBy(dkey).agg(
-        F.sum(x * x).alias("_n2"), *[F.sum(x * F.coalesce(F.col(f"{n}_w"), F.lit(0.0))).alias(f"_d_{n}") for n in names]
-    )
-    norm = F.sqrt(F.col("_n2"))
-    dots = per_doc.select(
-        dkey, *[F.when(F.col("_n2") > 0, F.col(f"_d_{n}") / norm).otherwise(F.lit(0.0)).alias(f"{n}{suffix}") for n in names]
-    )
-    out = docs.join(dots, dkey, "left").withColumns({f"{n}{suffix}": F.coalesce(F.col(f"{n}{suffix}"), F.lit(0.0)) for n in names})
-    return out.drop("_doc") if key is None else out
+    joined = term_counts(docs, KEY, "_text", n_min, n_max).join(terms, "term")
+    sums = joined.groupBy(*KEY).agg(F.sum(x * x).alias("_n2"), *[F.sum(x * F.col(f"_w{j}")).alias(f"_d{j}") for j in range(n)])
+    return sums.select(*KEY, *[(F.col(f"_d{j}") / F.sqrt("_n2")).alias(f"_s{j}") for j in range(n)])
+
+
+def _joined_back(texts: DataFrame, text: str, dots: DataFrame, names: list[str]) -> DataFrame:
+    """``texts`` with one more column per name; 0 where a text has no known term."""
+    own = [c for c in texts.columns if c not in names]
+    keyed = texts.select(*[col(c) for c in own], *text_key(col(text)))
+    scored = keyed.join(dots, KEY, "left")
+    return scored.select(*[col(c) for c in own], *[F.coalesce(F.col(f"_s{j}"), F.lit(0.0)).alias(c) for j, c in enumerate(names)])
+
+
+def normalized_dot_scores(texts: DataFrame, model: TfidfModel, weights: dict[str, list[float]], text: str = "text") -> DataFrame:
+    """Adds a column per name of ``weights``: the dot product of its weights (one per vocabulary term) with the
+    normalised TF-IDF vector of the row's text."""
+    docs, _ = distinct_texts(texts, text)
+    rows = list(zip(model.terms, model.idf, *[[float(w) for w in ws] for ws in weights.values()]))
+    terms = texts.sparkSession.createDataFrame(rows, "term string, idf double, " + ", ".join(f"_w{j} double" for j in range(len(weights))))
+    return _joined_back(texts, text, _dot_columns(docs, terms, len(weights), model.n_min, model.n_max), list(weights))
+
+
+def last_prototypes(prototypes: DataFrame, order_col: str | None = None) -> DataFrame:
+    """(_cond, _ptext): the text of the last row of every name."""
+    p = prototypes.withColumn("_o", col(order_col) if order_col else F.monotonically_increasing_id())
+    return p.groupBy(F.col("condition_name").cast("string").alias("_cond")).agg(F.max_by(F.col("prototype").cast("string"), "_o").alias("_ptext"))
 
 
 def tfidf_prototype_scores(
@@ -200,12 +170,25 @@ def tfidf_prototype_scores(
     prototypes: DataFrame,
     conditions: list[str],
     text: str = "text",
-    model: TfidfModel | None = None,
-    key: str | None = "case_id",
+    n_min: int = K.NGRAM_MIN,
+    n_max: int = K.NGRAM_MAX,
+    order_col: str | None = None,
 ) -> DataFrame:
-    """Cosine of each text's TF-IDF vector to each prototype's, as ``<condition>_score``
-    (the model is fitted on the texts unless given)."""
-    key = key if key in texts.columns else None
-    model = model or fit_tfidf(texts, text, key)
-    weights = prototype_weights(model, prototypes, conditions).drop("idf")
-    return normalized_dot_scores(texts, model, weights, conditions, text, key)
+    """``texts`` with ``<condition>_score``: cosine of the TF-IDF vectors of its text and of the condition's prototype.
+
+    Document frequencies are those of all rows of ``texts``; no term is left out. A name that repeats keeps its last
+    prototype. Any ids, repeated or missing, and any further columns pass through.
+    """
+    docs, n_docs = distinct_texts(texts, text)
+    idf = _stats(docs, n_min, n_max).select("term", _idf(n_docs).alias("idf"))
+    chosen = last_prototypes(prototypes, order_col).filter(F.col("_cond").isin(conditions))
+    missing = set(conditions) - {r["_cond"] for r in chosen.filter(F.col("_ptext").isNotNull()).select("_cond").collect()}
+    if missing:
+        raise ValueError(f"conditions without a prototype text: {sorted(missing)}")
+    own = term_counts(chosen, ["_cond"], "_ptext", n_min, n_max).join(idf, "term").withColumn("_x", F.col("c") * F.col("idf"))
+    norms = own.groupBy("_cond").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_n"))
+    unit = own.join(norms, "_cond").withColumn("_w", F.col("_x") / F.col("_n"))
+    wide = unit.groupBy("term").agg(*[F.sum(F.when(F.col("_cond") == F.lit(c), F.col("_w")).otherwise(0.0)).alias(f"_w{j}") for j, c in enumerate(conditions)])
+    filled = idf.join(wide, "term", "left").select("term", "idf", *[F.coalesce(f"_w{j}", F.lit(0.0)).alias(f"_w{j}") for j in range(len(conditions))])
+    terms = stored(filled, "tfidf-terms")
+    return _joined_back(texts, text, _dot_columns(docs, terms, len(conditions), n_min, n_max), [f"{c}_score" for c in conditions])

@@ -4,88 +4,89 @@ Sensitivity over a grid of T crisp thresholds is computed in one scan. Each scor
 mapped to its *level* (how many grid thresholds lie at or below it); membership at the
 j-th threshold is then ``level > j``. Rows are aggregated once by the levels (at most
 (T+1)^m groups, partial aggregation in every task), and only those aggregated groups
-are expanded over the grid and re-aggregated per (threshold, configuration). When
-(T+1)^m is large the rows are instead expanded over the grid before a single
-aggregate (T times the hash updates, still one scan and one shuffle).
+are expanded over the grid and re-aggregated per (threshold, configuration).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from .. import constants as K
-from ..functions.calibration import crisp_membership, threshold_level
+from ..functions.calibration import threshold_level
+from ..session import stored
 from .columns import condition_name, score_columns
-from .quantiles import approx_quantiles, exact_quantiles
+from .quantiles import approx_quantiles, grouped_quantiles
 from .truth_table import finish_truth_table, solutions
 
-MAX_LEVEL_GROUPS = 4096
+BOX_PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
-def pooled_scores(scores: DataFrame, score_cols: list[str] | None = None) -> DataFrame:
-    """All score values of all conditions in one ``value`` column (narrow)."""
-    cols = score_cols or score_columns(scores)
-    return scores.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("value"))
+def _long(scores: DataFrame, pooled: bool, single: bool) -> DataFrame:
+    """(condition, value) of all scores: under their condition, under null for all conditions together, or both."""
+    cols = score_columns(scores)
+    items = []
+    for c in cols:
+        names = ([F.lit(condition_name(c))] if single else []) + ([F.lit("")] if pooled else [])
+        items += [F.struct(n.alias("condition"), col(c).cast("double").alias("value")) for n in names]
+    return scores.select(F.explode(F.array(*items)).alias("_p")).select("_p.condition", "_p.value")
 
 
-def _quantiles(scores: DataFrame, probs: list[float], approx: bool) -> dict[float, float]:
-    pooled = pooled_scores(scores)
-    return approx_quantiles(pooled, "value", probs) if approx else exact_quantiles(pooled, "value", probs)
+def score_quantiles(scores: DataFrame, pooled: bool = True, single: bool = True) -> dict:
+    """{condition: {prob: value, "n": n}} for the box numbers of each condition and, under the empty name, for the
+    suggestions and the summary over all conditions: one selection, from which all three tables can be made."""
+    probs = (BOX_PROBS if single else []) + ([p for _, p, _ in K.THRESHOLD_RULES] + [p for _, p in K.SUMMARY_STATISTICS] if pooled else [])
+    return grouped_quantiles(_long(scores, pooled, single), "condition", "value", sorted(set(probs)))
 
 
-def suggest_thresholds(scores: DataFrame, approx: bool = False) -> DataFrame:
-    """Three candidate crisp thresholds from quantiles .75 / .60 / .50 of pooled scores."""
-    q = _quantiles(scores, [p for _, p, _ in K.THRESHOLD_RULES], approx)
-    spark: SparkSession = scores.sparkSession
+def _pooled(scores: DataFrame, approx: bool, probs: list[float], found: dict | None) -> dict:
+    if approx:
+        return approx_quantiles(_long(scores, True, False), "value", probs)
+    q = (found or score_quantiles(scores, single=False)).get("")
+    if q is None:
+        raise ValueError("there is no score that is neither null nor NaN")
+    return q
+
+
+def suggest_thresholds(scores: DataFrame, approx: bool = False, found: dict | None = None) -> DataFrame:
+    """Three candidate crisp thresholds from quantiles .75 / .60 / .50 of pooled scores (``found``: from
+    :func:`score_quantiles`)."""
+    q = _pooled(scores, approx, [p for _, p, _ in K.THRESHOLD_RULES], found)
     rows = [(rule, float(q[p]), text) for rule, p, text in K.THRESHOLD_RULES]
-    df = spark.createDataFrame(rows, "rule string, suggested_threshold double, interpretation string")
+    df = scores.sparkSession.createDataFrame(rows, "rule string, suggested_threshold double, interpretation string")
     return df.withColumn("suggested_threshold", F.bround("suggested_threshold", 4))
 
 
-def score_summary(scores: DataFrame, approx: bool = False) -> DataFrame:
+def score_summary(scores: DataFrame, approx: bool = False, found: dict | None = None) -> DataFrame:
     """Minimum, quartile, median, 60th and 75th percentile and maximum of pooled scores."""
-    q = _quantiles(scores, [p for _, p in K.SUMMARY_STATISTICS], approx)
-    spark: SparkSession = scores.sparkSession
+    q = _pooled(scores, approx, [p for _, p in K.SUMMARY_STATISTICS], found)
     rows = [(name, float(q[p])) for name, p in K.SUMMARY_STATISTICS]
-    df = spark.createDataFrame(rows, "statistic string, value double")
-    return df.withColumn("value", F.bround("value", 4))
+    return scores.sparkSession.createDataFrame(rows, "statistic string, value double").withColumn("value", F.bround("value", 4))
 
 
-def _grouped_over_grid(
-    scores: DataFrame, score_cols: list[str], conditions: list[str], grid: list[float], outcome: str, use_levels: bool
-) -> DataFrame:
-    o = F.col(outcome)
-    per_row = [
+def _grouped_over_grid(scores: DataFrame, score_cols: list[str], conditions: list[str], grid: list[float], outcome: str) -> DataFrame:
+    o = col(outcome)
+    lv = scores.select(*[threshold_level(x, grid).alias(c) for x, c in zip(score_cols, conditions)], o.alias("_outcome"))
+    o = F.col("_outcome")
+    lv = lv.groupBy(*[col(c) for c in conditions]).agg(
         F.count(F.lit(1)).alias("n_cases"),
         F.coalesce(F.sum(o.cast("long")), F.lit(0).cast("long")).alias("outcome_positive_cases"),
         F.max(o.isNotNull() & ~o.isin(0, 1)).alias("_bad_outcome"),
-    ]
-    if use_levels:
-        lv = scores.select(
-            *[threshold_level(s, grid).alias(c) for s, c in zip(score_cols, conditions)], o.alias(outcome)
-        ).groupBy(*conditions).agg(*per_row)
-        steps = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(t)).alias("t")) for j, t in enumerate(grid)]))
-        expanded = lv.select(steps.alias("_g"), *conditions, "n_cases", "outcome_positive_cases", "_bad_outcome").select(
-            F.col("_g.t").alias("threshold"),
-            *[
-                F.when(F.col(c).isNull(), F.lit(None).cast("int")).otherwise((F.col(c) > F.col("_g.j")).cast("int")).alias(c)
-                for c in conditions
-            ],
-            "n_cases",
-            "outcome_positive_cases",
-            "_bad_outcome",
-        )
-        return expanded.groupBy("threshold", *conditions).agg(
-            F.sum("n_cases").alias("n_cases"),
-            F.sum("outcome_positive_cases").alias("outcome_positive_cases"),
-            F.max("_bad_outcome").alias("_bad_outcome"),
-        )
-    t = F.explode(F.array(*[F.lit(float(x)) for x in grid])).alias("threshold")
-    expanded = scores.select(t, *[F.col(s) for s in score_cols], o.alias(outcome)).select(
-        "threshold", *[crisp_membership(s, F.col("threshold")).alias(c) for s, c in zip(score_cols, conditions)], outcome
     )
-    return expanded.groupBy("threshold", *conditions).agg(*per_row)
+    steps = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(t)).alias("t")) for j, t in enumerate(grid)]))
+    expanded = lv.select(steps.alias("_g"), *[col(c) for c in conditions], "n_cases", "outcome_positive_cases", "_bad_outcome").select(
+        F.col("_g.t").alias("threshold"),
+        *[F.when(col(c).isNull(), F.lit(None).cast("int")).otherwise((col(c) > F.col("_g.j")).cast("int")).alias(c) for c in conditions],
+        "n_cases",
+        "outcome_positive_cases",
+        "_bad_outcome",
+    )
+    return expanded.groupBy("threshold", *[col(c) for c in conditions]).agg(
+        F.sum("n_cases").alias("n_cases"),
+        F.sum("outcome_positive_cases").alias("outcome_positive_cases"),
+        F.max("_bad_outcome").alias("_bad_outcome"),
+    )
 
 
 def sensitivity_detail(
@@ -96,16 +97,14 @@ def sensitivity_detail(
     min_cases: int = K.DEFAULT_MIN_CASES,
     contradiction_lower: float = K.DEFAULT_CONTRADICTION_LOWER,
     contradiction_upper: float = K.DEFAULT_CONTRADICTION_UPPER,
-    use_levels: bool | None = None,
     validate: bool = True,
+    sort: bool = True,
 ) -> DataFrame:
     """Truth table at every threshold of the grid, ``threshold`` first (one scan)."""
     grid = sorted(set(float(t) for t in (thresholds or K.DEFAULT_THRESHOLD_GRID)))
     score_cols = score_columns(scores)
     conditions = [condition_name(c) for c in score_cols]
-    if use_levels is None:
-        use_levels = (len(grid) + 1) ** len(conditions) <= MAX_LEVEL_GROUPS
-    grouped = _grouped_over_grid(scores, score_cols, conditions, grid, outcome, use_levels)
+    grouped = _grouped_over_grid(scores, score_cols, conditions, grid, outcome)
     return finish_truth_table(
         grouped,
         conditions,
@@ -115,6 +114,7 @@ def sensitivity_detail(
         contradiction_lower=contradiction_lower,
         contradiction_upper=contradiction_upper,
         validate=validate,
+        sort=sort,
     )
 
 
@@ -185,7 +185,7 @@ def configuration_stability(detail: DataFrame) -> DataFrame:
     )
 
     def joined(c: str) -> Column:
-        return F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ", ")
+        return F.array_join(F.transform(col(c), lambda x: x.cast("string")), ", ")
 
     return g.select(
         "configuration",
@@ -217,14 +217,13 @@ def threshold_sensitivity(
     contradiction_lower: float = K.DEFAULT_CONTRADICTION_LOWER,
     contradiction_upper: float = K.DEFAULT_CONTRADICTION_UPPER,
 ) -> dict[str, DataFrame]:
-    """summary, detail, solutions and stability over the threshold grid (all lazy).
+    """summary, detail, solutions and stability over the threshold grid .
 
-    The detail has at most T * 2^m rows; it is persisted so that the three tables built
-    from it read the scores once between them.
+    The detail has at most T * 2^m rows; it is written to the shared folder, so that the tables built from it read the
+    scores once between them and nothing stays cached.
     """
-    detail = sensitivity_detail(
-        scores, thresholds, outcome, consistency_cutoff, min_cases, contradiction_lower, contradiction_upper
-    ).persist()
+    detail = sensitivity_detail(scores, thresholds, outcome, consistency_cutoff, min_cases, contradiction_lower, contradiction_upper)
+    detail = stored(detail.coalesce(1), "sensitivity-detail")
     conditions = [condition_name(c) for c in score_columns(scores)]
     return {
         "summary": sensitivity_summary(detail),

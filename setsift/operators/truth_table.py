@@ -8,14 +8,18 @@ positives (no second scan of the input), then a sort of those few rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from .. import constants as K
 from ..functions.labels import configuration_label, solution_sentence, status
+from ..session import stored
 from .columns import condition_columns
 
-MAX_BROADCAST_CONFIGURATIONS = 1 << 20
 TT_MEASURES = ["configuration", "n_cases", "outcome_positive_cases", "consistency", "raw_coverage"]
 
 
@@ -27,18 +31,18 @@ def _crisp_guard(conditions: list[str], outcome_flag: Column, validate: bool) ->
     """
     checks = []
     for c in conditions:
-        bad = F.col(c).isNotNull() & ~F.col(c).isin(0, 1)
+        bad = col(c).isNotNull() & ~col(c).isin(0, 1)
         msg = F.concat(
-            F.lit(f"Column '{c}' contains non-crisp values: "),
-            F.col(c).cast("string"),
-            F.lit(". Please use crisp-set calibrated data for this basic QCA module."),
+            F.lit(f"'{c}' must be 0 or 1 to be analysed, but holds "),
+            col(c).cast("string"),
+            F.lit("; calibrate it to crisp membership first."),
         )
         checks.append((bad, msg))
         if validate:
             checks.append(
-                (F.col(c).isNull(), F.lit(f"Column '{c}' contains missing values; calibrated conditions must be 0/1."))
+                (col(c).isNull(), F.lit(f"'{c}' must be 0 or 1 in every row, but is missing in some."))
             )
-    checks.append((outcome_flag, F.lit("Column 'outcome' contains non-crisp values (only 0/1 allowed).")))
+    checks.append((outcome_flag, F.lit("the outcome must be 0 or 1 (or missing), but holds another value.")))
     expr = F.lit(True)
     for bad, msg in reversed(checks):
         expr = F.when(bad, F.raise_error(msg)).otherwise(expr)
@@ -48,7 +52,7 @@ def _crisp_guard(conditions: list[str], outcome_flag: Column, validate: bool) ->
 def all_present(columns: list[str]) -> Column:
     expr = F.lit(True)
     for c in columns:
-        expr = expr & F.col(c).isNotNull()
+        expr = expr & col(c).isNotNull()
     return expr
 
 
@@ -62,6 +66,7 @@ def truth_table(
     contradiction_lower: float = K.DEFAULT_CONTRADICTION_LOWER,
     contradiction_upper: float = K.DEFAULT_CONTRADICTION_UPPER,
     with_cases: bool = False,
+    max_cases: int = K.MAX_LISTED_CASES,
     order_col: str | None = None,
     validate: bool = True,
     sort: bool = True,
@@ -71,30 +76,25 @@ def truth_table(
     Columns: conditions (int), ``configuration``, ``n_cases``, ``outcome_positive_cases``,
     ``consistency`` and ``raw_coverage`` (half-even, 4 places), optional ``cases``, ``status``.
 
-    ``with_cases`` adds the ids of each configuration as ``"1, 7"``. It is O(rows) per
-    group and meant for small case sets; at scale use :func:`configuration_members`.
+    ``with_cases`` adds the first ``max_cases`` ids of each configuration as ``"1, 7"`` (with ``", ..."`` when there
+    are more); :func:`configuration_members` has them all.
     ``validate`` raises (lazily, inside the job) on non-crisp values or missing
     conditions; with ``validate=False`` rows with a missing condition are dropped after
     the grand total is taken.
     """
     if conditions is None:
         conditions = condition_columns(qca, case_id=case_id, outcome=outcome)
-    o = F.col(outcome)
+    o = col(outcome)
     aggs = [
         F.count(F.lit(1)).alias("n_cases"),
         F.coalesce(F.sum(o.cast("long")), F.lit(0).cast("long")).alias("outcome_positive_cases"),
         F.max(o.isNotNull() & ~o.isin(0, 1)).alias("_bad_outcome"),
     ]
+    grouped = qca.groupBy(*[col(c) for c in conditions]).agg(*aggs)
     if with_cases:
-        if case_id not in qca.columns:
-            raise ValueError(f"Case id column '{case_id}' not found; it is needed for the case list.")
-        key = F.col(order_col or case_id)
-        aggs.append(
-            F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col(case_id).cast("string").alias("id")))).alias(
-                "_members"
-            )
-        )
-    grouped = qca.groupBy(*[F.col(c) for c in conditions]).agg(*aggs)
+        listed = listed_cases(qca, conditions, case_id, order_col or case_id, max_cases)
+        same = [col(c).eqNullSafe(F.col(f"_k{j}")) for j, c in enumerate(conditions)]
+        grouped = grouped.join(listed, reduce(and_, same), "left").drop(*[f"_k{j}" for j in range(len(conditions))])
     return finish_truth_table(
         grouped,
         conditions,
@@ -107,6 +107,20 @@ def truth_table(
     )
 
 
+def listed_cases(qca: DataFrame, conditions: list[str], case_id: str, order_col: str, max_cases: int) -> DataFrame:
+    """(_k0 ..., _members): the first ids of each configuration. The bound on the row number is applied in every task
+    before the shuffle, so no task gathers a configuration."""
+    if case_id not in qca.columns:
+        raise ValueError(f"no case id column '{case_id}', which the list of cases needs")
+    keys = [col(c).alias(f"_k{j}") for j, c in enumerate(conditions)]
+    rows = qca.select(*keys, col(order_col).alias("_o"), col(case_id).cast("string").alias("_id"))
+    first = Window.partitionBy(*[f"_k{j}" for j in range(len(conditions))]).orderBy("_o", "_id")
+    rows = rows.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= max_cases + 1)
+    rows = rows.withColumn("_id", F.when(F.col("_rn") <= max_cases, F.col("_id")).otherwise(F.lit("...")))
+    members = F.sort_array(F.collect_list(F.struct(F.col("_rn").alias("k"), F.col("_id").alias("id"))))
+    return rows.groupBy(*[f"_k{j}" for j in range(len(conditions))]).agg(members.alias("_members"))
+
+
 def finish_truth_table(
     grouped: DataFrame,
     conditions: list[str],
@@ -128,17 +142,15 @@ def finish_truth_table(
     aggregates differ, so Spark cannot reuse the exchange).
     """
     by = by or []
-    total = F.sum("outcome_positive_cases").over(Window.partitionBy(*[F.col(b) for b in by]))
+    total = F.sum("outcome_positive_cases").over(Window.partitionBy(*[col(b) for b in by]))
     cons = F.col("outcome_positive_cases") / F.col("n_cases")
     cov = F.try_divide(F.col("outcome_positive_cases").cast("double"), total.cast("double"))
-    out = (
-        grouped.withColumn("_cons", cons)
-        .withColumn("_cov", cov)
-        .filter(_crisp_guard(conditions, F.col("_bad_outcome"), validate))
-    )
+    # the guard stays below the window: a wrong column (an id, a raw score) fails before its groups meet in one task
+    guarded = grouped.filter(_crisp_guard(conditions, F.col("_bad_outcome"), validate))
+    out = guarded.withColumn("_cons", cons).withColumn("_cov", cov)
     if not validate:
         out = out.filter(all_present(conditions))
-    cols = [F.col(b) for b in by] + [F.col(c).cast("int").alias(c) for c in conditions] + [
+    cols = [col(b) for b in by] + [col(c).cast("int").alias(c) for c in conditions] + [
         configuration_label(conditions).alias("configuration"),
         F.col("n_cases"),
         F.col("outcome_positive_cases"),
@@ -154,14 +166,14 @@ def finish_truth_table(
     )
     out = out.select(*cols)
     if sort:
-        out = out.orderBy(*[F.col(b) for b in by], *truth_table_order(conditions))
+        out = out.orderBy(*[col(b) for b in by], *truth_table_order(conditions))
     return out
 
 
 def truth_table_order(conditions: list[str]) -> list[Column]:
     """status asc, consistency desc, n_cases desc, then condition values (stable tie order)."""
     return [F.col("status").asc(), F.col("consistency").desc(), F.col("n_cases").desc()] + [
-        F.col(c).asc() for c in conditions
+        col(c).asc() for c in conditions
     ]
 
 
@@ -211,19 +223,15 @@ def configuration_members(
 ) -> DataFrame:
     """Long form of the case lists: one row per case with its configuration label.
 
-    Narrow (a projection). When a truth table is given, its status is attached with a
-    broadcast join: the truth table has at most 2^m rows for m known conditions.
+    Narrow (a projection). When a truth table is given, its status is attached; the (at most 2^m) statuses are written
+    first, so that Spark broadcasts them when they are below its threshold.
     """
     members = qca.select(
-        F.col(case_id),
-        *[F.col(c).cast("int").alias(c) for c in conditions],
+        col(case_id),
+        *[col(c).cast("int").alias(c) for c in conditions],
         configuration_label(conditions).alias("configuration"),
-        F.col(outcome),
+        col(outcome),
     ).filter(all_present(conditions))
     if tt is not None:
-        status_of = tt.select("configuration", "status")
-        # the truth table has at most 2^m rows: broadcast it while that bound is small
-        if 2 ** len(conditions) <= MAX_BROADCAST_CONFIGURATIONS:
-            status_of = F.broadcast(status_of)
-        members = members.join(status_of, "configuration", "left")
+        members = members.join(stored(tt.select("configuration", "status"), "statuses"), "configuration", "left")
     return members

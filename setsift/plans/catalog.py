@@ -18,12 +18,13 @@ from ..operators.calibrate import calibrate, qca_ready
 from ..operators.truth_table import configuration_members, solutions, truth_table
 from ..operators import thresholds as TH
 from .. import constants as K
-from ..functions.text import explanation_terms, shared_terms
+from ..functions.text import explanation_terms
 from ..operators import chart_data as G
 from ..operators import checks as C
 from ..operators import explain as X
 from ..operators import tfidf as T
 from ..operators.partitioning import spread
+from ..session import stored
 
 LI_THRESHOLD = 0.5
 LI_SOLUTION_CUTOFF = 0.333
@@ -68,16 +69,17 @@ def q_qca_ready(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_configuration_members(spark: SparkSession, sf: str) -> DataFrame:
     ready = qca_ready(calibrate(R.em_scores(spark, sf), method="crisp", threshold=EM_THRESHOLD))
+    ready = stored(ready, "qca-ready")  # scored once; the table and its members read this
     tt = truth_table(ready, R.EM_CONDITIONS, sort=False)
     return configuration_members(ready, R.EM_CONDITIONS, tt=tt)
 
 
-def _li_detail(spark: SparkSession, sf: str) -> DataFrame:
-    return TH.sensitivity_detail(R.li_scores(spark, sf), K.DEFAULT_THRESHOLD_GRID, consistency_cutoff=LI_SOLUTION_CUTOFF)
+def _li_detail(spark: SparkSession, sf: str, sort: bool = False) -> DataFrame:
+    return TH.sensitivity_detail(R.li_scores(spark, sf), K.DEFAULT_THRESHOLD_GRID, consistency_cutoff=LI_SOLUTION_CUTOFF, sort=sort)
 
 
 def q_sensitivity_detail(spark: SparkSession, sf: str) -> DataFrame:
-    return _li_detail(spark, sf)
+    return _li_detail(spark, sf, sort=True)
 
 
 def q_sensitivity_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,21 +122,22 @@ def q_explanation_terms(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size("t").alias("n_terms"), F.array_join("t", " ").alias("terms"))
 
 
+def _rich(spark: SparkSession, sf: str) -> DataFrame:
+    return X.rich_explanations(_dl_scores(spark, sf), R.dl_prototypes(spark))
+
+
 def q_shared_terms(spark: SparkSession, sf: str) -> DataFrame:
-    # prototype terms are expressions over literals (folded once), so no join is needed
-    per = F.array(
-        *[
-            F.struct(F.lit(name).alias("condition"), shared_terms(F.col("dt"), explanation_terms(F.lit(text))).alias("m"))
-            for name, text, _ in R.DL_PROTOTYPES
-        ]
-    )
-    d = spread(R.table(spark, sf, "documents"), "doc_id").select("doc_id", explanation_terms(F.col("text")).alias("dt"))
-    j = d.select("doc_id", F.explode(per).alias("p")).select("doc_id", "p.condition", "p.m")
-    return j.select("doc_id", "condition", F.size("m").alias("n_shared"), F.array_join("m", ", ").alias("matched_terms"))
+    """Terms that each document shares with the prototype of its top condition."""
+    n = F.when(F.col("matched_terms") == "", 0).otherwise(F.size(F.split("matched_terms", ", ")))
+    return _rich(spark, sf).select(F.col("case_id").alias("doc_id"), "top_condition", n.alias("n_shared"), "matched_terms")
 
 
 def q_tfidf_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return T.vocabulary(R.table(spark, sf, "documents"), key="doc_id").select("term", "tf", "df")
+    return T.vocabulary(R.table(spark, sf, "documents")).select("term", "tf", "df")
+
+
+def q_tfidf_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _round6(T.tfidf_vectors(R.table(spark, sf, "documents"), "doc_id"), ["weight"])
 
 
 def _dl_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,9 +149,23 @@ def q_tfidf_prototype_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _round6(s, [f"{c}_score" for c in R.DL_CONDITIONS])
 
 
+def _repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents under ids that repeat (about three rows an id) or are missing, and every fifth text once more."""
+    d = R.table(spark, sf, "documents")
+    n = F.floor(F.col("doc_id") / 3)
+    rows = d.select(F.when(F.col("doc_id") % 7 != 0, n).alias("case_id"), "text", F.col("doc_id").alias("row"))
+    return rows.unionByName(d.filter("doc_id % 5 = 0").select(n.alias("case_id"), "text", (-F.col("doc_id") - 1).alias("row")))
+
+
+def q_tfidf_scores_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of rows with repeated and missing ids and repeated texts: each row is scored by its own text."""
+    names = [f"{c}_score" for c in R.DL_CONDITIONS]
+    s = T.tfidf_prototype_scores(_repeated_ids(spark, sf), R.dl_prototypes(spark), R.DL_CONDITIONS)
+    return _round6(s.select("row", "case_id", *names), names)
+
+
 def q_rich_explanations(spark: SparkSession, sf: str) -> DataFrame:
-    s = _dl_scores(spark, sf).select("case_id", "text", "outcome", *[f"{c}_score" for c in R.DL_CONDITIONS])
-    return X.rich_explanations(s, R.dl_prototypes(spark)).drop("text", "top_prototype")
+    return _rich(spark, sf).drop("text")
 
 
 def q_score_long(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,6 +176,10 @@ def q_score_box(spark: SparkSession, sf: str) -> DataFrame:
     return _round6(G.score_box(R.em_scores(spark, sf)), ["min", "q1", "median", "q3", "max"])
 
 
+def q_membership_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return G.membership_matrix(q_crisp_membership(spark, sf), R.EM_CONDITIONS)
+
+
 def q_membership_bins(spark: SparkSession, sf: str) -> DataFrame:
     out, cross, inn = EM_ANCHORS
     fz = calibrate(R.em_scores(spark, sf), method="fuzzy", full_out=out, crossover=cross, full_in=inn)
@@ -170,15 +191,15 @@ def q_coverage_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_label_report(spark: SparkSession, sf: str) -> DataFrame:
-    return C.label_report(R.dl_texts(spark, sf), conditions=["quality", "toxic"])
+    return C.label_report(R.dl_labeled(spark, sf), conditions=["quality", "toxic"])
 
 
 def q_training_report(spark: SparkSession, sf: str) -> DataFrame:
-    return C.training_report(R.dl_texts(spark, sf), ["quality", "toxic"])
+    return C.training_report(R.dl_labeled(spark, sf), ["quality", "toxic"])
 
 
 def q_binary_label_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return C.binary_label_columns_report(R.dl_texts(spark, sf))
+    return C.binary_label_columns_report(R.dl_labeled(spark, sf))
 
 
 def q_prototype_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,20 +209,38 @@ def q_prototype_quality(spark: SparkSession, sf: str) -> DataFrame:
 def q_supervised_scores(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.classify import fit_classifiers
 
-    clf = fit_classifiers(R.dl_texts(spark, sf), ["quality", "toxic"])
+    clf = fit_classifiers(R.dl_labeled(spark, sf), ["quality", "toxic"])
     docs = R.table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text")
     return _round6(clf.predict_scores(docs).drop("text"), ["quality_score", "toxic_score"])
 
 
+def q_logistic_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """The solver's first gradient, per condition and term."""
+    from ..operators.classify import gradient_at_zero
+
+    return gradient_at_zero(R.dl_labeled(spark, sf), ["quality", "toxic"]).withColumn("gradient", F.bround("gradient", 9))
+
+
+def q_label_report_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """The report over labels that are wrong on purpose: other numbers, one class only, booleans, a missing column."""
+    bad = R.dl_labeled(spark, sf).select(
+        F.when(F.col("case_id") % 10 != 0, F.col("text")).alias("text"),
+        (F.col("case_id") % 3).alias("thirds"),
+        F.lit(0).alias("never"),
+        (F.col("toxic") == 1).alias("flag"),
+    )
+    return C.label_report(bad, conditions=["thirds", "never", "flag", "absent"])
+
+
 DL_THRESHOLD = 0.30
 
 
 def q_pipeline_truth_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole prototype-mode run (checks, TF-IDF scoring, checkpoint, calibration,
-    truth table) over documents joined with labels; its truth table is returned."""
+    """The whole prototype-mode run (checks, TF-IDF scoring, checkpoint, calibration, truth table) over all
+    documents, the outcome missing where there is no label; its truth table is returned."""
     from .pipeline import RunSettings, run_prototype
 
-    out = run_prototype(R.dl_texts(spark, sf).select("case_id", "text", "outcome"), R.dl_prototypes(spark),
+    out = run_prototype(R.dl_texts(spark, sf), R.dl_prototypes(spark),
                         RunSettings(crisp_threshold=DL_THRESHOLD, run_threshold_sensitivity=False))
     return out["truth_table"]
 
@@ -226,17 +265,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explanation_terms": q_explanation_terms,
     "shared_terms": q_shared_terms,
     "tfidf_vocabulary": q_tfidf_vocabulary,
+    "tfidf_vectors": q_tfidf_vectors,
     "tfidf_prototype_scores": q_tfidf_prototype_scores,
+    "tfidf_scores_repeated_ids": q_tfidf_scores_repeated_ids,
     "rich_explanations": q_rich_explanations,
     "score_long": q_score_long,
     "score_box": q_score_box,
     "membership_bins": q_membership_bins,
     "coverage_points": q_coverage_points,
     "label_report": q_label_report,
+    "label_report_issues": q_label_report_issues,
     "training_report": q_training_report,
     "binary_label_columns": q_binary_label_columns,
     "prototype_quality": q_prototype_quality,
+    "logistic_gradient": q_logistic_gradient,
     "supervised_scores": q_supervised_scores,
+    "membership_matrix": q_membership_matrix,
     "pipeline_truth_table": q_pipeline_truth_table,
 }
 
@@ -318,6 +362,14 @@ def _oracle_more(em: str, li_tt: str) -> dict[str, str]:
     )
     dl_scores = Q.tfidf_scores_sql(Q.DL_SQL, R.DL_PROTOTYPES, "t.case_id, t.outcome, t.text")
     dl_tt2 = Q.top_two_ctes(dl_scores, R.DL_CONDITIONS, ["case_id", "outcome", "text"])
+    rich = f"""{dl_tt2},
+pr AS (SELECT cond, ptext, {Q.explanation_terms_sql('ptext')} AS pt FROM (VALUES {protos_terms}) v(cond, ptext)),
+x AS (SELECT tt2.*, {Q.confidence_sql('t1', 't2')} AS confidence, pr.ptext,
+             {Q.shared_terms_sql(Q.explanation_terms_sql('tt2.text'), "coalesce(pr.pt, [])")} AS m
+      FROM tt2 LEFT JOIN pr ON pr.cond = tt2.n1)"""
+    repeated = """
+SELECT doc_id AS case_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id // 3 END AS id, text FROM documents
+UNION ALL SELECT -doc_id - 1, doc_id // 3, text FROM documents WHERE doc_id % 5 = 0"""
     return {
         "crisp_domain_report": f"""
 WITH f AS (SELECT {li_f}, outcome FROM ({Q.LI_SCORES_SQL})),
@@ -335,10 +387,8 @@ SELECT {Q.confidence_sql('t1', 't2')} AS confidence, COUNT(*) AS n_cases FROM tt
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n_terms, array_to_string(t, ' ') AS terms
 FROM (SELECT doc_id, {Q.explanation_terms_sql('text')} AS t FROM documents)""",
         "shared_terms": f"""
-WITH d AS (SELECT doc_id, {Q.explanation_terms_sql('text')} AS dt FROM documents),
-p AS (SELECT cond AS condition, {Q.explanation_terms_sql('ptext')} AS pt FROM (VALUES {protos_terms}) v(cond, ptext)),
-m AS (SELECT doc_id, condition, {Q.shared_terms_sql('dt', 'pt')} AS m FROM d, p)
-SELECT doc_id, condition, CAST(len(m) AS INTEGER) AS n_shared, array_to_string(m, ', ') AS matched_terms FROM m""",
+WITH {rich}
+SELECT case_id AS doc_id, n1 AS top_condition, CAST(len(m) AS INTEGER) AS n_shared, array_to_string(m, ', ') AS matched_terms FROM x""",
         "tfidf_vocabulary": f"""
 WITH {Q.vocab_ctes('SELECT doc_id AS id, text FROM documents')}
 SELECT term, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df FROM vocab""",
@@ -346,23 +396,25 @@ SELECT term, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df FROM vocab""",
         + ", ".join(f"round_even({c}_score, 6) AS {c}_score" for c in R.DL_CONDITIONS)
         + f" FROM ({Q.tfidf_scores_sql(Q.DL_SQL, R.DL_PROTOTYPES, 't.case_id, t.outcome')})",
         "rich_explanations": f"""
-WITH {dl_tt2},
-pr AS (SELECT cond, {Q.explanation_terms_sql('ptext')} AS pt FROM (VALUES {protos_terms}) v(cond, ptext)),
-x AS (SELECT tt2.*, {Q.confidence_sql('t1', 't2')} AS confidence,
-             {Q.shared_terms_sql(Q.explanation_terms_sql('tt2.text'), "coalesce(pr.pt, [])")} AS m
-      FROM tt2 LEFT JOIN pr ON pr.cond = tt2.n1)
+WITH {rich}
 SELECT case_id, n1 AS top_condition, round_even(t1, 4) AS top_score, n2 AS second_condition,
        round_even(t2, 4) AS second_score, round_even(t1 - t2, 4) AS score_gap, confidence,
-       array_to_string(m, ', ') AS matched_terms,
-       printf('The text is most strongly associated with ''%s'' (score = %.4f, confidence = %s). ', n1, t1, confidence)
-       || CASE WHEN t2 IS NULL THEN 'No second condition is available.'
-               ELSE printf('The top score exceeds the second-best condition (%s) by %.4f.', n2, t1 - t2) END
+       array_to_string(m, ', ') AS matched_terms, coalesce(ptext, '') AS top_prototype,
+       printf({Q.sql_str(K.NOTE_HEAD)}, n1, t1, confidence)
+       || CASE WHEN t2 IS NULL THEN {Q.sql_str(K.NOTE_NO_SECOND)} ELSE printf({Q.sql_str(K.NOTE_GAP)}, n2, t1 - t2) END
        || ' '
-       || CASE WHEN len(m) > 0 THEN 'Matched lexical cues include: ' || array_to_string(m, ', ') || '.'
-               ELSE 'No direct lexical overlap was detected; the match is mainly based on semantic embedding similarity.' END
+       || CASE WHEN len(m) > 0 THEN printf({Q.sql_str(K.NOTE_MATCHED)}, array_to_string(m, ', ')) ELSE {Q.sql_str(K.NOTE_NO_MATCH)} END
          AS interpretation_note,
        outcome
 FROM x""",
+        "tfidf_vectors": "SELECT id AS doc_id, term, round_even(weight, 6) AS weight FROM ("
+        + Q.tfidf_vectors_sql("SELECT doc_id AS id, text FROM documents") + ")",
+        "tfidf_scores_repeated_ids": "SELECT case_id AS row, id AS case_id, "
+        + ", ".join(f"round_even({c}_score, 6) AS {c}_score" for c in R.DL_CONDITIONS)
+        + f" FROM ({Q.tfidf_scores_sql(repeated, R.DL_PROTOTYPES, 't.case_id, t.id')})",
+        "logistic_gradient": Q.gradient_sql(Q.LABELED_SQL, ["quality", "toxic"]),
+        "membership_matrix": f"SELECT CAST(case_id AS VARCHAR) AS case_id, {Q.crisp_cols(R.EM_CONDITIONS, EM_THRESHOLD)} FROM ({em})",
+        "label_report_issues": _label_issues_sql(),
         "score_long": em_long,
         "score_box": box,
         "membership_bins": f"""
@@ -375,12 +427,12 @@ FROM b GROUP BY condition, bin""",
         "training_report": "\nUNION ALL ".join(
             f"SELECT '{c}' AS condition, COUNT(*) AS n_training_cases, CAST(SUM(COALESCE({c}, 0)) AS BIGINT) AS n_positive, "
             f"CAST(COUNT(*) - SUM(COALESCE({c}, 0)) AS BIGINT) AS n_negative, "
-            f"round_even(SUM(COALESCE({c}, 0)) / COUNT(*), 4) AS positive_rate FROM ({Q.DL_SQL})"
+            f"round_even(SUM(COALESCE({c}, 0)) / COUNT(*), 4) AS positive_rate FROM ({Q.LABELED_SQL})"
             for c in ["quality", "toxic"]
         ),
         "binary_label_columns": "\nUNION ALL ".join(
             f"SELECT '{c}' AS column_name, COALESCE(bool_and({c} IS NULL OR CAST({c} AS DOUBLE) IN (0.0, 1.0)), true) AS is_binary "
-            f"FROM ({Q.DL_SQL})"
+            f"FROM ({Q.LABELED_SQL})"
             for c in ["quality", "toxic"]
         ),
         "prototype_quality": _prototype_issues_sql(),
@@ -390,6 +442,20 @@ FROM b GROUP BY condition, bin""",
     }
 
 
+def _label_issues_sql() -> str:
+    few = "printf('''flag'' has %d rows labelled 1 and %d labelled 0: too few for steady predictions.', pos, n - pos)"
+    return f"""
+WITH d AS ({Q.LABELED_SQL}),
+a AS (SELECT count_if(case_id % 10 = 0 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) IN ('', 'nan', 'None')) AS blank, count(*) AS n,
+             CAST(sum(toxic) AS BIGINT) AS pos, CAST(max(case_id % 3) AS VARCHAR) AS worst FROM d)
+SELECT 'binary_labels' AS "check", 'thirds' AS "column", 'error' AS severity, 'Labels of ''thirds'' are neither 0 nor 1: ' || worst || '.' AS message FROM a
+UNION ALL SELECT 'positives', 'never', 'error', 'No row is labelled 1 for ''never'', so nothing can be learnt.'
+UNION ALL SELECT 'few_examples', 'flag', 'warning', {few} FROM a WHERE (pos > 0 AND pos < 3) OR (n - pos > 0 AND n - pos < 3)
+UNION ALL SELECT 'positives', 'flag', 'error', 'No row is labelled 1 for ''flag'', so nothing can be learnt.' FROM a WHERE pos = 0
+UNION ALL SELECT 'label_column', 'absent', 'error', 'There is no label column ''absent''.'
+UNION ALL SELECT 'empty_text', 'text', 'warning', printf('%d rows have no text.', blank) FROM a WHERE blank > 0"""
+
+
 def _label_report_sql(conds: list[str]) -> str:
     aggs = ", ".join(
         f"COALESCE(bool_and({c} IS NULL OR CAST({c} AS DOUBLE) IN (0.0, 1.0)), true) AS ok_{c}, "
@@ -400,15 +466,15 @@ def _label_report_sql(conds: list[str]) -> str:
     for i, c in enumerate(conds):
         neg = f"(n - pos_{c})"
         rows += [
-            (f"NOT ok_{c}", "binary_labels", c, "error", f"'Column ''{c}'' must contain only 0/1 labels.'"),
+            (f"NOT ok_{c}", "binary_labels", c, "error", f"'Labels of ''{c}'' are neither 0 nor 1.'"),
             (f"ok_{c} AND pos_{c} = 0", "positives", c, "error",
-             f"'Condition ''{c}'' has no positive examples. At least one label=1 is required.'"),
+             f"'No row is labelled 1 for ''{c}'', so nothing can be learnt.'"),
             (f"ok_{c} AND {neg} = 0", "negatives", c, "error",
-             f"'Condition ''{c}'' has no negative examples. At least one label=0 is required.'"),
+             f"'No row is labelled 0 for ''{c}'', so nothing can be learnt.'"),
             (f"ok_{c} AND ((pos_{c} > 0 AND pos_{c} < 3) OR ({neg} > 0 AND {neg} < 3))", "few_examples", c, "warning",
-             f"printf('Condition ''{c}'' has limited examples (positive=%d, negative=%d). Predictions may be unstable.', pos_{c}, {neg})"),
+             f"printf('''{c}'' has %d rows labelled 1 and %d labelled 0: too few for steady predictions.', pos_{c}, {neg})"),
         ]
-    rows.append(("blank > 0", "empty_text", "text", "warning", "printf('%d row(s) have empty text values.', blank)"))
+    rows.append(("blank > 0", "empty_text", "text", "warning", "printf('%d rows have no text.', blank)"))
     sel = "\n  UNION ALL ".join(
         f"SELECT {i} AS o, '{chk}' AS \"check\", '{col}' AS \"column\", '{sev}' AS severity, {msg} AS message FROM a WHERE {cond}"
         for i, (cond, chk, col, sev, msg) in enumerate(rows)
@@ -417,11 +483,11 @@ def _label_report_sql(conds: list[str]) -> str:
 WITH a AS (SELECT COUNT(*) AS n,
                   count_if(text IS NULL OR trim(regexp_replace(text, '\\s+', ' ', 'g')) IN ('', 'nan', 'None')) AS blank,
                   {aggs}
-           FROM ({Q.DL_SQL})),
+           FROM ({Q.LABELED_SQL})),
 i AS ({sel})
 SELECT "check", "column", severity, message FROM i
 UNION ALL
-SELECT 'labeled_data', NULL, 'pass', 'Labeled data passed basic validation checks.' WHERE (SELECT COUNT(*) FROM i) = 0"""
+SELECT 'labeled_data', NULL, 'pass', 'Nothing to object to.' WHERE (SELECT COUNT(*) FROM i) = 0"""
 
 
 def _prototype_issues_sql() -> str:
@@ -434,24 +500,24 @@ WITH p AS (SELECT 'topic' || CAST(item_id % 16 AS VARCHAR) AS condition_name,
            FROM benchmark),
 c AS (SELECT count_if(type = 'condition') AS nc, count_if(type = 'outcome') AS no FROM p)
 SELECT 'empty_value' AS "check", 'condition_name' AS "column", 'error' AS severity, condition_name AS item,
-       'Column ''condition_name'' contains an empty value.' AS message FROM p WHERE {blank('condition_name')}
-UNION ALL SELECT 'empty_value', 'prototype', 'error', condition_name, 'Column ''prototype'' contains an empty value.'
+       '''condition_name'' is empty.' AS message FROM p WHERE {blank('condition_name')}
+UNION ALL SELECT 'empty_value', 'prototype', 'error', condition_name, '''prototype'' is empty.'
   FROM p WHERE {blank('prototype')}
-UNION ALL SELECT 'empty_value', 'type', 'error', condition_name, 'Column ''type'' contains an empty value.'
+UNION ALL SELECT 'empty_value', 'type', 'error', condition_name, '''type'' is empty.'
   FROM p WHERE {blank('type')}
 UNION ALL SELECT 'duplicate_condition_name', 'condition_name', 'error', condition_name,
-       printf('condition_name ''%s'' occurs %d times.', condition_name, COUNT(*))
+       printf('''%s'' names %d rows; only the last would be used.', condition_name, COUNT(*))
   FROM p GROUP BY condition_name HAVING COUNT(*) > 1
 UNION ALL SELECT DISTINCT 'invalid_type', 'type', 'error', type,
-       printf('Invalid type value ''%s''. Allowed values are ''condition'' and ''outcome''.', type)
+       printf('''%s'' is no type; a row is of type ''condition'' or ''outcome''.', type)
   FROM p WHERE type NOT IN ('condition', 'outcome')
 UNION ALL SELECT 'no_condition_prototype', 'type', 'error', NULL,
-       'No condition prototype found. At least one row with type=''condition'' is required.' FROM c WHERE nc = 0
+       'No row is of type ''condition'', so nothing can be scored.' FROM c WHERE nc = 0
 UNION ALL SELECT 'short_prototype', 'prototype', 'warning', condition_name,
-       printf('Prototype of ''%s'' is very short (%d words); scores may be unstable.', condition_name, {words})
+       printf('The prototype of ''%s'' has only %d words; scores may be unsteady.', condition_name, {words})
   FROM p WHERE {words} < 5
 UNION ALL SELECT 'long_prototype', 'prototype', 'warning', condition_name,
-       printf('Prototype of ''%s'' is very long (%d words); it may mix several concepts.', condition_name, {words})
+       printf('The prototype of ''%s'' has %d words; it may mix several concepts.', condition_name, {words})
   FROM p WHERE {words} > 80
 UNION ALL SELECT 'outcome_prototype_notice', 'type', 'info', NULL,
-       printf('%d outcome prototype(s) detected; only condition prototypes are scored.', no) FROM c WHERE no > 0"""
+       printf('%d rows are of type ''outcome''; they are not scored unless asked for.', no) FROM c WHERE no > 0"""

@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import asdict, dataclass, field
+from functools import cache
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.names import col
 from ..operators import chart_data as G
 from ..operators import checks as C
 from ..operators import explain as X
@@ -24,7 +27,7 @@ from ..operators.classify import fit_classifiers
 from ..operators.columns import condition_name, parse_threshold_grid, score_columns
 from ..operators.score import prototype_cosine, prototype_names, select_prototypes
 from ..operators.tfidf import tfidf_prototype_scores
-from ..operators.truth_table import solutions, truth_table
+from ..operators.truth_table import conditions_of, configuration_members, solutions, truth_table
 from ..session import cut_lineage
 from ..sources import io
 
@@ -73,7 +76,7 @@ class RunSettings:
     extra: dict = field(default_factory=dict)
 
 
-def _downstream(out: LazyTables, scores: DataFrame, s: RunSettings, case_id: str, outcome: str, text: str) -> LazyTables:
+def _downstream(out: LazyTables, scores: DataFrame, full: DataFrame, s: RunSettings, case_id: str, outcome: str, text: str) -> LazyTables:
     conditions = [condition_name(c) for c in score_columns(scores)]
     protected = (case_id, text, outcome)
     fuzzy = calibrate(scores, "fuzzy", s.full_out, s.crossover, s.full_in, protected=protected)
@@ -83,26 +86,30 @@ def _downstream(out: LazyTables, scores: DataFrame, s: RunSettings, case_id: str
     tt = truth_table(ready, conditions, outcome=outcome, case_id=case_id,
                      consistency_cutoff=s.consistency_cutoff, min_cases=s.min_cases)
     out.put("score_table", scores)
-    out.add("top_condition_explanation", lambda: X.top_two(scores, case_id=case_id, text=text, outcome=outcome))
-    out.add("threshold_suggestions", lambda: TH.suggest_thresholds(scores))
-    out.add("score_distribution_summary", lambda: TH.score_summary(scores))
+    out.add("top_condition_explanation", lambda: X.top_two(full, case_id=case_id, text=text, outcome=outcome))
+    quantiles = cache(lambda: TH.score_quantiles(scores))  # one selection for three tables
+    out.add("threshold_suggestions", lambda: TH.suggest_thresholds(scores, found=quantiles()))
+    out.add("score_distribution_summary", lambda: TH.score_summary(scores, found=quantiles()))
+    out.add("score_box", lambda: G.score_box(scores, quantiles()))
     out.put("calibrated_membership_table_fuzzy", fuzzy)
     out.put("calibrated_membership_table_crisp", crisp)
     out.put("qca_ready_dataset", ready)
     out.put("truth_table", tt)
     out.add("solution_configurations", lambda: solutions(tt, s.consistency_cutoff, s.min_cases, conditions=conditions))
+    out.add("configuration_members", lambda: configuration_members(ready, conditions, case_id, outcome, tt))
+    out.add("membership_matrix_fuzzy", lambda: G.membership_matrix(fuzzy, conditions, case_id))
+    out.add("membership_matrix_crisp", lambda: G.membership_matrix(crisp, conditions, case_id))
     out.add("score_long", lambda: G.score_long(scores, (case_id, outcome)))
     out.add("membership_bins_fuzzy", lambda: G.membership_bins(fuzzy, conditions))
     out.add("membership_bins_crisp", lambda: G.membership_bins(crisp, conditions))
     out.add("coverage_points", lambda: G.coverage_points(tt))
     if s.run_threshold_sensitivity:
         grid = parse_threshold_grid(s.threshold_grid_text)
-        sens_scores = scores.drop(*[c for c in (text,) if c in scores.columns])
-        sens = TH.threshold_sensitivity(sens_scores, grid, outcome, s.consistency_cutoff, s.min_cases)
-        out.put("threshold_sensitivity_summary", sens["summary"])
-        out.put("threshold_sensitivity_details", sens["detail"])
-        out.put("threshold_sensitivity_solutions", sens["solutions"])
-        out.put("configuration_stability_table", sens["stability"])
+        sens = cache(lambda: TH.threshold_sensitivity(scores, grid, outcome, s.consistency_cutoff, s.min_cases))
+        out.add("threshold_sensitivity_summary", lambda: sens()["summary"])
+        out.add("threshold_sensitivity_details", lambda: sens()["detail"])
+        out.add("threshold_sensitivity_solutions", lambda: sens()["solutions"])
+        out.add("configuration_stability_table", lambda: sens()["stability"])
     settings = {k: v for k, v in asdict(s).items() if k != "extra"} | s.extra
     out.add("analysis_settings", lambda: io.settings_table(scores.sparkSession, settings))
     return out
@@ -118,24 +125,31 @@ def run_prototype(
     vector_col: str | None = None,
     prototype_vector_col: str | None = None,
     checkpoint: bool = True,
+    include_outcome_prototype: bool = False,
 ) -> LazyTables:
     """Prototype mode: cosine to prototype vectors when vector columns are given,
-    otherwise lexical TF-IDF similarity of the texts to the prototype texts."""
+    otherwise lexical TF-IDF similarity of the texts to the prototype texts.
+
+    The texts need an id and a text; without an outcome column every outcome is missing. The checkpoint holds ids,
+    outcomes and scores; tables that show texts (the explanations) read them again."""
     s = settings or RunSettings()
-    report = C.prototype_quality(prototypes)
+    report = C.prototype_issues(prototypes)
     C.raise_on_error(report, "prototype table")
-    base = texts.select(case_id, text, outcome, *([vector_col] if vector_col else []))
+    if outcome not in texts.columns:
+        texts = texts.withColumn(outcome, F.lit(None).cast("int"))
+    base = texts.select(*[col(c) for c in (case_id, text, outcome, *([vector_col] if vector_col else []))])
+    chosen = select_prototypes(prototypes, include_outcome_prototype)
     if vector_col:
-        scores = prototype_cosine(base, prototypes, vector_col, prototype_vector_col or vector_col).drop(vector_col)
+        full = prototype_cosine(base, prototypes, vector_col, prototype_vector_col or vector_col, include_outcome_prototype).drop(vector_col)
     else:
-        names = prototype_names(prototypes)
-        scores = tfidf_prototype_scores(base, select_prototypes(prototypes), names, text)
+        full = tfidf_prototype_scores(base, chosen, prototype_names(prototypes, include_outcome_prototype), text)
+    scores = full.drop(text)
     if checkpoint:
         scores = cut_lineage(scores)
     out = LazyTables()
     out.put("prototype_quality", report)
-    _downstream(out, scores, s, case_id, outcome, text)
-    out.add("rich_text_prototype_explanations", lambda: X.rich_explanations(scores, prototypes, text, case_id, outcome))
+    _downstream(out, scores, full, s, case_id, outcome, text)
+    out.add("rich_text_prototype_explanations", lambda: X.rich_explanations(full, prototypes, text, case_id, outcome, include_outcome=include_outcome_prototype))
     return out
 
 
@@ -157,44 +171,53 @@ def run_supervised(
     report = C.label_report(labeled, text, conditions)
     C.raise_on_error(report, "labeled training data")
     clf = fit_classifiers(labeled, conditions, text, validate=False)
-    scores = clf.predict_scores(texts.select(case_id, text, outcome))
+    if outcome not in texts.columns:
+        texts = texts.withColumn(outcome, F.lit(None).cast("int"))
+    full = clf.predict_scores(texts.select(*[col(c) for c in (case_id, text, outcome)]))
+    scores = full.drop(text)
     if checkpoint:
         scores = cut_lineage(scores)
     out = LazyTables()
     out.put("supervised_validation_report", report)
     out.add("supervised_training_report", lambda: C.training_report(labeled, conditions))
-    return _downstream(out, scores, s, case_id, outcome, text)
+    return _downstream(out, scores, full, s, case_id, outcome, text)
 
 
 # ---------------------------------------------------------------- stage-wise runs (files in, files out)
-def score_stage(spark, texts_path: str, prototypes_path: str, out_path: str, fmt: str = "parquet") -> str:
-    texts = io.read_texts(spark, texts_path, fmt)
+def score_stage(spark, texts_path: str, prototypes_path: str, out_path: str, fmt: str = "parquet", text: str = "text",
+                case_id: str = "case_id", include_outcome_prototype: bool = False) -> str:
+    texts = io.read_texts(spark, texts_path, fmt, text=text, case_id=case_id)
     protos = io.read_prototypes(spark, prototypes_path, "csv" if prototypes_path.endswith(".csv") else "parquet")
-    names = prototype_names(protos)
-    scores = tfidf_prototype_scores(texts, select_prototypes(protos), names)
+    names = prototype_names(protos, include_outcome_prototype)
+    scores = tfidf_prototype_scores(texts, select_prototypes(protos, include_outcome_prototype), names, text)
     return io.write_table(scores, out_path, fmt)
 
 
-def calibration_stage(spark, scores_path: str, out_dir: str, settings: RunSettings | None = None, fmt: str = "parquet") -> dict:
+def calibration_stage(spark, scores_path: str, out_dir: str, settings: RunSettings | None = None, fmt: str = "parquet",
+                      text: str = "text", case_id: str = "case_id", outcome: str = "outcome") -> dict:
     s = settings or RunSettings()
     scores = io.read_scores(spark, scores_path, fmt)
-    fuzzy = calibrate(scores, "fuzzy", s.full_out, s.crossover, s.full_in)
-    crisp = calibrate(scores, "crisp", threshold=s.crisp_threshold)
-    return io.write_bundle(
-        {"calibrated_membership_table_fuzzy": fuzzy, "calibrated_membership_table_crisp": crisp, "qca_ready_dataset": qca_ready(crisp)},
-        out_dir, fmt,
-    )
+    roles = (case_id, text, outcome)
+    fuzzy = calibrate(scores, "fuzzy", s.full_out, s.crossover, s.full_in, protected=roles)
+    crisp = calibrate(scores, "crisp", threshold=s.crisp_threshold, protected=roles)
+    ready = qca_ready(crisp, outcome=outcome, case_id=case_id)
+    return io.write_bundle({"calibrated_membership_table_fuzzy": fuzzy, "calibrated_membership_table_crisp": crisp, "qca_ready_dataset": ready}, out_dir, fmt)
 
 
-def qca_stage(spark, ready_path: str, out_dir: str, settings: RunSettings | None = None, fmt: str = "parquet") -> dict:
+def qca_stage(spark, ready_path: str, out_dir: str, settings: RunSettings | None = None, fmt: str = "parquet",
+              case_id: str = "case_id", outcome: str = "outcome") -> dict:
     s = settings or RunSettings()
-    ready = io.read_qca_ready(spark, ready_path, fmt)
-    tt = truth_table(ready, consistency_cutoff=s.consistency_cutoff, min_cases=s.min_cases)
-    return io.write_bundle({"truth_table": tt, "solution_configurations": solutions(tt, s.consistency_cutoff, s.min_cases)}, out_dir, fmt)
+    ready = io.read_qca_ready(spark, ready_path, fmt, outcome)
+    tt = truth_table(ready, outcome=outcome, case_id=case_id, consistency_cutoff=s.consistency_cutoff, min_cases=s.min_cases)
+    tables = {"truth_table": tt, "solution_configurations": solutions(tt, s.consistency_cutoff, s.min_cases)}
+    if case_id in ready.columns:
+        tables["configuration_members"] = configuration_members(ready, conditions_of(tt), case_id, outcome, tt)
+    return io.write_bundle(tables, out_dir, fmt)
 
 
-def chart_stage(spark, scores_path: str, truth_table_path: str, out_dir: str, fmt: str = "parquet") -> dict:
+def chart_stage(spark, scores_path: str, truth_table_path: str, out_dir: str, fmt: str = "parquet", case_id: str = "case_id",
+                outcome: str = "outcome") -> dict:
     scores = io.read_scores(spark, scores_path, fmt)
     tt = io.read_table(spark, truth_table_path, fmt)
-    return io.write_bundle({"score_long": G.score_long(scores), "score_box": G.score_box(scores),
+    return io.write_bundle({"score_long": G.score_long(scores, (case_id, outcome)), "score_box": G.score_box(scores),
                             "coverage_points": G.coverage_points(tt)}, out_dir, fmt)

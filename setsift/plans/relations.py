@@ -7,7 +7,7 @@ id where the table has one). Column pruning and filters reach the parquet scan.
 - LI  (``lineitem``): three scores from discount, tax and quantity; outcome = flag R.
 - EM  (``embeddings``): cosine of every vector to four prototype vectors (the lowest
   ``vec_id`` of labels 0..3); outcome = label parity.
-- DL  (``documents`` joined with ``labels``): text, outcome = quality, plus labels.
+- DL  (``documents``, with ``labels`` where there are any): text, outcome = quality, labels.
 """
 
 from __future__ import annotations
@@ -74,10 +74,9 @@ def em_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("embedding")
 
 
-def dl_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dl(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id").select(
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id", how).select(
         F.col("doc_id").alias("case_id"),
         F.col("text"),
         F.col("quality").cast("int").alias("outcome"),
@@ -86,6 +85,16 @@ def dl_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dl_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; the outcome is missing where a document has no label."""
+    return _dl(spark, sf_dir, "left").drop("quality", "toxic")
+
+
+def dl_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents, for training and its checks."""
+    return _dl(spark, sf_dir, "inner")
+
+
 def dl_prototypes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DL_PROTOTYPES, "condition_name string, prototype string, type string")
 

@@ -202,10 +202,13 @@ def quantile_rows_sql(scores_sql: str, conditions: list[str], rows: list[tuple],
 
 
 # ---------------------------------------------------------------- text, TF-IDF, explanations
-DL_SQL = """
+LABELED_SQL = """
 SELECT d.doc_id AS case_id, d.text, CAST(l.quality AS INTEGER) AS outcome,
        CAST(l.quality AS INTEGER) AS quality, CAST(l.toxic AS INTEGER) AS toxic
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
+DL_SQL = """
+SELECT d.doc_id AS case_id, d.text, CAST(l.quality AS INTEGER) AS outcome
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 
 
 def sql_str(s: str) -> str:
@@ -217,9 +220,9 @@ def norm_text_sql(t: str) -> str:
 
 
 def explanation_terms_sql(t: str) -> str:
-    from ..constants import STOPWORDS_HAN, STOPWORDS_LATIN
+    from ..constants import STOPWORDS
 
-    stop = "[" + ", ".join(sql_str(w) for w in STOPWORDS_LATIN + STOPWORDS_HAN) + "]"
+    stop = "[" + ", ".join(sql_str(w) for w in STOPWORDS) + "]"
     n = norm_text_sql(t)
     latin = f"regexp_extract_all(lower({n}), '[a-zA-Z][a-zA-Z_\\-]{{2,}}')"
     han = (
@@ -246,25 +249,52 @@ def grams_sql(src: str) -> str:
    SELECT id, substr(p, i, 2) AS term FROM (SELECT id, p, unnest(range(1, length(p))) AS i FROM p))"""
 
 
-def vocab_ctes(docs_sql: str, max_features: int = 5000, max_df: float = 0.95) -> str:
-    """CTEs docs(id, text), dt(id, term, c), nd(n), vocab(term, tf, df, n)."""
+def vocab_ctes(docs_sql: str, max_features: int | None = 5000, max_df: float = 0.95) -> str:
+    """CTEs docs(id, text), dt(id, term, c), nd(n), vocab(term, tf, df, n); all terms without ``max_features``."""
+    capped = f"WHERE df <= {max_df!r} * n AND df >= 1 ORDER BY tf DESC, term ASC LIMIT {max_features}" if max_features else ""
     return f"""docs AS ({docs_sql}),
 dt AS (SELECT id, term, COUNT(*) AS c FROM {grams_sql('docs')} GROUP BY id, term),
 nd AS (SELECT COUNT(*) AS n FROM docs),
 st AS (SELECT term, SUM(c) AS tf, COUNT(*) AS df FROM dt GROUP BY term),
-vocab AS (SELECT term, tf, df, n FROM st, nd WHERE df <= {max_df!r} * n AND df >= 1
-          ORDER BY tf DESC, term ASC LIMIT {max_features})"""
+vocab AS (SELECT term, tf, df, n FROM st, nd {capped})"""
+
+
+def tfidf_vectors_sql(docs_sql: str) -> str:
+    """(id, term, weight): L2-normalised TF-IDF vectors over the capped vocabulary."""
+    return f"""
+WITH {vocab_ctes(docs_sql)},
+idf AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM vocab),
+dw AS (SELECT dt.id, dt.term, dt.c * idf.idf AS x FROM dt JOIN idf ON idf.term = dt.term),
+dn AS (SELECT id, sqrt(SUM(x * x)) AS nrm FROM dw GROUP BY id)
+SELECT dw.id, dw.term, dw.x / dn.nrm AS weight FROM dw JOIN dn ON dn.id = dw.id"""
+
+
+def gradient_sql(labeled_sql: str, labels: list[str]) -> str:
+    """(condition, term, gradient) of the class-weighted mean log loss at zero coefficients."""
+    each = "\n  UNION ALL ".join(
+        f"SELECT case_id AS id, '{c}' AS condition, CASE WHEN {c} = 1 THEN n / (2.0 * p) ELSE n / (2.0 * (n - p)) END AS w, {c} AS y "
+        f"FROM l, (SELECT count(*)::DOUBLE AS n, sum({c})::DOUBLE AS p FROM l)"
+        for c in labels
+    )
+    return f"""
+WITH l AS ({labeled_sql}),
+v AS ({tfidf_vectors_sql('SELECT case_id AS id, text FROM l')}),
+r AS ({each}),
+s AS (SELECT condition, sum(w) AS w, sum(w * (0.5 - y)) AS g FROM r GROUP BY condition)
+SELECT r.condition, v.term, round_even(sum(r.w * (0.5 - r.y) * v.weight) / any_value(s.w), 9) AS gradient
+FROM r JOIN v ON v.id = r.id JOIN s ON s.condition = r.condition GROUP BY r.condition, v.term
+UNION ALL SELECT condition, NULL, round_even(g / w, 9) FROM s"""
 
 
 def tfidf_scores_sql(texts_sql: str, prototypes: list[tuple], keep: str) -> str:
-    """Wide cosine scores of TF-IDF vectors (vocabulary fitted on the texts)."""
+    """Wide cosine scores of TF-IDF vectors (document frequencies of the texts, all terms)."""
     vals = ", ".join(f"({sql_str(n)}, {sql_str(p)})" for n, p, _ in prototypes)
     piv = ", ".join(
         f"COALESCE(MAX(pair.s) FILTER (WHERE pair.cond = {sql_str(n)}), 0.0) AS {n}_score" for n, _, _ in prototypes
     )
     return f"""
 WITH t AS ({texts_sql}),
-{vocab_ctes('SELECT case_id AS id, text FROM t')},
+{vocab_ctes('SELECT case_id AS id, text FROM t', None)},
 idf AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM vocab),
 dw AS (SELECT dt.id, dt.term, dt.c * idf.idf AS x FROM dt JOIN idf ON idf.term = dt.term),
 dn AS (SELECT id, sqrt(SUM(x * x)) AS nrm FROM dw GROUP BY id),

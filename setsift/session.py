@@ -1,15 +1,15 @@
-"""Spark session defaults and lineage cutting.
+"""Session defaults, and where intermediate tables go.
 
-The library never builds its own session inside an operator; this module is for
-scripts, tests and the bench. Lineage is cut with ``DataFrame.checkpoint`` into the
-shared folder the cluster names in ``spark.checkpoint.dir``; a folder of our own is
-set only when that setting is missing on a local master (tests).
+The library never builds its own session inside an operator; ``get_session`` is for scripts. Intermediate tables and
+checkpoints go to the shared folder the cluster names in ``spark.checkpoint.dir``; a folder of our own is set only when
+that setting is missing on a local master.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +26,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("SETSIFT_DRIVER_MEMORY", "16g"),
     }
     if shuffle_partitions:
@@ -38,21 +39,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set one only when unset on a local master."""
+    """The shared folder; one of our own only when unset on a local master."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(d)
-        return d
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder the cluster can read.")
-    d = tempfile.mkdtemp(prefix="setsift-ckpt-")
-    sc.setCheckpointDir(d)
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d:
+        if sc.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder the cluster can read.")
+        d = tempfile.mkdtemp(prefix="setsift-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, ends the lineage."""
+    """Reliable checkpoint: survives executor loss, ends the lineage. Spark removes its files with the last reference
+    to it when ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``get_session`` does."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: as safe as a checkpoint, and the planner knows the
+    size of what it joins, so it broadcasts the table only below its own threshold."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

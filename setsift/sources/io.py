@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.names import col
 from .. import constants as K
 from ..operators.columns import require_columns, score_columns
 
@@ -40,14 +41,24 @@ def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
     """Text dataset: requires the id and text columns; text becomes a string."""
     df = read_table(spark, path, fmt, schema if schema is not None or fmt != "csv" else TEXTS_SCHEMA)
     require_columns(df, [case_id, text], "text dataset")
-    return df.withColumn(text, F.col(text).cast("string"))
+    if fmt == "csv" and schema is None:
+        df = _typed_ids(df, case_id)
+    return df.withColumn(text, col(text).cast("string"))
+
+
+def _typed_ids(df: DataFrame, case_id: str) -> DataFrame:
+    """Ids of a CSV file as numbers when each of them is the plain writing of one (no sign, no leading zero), so that
+    they sort as numbers; one pass over the id column."""
+    plain = col(case_id).rlike(r"^(0|[1-9][0-9]{0,17})$")
+    others = df.agg(F.count_if(col(case_id).isNotNull() & ~plain)).first()[0]
+    return df if others else df.withColumn(case_id, col(case_id).cast("long"))
 
 
 def read_prototypes(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Prototype table: condition_name, prototype, type, all strings."""
     df = read_table(spark, path, fmt, PROTOTYPES_SCHEMA if fmt == "csv" else None)
     require_columns(df, K.PROTOTYPE_COLUMNS, "prototypes")
-    return df.select(*[F.col(c).cast("string").alias(c) for c in K.PROTOTYPE_COLUMNS])
+    return df.select(*[col(c).cast("string").alias(c) for c in K.PROTOTYPE_COLUMNS])
 
 
 def read_scores(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | StructType | None = None) -> DataFrame:
@@ -61,7 +72,7 @@ def read_qca_ready(spark: SparkSession, path: str, fmt: str = "parquet", outcome
                    schema: str | StructType | None = None) -> DataFrame:
     df = read_table(spark, path, fmt, schema)
     if outcome not in df.columns:
-        raise ValueError(f"The dataset must contain an '{outcome}' column.")
+        raise ValueError(f"the QCA-ready table has no outcome column '{outcome}'")
     return df
 
 

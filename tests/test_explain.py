@@ -52,8 +52,7 @@ def test_rich_explanations(spark, demo_scores):
     assert r5.top_condition == "dissatisfaction"
     assert "收费" in r5.matched_terms.split(", ")
     assert r5.interpretation_note.startswith(
-        "The text is most strongly associated with 'dissatisfaction' (score = 0.3371, confidence = low). "
-        "The top score exceeds the second-best condition (policy_demand) by 0.2605. Matched lexical cues include: ")
+        "'dissatisfaction' fits best (score 0.3371, confidence low). It leads 'policy_demand' by 0.2605. Terms in common")
     assert r5.top_prototype.startswith("The citizen complains")
     # longest first, then alphabetical
     terms = r5.matched_terms.split(", ")

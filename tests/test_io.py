@@ -17,10 +17,10 @@ def test_read_texts_csv_with_bom_quotes_and_newlines(spark):
     d = tempfile.mkdtemp(prefix="setsift-io-")
     _write(f"{d}/texts.csv", 'case_id,text,outcome\n1,"a, b",1\n2,"line one\nline two",0\n3,"say ""hi""",1\n', bom=True)
     rows = {r.case_id: r for r in io.read_texts(spark, f"{d}/texts.csv", "csv").collect()}
-    assert rows["1"].text == "a, b"
-    assert rows["2"].text == "line one\nline two"
-    assert rows["3"].text == 'say "hi"'
-    assert rows["2"].outcome == 0
+    assert rows[1].text == "a, b"
+    assert rows[2].text == "line one\nline two"
+    assert rows[3].text == 'say "hi"'
+    assert rows[2].outcome == 0
 
 
 def test_read_prototypes_csv(spark):

@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from setsift.plans.catalog import QUERIES, oracle
 from conftest import SF01
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = E.oracle_sql()
+SQL = oracle()
 SLOW = {"supervised_scores"}
 
 
@@ -29,13 +30,13 @@ def duck():
 
 
 def test_every_query_has_oracle_or_is_documented():
-    assert set(E.queries()) - set(SQL) <= SLOW
+    assert set(QUERIES) - set(SQL) <= SLOW
 
 
 @pytest.mark.skipif(not os.path.exists(SF01), reason="no test data")
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_duckdb(spark, duck, name):
-    df = E.queries()[name](spark, SF01)
+    df = QUERIES[name](spark, SF01)
     cols = df.columns
     srows = sorted(tuple(_norm(r[c]) for c in sorted(cols)) for r in df.collect())
     res = duck.execute(SQL[name])

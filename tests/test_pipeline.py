@@ -1,9 +1,9 @@
 import tempfile
 
 from fixtures import CONDITIONS, DEMO_PROTOTYPES, DEMO_TEXTS, LABELED_DEMO
-from setsift.plans.pipeline import RunSettings, calibration_stage, qca_stage, run_prototype, run_supervised
+from setsift.plans.pipeline import RunSettings, calibration_stage, chart_stage, qca_stage, run_prototype, run_supervised, score_stage
 from setsift.sources import io
-from setsift.operators.checks import prototype_quality
+from setsift.operators.checks import prototype_issues
 
 
 def _texts(spark):
@@ -48,14 +48,60 @@ def test_stage_roundtrip(spark, demo_scores):
     assert len(tt) == 6
 
 
-def test_prototype_quality_messages(spark):
-    rows = prototype_quality(_protos(spark)).collect()
+def test_run_has_members_boxes_matrices_and_scores_without_outcome(spark):
+    out = run_prototype(_texts(spark).drop("outcome"), _protos(spark), include_outcome_prototype=True)
+    assert [c for c in out["score_table"].columns if c.endswith("_score")] == [f"{p[0]}_score" for p in DEMO_PROTOTYPES]
+    assert "text" not in out["score_table"].columns
+    members = out["configuration_members"].collect()
+    assert sorted(r.case_id for r in members) == sorted(t[0] for t in DEMO_TEXTS) and all(r.status for r in members)
+    assert out["score_box"].count() == len(DEMO_PROTOTYPES)
+    assert out["membership_matrix_crisp"].count() == out["membership_matrix_fuzzy"].count() == 10
+    assert {r.outcome_positive_cases for r in out["truth_table"].collect()} == {0}
+    assert out["top_condition_explanation"].filter("text is null").count() == 0
+
+
+def test_score_and_chart_stages_with_other_roles(spark):
+    d = tempfile.mkdtemp(prefix="setsift-test-")
+    texts = _texts(spark).toDF("nr", "body", "result")
+    io.write_table(texts, f"{d}/texts")
+    io.write_table(_protos(spark), f"{d}/protos")
+    score_stage(spark, f"{d}/texts", f"{d}/protos", f"{d}/scores", text="body", case_id="nr")
+    scores = io.read_scores(spark, f"{d}/scores")
+    assert scores.columns[:3] == ["nr", "body", "result"] and set(scores.columns[3:]) == {f"{c}_score" for c in CONDITIONS}
+    calibration_stage(spark, f"{d}/scores", d, text="body", case_id="nr", outcome="result")
+    assert qca_stage(spark, f"{d}/qca_ready_dataset", d, case_id="nr", outcome="result").keys() >= {"truth_table", "configuration_members"}
+    made = chart_stage(spark, f"{d}/scores", f"{d}/truth_table", d, case_id="nr", outcome="result")
+    assert io.read_table(spark, made["score_long"]).count() == 30 and io.read_table(spark, made["score_box"]).count() == 3
+
+
+def test_csv_ids_are_numbers_when_all_are(spark):
+    d = tempfile.mkdtemp(prefix="setsift-test-")
+    io.write_table(_texts(spark), f"{d}/a", "csv")
+    assert dict(io.read_texts(spark, f"{d}/a", "csv").dtypes)["case_id"] == "bigint"
+    io.write_table(spark.createDataFrame([("01", "x", 1), ("2", "y", 0)], "case_id string, text string, outcome int"), f"{d}/b", "csv")
+    assert sorted(r.case_id for r in io.read_texts(spark, f"{d}/b", "csv").collect()) == ["01", "2"]
+
+
+def test_labeled_csv(spark):
+    d = tempfile.mkdtemp(prefix="setsift-test-")
+    labeled = spark.createDataFrame(LABELED_DEMO, "case_id string, text string, " + ", ".join(f"{c} int" for c in CONDITIONS))
+    io.write_table(labeled, f"{d}/labeled", "csv")
+    back = io.read_labeled(spark, f"{d}/labeled", "csv", labeled.schema)
+    assert sorted(back.collect()) == sorted(labeled.collect())
+
+
+def test_prototype_issues(spark):
+    rows = prototype_issues(_protos(spark)).collect()
     assert [(r.check, r.severity) for r in rows] == [("outcome_prototype_notice", "info")]
     bad = spark.createDataFrame(
         [("a", "short text", "condition"), ("a", "", "weird"), ("b", " ".join(["w"] * 90), "outcome")],
         "condition_name string, prototype string, type string")
-    checks = [(r.check, r.severity) for r in prototype_quality(bad).collect()]
-    assert checks == [("empty_value", "error"), ("duplicate_condition_name", "error"), ("invalid_type", "error"),
-                      ("short_prototype", "warning"), ("long_prototype", "warning"), ("outcome_prototype_notice", "info")]
-    missing = prototype_quality(bad.drop("type")).collect()
+    checks = [(r.check, r.severity, r.item) for r in prototype_issues(bad).collect()]
+    assert checks == [("empty_value", "error", "a"), ("duplicate_condition_name", "error", "a"), ("invalid_type", "error", "weird"),
+                      ("short_prototype", "warning", "a"), ("short_prototype", "warning", "a"), ("long_prototype", "warning", "b"),
+                      ("outcome_prototype_notice", "info", None)]
+    assert [r.check for r in prototype_issues(bad.limit(0)).collect()] == ["no_condition_prototype"]
+    fine = spark.createDataFrame([("a", "one two three four five six", "condition")], "condition_name string, prototype string, type string")
+    assert [(r.check, r.severity) for r in prototype_issues(fine).collect()] == [("prototype_quality", "pass")]
+    missing = prototype_issues(bad.drop("type")).collect()
     assert missing[0].check == "required_column"

@@ -44,10 +44,12 @@ def test_stability_golden(demo_scores):
     assert got == STABILITY
 
 
-def test_levels_equal_explode(demo_scores):
-    a = sensitivity_detail(demo_scores, use_levels=True).collect()
-    b = sensitivity_detail(demo_scores, use_levels=False).collect()
-    assert a == b
+def test_grid_equals_single_tables(demo_scores):
+    """The grid in one pass gives what a truth table at each threshold gives."""
+    got = sensitivity_detail(demo_scores).collect()
+    for t in {r.threshold for r in got}:
+        tt = truth_table(qca_ready(calibrate(demo_scores, method="crisp", threshold=t)), CONDITIONS).collect()
+        assert [tuple(r)[1:] for r in got if r.threshold == t] == [tuple(r) for r in tt]
 
 
 def test_single_threshold_equals_truth_table(demo_scores):
@@ -79,7 +81,7 @@ def test_histogram_select_matches_sort(spark):
     vals = [rnd.random() ** 3 for _ in range(5000)] + [0.5] * 2000
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.6, 0.75, 0.99, 1.0]
-    got = exact_quantiles(df, "v", probs, max_exact=50, bins=16)
+    got = exact_quantiles(df, "v", probs, bins=16)
     import numpy as np
     exp = np.quantile(np.array(vals), probs)
     for p, e in zip(probs, exp):
@@ -97,9 +99,45 @@ def test_grouped_select_matches_numpy(spark):
     data = {g: [rnd.gauss(g, 1) ** 2 for _ in range(800 * (g + 1))] + [float(g)] * 300 for g in range(3)}
     df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs], "g int, v double")
     probs = [0.0, 0.25, 0.5, 0.6, 0.75, 1.0]
-    got = grouped_quantiles(df, "g", "v", probs, max_exact=40, bins=8)
+    got = grouped_quantiles(df, "g", "v", probs, bins=8)
     for g, vs in data.items():
         exp = np.quantile(np.array(vs), probs)
         assert got[g]["n"] == len(vs)
         for p, e in zip(probs, exp):
             assert abs(got[g][p] - e) < 1e-12
+
+
+def test_quantiles_end_on_infinities_and_heavy_tails(spark):
+    import numpy as np
+
+    from setsift.operators.quantiles import exact_quantiles
+
+    inf = float("inf")
+    cases = [
+        [0.1 * i for i in range(50)] + [inf],
+        [-inf, -inf, 1.0, 2.0, inf],
+        [10.0**k for k in range(-300, 300, 7)] + [0.0] * 20,
+        [0.0, 5e-324, 1e-323, 1.5e-323] * 3,
+        [-1.7e308, 1.7e308, 0.0, 1.0],
+        [0.25] * 1000 + [0.5],
+        [inf] * 3,
+    ]
+    probs = [0.0, 0.25, 0.5, 0.6, 0.75, 1.0]
+    for values in cases:
+        got = exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", probs)
+        x = sorted(values)
+        for p in probs:
+            h = (len(x) - 1) * p
+            a, b = x[int(np.floor(h))], x[min(int(np.floor(h)) + 1, len(x) - 1)]
+            want = a if a == b or h == int(h) else a + (b - a) * (h - int(h))
+            assert got[p] == want or abs(got[p] - want) <= max(1e-12 * max(abs(a), abs(b)), 5e-324)
+
+
+def test_one_selection_gives_all_three_tables(spark, demo_scores):
+    from setsift.operators import chart_data as G
+    from setsift.operators import thresholds as TH
+
+    found = TH.score_quantiles(demo_scores)
+    assert TH.suggest_thresholds(demo_scores, found=found).collect() == TH.suggest_thresholds(demo_scores).collect()
+    assert TH.score_summary(demo_scores, found=found).collect() == TH.score_summary(demo_scores).collect()
+    assert G.score_box(demo_scores, found).collect() == G.score_box(demo_scores).collect()

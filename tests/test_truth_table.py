@@ -41,7 +41,7 @@ def test_qca_ready_projection(demo_scores):
 
 def test_non_crisp_raises(demo_scores):
     fz = qca_ready(calibrate(demo_scores, method="fuzzy"))
-    with pytest.raises(Exception, match="non-crisp"):
+    with pytest.raises(Exception, match="must be 0 or 1"):
         truth_table(fz, CONDITIONS).collect()
 
 
