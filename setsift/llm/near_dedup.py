@@ -7,9 +7,11 @@ documents of similarity 0.8 share none of them with a probability of (1 - 0.8**5
 that share one get a joint maximum-likelihood estimate of their similarity; those that are not far below the bound are
 verified on the full shingle sets. Sets that are equal are one class from the start, so copies are never compared.
 
-A band key shared by many classes is not expanded into pairs: each class is first compared with the least one. The links
-found give components, and only where a key still holds classes of several components are pairs made, between
-components alone. So all links that could join two components are tested.
+A band key shared by many classes is not expanded into pairs: each class is first compared with the key's most connected
+class (an original rather than one of its copies). The links found give components. Where classes that could be linked
+through shared keys still form several components, those outside the largest are compared with all others, in blocks of
+BLOCK times BLOCK classes inside a task that returns links only. So every pair that shares a key and could join two
+components is tested.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ B, RATE = 1.001, 20.0
 #: Estimates this far below the bound (six standard deviations) are not verified.
 MARGIN = 6 * math.sqrt(0.8 * 0.2 / M)
 SLICE = 1 << 20
+#: Classes on each side of a block of comparisons.
+BLOCK = 256
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +159,57 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(_class_of(h, cut)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))], names=["cls", "elements"])
 
 
+def _block_links(t: pa.Table) -> pa.Table:
+    """Links between the rows with ``left`` and the others, of different components, that share a band key.
+
+    A pair whose components are joined by a link of the same block is left out: it would join nothing.
+    """
+    left = np.array(t.column("left").to_numpy(zero_copy_only=False), bool)
+    cls, root = t.column("cls").to_numpy(), t.column("root").to_numpy()
+    regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, M)
+    sets = [np.sort(np.array(x.values.to_numpy(), np.int64)) for x in t.column("elements")]
+    size = np.array([len(x) for x in sets], float)
+    right = np.flatnonzero(~left)
+    joined: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
+    found = []
+    for i in np.flatnonzero(left):
+        same = regs[right] == regs[i]
+        near = right[same.reshape(-1, BANDS, ROWS).all(2).any(1) & (root[right] != root[i])]
+        if len(near):
+            own = np.broadcast_to(regs[i], (len(near), M))
+            near = near[estimate(own, regs[near], np.full(len(near), size[i]), size[near]) >= PERCENT / 100 - MARGIN]
+        for j in near:
+            if find(root[i]) != find(root[j]):
+                common = np.isin(sets[i], sets[j], assume_unique=True).sum()
+                if common * 100 >= (size[i] + size[j] - common) * PERCENT:
+                    found.append((int(cls[i]), int(cls[j])))
+                    joined[find(root[i])] = find(root[j])
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+
+def _links_between(labelled: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the components (``root``) of each cluster of ``labelled`` (cls, cluster, root): all classes
+    outside the cluster's largest component against all of the cluster, block by block."""
+    per_root = labelled.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    clusters = per_root.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    clusters = clusters.filter(F.col("all") > F.col("most"))
+    rows = labelled.join(clusters, "cluster").withColumn("stray", F.col("root") != F.col("main"))
+    rows = rows.withColumn("lefts", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")).withColumn("rights", F.ceil(F.col("all") / BLOCK).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    as_right = F.transform(every("lefts"), lambda i: F.struct(i.alias("i"), at("rights").alias("j"), F.lit(False).alias("left")))
+    as_left = F.transform(every("rights"), lambda j: F.struct(at("lefts").alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    copies = rows.select("cluster", "cls", "root", F.explode(F.concat(as_right, F.when(F.col("stray"), as_left).otherwise(F.array()))).alias("x"))
+    full = copies.select("cluster", "x.i", "x.j", "x.left", "cls", "root").join(classes.select("cls", "sketch"), "cls").join(sets, "cls")
+    return full.groupBy("cluster", "i", "j").applyInArrow(_block_links, "a long, b long")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of classes, those with 100 * intersection >= 80 * union."""
     sketch = classes.select("cls", "sketch", "n")
@@ -167,7 +222,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of the links (a, b), root being the component's least node.
+    """(node, root) of every node of the links (a, b) but the roots themselves, root being the component's least node.
 
     Large-star and small-star steps in turn until nothing changes; each is a minimum by key and a join, and each round
     is written to the shared folder. Nothing is gathered: what the driver sees of a round is two numbers.
@@ -182,7 +237,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         edges = written(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select("v", "m")).distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             return edges.toDF("node", "root")
         state = now
 
@@ -194,21 +249,22 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = rows.filter(F.col("cls").isNotNull())
     classes = written(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("doc_key").alias("rep_key"), F.first("sketch").alias("sketch")), "near-classes")
     bands = classes.select("cls", "sketch").mapInArrow(_bands, "band long, cls long")
-    shared = bands.groupBy("band").agg(F.min("cls").alias("center"), F.max("cls").alias("last")).filter("center <> last").select("band", "center")
-    shared = written(bands.join(shared, "band"), "near-bands")
+    keys = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(bands.join(keys, "band"), "near-bands")
+    # a key's center is its class that shares most keys with others: an original rather than one of its copies
+    popular = shared.groupBy("cls").agg(F.sum("n").alias("p"))
+    centers = shared.select("band", "cls").join(popular, "cls").groupBy("band").agg(F.max_by("cls", F.struct("p", "cls")).alias("center"))
+    stars = shared.select("band", "cls").join(centers, "band").filter("cls <> center")
+    stars = written(stars.select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct(), "near-stars")
     involved = shared.select("cls").distinct().join(classes.select("cls", "rep_key"), "cls").select("rep_key")
     sets = docs.join(involved, docs["doc_key"] == involved["rep_key"]).select("text").mapInArrow(_sets, "cls long, elements array<long>")
     sets = written(sets.dropDuplicates(["cls"]), "near-sets")
-    stars = shared.filter("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
     links = written(_verified(stars, classes, sets), "near-links")
     joined = components(links)
-    # keys that still hold classes of several components: all pairs between components that were not compared yet
-    labelled = shared.join(joined.toDF("cls", "root"), "cls", "left").select("band", "cls", "center", F.coalesce("root", "cls").alias("root"))
-    open_ = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    rest = labelled.join(open_, "band")
-    other = rest.select("band", F.col("cls").alias("other"), F.col("root").alias("other_root"))
-    pairs = rest.join(other, "band").filter((F.col("root") < F.col("other_root")) & (F.col("center") != F.col("cls")) & (F.col("center") != F.col("other")))
-    more = written(_verified(pairs.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct(), classes, sets), "near-links")
+    clusters = components(stars).toDF("cls", "cluster")
+    clusters = clusters.union(clusters.select("cluster", "cluster").distinct())
+    labelled = clusters.join(joined.toDF("cls", "root"), "cls", "left").select("cls", "cluster", F.coalesce("root", "cls").alias("root"))
+    more = written(_links_between(written(labelled, "near-clusters"), classes, sets), "near-links")
     if more.head(1):
         joined = components(links.union(more))
     roots = classes.select("cls", "rep").join(joined.toDF("cls", "root"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("component"))

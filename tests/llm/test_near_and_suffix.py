@@ -60,6 +60,24 @@ def test_components_against_brute_force(spark, seed):
     assert sorted(map(tuple, got), key=repr) == _components(rows)
 
 
+def test_chains_beside_a_large_component(spark, monkeypatch):
+    """Copies that are linked with other copies only, and blocks smaller than the group."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for k in range(150):
+        text = (base if rng.random() < 0.6 or not rows else rng.choice(rows)[1].split())[:]
+        for _ in range(rng.randint(1, 5)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((k, " ".join(text)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).drop("doc_key").collect()
+    want = _components(rows)
+    assert 3 < len({c for _, _, c, _ in want}) < 100
+    assert sorted(map(tuple, got), key=repr) == want
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = near_dedup.near_duplicates(odd).drop("doc_key").collect()
     assert sorted(map(tuple, got), key=repr) == _components([(r[0], r[1]) for r in odd.select("doc_id", "text").collect()])
