@@ -21,6 +21,11 @@ def _norm(v):
     return v
 
 
+def _key(row):
+    """Missing values first."""
+    return tuple((v is not None, v) if v is not None else (False, 0) for v in row)
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -38,11 +43,11 @@ def test_every_query_has_oracle_or_is_documented():
 def test_matches_duckdb(spark, duck, name):
     df = QUERIES[name](spark, SF01)
     cols = df.columns
-    srows = sorted(tuple(_norm(r[c]) for c in sorted(cols)) for r in df.collect())
+    srows = sorted((tuple(_norm(r[c]) for c in sorted(cols)) for r in df.collect()), key=_key)
     res = duck.execute(SQL[name])
     dcols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(dcols)
     idx = [dcols.index(c) for c in sorted(cols)]
-    drows = sorted(tuple(_norm(r[i]) for i in idx) for r in res.fetchall())
+    drows = sorted((tuple(_norm(r[i]) for i in idx) for r in res.fetchall()), key=_key)
     assert len(srows) == len(drows)
     assert srows == drows
