@@ -198,7 +198,7 @@ def _links_between(labelled: DataFrame, classes: DataFrame, sets: DataFrame) ->
     outside the cluster's largest component against all of the cluster, block by block."""
     per_root = labelled.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
     clusters = per_root.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    clusters = clusters.filter(F.col("all") > F.col("most"))
+    clusters = written(clusters.filter(F.col("all") > F.col("most")), "near-open")
     rows = labelled.join(clusters, "cluster").withColumn("stray", F.col("root") != F.col("main"))
     rows = rows.withColumn("lefts", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")).withColumn("rights", F.ceil(F.col("all") / BLOCK).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
