@@ -1,7 +1,7 @@
 """Supervised subword embeddings: a quality classifier in the manner of fastText, trained by numpy SGD.
 
-A text is the average of the hashed vectors of its words, word pairs and character n-grams (inside words, with their
-borders); a softmax layer over that average gives the class. Training draws a bounded sample of labelled rows to the
+A text is the average of the hashed vectors of its words, word pairs, immediate repetitions and character n-grams (inside
+words, with their borders); a softmax layer over that average gives the class. Training draws a bounded sample of labelled rows to the
 driver. Scoring folds the learned matrices into one number per bucket (the difference of the two logits), which is all
 that the workers need: 8 bytes times ``buckets``, whatever the input.
 """
@@ -21,6 +21,8 @@ from setsift.llm._common import slim, utf8, word_hashes, words_of
 
 #: Bytes of text that are turned into features at a time.
 SLICE = 1 << 20
+#: The feature of a word that repeats the one before it, whichever it is.
+AGAIN = 0x5BD1E995
 #: Multipliers of the byte places of a character n-gram.
 PLACES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 
@@ -58,16 +60,19 @@ def _slices(off: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def features(data: np.ndarray, off: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (bucket of each feature, offsets of the texts in them): words, word pairs, then each n-gram length."""
+    """Pairs (bucket of each feature, offsets of the texts in them): words, word pairs, repeated words, then each n-gram
+    length."""
     shift = np.uint64(64 - s.bits)
     start, end, doc = words_of(data, off)
     word = word_hashes(data, start, end)
     yield (word >> shift).astype(np.int64), doc
-    first = np.ones(len(word) + 1, bool)
+    first = np.zeros(len(word) + 1, bool)
     first[doc] = True
     pair = np.flatnonzero(~first[1:-1]) if len(word) else np.zeros(0, np.int64)
     mixed = (word[pair] * np.uint64(0x9E3779B97F4A7C15) ^ word[pair + 1]) * np.uint64(0xC2B2AE3D27D4EB4F) if len(pair) else np.zeros(0, np.uint64)
     yield (mixed >> shift).astype(np.int64), np.searchsorted(pair, doc)
+    again = pair[word[pair] == word[pair + 1]] if len(pair) else pair
+    yield np.full(len(again), AGAIN % (1 << s.bits)), np.searchsorted(again, doc)
     # words with one blank between: n-grams may begin or end with a blank, but hold none inside
     sizes = end - start
     at = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)
