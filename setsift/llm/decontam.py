@@ -101,5 +101,5 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no test item, all columns as they are. The texts are shuffled only where the
     keys of the contaminated documents are too many to be broadcast by Spark's own threshold."""
-    leaks = written(contained_items(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct(), "bench-leaks")
-    return docs.join(leaks, (F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == leaks["_key"]) & docs["doc_id"].cast("long").eqNullSafe(leaks["_id"]), "left_anti")
+    leaks = written(contained_items(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("doc_key").alias("leak_key")).distinct(), "bench-leaks")
+    return docs.join(leaks, (F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == leaks["leak_key"]) & docs["doc_id"].cast("long").eqNullSafe(leaks["leak_id"]), "left_anti")

@@ -74,10 +74,11 @@ def _crossing(rows: DataFrame, by: str, rest: DataFrame) -> DataFrame:
 
 
 def quotas(thin: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """Per source: source_size, target, epochs, and where its partial epoch ends (``place``, ``last_key``).
+    """Per source (``quota_source``): quota_size, quota_target, quota_epochs, and where its partial epoch ends
+    (``quota_place``, ``quota_key``).
 
     ``thin`` has source, size, key of every document. A document is in the partial epoch when its key's range lies
-    before ``place``, or in it with a key up to ``last_key``. The document at the border is taken when more than half
+    before quota_place, or in it with a key up to quota_key. The document at the border is taken when more than half
     of it fits, so a source ends within half a document of its target.
     """
     thin = thin.withColumn("place", place_of(F.col("key"))).withColumn("coarse", F.floor(F.col("place") / RANGES))
@@ -94,7 +95,7 @@ def quotas(thin: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
     last = last.withColumn("upto", F.sum("size").over(run)).filter(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
     ends = fine.join(last.groupBy(F.col("source").alias("t")).agg(F.max("key").alias("last_key")), F.col("s").eqNullSafe(F.col("t")), "left").select("s", "place", "last_key")
     out = goal.join(ends, goal["source"].eqNullSafe(ends["s"]), "left")
-    return written(out.select(goal["source"].alias("of_source"), "source_size", "target", "epochs", F.coalesce("place", F.lit(0)).alias("end_place"), F.coalesce("last_key", F.lit(-1.0)).alias("end_key")), "mix-quotas")
+    return written(out.select(goal["source"].alias("quota_source"), F.col("source_size").alias("quota_size"), F.col("target").alias("quota_target"), F.col("epochs").alias("quota_epochs"), F.coalesce("place", F.lit(0)).alias("quota_place"), F.coalesce("last_key", F.lit(-1.0)).alias("quota_key")), "mix-quotas")
 
 
 def thin_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -105,7 +106,7 @@ def thin_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def times_of(key: Column) -> Column:
     """How often the mix holds a document, by its key and its source's quota."""
     place = place_of(key)
-    return F.col("epochs") + ((place < F.col("end_place")) | ((place == F.col("end_place")) & (key <= F.col("end_key")))).cast("long")
+    return F.col("quota_epochs") + ((place < F.col("quota_place")) | ((place == F.col("quota_place")) & (key <= F.col("quota_key")))).cast("long")
 
 
 def mix_table(docs: DataFrame) -> DataFrame:
@@ -116,13 +117,14 @@ def mix_table(docs: DataFrame) -> DataFrame:
     """
     thin = written(thin_rows(docs), "mix-thin")
     q = quotas(thin)
-    return thin.join(q, thin["source"].eqNullSafe(q["of_source"])).select("doc_id", "size", "source_size", "target", (F.col("size") * times_of(F.col("key"))).alias("taken"), "epochs")
+    both = thin.join(q, thin["source"].eqNullSafe(q["quota_source"]))
+    return both.select("doc_id", "size", F.col("quota_size").alias("source_size"), F.col("quota_target").alias("target"), (F.col("size") * times_of(F.col("key"))).alias("taken"), F.col("quota_epochs").alias("epochs"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix with the columns of ``docs``: each as many times as its epochs say, none dropped in
     between. Sources' quotas are joined by source; the texts are not shuffled for it."""
     q = quotas(written(thin_rows(docs), "mix-thin"))
-    both = docs.join(q, docs["source"].cast("string").eqNullSafe(q["of_source"]))
+    both = docs.join(q, docs["source"].cast("string").eqNullSafe(q["quota_source"]))
     times = times_of(key_of(docs["doc_id"], docs["text"])).cast("int")
-    return both.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[docs[c] for c in docs.columns])
+    return both.withColumn("quota_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[docs[c] for c in docs.columns])

@@ -293,7 +293,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     out = rows.join(found, "cls", "left")
     empty = out.filter(F.col("cls").isNull()).select("doc_key", "doc_id").distinct()
     linked = out.filter(F.col("cls").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("doc_key", "doc_id")).alias("x")).select("x.doc_key", "x.doc_id")
-    keep = written(empty.union(linked).toDF("_key", "_id"), "near-kept")
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    kept = keyed.join(keep, (F.col("_row_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["_row_key", "doc_id"]).select(*docs.columns)
+    keep = written(empty.union(linked).toDF("kept_key", "kept_id"), "near-kept")
+    keyed = docs.withColumn("near_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    kept = keyed.join(keep, (keyed["near_row_key"] == keep["kept_key"]) & keyed["doc_id"].cast("long").eqNullSafe(keep["kept_id"]), "left_semi")
+    return kept.dropDuplicates(["near_row_key", "doc_id"]).select(*docs.columns)

@@ -24,8 +24,8 @@ ODD_TEXTS = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty and very long texts, ties, repeated rows, columns with clashing names."""
-    rows = [(i, t, "en", s, 0, "x", 1, 1, "y") for i, t, s in ODD_TEXTS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, label string, chunk int, size int, hashes string")
+    rows = [(i, t, "en", s, 0, "x", 1, 1, "y", 2, 3.0, 4, "z", 5, 6) for i, t, s in ODD_TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, label string, chunk int, size int, hashes string, epochs int, target double, _key int, key string, part int, unit int")
 
 
 @pytest.fixture(scope="session")
