@@ -34,9 +34,9 @@ class Settings:
     bits: int = 18
     dim: int = 12
     chars: tuple[int, ...] = (3, 4)
-    epochs: int = 6
+    epochs: int = 8
     rate: float = 0.5
-    max_rows: int = 4000
+    max_rows: int = 2500
     max_bytes: int = 1 << 18
     seed: int = 7
 
@@ -97,6 +97,29 @@ def features(data: np.ndarray, off: np.ndarray, s: Settings) -> Iterator[tuple[n
         yield (h >> np.uint32(32 - s.bits)).astype(np.int64), np.searchsorted(keep, at[doc])
 
 
+class Bags:
+    """Per text the buckets of its features and their shares, in a few large arrays: 8 bytes a feature, which the
+    driver gives back as a whole."""
+
+    def __init__(self, texts: list[str], s: Settings, step: int = 64) -> None:
+        self.step, self.parts = step, []
+        for i in range(0, len(texts), step):
+            rows = [self._bag(t, s) for t in texts[i : i + step]]
+            cut = np.cumsum([0] + [len(b) for b, _ in rows])
+            self.parts.append((np.concatenate([b for b, _ in rows]), np.concatenate([n for _, n in rows]), cut))
+
+    @staticmethod
+    def _bag(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+        found = np.concatenate([b for b, _ in features(*utf8(pa.array([text], pa.string())), s)])
+        bucket, n = np.unique(found, return_counts=True)
+        return bucket.astype(np.int32), (n / max(1, len(found))).astype(np.float32)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        bucket, share, cut = self.parts[k // self.step]
+        at = slice(cut[k % self.step], cut[k % self.step + 1])
+        return bucket[at], share[at]
+
+
 def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     """Plain SGD over single texts, learning rate falling to 0; classes are 0 and 1. Without rows: even odds."""
     rng = np.random.default_rng(s.seed)
@@ -104,18 +127,13 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (size, s.dim)).astype(np.float32)
     out = np.zeros((2, s.dim), np.float32)
     bias = np.zeros(2, np.float32)
-    bags = []
-    for t in texts:
-        data, off = utf8(pa.array([t], pa.string()))
-        f = np.concatenate([b for b, _ in features(data, off, s)])
-        bags.append(np.unique(f, return_counts=True) if len(f) else (f, f))
-    total, step = max(1, s.epochs * len(bags)), 0
+    bags = Bags(texts, s)
+    total, step = max(1, s.epochs * len(texts)), 0
     for _ in range(s.epochs):
-        for k in rng.permutation(len(bags)):
+        for k in rng.permutation(len(texts)):
             rate = np.float32(s.rate * (1 - step / total))
             step += 1
-            at, n = bags[k]
-            share = (n / max(1, n.sum())).astype(np.float32)
+            at, share = bags[k]
             own = vectors[at]
             hidden = share @ own
             z = out @ hidden + bias
@@ -128,7 +146,7 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
             # the sum over the text's occurrences, as if each had been updated in turn
             vectors[at] = own - rate * share[:, None] * back * np.float32(min(len(at), 200))
     w = (out[1] - out[0]).astype(np.float64)
-    return Model(vectors.astype(np.float64) @ w, float(bias[1] - bias[0]), s)
+    return Model((vectors @ w.astype(np.float32)).astype(np.float64), float(bias[1] - bias[0]), s)
 
 
 def score_texts(column, model: Model) -> np.ndarray:
