@@ -31,6 +31,8 @@ PART_SCHEMA = "first_id long, part string, n_docs long, n_tokens long"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: In texts whose white space is only single blanks and single line feeds between other characters, the pieces.
 PIECE = re.compile(r" ?[^ \n]+|\n")
+#: A white space character other than blank and line feed.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Marks at the end of a piece; after a letter or digit they are a token run of their own.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pieces whose ids a worker remembers, and the longest such piece in characters.
@@ -69,8 +71,7 @@ class Encoder:
         """The pieces of a text; the text itself where it cannot be cut."""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[:1].isspace() or text[-1:].isspace():
             return [text]
-        out = PIECE.findall(text)
-        return out if len(text.split()) == len(out) - text.count("\n") else [text]  # else: other white space
+        return [text] if OTHER_SPACE.search(text) else PIECE.findall(text)
 
     def texts(self, texts: list[str], end: int) -> Iterator[bytes]:
         known, tail = self.known, np.array([end], self.dtype).tobytes()

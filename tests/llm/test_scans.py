@@ -65,6 +65,18 @@ def test_token_files_of_odd_rows(odd, empty):
     assert token_files.token_table(empty, TOK, 2).count() == 0
 
 
+def test_texts_with_other_white_space_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    model, enc = Tokenizer.from_file(TOK), token_files.Encoder(TOK)
+    texts = ["x\n\u00a0\u00a0y", "x\n\u00a0\u3000y", "a\tb\n\u00a0\nc", "\u00a0y", "y\u00a0"]  # the third: a word too many, a word too few
+    texts += [t.replace("_", c) for c in "\u00a0\t\r\x0b\x0c\x1c\x85\u1680\u2003\u2028\u202f\u205f\u3000" for t in ("x\n__y", "x\n_\ny", "x_\ny", "x _y", "x_ y", "x__y", "_x", "x_")]
+    assert enc._pieces(texts[0]) == texts[:1] and enc._pieces("x y\nz") == ["x", " y", "\n", "z"]
+    want = [np.array([*model.encode(t, add_special_tokens=False).ids, 2], enc.dtype).tobytes() for t in texts]
+    assert list(enc.texts(texts, 2)) == want
+    assert [next(token_files.Encoder(TOK).texts([t], 2)) for t in texts] == want
+
+
 def test_token_folder_must_be_mounted(spark):
     with pytest.raises(ValueError):
         token_files.mounted("hdfs://x/y")
