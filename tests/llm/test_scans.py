@@ -23,6 +23,67 @@ def test_template_automaton_takes_optional_and_replaceable_regions():
     assert match("x work by ann is free", 1) == 6
 
 
+def test_template_automaton_takes_one_of_several_wordings():
+    t = licenses.Template("by <<beginAny>>one<<or>>two <<beginOptional>>or <<endOptional>>more<<endAny>> of us")
+    match = lambda s: t.match(s.encode().split(), 0)
+    assert (match("by one of us"), match("by two more of us"), match("by two or more of us")) == (4, 5, 6)
+    assert match("by of us") is None and match("by one two more of us") is None and match("by two of us") is None
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+NAME = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+   derived from this software without specific prior written permission.
+"""
+AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+FSF = "redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+WORDINGS = [
+    (MIT, "mit-text"),
+    (MIT.replace("\n", "\n// "), "mit-text"),
+    (MIT.replace("sell copies", "keep copies"), ""),
+    (BSD + AS_IS, "bsd-2-clause-text"),
+    (BSD + NAME + AS_IS, "bsd-3-clause-text"),
+    (BSD.replace("1.", " *").replace("2.", " *") + NAME.replace("3.", " *") + AS_IS, "bsd-3-clause-text"),
+    (BSD + "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the X Group.\n" + NAME + AS_IS, "bsd-4-clause-text"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc-text"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.\nTHE SOFTWARE IS PROVIDED \"AS IS\"", "0bsd-text"),
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file', "apache-2.0-notice"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL", "mpl-2.0-header"),
+    (FSF.format("General", 2), "gpl-2.0-header"),
+    (FSF.format("General", 3), "gpl-3.0-header"),
+    (FSF.format("Lesser General", "2.1"), "lgpl-2.1-header"),
+    (FSF.format("Lesser General", 3), "lgpl-3.0-header"),
+    (FSF.format("Library General", 2), "lgpl-2.0-header"),
+    (FSF.format("Affero General", 3), "agpl-3.0-header"),
+    ("under the terms of the GNU General Public License version 2 only, as published by the Free Software Foundation.", "gpl-2.0-header"),
+    ("under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation", "gpl-2.0-header"),
+    ("Licensed under the GNU Lesser General Public License v2.1", "lgpl-2.1-notice"),
+    ("licensed under CC BY-SA 3.0", "cc-by-sa-3.0-notice"),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0-notice"),
+    ("licensed under the Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License", "cc-by-nc-nd-3.0-notice"),
+    ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0-notice"),
+    ("To the extent possible under law, the author has waived all copyright and related or neighboring rights", "cc0-1.0-notice"),
+]
+
+
+@pytest.mark.parametrize("text, label", WORDINGS)
+def test_wording_of_common_licenses(text, label):
+    s = licenses.scan(f"Some words before.\n{text}\nand after", licenses.PHRASES, licenses.TEMPLATES)
+    own = sorted(x.split(":")[0] for x in s["spans"].split())
+    assert own == [label] * bool(label) and (s["score"] == 1.0) == bool(label)
+
+
 def test_scan_counts_places_and_labels(odd):
     rows = {(r["doc_id"], r["n_words"]): r for r in licenses.license_scan(odd).collect()}
     r = rows[1, 10]
