@@ -18,6 +18,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 #: Characters that count against a text's quality: ASCII marks and digits other than plain punctuation.
 MARKS = "!#$%&*+/<=>@[]^_`{|}~0123456789\\"
 RANGES = 1024
+#: Weights between the least and the greatest whose keys the ranges are spread for.
+SPREAD = (0.1, 0.2, 0.5, 1.0)
 
 
 def size_of(text: Column) -> Column:
@@ -38,8 +40,13 @@ def key_of(doc_id: Column, text: Column) -> Column:
 
 
 def place_of(key: Column) -> Column:
-    """Number of the key's range among RANGES ** 2, in the order of keys."""
-    return F.least(F.floor((F.lit(1.0) - F.exp(-key)) * RANGES**2), F.lit(RANGES**2 - 1)).cast("long")
+    """Number of the key's range among RANGES ** 2, in the order of keys.
+
+    Keys of weight w lie above k with probability exp(-w k); the ranges are even for a mix of the weights SPREAD, so
+    that of documents of any one weight no range has much more than len(SPREAD) times its share.
+    """
+    above = sum((F.exp(key * -w) for w in SPREAD[1:]), F.exp(key * -SPREAD[0]))
+    return F.least(F.floor((F.lit(1.0) - above / len(SPREAD)) * RANGES**2), F.lit(RANGES**2 - 1)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from llm_fixtures import SF01, empty, odd  # noqa: F401
+from pyspark.sql import functions as F
 
 from setsift.llm import mixing
 from setsift.llm.substring import substring_dedup
@@ -44,6 +45,16 @@ def test_taken_words_come_near_the_targets(spark):
     assert len(rows) == 1000
 
 
+@pytest.mark.parametrize("weight", [0.1, 0.14, 0.3, 0.7, 1.0])
+def test_ranges_take_even_shares_of_keys_of_any_weight(spark, weight):
+    n = 20 * mixing.RANGES
+    key = -F.log((F.col("id") + 0.5) / n) / weight
+    places = [r[0] for r in spark.range(n).orderBy(key).select(mixing.place_of(key)).collect()]
+    assert places == sorted(places) and 0 <= places[0] and places[-1] < mixing.RANGES**2
+    coarse = Counter(p // mixing.RANGES for p in places)
+    assert max(coarse.values()) <= 6 * n / mixing.RANGES
+
+
 def test_mix_of_odd_rows(odd, empty):
     rows = mixing.mix_table(odd).collect()
     assert len(rows) == odd.count() and all(r["taken"] == 0 for r in rows if r["size"] == 0)
