@@ -164,11 +164,12 @@ def training_rows(docs: DataFrame, s: Settings, id_col: str, text_col: str, lang
     own = own.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("h"))
     thin = own.select("lang", "h", F.octet_length("text").alias("size"))
     langs = thin.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(s.max_langs)
-    order = Window.partitionBy("lang").orderBy("h", "size")
-    # the first rows of a language are chosen in every task before the shuffle
-    first = thin.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= s.max_rows)
+    # of n rows those of the least hashes, twice as many as are wanted, leave their tasks; equal rows do so once a task
+    low = thin.join(F.broadcast(langs), "lang").filter((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 2 * s.max_rows + 100)
+    order = Window.partitionBy("lang").orderBy("h")
+    first = low.groupBy("lang", "h").agg(F.min("size").alias("size")).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= s.max_rows)
     first = first.withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    chosen = first.join(F.broadcast(langs.select("lang")), "lang").filter(F.col("before") < s.max_bytes).select("lang", "h").distinct()
+    chosen = first.filter(F.col("before") < s.max_bytes).select("lang", "h")
     return own.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
 

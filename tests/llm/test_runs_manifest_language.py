@@ -165,7 +165,7 @@ def test_ranks_do_not_need_a_group_in_one_task(spark, monkeypatch):
 
 def fold(text):
     x = [int(FOLD[c]) for c in text.encode()]
-    return [32] * 4 + [c for k, c in enumerate(x) if c != 32 or not k or x[k - 1] != 32] + [32]
+    return [32] * 4 + [c for k, c in enumerate(x) if c != 32 or (k and x[k - 1] != 32)] + [32]
 
 
 def plain_bits(train, text):
