@@ -158,5 +158,61 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    return mix(span_hash(prefix_hash(data.astype(np.uint64) + U64(1)), start, end) + (end - start).astype(np.uint64) * GOLDEN)
+    """64-bit hash of each word's bytes: the sum of its blocks of eight bytes, each mixed with its place in the word.
+
+    No block's share is a multiple of another's, so regular words (such as those that a polynomial modulo a power of two
+    takes for one another) meet no more often than others.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    blocks = (size + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    number = np.arange(blocks.sum()) - np.repeat(first, blocks)
+    at = np.repeat(start, blocks) + 8 * number
+    whole = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    block = whole[at].reshape(-1).view("<u8").astype(np.uint64)
+    rest = np.minimum(np.repeat(end, blocks) - at, 8).astype(np.uint64)  # bytes of the block that belong to the word
+    block &= U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * rest)
+    share = mix(mix(block ^ U64(0xA0761D6478BD642F)) + number.astype(np.uint64) * GOLDEN)
+    return mix(np.add.reduceat(share, first) + size.astype(np.uint64) * U64(0xE7037ED1A0B428DB))
+
+
+#: Modulus of the rolling hashes of words, a prime, and their base, drawn at random once.
+PRIME, ROLLING_BASE = (1 << 61) - 1, 0x0D4F5A2C97B1E863
+
+
+def times(x: np.ndarray, y: int) -> np.ndarray:
+    """x * y modulo PRIME, of numbers below it."""
+    low, high = x & U64(0xFFFFFFFF), x >> U64(32)
+    y_low, y_high = U64(y & 0xFFFFFFFF), U64(y >> 32)
+    middle = low * y_high + high * y_low
+    product = low * y_low
+    out = (product & U64(PRIME)) + (product >> U64(61)) + ((high * y_high) << U64(3)) + (middle >> U64(29)) + ((middle & U64((1 << 29) - 1)) << U64(32))
+    out = (out & U64(PRIME)) + (out >> U64(61))
+    return np.where(out >= U64(PRIME), out - U64(PRIME), out)
+
+
+def rolling_hashes(values: np.ndarray, window: int) -> np.ndarray:
+    """Rabin-Karp hash modulo PRIME of every ``window`` consecutive values: the polynomial of a window is put together from
+    those of its parts of 2**k values. Two different windows meet with a probability below window / 2**61 for a base that
+    does not depend on them, however regular they are."""
+    if len(values) < window:
+        return np.zeros(0, np.uint64)
+    part, size, out, done = values % U64(PRIME), 1, None, 0
+    while True:
+        if window & size:  # the next ``size`` values of each window
+            n = len(values) - done - size + 1
+            out = part if out is None else join(out[:n], part[done : done + n], size)
+            done += size
+        if done == window:
+            return out
+        n = len(part) - size
+        part = join(part[:n], part[size : size + n], size)
+        size *= 2
+
+
+def join(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of left strings followed by right ones of ``size`` values."""
+    out = times(left, pow(ROLLING_BASE, size, PRIME)) + right
+    return np.where(out >= U64(PRIME), out - U64(PRIME), out)

@@ -1,11 +1,12 @@
 """Substring removal by Rabin-Karp hashes of every fixed-length window of words.
 
 Documents are dealt to chunks of a few megabytes by a hash. A chunk hashes each window of ``window`` consecutive words
-with prefix sums (one subtraction and one product a window), keeps each hash once with its smallest doc_id, and sends
+from the hashes of its parts of 1, 2, 4 .. words, keeps each hash once with its smallest doc_id, and sends
 it to a bucket of hashes. A bucket finds the hashes that several chunks hold and tells each chunk which of its hashes
 start in a document with a smaller id elsewhere; what repeats inside a chunk the chunk knows itself. So a passage that
 a third of all documents share is one entry per chunk. The chunk then merges the windows to be removed into maximal
-intervals. Hashes have 64 bits: two different windows meet with a probability of 2**-64.
+intervals. Words are hashed to 64 bits and windows modulo the prime 2**61 - 1, so regular texts collide no more often than
+others: two different windows meet with a probability below (window + 1) * 2**-61.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setsift.llm._common import chunk_count, chunked, mix, prefix_hash, slim, span_hash, utf8, word_hashes, words_of
+from setsift.llm._common import chunk_count, chunked, mix, rolling_hashes, slim, utf8, word_hashes, words_of
 
 #: Bytes of text in a chunk, and of text whose windows meet in one bucket of hashes.
 CHUNK, BUCKET = 4 << 20, 12 << 20
@@ -31,11 +32,11 @@ BLOB = "bucket int, chunk int, hashes binary, ids binary"
 def window_hashes(data: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each window, number of its first word, its document), and the documents' offsets in the words."""
     start, end, doc = words_of(data, off)
-    prefix = prefix_hash(word_hashes(data, start, end))
+    rolled = rolling_hashes(word_hashes(data, start, end), window)
     whose = np.repeat(np.arange(len(off) - 1), np.diff(doc))
     n = max(0, len(start) - window + 1)
     first = np.flatnonzero(whose[:n] == whose[window - 1 :]) if n else np.zeros(0, np.int64)
-    return mix(span_hash(prefix, first, first + window)), first, whose[first], doc
+    return mix(rolled[first]), first, whose[first], doc
 
 
 def in_order(t: pa.Table) -> tuple[pa.Table, np.ndarray]:

@@ -102,3 +102,25 @@ def test_substring_of_odd_rows(odd, empty):
     got = substring_dedup(odd).collect()
     assert sorted(map(tuple, got), key=repr) == _brute([(r[0], r[1]) for r in odd.select("doc_id", "text").collect()], 50)
     assert substring_dedup(empty).count() == 0
+
+
+def test_windows_of_regular_words_are_told_apart(spark):
+    """Words and windows that a polynomial modulo a power of two takes for one another."""
+    tm = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("ab"[x ^ flip] for x in tm) for flip in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(49))
+    words = [" ".join(("left", "right")[x ^ flip] for x in tm[:1024]) for flip in (0, 1)]
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}"), (4, words[0]), (5, words[1])], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(docs).collect() if r.doc_id < 4} == {1: 0, 2: 0, 3: 50}
+    assert {r.n_removed for r in substring_dedup(docs.filter("doc_id > 3"), window=1024).collect()} == {0}
+
+
+def test_rolling_hashes_are_the_polynomials():
+    import numpy as np
+
+    from setsift.llm._common import PRIME, ROLLING_BASE, rolling_hashes
+
+    v = np.random.default_rng(1).integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2)
+    for w in (1, 2, 3, 50, 64, 300, 301):
+        want = [sum(int(x) % PRIME * pow(ROLLING_BASE, w - 1 - j, PRIME) for j, x in enumerate(v[i : i + w])) % PRIME for i in range(len(v) - w + 1)]
+        assert rolling_hashes(v, w).tolist() == want

@@ -170,3 +170,10 @@ def test_loser_tree_merges_with_known_prefixes():
     assert [x for x, _ in out] == sorted(x for own, _ in runs for x in own)
     for (x, _), (y, known) in zip(out, out[1:], strict=False):
         assert known == next((i for i in range(len(x)) if x[i] != y[i]), len(x))
+
+
+def test_regular_words_are_told_apart(spark):
+    """Two words that a polynomial modulo a power of two takes for one another share no shingle."""
+    tm = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [(k, "".join("ab"[x ^ k] for x in tm)) for k in (0, 1)]
+    assert [r.kept for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [True, True]

@@ -238,8 +238,8 @@ def test_languages_of_odd_and_empty_tables(spark, odd, empty):
 
 def test_sample_bounds(spark):
     docs = spark.createDataFrame([(k, "x" * 10, "en" if k % 2 else "de") for k in range(200)], "doc_id long, text string, lang string")
-    rows = language.training_rows(docs, Settings(maxrows=30, maxbytes=10_000), "doc_id", "text", "lang").collect()
+    rows = language.training_rows(docs, Settings(max_rows=30, max_bytes=10_000), "doc_id", "text", "lang").collect()
     assert Counter(r.lang for r in rows) == {"en": 30, "de": 30}
-    rows = language.training_rows(docs, Settings(maxrows=30, maxbytes=95), "doc_id", "text", "lang").collect()
+    rows = language.training_rows(docs, Settings(max_rows=30, max_bytes=95), "doc_id", "text", "lang").collect()
     assert Counter(r.lang for r in rows) == {"en": 10, "de": 10}
-    assert len(language.training_rows(docs, Settings(maxrows=3, maxlangs=1), "doc_id", "text", "lang").collect()) == 3
+    assert len(language.training_rows(docs, Settings(max_rows=3, max_langs=1), "doc_id", "text", "lang").collect()) == 3
