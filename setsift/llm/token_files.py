@@ -67,20 +67,22 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str]:
-        """The pieces of a text; the text itself where it cannot be cut."""
+    def _pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text; None where it cannot be cut."""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[:1].isspace() or text[-1:].isspace():
-            return [text]
-        return [text] if OTHER_SPACE.search(text) else PIECE.findall(text)
+            return None
+        return None if OTHER_SPACE.search(text) else PIECE.findall(text)
 
     def texts(self, texts: list[str], end: int) -> Iterator[bytes]:
         known, tail = self.known, np.array([end], self.dtype).tobytes()
         pieces = [self._pieces(t) for t in texts]
-        new = list(set().union(*pieces).difference(known))
+        uncut = iter(self._encode([t for t, own in zip(texts, pieces, strict=True) if own is None]))
+        found = set().union(*(own for own in pieces if own))
+        new = list(found.difference(known))
         if len(known) + len(new) > CACHE_PIECES:
             for p in list(itertools.islice(known, CACHE_PIECES // 2)):  # the oldest half
                 del known[p]
-            new = list(set().union(*pieces).difference(known))
+            new = list(found.difference(known))
         ends = {p: p.rstrip(MARKS) for p in new if p[-1:] in MARKS}
         cut = {p: (b, p[len(b) :]) for p, b in ends.items() if b[-1:].isalnum()}
         whole = list(set(new).difference(cut).union(*cut.values()).difference(known))
@@ -88,7 +90,7 @@ class Encoder:
             known.update(zip(whole[i : i + 4096], self._encode(whole[i : i + 4096]), strict=True))
         known.update({p: known[b] + known[m] for p, (b, m) in cut.items()})
         for own in pieces:
-            yield b"".join([known[p] for p in own]) + tail
+            yield (next(uncut) if own is None else b"".join([known[p] for p in own])) + tail
         for p in {*new, *whole}:
             if len(p) > CACHE_CHARS:
                 del known[p]
