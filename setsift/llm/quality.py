@@ -29,15 +29,14 @@ PLACES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_rows`` labelled rows (those with the smallest hash of the id) of at most ``max_bytes`` each are learnt from."""
+    """``max_rows`` labelled rows (those of the documents there are with the smallest hash of the id) are learnt from, whole."""
 
     bits: int = 18
     dim: int = 12
     chars: tuple[int, ...] = (3, 4)
     epochs: int = 8
     rate: float = 0.5
-    max_rows: int = 2500
-    max_bytes: int = 1 << 18
+    max_rows: int = 4000
     seed: int = 7
 
 
@@ -97,40 +96,23 @@ def features(data: np.ndarray, off: np.ndarray, s: Settings) -> Iterator[tuple[n
         yield (h >> np.uint32(32 - s.bits)).astype(np.int64), np.searchsorted(keep, at[doc])
 
 
-class Bags:
-    """Per text the buckets of its features and their shares, in a few large arrays: 8 bytes a feature, which the
-    driver gives back as a whole."""
+def bag(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text's features, and the share that each has in them."""
+    found = np.concatenate([b for b, _ in features(*utf8(pa.array([text], pa.string())), s)])
+    bucket, n = np.unique(found, return_counts=True)
+    return bucket.astype(np.int32), (n / max(1, len(found))).astype(np.float32)
 
-    def __init__(self, texts: list[str], s: Settings, step: int = 64) -> None:
-        self.step, self.parts = step, []
-        for i in range(0, len(texts), step):
-            rows = [self._bag(t, s) for t in texts[i : i + step]]
-            cut = np.cumsum([0] + [len(b) for b, _ in rows])
-            self.parts.append((np.concatenate([b for b, _ in rows]), np.concatenate([n for _, n in rows]), cut))
 
-    @staticmethod
-    def _bag(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-        found = np.concatenate([b for b, _ in features(*utf8(pa.array([text], pa.string())), s)])
-        bucket, n = np.unique(found, return_counts=True)
-        return bucket.astype(np.int32), (n / max(1, len(found))).astype(np.float32)
-
-    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        bucket, share, cut = self.parts[k // self.step]
-        at = slice(cut[k % self.step], cut[k % self.step + 1])
-        return bucket[at], share[at]
-
-
-def train(texts: list[str], labels: list[int], s: Settings) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], s: Settings) -> Model:
     """Plain SGD over single texts, learning rate falling to 0; classes are 0 and 1. Without rows: even odds."""
     rng = np.random.default_rng(s.seed)
     size = 1 << s.bits
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (size, s.dim)).astype(np.float32)
     out = np.zeros((2, s.dim), np.float32)
     bias = np.zeros(2, np.float32)
-    bags = Bags(texts, s)
-    total, step = max(1, s.epochs * len(texts)), 0
+    total, step = max(1, s.epochs * len(bags)), 0
     for _ in range(s.epochs):
-        for k in rng.permutation(len(texts)):
+        for k in rng.permutation(len(bags)):
             rate = np.float32(s.rate * (1 - step / total))
             step += 1
             at, share = bags[k]
@@ -170,22 +152,34 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """At most ``max_rows`` rows (text, label) outside the held-out fold. Rows without id or label are left out."""
-    chosen = (
+    """At most ``max_rows`` rows (id, text, label) outside the held-out fold; labels without a document take no place. Rows
+    without id or label are left out."""
+    marked = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
         .filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
         .filter(~held_out("id"))
-        .orderBy(F.xxhash64("id"), "id", "label")
-        .limit(s.max_rows)
     )
-    own = slim(docs).filter(F.octet_length("text") <= s.max_bytes)
+    own = slim(docs)
+    chosen = marked.join(own.select("doc_id"), F.col("id") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("id"), "id", "label").limit(s.max_rows)
     # the limit bounds the broadcast side; the second limit bounds what repeated ids could add
-    return own.join(F.broadcast(chosen), own["doc_id"] == chosen["id"]).orderBy(F.xxhash64("id"), "id", "label", "text").limit(s.max_rows).select("text", "label")
+    rows = own.join(F.broadcast(chosen), own["doc_id"] == chosen["id"]).withColumn("h", F.xxhash64("text"))
+    first = rows.select("id", "label", "h").orderBy(F.xxhash64("id"), "id", "label", "h").limit(s.max_rows)
+    return rows.join(F.broadcast(first.distinct()), ["id", "label", "h"], "left_semi").dropDuplicates(["id", "label", "h"]).select("id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    rows = training_rows(docs, labels, settings).collect()
-    return train([r["text"] for r in rows], [r["label"] for r in rows], settings)
+    """The features are made where the texts are; the driver gets 8 bytes for each distinct feature of a row."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                made = [bag(t.as_py(), settings) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array([x[k].tobytes() for x in made], pa.binary()) for k in (0, 1))], names=["id", "label", "buckets", "shares"])
+
+    rows = training_rows(docs, labels, settings).mapInArrow(bags, "id long, label int, buckets binary, shares binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("buckets", "ascending")])
+    got = [(np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.float32)) for x, y in zip(rows["buckets"], rows["shares"], strict=True)]
+    return train(got, rows["label"].to_pylist(), settings)
 
 
 def quality_score(text: Column, model: Model) -> Column:
