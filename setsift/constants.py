@@ -39,9 +39,9 @@ DEFAULT_THRESHOLD_GRID = [0.25, 0.30, 0.35, 0.40, 0.45, 0.50]
 
 # Threshold suggestion rules: (rule, quantile, interpretation).
 THRESHOLD_RULES = [
-    ("conservative", 0.75, "Higher threshold; fewer cases are assigned to condition sets."),
-    ("balanced", 0.60, "Moderate threshold; useful as a starting point for crisp-set calibration."),
-    ("inclusive", 0.50, "Lower threshold; more cases are assigned to condition sets."),
+    ("conservative", 0.75, "Strict: a quarter of the pooled scores reaches it."),
+    ("balanced", 0.60, "Middle way: two fifths of the pooled scores reach it."),
+    ("inclusive", 0.50, "Generous: half of the pooled scores reach it."),
 ]
 # Score distribution summary: (statistic, quantile); 0 and 1 are the minimum and maximum.
 SUMMARY_STATISTICS = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 SCORE_SUFFIX = "_score"
@@ -46,14 +48,13 @@ def check_new_names(df: DataFrame, names: list[str], protected: list[str]) -> No
 
 
 def parse_threshold_grid(text: str) -> list[float]:
-    """``"0.3, 0.25,0.3"`` -> ``[0.25, 0.3]``: distinct, sorted, each within [0, 1]."""
-    try:
-        values = sorted({float(x.strip()) for x in str(text).split(",") if x.strip() != ""})
-    except ValueError as exc:
-        raise ValueError(f"Invalid threshold grid: {exc}") from exc
-    if not values:
-        raise ValueError("Invalid threshold grid: Threshold grid is empty.")
-    for t in values:
-        if t < 0 or t > 1:
-            raise ValueError("Invalid threshold grid: All thresholds must be between 0 and 1.")
-    return values
+    """``"0.3, 0.25,0.3"`` -> ``[0.25, 0.3]``: the distinct numbers of a comma list, ascending; all from 0 to 1."""
+    grid: set[float] = set()
+    for item in filter(None, map(str.strip, str(text).split(","))):
+        number = float(item) if re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", item) else -1.0
+        if not 0 <= number <= 1:
+            raise ValueError(f"'{item}' is no crisp threshold: give numbers from 0 to 1, separated by commas")
+        grid.add(number)
+    if not grid:
+        raise ValueError("the list of crisp thresholds holds no number")
+    return sorted(grid)

@@ -7,7 +7,7 @@ adds the top condition's prototype by a join with the table of m prototypes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import col
@@ -90,6 +90,21 @@ def top_two(
     return t.select(*cols)
 
 
+def top_two_long(rows: DataFrame, case_id: str = "case_id", condition: str = "condition", position: str = "position", score: str = "score") -> DataFrame:
+    """The columns of :func:`top_two` and the confidence label from one row per (case, condition), however many conditions
+    there are. Missing scores come last, equal ones by position, equal positions by name. Every task passes on at most two
+    rows of a case (the bound on the row number is applied before the shuffle)."""
+    s = clean_score(score)
+    base = rows.select(col(case_id), col(condition).cast("string").alias("_name"), col(position).alias("_pos"), s.alias("_s"))
+    order = Window.partitionBy(col(case_id)).orderBy(F.col("_s").desc_nulls_last(), "_pos", "_name")
+    best = base.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= 2)
+    at = lambda k, c: F.max(F.when(F.col("_rn") == k, F.col(c)))
+    found = best.groupBy(col(case_id)).agg(
+        at(1, "_s").alias("_top"), F.max(F.when((F.col("_rn") == 1) & F.col("_s").isNotNull(), F.col("_name"))).alias("_top_name"), at(2, "_s").alias("_second"), at(2, "_name").alias("_second_name")
+    )
+    return found.select(col(case_id), *_top_columns(), confidence(F.col("_top"), F.col("_second")).alias("confidence"))
+
+
 def with_confidence(scores: DataFrame) -> DataFrame:
     """Top-two columns plus the confidence label (for counts and filters)."""
     t = _with_top_two(scores)

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import col
 from ..functions.vectors import cosine, sq_norm
+from ..session import stored
 from .columns import require_columns
+from .running import running
 
 
 def select_prototypes(prototypes: DataFrame, include_outcome: bool = False) -> DataFrame:
@@ -27,11 +29,8 @@ def prototype_names(prototypes: DataFrame, include_outcome: bool = False, order_
     """Distinct condition names in prototype order (m rows to the driver, never texts)."""
     p = select_prototypes(prototypes, include_outcome)
     order = col(order_col) if order_col else F.monotonically_increasing_id()
-    rows = p.select("condition_name", order.alias("_o")).collect()
-    seen: dict[str, int] = {}
-    for i, r in enumerate(sorted(rows, key=lambda r: r["_o"])):
-        seen.setdefault(str(r["condition_name"]), i)
-    names = sorted(seen, key=seen.get)
+    first = p.select(col("condition_name").cast("string").alias("name"), order.alias("_o")).groupBy("name").agg(F.min("_o").alias("_o"))
+    names = [str(r["name"]) for r in sorted(first.collect(), key=lambda r: r["_o"])]
     if not names:
         raise ValueError("the prototype table has no row of type 'condition'")
     return names
@@ -62,6 +61,34 @@ def prototype_cosine_wide(
     return scored.drop("_norm", *[f"_v{j}" for j in range(len(conditions))])
 
 
+def prototype_cosine_long(
+    texts: DataFrame,
+    prototypes: DataFrame,
+    vector_col: str = "embedding",
+    prototype_vector_col: str = "embedding",
+    name_col: str = "condition_name",
+    order_col: str = "proto_no",
+    block: int = 64,
+) -> DataFrame:
+    """(columns of ``texts`` but the vector, condition, position, score): a row for every text and prototype, however many
+    prototypes there are; none of them becomes a column. Positions follow ``order_col``, from 0; a name that repeats keeps
+    its last vector, at the place of that row. Prototypes travel in blocks of ``block`` vectors: a text row is repeated
+    once a block, and the blocks are broadcast by Spark only where they are below its threshold.
+    """
+    name = col(name_col).cast("string")
+    last = prototypes.filter(name.isNotNull()).groupBy(name.alias("_name")).agg(F.max(col(order_col)).alias("_o"), F.max_by(col(prototype_vector_col), col(order_col)).alias("_pv"))
+    ranked = stored(last.withColumn("_pos", F.lit(1).cast("long")), "prototype-vectors")
+    ranked = running(ranked, [], "_o", ["_pos"], "prototype-order").withColumn("_pos", F.col("_pos") - 1)
+    one = F.struct(F.col("_pos").alias("p"), F.col("_name").alias("n"), F.col("_pv").cast("array<double>").alias("v"))
+    blocks = stored(ranked.groupBy(F.floor(F.col("_pos") / block).alias("_block")).agg(F.sort_array(F.collect_list(one)).alias("_protos")), "prototype-blocks")
+    count = blocks.count()
+    own = [c for c in texts.columns if c != vector_col]
+    dealt = texts.select(*[col(c) for c in own], col(vector_col).alias("_tv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("_block")) if count else texts.select(*[col(c) for c in own], col(vector_col).alias("_tv"), F.lit(0).cast("long").alias("_block")).limit(0)
+    dealt = dealt.withColumn("_norm", F.sqrt(sq_norm(F.col("_tv")))).join(blocks, "_block")
+    each = F.transform("_protos", lambda p: F.struct(p["n"].alias("condition"), p["p"].alias("position"), cosine(F.col("_tv"), p["v"], F.col("_norm")).alias("score")))
+    return dealt.select(*[col(c) for c in own], F.explode(each).alias("_x")).select(*[col(c) for c in own], "_x.condition", "_x.position", "_x.score")
+
+
 def prototype_cosine(
     texts: DataFrame,
     prototypes: DataFrame,

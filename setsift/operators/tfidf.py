@@ -1,12 +1,13 @@
 """Character n-gram TF-IDF on Spark: vocabulary, vectors and prototype similarity.
 
 Every score depends on a text alone, so the unit of work is the *distinct text*, named by two 64-bit hashes: repeated
-texts are counted once with their multiplicity, and neither repeated nor missing ids matter. The texts are shuffled
-once, by these hashes; n-grams are exploded and counted per (text, term) inside each partition, which the partitioning
-already satisfies, and only partial sums per term (bounded by the distinct terms of a task) are shuffled for document
-frequencies. Scores are sums over these counts joined with a table of the terms; the term table is written first, so
-that the planner knows its size and broadcasts it only below its own threshold. Scores join back to the rows by hash,
-without the text unless the caller selects it.
+texts are counted once with their multiplicity, and neither repeated nor missing ids matter. Copies of a text that many
+rows hold add up before the shuffle. The texts are shuffled once, by these hashes; n-grams are exploded and counted per
+(text, term) inside each partition, which the partitioning already satisfies. For prototype scores these counts are
+written once; document frequencies and dot products both read them, and only partial sums are shuffled. The most
+frequent terms (HEAVY of them) are broadcast to the counts, the others meet them by a shuffle, in which no term can have
+more than one in HEAVY of all rows. Scores join back to the rows by hash, without the text unless the caller selects
+it; texts that many rows hold join without a shuffle.
 
 Prototype similarity uses every term of the texts. The cap of the vocabulary (``max_features``) and the bound on
 document frequency (``max_df``) belong to the supervised mode.
@@ -25,9 +26,12 @@ from ..functions.names import col
 from ..functions.text import words
 from ..session import stored
 from .partitioning import rows_and_partitions, text_partitions
+from .skew import heavy_join, heavy_keys, many
 
 #: Two hashes that name a text; other columns that this module adds for a while begin with an underscore as well.
 KEY = ["_h1", "_h2"]
+#: Rows of the term table that may be broadcast.
+HEAVY = 20_000
 
 
 def text_key(text: Column) -> list[Column]:
@@ -39,9 +43,14 @@ def text_key(text: Column) -> list[Column]:
 def distinct_texts(texts: DataFrame, text: str) -> tuple[DataFrame, int]:
     """((_h1, _h2, _text, _copies), number of rows): the texts, shuffled once and partitioned by their hashes."""
     n, parts = rows_and_partitions(texts)
-    rows = texts.select(*text_key(col(text)), F.coalesce(col(text).cast("string"), F.lit("")).alias("_text"))
-    dealt = rows.repartition(text_partitions(texts, parts), *KEY)
-    return dealt.groupBy(*KEY).agg(F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_copies")), n
+    parts = text_partitions(texts, parts)
+    one = F.lit(1).cast("long").alias("_copies")
+    rows = texts.select(*text_key(col(text)), F.coalesce(col(text).cast("string"), F.lit("")).alias("_text"), one)
+    heavy = heavy_keys(texts.select(*text_key(col(text))), KEY, many(n, parts))
+    if heavy is not None:  # their copies add up in every task before the shuffle
+        copies = rows.join(F.broadcast(heavy), KEY, "left_semi").groupBy(*KEY, "_text").agg(F.sum("_copies").alias("_copies"))
+        rows = rows.join(F.broadcast(heavy), KEY, "left_anti").unionByName(copies)
+    return rows.repartition(parts, *KEY).groupBy(*KEY).agg(F.first("_text").alias("_text"), F.sum("_copies").alias("_copies")), n
 
 
 def term_counts(docs: DataFrame, keys: list[str], text: str, n_min: int = K.NGRAM_MIN, n_max: int = K.NGRAM_MAX) -> DataFrame:
@@ -60,8 +69,12 @@ def term_counts(docs: DataFrame, keys: list[str], text: str, n_min: int = K.NGRA
 
 def _stats(docs: DataFrame, n_min: int, n_max: int) -> DataFrame:
     """(term, tf, df) over all rows that the distinct texts stand for."""
-    counts = term_counts(docs, [*KEY, "_copies"], "_text", n_min, n_max)
-    return counts.groupBy("term").agg(F.sum(F.col("c") * F.col("_copies")).alias("tf"), F.sum("_copies").alias("df"))
+    return _frequencies(term_counts(docs, [*KEY, "_copies"], "_text", n_min, n_max))
+
+
+def _frequencies(counts: DataFrame) -> DataFrame:
+    """(term, tf, df, texts): occurrences, rows and distinct texts of each term."""
+    return counts.groupBy("term").agg(F.sum(F.col("c") * F.col("_copies")).alias("tf"), F.sum("_copies").alias("df"), F.count(F.lit(1)).alias("texts"))
 
 
 def _idf(n_docs: int) -> Column:
@@ -79,7 +92,7 @@ def vocabulary(
 ) -> DataFrame:
     """(term, tf, df, n_docs) of the kept vocabulary, most frequent first (ties by term); a bounded top-k."""
     docs, n = distinct_texts(texts, text)
-    terms = _stats(docs, n_min, n_max).withColumn("n_docs", F.lit(n))
+    terms = _stats(docs, n_min, n_max).drop("texts").withColumn("n_docs", F.lit(n))
     hi = F.col("df") <= F.lit(float(max_df) * n if isinstance(max_df, float) else max_df)
     lo = F.col("df") >= F.lit(float(min_df) * n if isinstance(min_df, float) else min_df)
     kept = terms.filter(hi & lo).orderBy(F.col("tf").desc(), F.col("term").asc())
@@ -134,19 +147,29 @@ def tfidf_vectors(texts: DataFrame, key: str, text: str = "text", model: TfidfMo
     return rows.join(model.vectors(texts, text), KEY).select(col(key), "term", "weight")
 
 
-def _dot_columns(docs: DataFrame, terms: DataFrame, n: int, n_min: int, n_max: int) -> DataFrame:
-    """(_h1, _h2, _s0 ...): dot product of each text's normalised vector with each weight column ``_w<j>`` of ``terms``."""
+def with_terms(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Stored ``counts`` with the weights of their terms; ``terms`` (stored) has ``texts``, the counts that each term has."""
+    if terms.count() <= HEAVY:
+        return counts.join(F.broadcast(terms.drop("texts")), "term")
+    frequent = stored(terms.orderBy(F.col("texts").desc(), "term").limit(HEAVY), "frequent-terms")
+    return heavy_join(counts, terms.drop("texts"), ["term"], frequent.drop("texts"))
+
+
+def _dot_columns(joined: DataFrame, n: int) -> DataFrame:
+    """(_h1, _h2, _copies, _s0 ...): dot product of each text's normalised vector with each weight column ``_w<j>``."""
     x = F.col("c") * F.col("idf")
-    joined = term_counts(docs, KEY, "_text", n_min, n_max).join(terms, "term")
-    sums = joined.groupBy(*KEY).agg(F.sum(x * x).alias("_n2"), *[F.sum(x * F.col(f"_w{j}")).alias(f"_d{j}") for j in range(n)])
-    return sums.select(*KEY, *[(F.col(f"_d{j}") / F.sqrt("_n2")).alias(f"_s{j}") for j in range(n)])
+    sums = joined.groupBy(*KEY, "_copies").agg(F.sum(x * x).alias("_n2"), *[F.sum(x * F.col(f"_w{j}")).alias(f"_d{j}") for j in range(n)])
+    return sums.select(*KEY, "_copies", *[(F.col(f"_d{j}") / F.sqrt("_n2")).alias(f"_s{j}") for j in range(n)])
 
 
 def _joined_back(texts: DataFrame, text: str, dots: DataFrame, names: list[str]) -> DataFrame:
     """``texts`` with one more column per name; 0 where a text has no known term."""
     own = [c for c in texts.columns if c not in names]
     keyed = texts.select(*[col(c) for c in own], *text_key(col(text)))
-    scored = keyed.join(dots, KEY, "left")
+    n, parts = rows_and_partitions(texts)
+    dots = stored(dots, "text-scores")
+    heavy = dots.filter(F.col("_copies") > many(n, text_partitions(texts, parts)))
+    scored = heavy_join(keyed, dots, KEY, heavy, "left") if heavy.head(1) else keyed.join(dots, KEY, "left")
     return scored.select(*[col(c) for c in own], *[F.coalesce(F.col(f"_s{j}"), F.lit(0.0)).alias(c) for j, c in enumerate(names)])
 
 
@@ -156,7 +179,8 @@ def normalized_dot_scores(texts: DataFrame, model: TfidfModel, weights: dict[str
     docs, _ = distinct_texts(texts, text)
     rows = list(zip(model.terms, model.idf, *[[float(w) for w in ws] for ws in weights.values()]))
     terms = texts.sparkSession.createDataFrame(rows, "term string, idf double, " + ", ".join(f"_w{j} double" for j in range(len(weights))))
-    return _joined_back(texts, text, _dot_columns(docs, terms, len(weights), model.n_min, model.n_max), list(weights))
+    joined = term_counts(docs, [*KEY, "_copies"], "_text", model.n_min, model.n_max).join(terms, "term")
+    return _joined_back(texts, text, _dot_columns(joined, len(weights)), list(weights))
 
 
 def last_prototypes(prototypes: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -180,7 +204,8 @@ def tfidf_prototype_scores(
     prototype. Any ids, repeated or missing, and any further columns pass through.
     """
     docs, n_docs = distinct_texts(texts, text)
-    idf = _stats(docs, n_min, n_max).select("term", _idf(n_docs).alias("idf"))
+    counts = stored(term_counts(docs, [*KEY, "_copies"], "_text", n_min, n_max), "term-counts")
+    idf = _frequencies(counts).select("term", "texts", _idf(n_docs).alias("idf"))
     chosen = last_prototypes(prototypes, order_col).filter(F.col("_cond").isin(conditions))
     missing = set(conditions) - {r["_cond"] for r in chosen.filter(F.col("_ptext").isNotNull()).select("_cond").collect()}
     if missing:
@@ -189,6 +214,6 @@ def tfidf_prototype_scores(
     norms = own.groupBy("_cond").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_n"))
     unit = own.join(norms, "_cond").withColumn("_w", F.col("_x") / F.col("_n"))
     wide = unit.groupBy("term").agg(*[F.sum(F.when(F.col("_cond") == F.lit(c), F.col("_w")).otherwise(0.0)).alias(f"_w{j}") for j, c in enumerate(conditions)])
-    filled = idf.join(wide, "term", "left").select("term", "idf", *[F.coalesce(f"_w{j}", F.lit(0.0)).alias(f"_w{j}") for j in range(len(conditions))])
+    filled = idf.join(wide, "term", "left").select("term", "texts", "idf", *[F.coalesce(f"_w{j}", F.lit(0.0)).alias(f"_w{j}") for j in range(len(conditions))])
     terms = stored(filled, "tfidf-terms")
-    return _joined_back(texts, text, _dot_columns(docs, terms, len(conditions), n_min, n_max), [f"{c}_score" for c in conditions])
+    return _joined_back(texts, text, _dot_columns(with_terms(counts, terms), len(conditions)), [f"{c}_score" for c in conditions])

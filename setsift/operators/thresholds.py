@@ -16,7 +16,7 @@ from ..functions.names import col
 from .. import constants as K
 from ..functions.calibration import threshold_level
 from ..session import stored
-from .columns import condition_name, score_columns
+from .columns import condition_name, require_columns, score_columns
 from .quantiles import approx_quantiles, grouped_quantiles
 from .truth_table import finish_truth_table, solutions
 
@@ -170,9 +170,7 @@ def configuration_stability(detail: DataFrame) -> DataFrame:
     Groups hold at most one row per threshold, so the threshold lists are bounded by
     the grid size.
     """
-    for c in ["threshold", "configuration", "status", "consistency", "raw_coverage", "n_cases"]:
-        if c not in detail.columns:
-            raise ValueError(f"Missing required column: {c}")
+    require_columns(detail, ["threshold", "configuration", "status", "consistency", "raw_coverage", "n_cases"], "detail of the thresholds")
     st = F.col("status")
     g = detail.groupBy("configuration").agg(
         _thresholds_where(None).alias("_obs"),

@@ -19,6 +19,7 @@ from .. import constants as K
 from ..functions.labels import configuration_label, solution_sentence, status
 from ..session import stored
 from .columns import condition_columns
+from .running import running
 
 TT_MEASURES = ["configuration", "n_cases", "outcome_positive_cases", "consistency", "raw_coverage"]
 
@@ -235,3 +236,12 @@ def configuration_members(
     if tt is not None:
         members = members.join(stored(tt.select("configuration", "status"), "statuses"), "configuration", "left")
     return members
+
+
+def configuration_positions(qca: DataFrame, conditions: list[str], case_id: str = "case_id", order_col: str | None = None) -> DataFrame:
+    """(configuration, position, case id) of all cases: the whole list of cases of every configuration, positions from 1 in
+    the order of ``order_col`` (default: the id). Rows with a missing condition are left out. Configurations are numbered
+    through ranges of rows and running sums, so one that holds most cases is spread over all tasks."""
+    order = order_col or case_id
+    rows = qca.filter(all_present(conditions)).select(configuration_label(conditions).alias("configuration"), col(case_id), col(order).alias("_order"), F.lit(1).cast("long").alias("position"))
+    return running(stored(rows, "cases"), ["configuration"], "_order", ["position"], "cases-ordered").select("configuration", "position", col(case_id))

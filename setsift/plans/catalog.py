@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from . import relations as R
 from . import sqlgen as Q
 from ..operators.calibrate import calibrate, qca_ready
-from ..operators.truth_table import configuration_members, solutions, truth_table
+from ..operators.score import prototype_cosine_long
+from ..operators.sweep import every_threshold
+from ..operators.truth_table import configuration_members, configuration_positions, solutions, truth_table
 from ..operators import thresholds as TH
 from .. import constants as K
 from ..functions.text import explanation_terms
@@ -102,6 +104,31 @@ def q_score_summary(spark: SparkSession, sf: str) -> DataFrame:
     return TH.score_summary(R.li_scores(spark, sf))
 
 
+def q_every_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """The truth table at every distinct score as threshold."""
+    return every_threshold(R.li_scores(spark, sf), consistency_cutoff=LI_SOLUTION_CUTOFF, sort=False)
+
+
+def q_configuration_positions(spark: SparkSession, sf: str) -> DataFrame:
+    ready = qca_ready(calibrate(R.em_scores(spark, sf), method="crisp", threshold=EM_THRESHOLD))
+    return configuration_positions(ready, R.EM_CONDITIONS)
+
+
+def q_top_two_all_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Top two of a prototype for every label, in long form."""
+    long = prototype_cosine_long(R.em_vectors(spark, sf), R.all_label_prototypes(spark, sf))
+    return X.top_two_long(long)
+
+
+def q_score_whiskers(spark: SparkSession, sf: str) -> DataFrame:
+    return _round6(G.score_whiskers(R.em_scores(spark, sf)), ["q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low", "whisker_high"])
+
+
+def q_score_points(spark: SparkSession, sf: str) -> DataFrame:
+    """The points that the box plot of the cosine scores shows, 200 a condition."""
+    return _round6(G.score_points(R.em_scores(spark, sf), 200), ["similarity_score"])
+
+
 def q_crisp_domain_report(spark: SparkSession, sf: str) -> DataFrame:
     out, cross, inn = EM_ANCHORS
     fz = qca_ready(calibrate(R.li_scores(spark, sf), method="fuzzy", full_out=out, crossover=cross, full_in=inn), case_id="_none")
@@ -282,6 +309,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "supervised_scores": q_supervised_scores,
     "membership_matrix": q_membership_matrix,
     "pipeline_truth_table": q_pipeline_truth_table,
+    "every_threshold": q_every_threshold,
+    "configuration_positions": q_configuration_positions,
+    "top_two_all_labels": q_top_two_all_labels,
+    "score_whiskers": q_score_whiskers,
+    "score_points": q_score_points,
 }
 
 
@@ -370,7 +402,43 @@ x AS (SELECT tt2.*, {Q.confidence_sql('t1', 't2')} AS confidence, pr.ptext,
     repeated = """
 SELECT doc_id AS case_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id // 3 END AS id, text FROM documents
 UNION ALL SELECT -doc_id - 1, doc_id // 3, text FROM documents WHERE doc_id % 5 = 0"""
+    whiskers = "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS condition, count(v) AS n, any_value(q1) AS q1, any_value(q2) AS median, any_value(q3) AS q3,
+       any_value(q1 - 1.5 * (q3 - q1)) AS lower_fence, any_value(q3 + 1.5 * (q3 - q1)) AS upper_fence,
+       min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
+       count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1)) AS n_below, count(*) FILTER (WHERE v > q3 + 1.5 * (q3 - q1)) AS n_above
+FROM (SELECT {c}_score AS v FROM em), (SELECT quantile_cont({c}_score, 0.25) AS q1, quantile_cont({c}_score, 0.5) AS q2, quantile_cont({c}_score, 0.75) AS q3 FROM em)"""
+        for c in R.EM_CONDITIONS
+    )
+    points = "\nUNION ALL ".join(f"SELECT '{c}' AS condition, case_id, {c}_score AS v FROM em" for c in R.EM_CONDITIONS)
+    rounded = ", ".join(f"round_even({c}, 6) AS {c}" for c in ("q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low", "whisker_high"))
+    li_at = ", ".join(f"CAST({c}_score >= threshold AS INTEGER) AS {c}" for c in R.LI_CONDITIONS)
+    li = ", ".join(R.LI_CONDITIONS)
     return {
+        "score_whiskers": f"WITH em AS ({em}), w AS ({whiskers}) SELECT condition, n, {rounded}, n_below, n_above FROM w",
+        "score_points": f"""
+WITH em AS ({em}), w AS ({whiskers}), p AS ({points})
+SELECT condition, case_id, round_even(v, 6) AS similarity_score, v < lower_fence OR v > upper_fence AS outlier
+FROM p JOIN w USING (condition) QUALIFY row_number() OVER (PARTITION BY condition ORDER BY md5(condition || ':' || case_id), v) <= 200""",
+        "configuration_positions": f"""
+SELECT {Q.label_sql(R.EM_CONDITIONS)} AS configuration, row_number() OVER (PARTITION BY {', '.join(R.EM_CONDITIONS)} ORDER BY case_id) AS position, case_id
+FROM (SELECT case_id, {Q.crisp_cols(R.EM_CONDITIONS, EM_THRESHOLD)} FROM ({em}))""",
+        "top_two_all_labels": f"""
+WITH p AS (SELECT label, arg_min(embedding, vec_id) AS pv FROM embeddings GROUP BY label),
+s AS (SELECT e.vec_id AS case_id, 'label' || p.label AS name, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.pv AS DOUBLE[])) AS score,
+             row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.pv AS DOUBLE[])) DESC, p.label) AS k
+      FROM embeddings e, p),
+t AS (SELECT case_id, max(name) FILTER (WHERE k = 1) AS n1, max(score) FILTER (WHERE k = 1) AS t1, max(name) FILTER (WHERE k = 2) AS n2, max(score) FILTER (WHERE k = 2) AS t2 FROM s GROUP BY case_id)
+SELECT case_id, n1 AS top_condition, round_even(t1, 4) AS top_score, n2 AS second_condition, round_even(t2, 4) AS second_score, round_even(t1 - t2, 4) AS score_gap,
+       {Q.confidence_sql('t1', 't2')} AS confidence FROM t""",
+        "every_threshold": f"""
+WITH s AS ({Q.LI_SCORES_SQL}),
+v AS ({" UNION ".join(f"SELECT {c}_score AS threshold FROM s" for c in R.LI_CONDITIONS)}),
+k AS (SELECT {", ".join(f"{c}_score" for c in R.LI_CONDITIONS)}, count(*) AS n, sum(outcome) AS p FROM s GROUP BY ALL),
+g AS (SELECT threshold, {li_at}, CAST(sum(n) AS BIGINT) AS n_cases, CAST(coalesce(sum(p), 0) AS BIGINT) AS outcome_positive_cases FROM k, v GROUP BY ALL),
+t AS (SELECT *, CAST(outcome_positive_cases AS DOUBLE) / n_cases AS cons, CAST(outcome_positive_cases AS DOUBLE) / NULLIF(SUM(outcome_positive_cases) OVER (PARTITION BY threshold), 0) AS cov FROM g)
+SELECT threshold, {li}, {Q.label_sql(R.LI_CONDITIONS)} AS configuration, n_cases, outcome_positive_cases, round_even(cons, 4) AS consistency, round_even(cov, 4) AS raw_coverage,
+       {Q.status_sql('cons', 'n_cases', LI_SOLUTION_CUTOFF, 1)} AS status FROM t""",
         "crisp_domain_report": f"""
 WITH f AS (SELECT {li_f}, outcome FROM ({Q.LI_SCORES_SQL})),
 a AS (SELECT COUNT(*) AS __rows, {dom_aggs} FROM f)

@@ -74,6 +74,13 @@ def em_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("embedding")
 
 
+def all_label_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prototype for every label of ``embeddings``: the vector with the lowest ``vec_id``; in the order of labels."""
+    emb = table(spark, sf_dir, "embeddings").filter(F.col("label").isNotNull())
+    rows = emb.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return rows.select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("condition_name"), "embedding", F.col("label").cast("long").alias("proto_no"))
+
+
 def _dl(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.join(table(spark, sf_dir, "labels"), "doc_id", how).select(

@@ -8,6 +8,9 @@ Spark's committers, one directory per table.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -103,3 +106,42 @@ def write_bundle(tables: dict[str, DataFrame | None], out_dir: str, fmt: str = "
             continue
         written[name] = write_table(df, f"{out_dir.rstrip('/')}/{name}", fmt, mode)
     return written
+
+
+MANIFEST_SCHEMA = "version long, run string, fmt string, tables map<string,long>, settings map<string,string>"
+
+
+def bundle_manifest(spark: SparkSession, out_dir: str) -> dict | None:
+    """What the latest whole bundle of ``out_dir`` holds: version, run, fmt, tables (name: rows), settings; None if there is
+    none."""
+    try:
+        rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{out_dir.rstrip('/')}/_manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    last = rows.orderBy(F.col("version").desc(), "run").limit(1).collect()
+    return last[0].asDict() if last else None
+
+
+def publish_bundle(spark: SparkSession, tables: dict[str, DataFrame | None], out_dir: str, settings: dict | None = None, fmt: str = "parquet") -> dict:
+    """All present tables or nothing: they are written to a folder of this run, counted as read back, and one manifest row
+    (version, run, table names with row counts, settings) is appended last. Until then readers see the bundle before."""
+    base, run = out_dir.rstrip("/"), f"run-{uuid.uuid4().hex}"
+    before = bundle_manifest(spark, base)
+    counts = {}
+    for name, df in tables.items():
+        if df is not None:
+            path = write_table(df, f"{base}/{run}/{name}", fmt, "errorifexists")
+            counts[name] = read_table(spark, path, fmt, df.schema).count()
+    row = (1 + (before["version"] if before else 0), run, fmt, counts, {k: None if v is None else str(v) for k, v in (settings or {}).items()})
+    spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/_manifest")
+    return bundle_manifest(spark, base)
+
+
+def read_bundle(spark: SparkSession, out_dir: str, name: str, schema: str | StructType | None = None) -> DataFrame:
+    """A table of the latest whole bundle."""
+    m = bundle_manifest(spark, out_dir)
+    if m is None or name not in m["tables"]:
+        raise ValueError(f"no whole bundle with a table '{name}' in {out_dir}")
+    return read_table(spark, f"{out_dir.rstrip('/')}/{m['run']}/{name}", m["fmt"], schema)
