@@ -18,10 +18,12 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +31,26 @@ from setsift.llm._common import new_path, slim
 
 PART_SCHEMA = "first_id long, part string, n_docs long, n_tokens long"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: In texts whose white space is only single blanks and single line feeds between other characters, the pieces.
-PIECE = re.compile(r" ?[^ \n]+|\n")
-#: A white space character other than blank and line feed.
-OTHER_SPACE = re.compile(r"[^\S \n]")
+#: A white space character other than blank and line feed, or the mark that pieces are cut at.
+OTHER_SPACE = re.compile(r"[^\S \n]|\x00")
 #: Marks at the end of a piece; after a letter or digit they are a token run of their own.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A piece of Latin letters (the same in all versions of Unicode), which the byte-level pre-tokeniser leaves whole.
+LETTERS = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)")
+#: What OTHER_SPACE finds in ASCII texts.
+ASCII_SPACE = "\x00\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 #: Pieces whose ids a worker remembers, and the longest such piece in characters.
 CACHE_PIECES, CACHE_CHARS = 800_000, 40
+#: Characters of text that are cut and encoded at a time.
+SLICE = 2 << 20
+
+
+def byte_characters() -> dict[int, str]:
+    """Byte -> the character that stands for it in a byte-level vocabulary: itself where it is printable, else the next
+    one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 def mounted(path: str) -> str:
@@ -51,8 +65,9 @@ class Encoder:
     """The ids of whole texts by a tokenizers file, as little-endian bytes.
 
     Byte-level BPE never merges across the pre-tokeniser's borders. Before a single blank and around a single line feed
-    between other characters there always is such a border, so pieces are encoded once and remembered; any text with
-    other white space or special tokens is encoded whole.
+    between other characters there always is such a border, so texts whose white space is only that are cut there and
+    pieces are encoded once and remembered. Pieces of letters go to the file's BPE model without the pre-tokeniser, which
+    leaves them whole. Any text with other white space or added tokens is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,38 +77,72 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = next(c for c in "HIL" if array(c).itemsize == self.dtype.itemsize)
-        self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.direct = type(self.model.pre_tokenizer).__name__ == "ByteLevel" and self.model.normalizer is None and not any(LETTERS.fullmatch(t) for t in self.added)
+        self.bytes = byte_characters()
+        self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The pieces of a text; None where it cannot be cut."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[:1].isspace() or text[-1:].isspace():
-            return None
-        return None if OTHER_SPACE.search(text) else PIECE.findall(text)
-
-    def texts(self, texts: list[str], end: int) -> Iterator[bytes]:
-        known, tail = self.known, np.array([end], self.dtype).tobytes()
-        pieces = [self._pieces(t) for t in texts]
-        uncut = iter(self._encode([t for t, own in zip(texts, pieces, strict=True) if own is None]))
-        found = set().union(*(own for own in pieces if own))
-        new = list(found.difference(known))
+    def _encode_letters(self, pieces: list[str]) -> list[bytes]:
+        """The same of pieces of letters, by the model alone."""
+        one = self.model.model.tokenize
+        shown = "\n".join(pieces).encode().decode("latin-1").translate(self.bytes).split(self.bytes[10]) if pieces else []
+        return [array(self.code, [t.id for t in one(p)]).tobytes() for p in shown]
+
+    def can_be_cut(self, text: str) -> bool:
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace():
+            return False
+        if any(t in text for t in self.added):
+            return False
+        return not any(c in text for c in ASCII_SPACE) if text.isascii() else not OTHER_SPACE.search(text)
+
+    def _learn(self, pieces: list[str]) -> list[str]:
+        """Makes all pieces known; returns those that are not to be remembered."""
+        known = self.known
+        new = [p for p in pieces if p not in known]
         if len(known) + len(new) > CACHE_PIECES:
-            for p in list(itertools.islice(known, CACHE_PIECES // 2)):  # the oldest half
+            for p in list(itertools.islice(known, 1, 1 + CACHE_PIECES // 2)):  # the oldest half, but not the empty piece
                 del known[p]
-            new = list(found.difference(known))
+            new = [p for p in pieces if p not in known]
         ends = {p: p.rstrip(MARKS) for p in new if p[-1:] in MARKS}
         cut = {p: (b, p[len(b) :]) for p, b in ends.items() if b[-1:].isalnum()}
-        whole = list(set(new).difference(cut).union(*cut.values()).difference(known))
-        for i in range(0, len(whole), 4096):
-            known.update(zip(whole[i : i + 4096], self._encode(whole[i : i + 4096]), strict=True))
+        whole = dict.fromkeys(p for p in new if p not in cut)
+        whole |= dict.fromkeys(p for p in chain.from_iterable(cut.values()) if p not in known)
+        letters = list(filter(LETTERS.fullmatch, whole)) if self.direct else []
+        known.update(zip(letters, self._encode_letters(letters), strict=True))
+        rest = [p for p in whole if p not in known]
+        for i in range(0, len(rest), 4096):
+            known.update(zip(rest[i : i + 4096], self._encode(rest[i : i + 4096]), strict=True))
         known.update({p: known[b] + known[m] for p, (b, m) in cut.items()})
-        for own in pieces:
-            yield (next(uncut) if own is None else b"".join([known[p] for p in own])) + tail
-        for p in {*new, *whole}:
-            if len(p) > CACHE_CHARS:
-                del known[p]
+        return list({p for p in chain(new, whole) if len(p) > CACHE_CHARS})
+
+    def _cut(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts that can be cut: cut, numbered and put together by Arrow's kernels."""
+        marked = "\x00".join(texts).replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
+        pieces = pc.list_flatten(pc.split_pattern(pa.array([marked], pa.large_string()), "\x00")).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        long = self._learn(distinct)
+        raw = [self.known[p] for p in distinct]
+        for p in long:
+            del self.known[p]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]), pa.array(np.frombuffer(b"".join(raw), self.dtype)))
+        at = pieces.indices.to_numpy()
+        ids = lists.take(pieces.indices).flatten().to_numpy().astype(self.dtype, copy=False)
+        ends = np.concatenate([[0], np.cumsum(size[at])])
+        count = np.cumsum([0] + [1 + t.count(" ") + 2 * t.count("\n") for t in texts])
+        for a, b in zip(ends[count], ends[count[1:]], strict=False):
+            yield ids[a:b].tobytes()
+
+    def texts(self, texts: list[str], end: int) -> Iterator[bytes]:
+        tail = np.array([end], self.dtype).tobytes()
+        free = [self.can_be_cut(t) for t in texts]
+        cut = self._cut([t for t, ok in zip(texts, free, strict=True) if ok]) if any(free) else iter(())
+        uncut = iter(self._encode([t for t, ok in zip(texts, free, strict=True) if not ok]))
+        for ok in free:
+            yield (next(cut) if ok else next(uncut)) + tail
 
 
 @cache
@@ -123,8 +172,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         with open(tmp, "wb") as out:
             for b in batches:
                 enc = enc or encoder(tokenizer)
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
+                size = np.cumsum(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros(0)
+                at = 0
+                while at < b.num_rows:
+                    to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+                    part, at = b.slice(at, to - at), to
                     ids += part.column(0).to_pylist()
                     for raw in enc.texts([t or "" for t in part.column(1).to_pylist()], end_id):
                         out.write(raw)

@@ -126,6 +126,23 @@ def test_token_files_of_odd_rows(odd, empty):
     assert token_files.token_table(empty, TOK, 2).count() == 0
 
 
+def test_pieces_of_letters_and_others():
+    """Letters of many scripts, marks, digits and emoji, cut, remembered and forgotten, against whole texts."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    model, enc = Tokenizer.from_file(TOK), token_files.Encoder(TOK)
+    assert enc.direct
+    rng = random.Random(4)
+    alphabet = ["a", "Zu", "the", "ß", "é", "e\u0301", "語", "ا", "क्", "'s", "don't", "12", "3", "!", "...", "\u200b", "😀", "-", "(", "x" * 50, "\x00", "ǅ", "ʰ", "²"]
+    texts = ["", "a", "."] + ["".join(rng.choice(alphabet) if rng.random() < 0.7 else rng.choice([" ", " ", "\n"]) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    want = [np.array([*model.encode(t, add_special_tokens=False).ids, 2], enc.dtype).tobytes() for t in texts]
+    assert sum(map(enc.can_be_cut, texts)) > 20
+    assert list(enc.texts(texts, 2)) == want and list(enc.texts(texts[::-1], 2)) == want[::-1]
+    assert [next(enc.texts([t], 2)) for t in texts] == want
+
+
 def test_special_tokens_at_any_place():
     from tokenizers import Tokenizer
 
@@ -144,7 +161,7 @@ def test_texts_with_other_white_space_are_encoded_whole():
     model, enc = Tokenizer.from_file(TOK), token_files.Encoder(TOK)
     texts = ["x\n\u00a0\u00a0y", "x\n\u00a0\u3000y", "a\tb\n\u00a0\nc", "\u00a0y", "y\u00a0"]  # the third: a word too many, a word too few
     texts += [t.replace("_", c) for c in "\u00a0\t\r\x0b\x0c\x1c\x85\u1680\u2003\u2028\u202f\u205f\u3000" for t in ("x\n__y", "x\n_\ny", "x_\ny", "x _y", "x_ y", "x__y", "_x", "x_")]
-    assert enc._pieces(texts[0]) is None and enc._pieces("x y\nz") == ["x", " y", "\n", "z"]
+    assert not enc.can_be_cut(texts[0]) and enc.can_be_cut("x y\nz") and not enc.can_be_cut("x\x00y")
     want = [np.array([*model.encode(t, add_special_tokens=False).ids, 2], enc.dtype).tobytes() for t in texts]
     assert list(enc.texts(texts, 2)) == want
     assert [next(token_files.Encoder(TOK).texts([t], 2)) for t in texts] == want
