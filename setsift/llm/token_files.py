@@ -42,7 +42,7 @@ ASCII_SPACE = "\x00\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 #: Pieces whose ids a worker remembers, and the longest such piece in characters.
 CACHE_PIECES, CACHE_CHARS = 800_000, 40
 #: Characters of text that are cut and encoded at a time.
-SLICE = 2 << 20
+SLICE = 8 << 20
 
 
 def byte_characters() -> dict[int, str]:
