@@ -129,9 +129,15 @@ def mix_table(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with the columns of ``docs``: each as many times as its epochs say, none dropped in
-    between. Sources' quotas are joined by source; the texts are not shuffled for it."""
+    """The documents of the mix with the columns of ``docs``, whatever their names: each as many times as its epochs say,
+    none dropped in between. Sources' quotas are joined by source; the texts are not shuffled for it.
+
+    Null sources are a source of their own; null and empty texts have no words and are in the mix as often as any other
+    document of their source with their key; rows that repeat id and text share a key and are taken together; an empty
+    table gives an empty result.
+    """
     q = quotas(written(thin_rows(docs), "mix-thin"))
-    both = docs.join(q, docs["source"].cast("string").eqNullSafe(q["quota_source"]))
-    times = times_of(key_of(docs["doc_id"], docs["text"])).cast("int")
-    return both.withColumn("quota_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[docs[c] for c in docs.columns])
+    # the key is worked out once a row, below the join; the row's own columns travel inside a struct, where no name clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("own_source"), key_of(F.col("doc_id"), F.col("text")).alias("own_key"))
+    both = rows.join(q, rows["own_source"].eqNullSafe(q["quota_source"])).withColumn("times", times_of(F.col("own_key")).cast("int"))
+    return both.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -1,6 +1,6 @@
 """Near-duplicate documents by SetSketch registers.
 
-A document is its set of distinct two-word shingles. Each register of its sketch keeps the least of exponentially
+A document is its set of distinct shingles of a few words. Each register of its sketch keeps the least of exponentially
 distributed hashes of the shingles, truncated to an integer exponent of base B: sketches of parts merge by maximum, and
 two registers agree with a probability near the Jaccard similarity. BANDS groups of ROWS registers are the search keys:
 documents of similarity 0.8 share none of them with a probability of (1 - 0.8**5)**36, under one in a million. Pairs
@@ -38,17 +38,25 @@ SLICE = 1 << 20
 BLOCK = 256
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct 64-bit hashes of the two-word shingles, ascending in each document; the documents' offsets in them)."""
+def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct 64-bit hashes of the shingles of ``size`` words, ascending in each document; the documents' offsets in
+    them). Fewer words are one shingle."""
     data = lower_ascii(data)
     start, end, doc = words_of(data, off)
     words = word_hashes(data, start, end)
     count = np.diff(doc)
     whose = np.repeat(np.arange(len(count)), count)
-    pair = np.flatnonzero(whose[1:] == whose[:-1])
-    single = doc[:-1][count == 1]
-    h = np.concatenate([mix(words[pair] * GOLDEN + words[pair + 1]), mix(words[single] ^ GOLDEN)])
-    whose = np.concatenate([whose[pair], whose[single]])
+    first = np.flatnonzero(whose[size - 1 :] == whose[: max(0, len(whose) - size + 1)]) if len(whose) >= size else np.zeros(0, np.int64)
+    h = words[first]
+    for k in range(1, size):
+        h = mix(h * GOLDEN + words[first + k])
+    short = np.flatnonzero((count > 0) & (count < size))
+    whole = words[doc[short]]
+    for k in range(1, size - 1):
+        more = count[short] > k
+        whole[more] = mix(whole[more] * GOLDEN + words[doc[short[more]] + k])
+    h = np.concatenate([h, mix(whole ^ GOLDEN)])
+    whose = np.concatenate([whose[first], short])
     order = np.lexsort((h, whose))
     h, whose = h[order], whose[order]
     new = np.ones(len(h), bool)
@@ -120,10 +128,10 @@ def _class_of(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return mix((sums[cut[1:]] - sums[cut[:-1]]) + n.astype(np.uint64) * GOLDEN).view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at, to, data, off in _parts(b.column(2)):
-            h, cut = shingle_sets(data, off)
+            h, cut = shingle_sets(data, off, words)
             n = np.diff(cut)
             regs = registers(np.where(n[:, None] > 0, minima(h, cut), 1.0))
             yield pa.RecordBatch.from_arrays(
@@ -152,10 +160,10 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for _, _, data, off in _parts(b.column(0)):
-            h, cut = shingle_sets(data, off)
+            h, cut = shingle_sets(data, off, words)
             yield pa.RecordBatch.from_arrays([pa.array(_class_of(h, cut)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))], names=["cls", "elements"])
 
 
@@ -242,10 +250,10 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _members(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, doc_key, n_shingles, cls; component: cls, component, component_id) of slim documents."""
     docs = docs.withColumn("doc_key", F.xxhash64("doc_id", "text")).select("doc_id", "doc_key", "text")
-    rows = written(docs.mapInArrow(_sketch, "doc_id long, doc_key long, n_shingles long, cls long, sketch binary"), "near-sketches")
+    rows = written(docs.mapInArrow(lambda batches: _sketch(batches, words), "doc_id long, doc_key long, n_shingles long, cls long, sketch binary"), "near-sketches")
     known = rows.filter(F.col("cls").isNotNull())
     classes = written(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("doc_key").alias("rep_key"), F.first("sketch").alias("sketch")), "near-classes")
     bands = classes.select("cls", "sketch").mapInArrow(_bands, "band long, cls long")
@@ -257,7 +265,7 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = shared.select("band", "cls").join(centers, "band").filter("cls <> center")
     stars = written(stars.select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct(), "near-stars")
     involved = shared.select("cls").distinct().join(classes.select("cls", "rep_key"), "cls").select("rep_key")
-    sets = docs.join(involved, docs["doc_key"] == involved["rep_key"]).select("text").mapInArrow(_sets, "cls long, elements array<long>")
+    sets = docs.join(involved, docs["doc_key"] == involved["rep_key"]).select("text").mapInArrow(lambda batches: _sets(batches, words), "cls long, elements array<long>")
     sets = written(sets.dropDuplicates(["cls"]), "near-sets")
     links = written(_verified(stars, classes, sets), "near-links")
     joined = components(links)
@@ -272,28 +280,29 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("sketch"), written(roots.join(least, "component").select("cls", "component", "component_id"), "near-components")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, doc_key (hash of id and text) of every row.
+def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, doc_key (hash of id and text) of every row, by shingles of ``words`` words.
 
-    Texts with A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``. A single word is a shingle of its own. Rows without words
+    Texts with A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``. A text of fewer words is one shingle. Rows without words
     are linked with nothing: their component_id is their doc_id. component_id is the smallest id of the component, null
     ids aside (null where all are); kept is component_id = doc_id (both null: true), so rows that repeat that id are all
     kept here. Other columns are ignored; an empty table gives an empty result.
     """
-    rows, found = _members(slim(docs, id_col, text_col))
+    rows, found = _members(slim(docs, id_col, text_col), words)
     out = rows.join(found, "cls", "left")
     own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "doc_key")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all columns of ``docs``: that with the smallest id (of several, the one with the
+def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
+    """One row of each component, with all columns of ``docs``, whatever their names: that with the smallest id (of several, the one with the
     smallest hash of id and text). Rows that repeat id and text are one document. Texts without words stay."""
-    rows, found = _members(slim(docs))
+    rows, found = _members(slim(docs), words)
     out = rows.join(found, "cls", "left")
     empty = out.filter(F.col("cls").isNull()).select("doc_key", "doc_id").distinct()
     linked = out.filter(F.col("cls").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("doc_key", "doc_id")).alias("x")).select("x.doc_key", "x.doc_id")
     keep = written(empty.union(linked).toDF("kept_key", "kept_id"), "near-kept")
-    keyed = docs.withColumn("near_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    kept = keyed.join(keep, (keyed["near_row_key"] == keep["kept_key"]) & keyed["doc_id"].cast("long").eqNullSafe(keep["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["near_row_key", "doc_id"]).select(*docs.columns)
+    i = F.col("doc_id").cast("long")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(i, F.col("text").cast("string")).alias("own_key"), i.alias("own_id"))
+    kept = keyed.join(keep, (keyed["own_key"] == keep["kept_key"]) & keyed["own_id"].eqNullSafe(keep["kept_id"]), "left_semi")
+    return kept.dropDuplicates(["own_key", "own_id"]).select("row.*")

@@ -56,7 +56,7 @@ def _copies(rng, n):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_against_brute_force(spark, seed):
     rows = _copies(random.Random(seed), 150)
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).drop("doc_key").collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).drop("doc_key").collect()
     assert sorted(map(tuple, got), key=repr) == _components(rows)
 
 
@@ -72,20 +72,20 @@ def test_chains_beside_a_large_component(spark, monkeypatch):
         for _ in range(rng.randint(1, 5)):
             text[rng.randrange(len(text))] = rng.choice(words)
         rows.append((k, " ".join(text)))
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).drop("doc_key").collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).drop("doc_key").collect()
     want = _components(rows)
     assert 3 < len({c for _, _, c, _ in want}) < 100
     assert sorted(map(tuple, got), key=repr) == want
 
 
 def test_near_duplicates_of_odd_rows(odd, empty):
-    got = near_dedup.near_duplicates(odd).drop("doc_key").collect()
+    got = near_dedup.near_duplicates(odd, words=2).drop("doc_key").collect()
     assert sorted(map(tuple, got), key=repr) == _components([(r[0], r[1]) for r in odd.select("doc_id", "text").collect()])
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.deduplicated(empty).count() == 0
 
 
 def test_one_document_of_each_group_stays(odd):
-    got = near_dedup.deduplicated(odd)
+    got = near_dedup.deduplicated(odd, words=2)
     assert got.columns == odd.columns
     rows = got.select("doc_id", "text").collect()
     # words without a link: 1, 8; empty texts: 2, 3, 4 and the one without an id; groups: 5 5 6, 7 and its copy
@@ -176,4 +176,41 @@ def test_regular_words_are_told_apart(spark):
     """Two words that a polynomial modulo a power of two takes for one another share no shingle."""
     tm = [bin(i).count("1") % 2 for i in range(2048)]
     rows = [(k, "".join("ab"[x ^ k] for x in tm)) for k in (0, 1)]
-    assert [r.kept for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [True, True]
+    assert [r.kept for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()] == [True, True]
+
+
+@pytest.mark.parametrize("words", [1, 3, 5])
+def test_shingles_of_any_number_of_words(spark, words):
+    """Links by shingles of so many words against plain sets; fewer words are one shingle."""
+    rng = random.Random(words)
+    base = [[rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 4, 5, 30, 60]))] for _ in range(12)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:-1] + ["x"]) for b in base] + [" ".join(b) for b in base[:4]]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w)} if len(w) < words else {tuple(w[i : i + words]) for i in range(len(w) - words + 1)})
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i in root:
+            for j in range(len(texts)):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    for _ in texts:
+        root = [root[r] for r in root]
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (len(sets[k]), root[k]) for k in range(len(texts))}
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    from setsift.llm.mixing import mixed
+
+    names = ["quota_source", "quota_copy", "quota_key", "own_source", "own_key", "own_id", "row", "times", "near_row_key", "kept_key", "kept_id", "cls", "source.x"]
+    rows = [(k, f"text number {k} " + "with more words " * (k % 3), "s" + str(k % 2), *(f"{n}{k}" for n in names)) for k in range(20)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    for out in (mixed(docs), near_dedup.deduplicated(docs)):
+        assert out.columns == docs.columns and out.count() > 1
+        assert set(map(tuple, out.collect())) <= set(map(tuple, rows))
