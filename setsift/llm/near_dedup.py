@@ -8,10 +8,10 @@ that share one get a joint maximum-likelihood estimate of their similarity; thos
 verified on the full shingle sets. Sets that are equal are one class from the start, so copies are never compared.
 
 A band key shared by many classes is not expanded into pairs: each class is first compared with the key's most connected
-class (an original rather than one of its copies). The links found give components. Where classes that could be linked
-through shared keys still form several components, those outside the largest are compared with all others, in blocks of
-BLOCK times BLOCK classes inside a task that returns links only. So every pair that shares a key and could join two
-components is tested.
+class (an original rather than one of its copies). The links found give components. Where a key's other classes still
+belong to several components, those outside its largest one are compared with all of them, in blocks of BLOCK times BLOCK
+classes inside a task that returns links only; of keys with the same classes one is taken. So every pair that shares a
+key and could join two components is tested, and no pair without a shared key is.
 """
 
 from __future__ import annotations
@@ -202,20 +202,22 @@ def _block_links(t: pa.Table) -> pa.Table:
 
 
 def _links_between(labelled: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between the components (``root``) of each cluster of ``labelled`` (cls, cluster, root): all classes
-    outside the cluster's largest component against all of the cluster, block by block."""
-    per_root = labelled.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-    clusters = per_root.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    clusters = written(clusters.filter(F.col("all") > F.col("most")), "near-open")
-    rows = labelled.join(clusters, "cluster").withColumn("stray", F.col("root") != F.col("main"))
+    """Links (a, b) between the components (``root``) of each band of ``labelled`` (band, cls, root): the classes outside
+    the band's largest component against all of the band, block by block."""
+    per_root = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    bands = per_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    # bands of the same classes would be compared in the same way
+    bands = bands.filter(F.col("all") > F.col("most")).groupBy("all", "x", "y").agg(F.min(F.struct("band", "main", "most")).alias("b"))
+    bands = written(bands.select("b.band", "b.main", "b.most", "all"), "near-open")
+    rows = labelled.join(bands, "band").withColumn("stray", F.col("root") != F.col("main"))
     rows = rows.withColumn("lefts", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")).withColumn("rights", F.ceil(F.col("all") / BLOCK).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     at = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     as_right = F.transform(every("lefts"), lambda i: F.struct(i.alias("i"), at("rights").alias("j"), F.lit(False).alias("left")))
     as_left = F.transform(every("rights"), lambda j: F.struct(at("lefts").alias("i"), j.alias("j"), F.lit(True).alias("left")))
-    copies = rows.select("cluster", "cls", "root", F.explode(F.concat(as_right, F.when(F.col("stray"), as_left).otherwise(F.array()))).alias("x"))
-    full = copies.select("cluster", "x.i", "x.j", "x.left", "cls", "root").join(classes.select("cls", "sketch"), "cls").join(sets, "cls")
-    return full.groupBy("cluster", "i", "j").applyInArrow(_block_links, "a long, b long")
+    copies = rows.select("band", "cls", "root", F.explode(F.concat(as_right, F.when(F.col("stray"), as_left).otherwise(F.array()))).alias("x"))
+    full = copies.select("band", "x.i", "x.j", "x.left", "cls", "root").join(classes.select("cls", "sketch"), "cls").join(sets, "cls")
+    return full.groupBy("band", "i", "j").applyInArrow(_block_links, "a long, b long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -262,17 +264,16 @@ def _members(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     # a key's center is its class that shares most keys with others: an original rather than one of its copies
     popular = shared.groupBy("cls").agg(F.sum("n").alias("p"))
     centers = shared.select("band", "cls").join(popular, "cls").groupBy("band").agg(F.max_by("cls", F.struct("p", "cls")).alias("center"))
-    stars = shared.select("band", "cls").join(centers, "band").filter("cls <> center")
-    stars = written(stars.select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct(), "near-stars")
+    others = written(shared.select("band", "cls").join(centers, "band").filter("cls <> center"), "near-others")
+    stars = written(others.select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct(), "near-stars")
     involved = shared.select("cls").distinct().join(classes.select("cls", "rep_key"), "cls").select("rep_key")
     sets = docs.join(involved, docs["doc_key"] == involved["rep_key"]).select("text").mapInArrow(lambda batches: _sets(batches, words), "cls long, elements array<long>")
     sets = written(sets.dropDuplicates(["cls"]), "near-sets")
     links = written(_verified(stars, classes, sets), "near-links")
     joined = components(links)
-    clusters = components(stars).toDF("cls", "cluster")
-    clusters = clusters.union(clusters.select("cluster", "cluster").distinct())
-    labelled = clusters.join(joined.toDF("cls", "root"), "cls", "left").select("cls", "cluster", F.coalesce("root", "cls").alias("root"))
-    more = written(_links_between(written(labelled, "near-clusters"), classes, sets), "near-links")
+    # the center of a key has met all its classes; the others have not met each other
+    labelled = others.select("band", "cls").join(joined.toDF("cls", "root"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
+    more = written(_links_between(written(labelled, "near-labelled"), classes, sets), "near-links")
     if more.head(1):
         joined = components(links.union(more))
     roots = classes.select("cls", "rep").join(joined.toDF("cls", "root"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("component"))
