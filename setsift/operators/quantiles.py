@@ -1,22 +1,30 @@
 """Exact, linearly interpolated quantiles with bounded memory per task.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer, which does not survive billions of
-distinct scores. Here the order statistics are found by a distributed selection: each pass is one scan with a grouped
-count over at most ``bins`` equal-width bins of the interval that still holds a wanted rank. The next interval runs from
-the least to the greatest value found in that rank's bin, until these are equal. An interval's ends always fall into
-different bins, so it shrinks in every pass; infinite values are counted apart and never part of an interval. Only bin
-counts reach the driver. All groups and ranks are refined in the same passes. The input should be cached or checkpointed
-by the caller when it is costly to rebuild.
+distinct scores. Here the input is read twice. The first scan makes a mergeable KLL sketch of each group, whose
+quantiles a little below and above every wanted rank are pivots. The second counts the values between two pivots, one row
+for each distinct value, and those outside only in total: the exact count of values below a pivot says which ranks stand
+between. The few percent of rows that are left are written, and the ranks found in them by a distributed selection: each
+pass is a grouped count over at most ``bins`` equal-width bins of the interval that still holds a rank, and the next
+interval runs from the least to the greatest value found in that rank's bin, until these are equal. An interval's ends
+always fall into different bins, so it shrinks in every pass; infinite values are counted apart and never part of an
+interval. Should the sketch have missed a rank, its selection runs over the input. Only counts and sketches reach the
+driver.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 BINS = 4096
+#: Size of the sketches (ranks within about 0.001 of the number of values), and distance of the pivots from a rank.
+SKETCH, SLACK = 4096, 0.005
 INF = float("inf")
 
 
@@ -42,14 +50,19 @@ def grouped_quantiles(values: DataFrame, group: str, column: str, probs: list[fl
     v = F.col(column).cast("double")
     clean = values.select(F.col(group).alias("_g"), v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     finite = F.when(F.abs("_v") < F.lit(INF), F.col("_v"))
+    capped = F.greatest(F.least(F.col("_v"), F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
+    wanted = sorted(set(probs))
+    near = F.array(*[F.lit(float(min(max(p + d, 0.0), 1.0))) for p in wanted for d in (-SLACK, SLACK)])
     stats = clean.groupBy("_g").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v") == -INF).alias("low"), F.count_if(F.col("_v") == INF).alias("high"), F.min(finite).alias("lo"), F.max(finite).alias("hi")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v") == -INF).alias("low"), F.count_if(F.col("_v") == INF).alias("high"),
+        F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.kll_sketch_agg_double(capped, SKETCH).alias("sketch"),
     )
-    size, found, pending = {}, {}, {}
+    stats = stats.withColumn("pivots", F.kll_sketch_get_quantile_double("sketch", near)).drop("sketch")
+    size, low, found, open_ranks, pivots = {}, {}, {}, {}, {}
     for r in stats.collect():
         g, n = r["_g"], r["n"]
-        size[g] = n
-        for p in probs:
+        size[g], low[g] = n, r["low"]
+        for k, p in enumerate(wanted):
             at = int(math.floor((n - 1) * p))
             for rank in (at, min(at + 1, n - 1)):
                 if rank < r["low"] or rank >= n - r["high"]:
@@ -57,7 +70,63 @@ def grouped_quantiles(values: DataFrame, group: str, column: str, probs: list[fl
                 elif rank == r["low"] or rank == n - r["high"] - 1:
                     found[g, rank] = r["lo"] if rank == r["low"] else r["hi"]
                 else:
-                    pending[g, rank] = (r["lo"], r["hi"], r["low"])
+                    open_ranks.setdefault(g, set()).add(rank)
+                    pivots.setdefault(g, set()).add((r["pivots"][2 * k], r["pivots"][2 * k + 1]))
+    if open_ranks:
+        between, segments = _between(clean.filter(F.abs("_v") < F.lit(INF)), {g: _merged(x) for g, x in pivots.items()})
+        inside, missed = {}, {}
+        for g, ranks in open_ranks.items():
+            before = low[g]
+            for s, c, lo, hi in segments[g]:
+                for rank in ranks:
+                    if before <= rank < before + c:
+                        (inside if s % 2 else missed)[g, rank] = (lo, hi, before)
+                before += c
+        found |= _selected(between, inside, bins)
+        if missed:
+            found |= _selected(clean.withColumn("_c", F.lit(1).cast("long")), missed, bins)
+    out: dict = {}
+    for g, n in size.items():
+        out[g] = {"n": n}
+        for p in probs:
+            h = (n - 1) * p
+            at = int(math.floor(h))
+            out[g][p] = lerp(found[g, at], found[g, min(at + 1, n - 1)], h - at)
+    return out
+
+
+def _merged(spans: set[tuple]) -> list[tuple]:
+    """Disjoint closed intervals in ascending order that cover ``spans``."""
+    out: list[tuple] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _between(finite: DataFrame, spans: dict) -> tuple[DataFrame, dict]:
+    """(the distinct values in the spans with counts: _g, _v, _c; {group: [(segment, count, least, greatest value)]} in
+    order). Segment 2k + 1 is a group's k-th span, even ones are the gaps. One scan."""
+    place = F.lit(None).cast("int")
+    for g, own in spans.items():
+        segment = F.lit(2 * len(own))
+        for k in reversed(range(len(own))):
+            segment = F.when(F.col("_v") < F.lit(own[k][0]), 2 * k).when(F.col("_v") <= F.lit(own[k][1]), 2 * k + 1).otherwise(segment)
+        place = F.when(F.col("_g") == F.lit(g), segment).otherwise(place)
+    rows = finite.withColumn("_s", place).filter(F.col("_s").isNotNull())
+    counts = rows.groupBy("_g", "_s", F.when(F.col("_s") % 2 == 1, F.col("_v")).alias("_w")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    counts = stored(counts, "between-pivots")
+    out: dict = {}
+    for r in sorted(counts.groupBy("_g", "_s").agg(F.sum("_c").alias("c"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).collect(), key=lambda r: r["_s"]):
+        out.setdefault(r["_g"], []).append((r["_s"], r["c"], r["lo"], r["hi"]))
+    return counts.filter(F.col("_w").isNotNull()).select("_g", F.col("_w").alias("_v"), "_c"), out
+
+
+def _selected(rows: DataFrame, pending: dict, bins: int) -> dict:
+    """{(group, rank): value} for ``pending`` {(group, rank): (least, greatest value, count of values before)}."""
+    found = {}
     while pending:
         intervals: dict = {}
         for (g, rank), (lo, hi, before) in pending.items():
@@ -68,7 +137,7 @@ def grouped_quantiles(values: DataFrame, group: str, column: str, probs: list[fl
         pending = {}
         if not intervals:
             break
-        for k, hist in _counts(clean, list(intervals), bins).items():
+        for k, hist in _counts(rows, list(intervals), bins).items():
             (g, _, _, before), ranks = list(intervals.items())[k]
             for rank in ranks:
                 at = before
@@ -77,17 +146,10 @@ def grouped_quantiles(values: DataFrame, group: str, column: str, probs: list[fl
                         pending[g, rank] = (lo, hi, at)
                         break
                     at += c
-    out: dict = {}
-    for g, n in size.items():
-        out[g] = {"n": n}
-        for p in probs:
-            h = (n - 1) * p
-            at = int(math.floor(h))
-            out[g][p] = lerp(found[g, at], found[g, min(at + 1, n - 1)], h - at)
-    return out
+    return found
 
 
-def _counts(clean: DataFrame, intervals: list[tuple], bins: int) -> dict[int, list[tuple]]:
+def _counts(values: DataFrame, intervals: list[tuple], bins: int) -> dict[int, list[tuple]]:
     """Per interval (of one group, disjoint or equal within it): (bin, count, least, greatest value) in order; one job."""
     which, lo_of, width_of, scale_of = None, [], [], []
     for k, (g, lo, hi, _) in enumerate(intervals):
@@ -97,11 +159,11 @@ def _counts(clean: DataFrame, intervals: list[tuple], bins: int) -> dict[int, li
         lo_of.append(F.lit(float(lo * scale)))
         width_of.append(F.lit(max((hi * scale - lo * scale) / bins, 5e-324)))  # nor that of a tiny one vanish
         scale_of.append(F.lit(scale))
-    rows = clean.select(which.alias("_k"), "_v").filter(F.col("_k").isNotNull())
+    rows = values.select(which.alias("_k"), "_v", "_c").filter(F.col("_k").isNotNull())
     of = lambda xs: F.element_at(F.array(*xs), F.col("_k") + 1)
     step = (F.col("_v") * of(scale_of) - of(lo_of)) / of(width_of)
     b = F.least(F.greatest(F.floor(step), F.lit(0)), F.lit(bins - 1)).cast("int")
-    hist = rows.groupBy("_k", b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
+    hist = rows.groupBy("_k", b.alias("b")).agg(F.sum("_c").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
     out: dict = {}
     for r in sorted(hist, key=lambda r: r["b"]):
         out.setdefault(r["_k"], []).append((r["b"], r["c"], r["lo"], r["hi"]))

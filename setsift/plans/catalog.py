@@ -16,6 +16,7 @@ from . import relations as R
 from . import sqlgen as Q
 from ..operators.calibrate import calibrate, qca_ready
 from ..operators.score import prototype_cosine_long
+from ..operators.members import configuration_overlaps, member_bitmaps, numbered
 from ..operators.sweep import every_threshold
 from ..operators.truth_table import configuration_members, configuration_positions, solutions, truth_table
 from ..operators import thresholds as TH
@@ -114,6 +115,12 @@ def q_configuration_positions(spark: SparkSession, sf: str) -> DataFrame:
     return configuration_positions(ready, R.EM_CONDITIONS)
 
 
+def q_configuration_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases that go from one configuration to another between a threshold and the next, from bitmaps of members."""
+    bitmaps = member_bitmaps(numbered(R.em_scores(spark, sf)), K.DEFAULT_THRESHOLD_GRID)
+    return configuration_overlaps(bitmaps, K.DEFAULT_THRESHOLD_GRID)
+
+
 def q_top_two_all_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Top two of a prototype for every label, in long form."""
     long = prototype_cosine_long(R.em_vectors(spark, sf), R.all_label_prototypes(spark, sf))
@@ -311,6 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline_truth_table": q_pipeline_truth_table,
     "every_threshold": q_every_threshold,
     "configuration_positions": q_configuration_positions,
+    "configuration_overlaps": q_configuration_overlaps,
     "top_two_all_labels": q_top_two_all_labels,
     "score_whiskers": q_score_whiskers,
     "score_points": q_score_points,
@@ -423,6 +431,7 @@ FROM p JOIN w USING (condition) QUALIFY row_number() OVER (PARTITION BY conditio
         "configuration_positions": f"""
 SELECT {Q.label_sql(R.EM_CONDITIONS)} AS configuration, row_number() OVER (PARTITION BY {', '.join(R.EM_CONDITIONS)} ORDER BY case_id) AS position, case_id
 FROM (SELECT case_id, {Q.crisp_cols(R.EM_CONDITIONS, EM_THRESHOLD)} FROM ({em}))""",
+        "configuration_overlaps": Q.overlaps_sql(em, R.EM_CONDITIONS, K.DEFAULT_THRESHOLD_GRID),
         "top_two_all_labels": f"""
 WITH p AS (SELECT label, arg_min(embedding, vec_id) AS pv FROM embeddings GROUP BY label),
 s AS (SELECT e.vec_id AS case_id, 'label' || p.label AS name, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.pv AS DOUBLE[])) AS score,

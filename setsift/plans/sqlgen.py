@@ -178,6 +178,23 @@ SELECT configuration,
 FROM d GROUP BY configuration"""
 
 
+def overlaps_sql(scores_sql: str, conditions: list[str], grid: list[float]) -> str:
+    known = " AND ".join(f"{c} IS NOT NULL" for c in conditions)
+    steps = " UNION ALL ".join(
+        f"SELECT {j} AS j, CAST({t!r} AS DOUBLE) AS threshold, case_id, {label_sql(conditions)} AS configuration "
+        f"FROM (SELECT case_id, {crisp_cols(conditions, t)} FROM s) WHERE {known}"
+        for j, t in enumerate(grid)
+    )
+    return f"""
+WITH s AS MATERIALIZED ({scores_sql}), m AS MATERIALIZED ({steps}),
+n AS (SELECT j, configuration, count(*) AS n FROM m GROUP BY j, configuration)
+SELECT a.threshold, a.configuration, b.threshold AS next_threshold, b.configuration AS next_configuration,
+       any_value(x.n) AS n_cases, any_value(y.n) AS next_n_cases, count(*) AS n_both
+FROM m a JOIN m b ON b.j = a.j + 1 AND b.case_id = a.case_id
+JOIN n x ON x.j = a.j AND x.configuration = a.configuration JOIN n y ON y.j = b.j AND y.configuration = b.configuration
+GROUP BY a.threshold, a.configuration, b.threshold, b.configuration"""
+
+
 def pooled_sql(scores_sql: str, conditions: list[str]) -> str:
     cols = ", ".join(f"CAST({c}_score AS DOUBLE)" for c in conditions)
     return f"SELECT unnest([{cols}]) AS value FROM ({scores_sql})"

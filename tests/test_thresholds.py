@@ -141,3 +141,37 @@ def test_one_selection_gives_all_three_tables(spark, demo_scores):
     assert TH.suggest_thresholds(demo_scores, found=found).collect() == TH.suggest_thresholds(demo_scores).collect()
     assert TH.score_summary(demo_scores, found=found).collect() == TH.score_summary(demo_scores).collect()
     assert G.score_box(demo_scores, found).collect() == G.score_box(demo_scores).collect()
+
+
+def test_quantiles_read_the_input_twice_on_any_distribution(spark, monkeypatch):
+    """Clustered, extreme and tied values: every rank stands between its pivots, so no pass over the input follows."""
+    import random
+
+    from setsift.operators import quantiles as QN
+
+    calls, own = [], QN._selected
+    monkeypatch.setattr(QN, "_selected", lambda rows, pending, bins: calls.append(len(pending)) or own(rows, pending, bins))
+    rng = random.Random(5)
+    cases = {
+        "clusters": [0.5 + rng.random() * 1e-12 for _ in range(9000)] + [rng.random() * 1e9 for _ in range(1000)],
+        "extreme": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(9000)] + [float("inf")] * 40 + [float("-inf")] * 40,
+        "ties": [rng.randrange(3) / 10 for _ in range(9000)],
+    }
+    probs = [0.25, 0.5, 0.6, 0.75]
+    df = spark.createDataFrame([(g, v) for g, vs in cases.items() for v in vs], "g string, v double")
+    got = QN.grouped_quantiles(df, "g", "v", probs)
+    assert len(calls) == 1
+    for g, vs in cases.items():
+        x = sorted(vs)
+        for p in probs:
+            h = (len(x) - 1) * p
+            assert got[g][p] == QN.lerp(x[int(h)], x[min(int(h) + 1, len(x) - 1)], h - int(h))
+
+
+def test_ranks_that_the_sketch_missed_are_found(spark, monkeypatch):
+    from setsift.operators import quantiles as QN
+
+    monkeypatch.setattr(QN, "SLACK", -0.2)  # pivots on the wrong sides
+    values = [float(x * x) for x in range(999)]
+    got = QN.exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0.25, 0.5])
+    assert got[0.5] == values[499] and got[0.25] == QN.lerp(values[249], values[250], 0.5)
