@@ -3,8 +3,12 @@
 What is placed are units: each group of equal texts that holds more than 1/UNITS of all bytes or rows is a unit of its
 own (there are fewer than 2 * UNITS of these, whatever the input), the other groups share UNITS bundles by a hash of the
 text. Units go in falling order of their largest share to the shard where the dot product of their vector with what the
-shard still lacks is highest. Only the sums of the units reach the driver. A group larger than a quarter of a shard
-cannot be placed whole and balanced; it is dealt to pieces of at most that size by a hash of the id.
+shard still lacks is highest. A group larger than a quarter of a shard cannot be placed whole and balanced; it is dealt
+to pieces of at most that size by a hash of the id.
+
+The rows of a unit are numbered in parts of about PART_ROWS rows, as many as its rows ask for, so that no task orders
+more than a part whatever the size of the table. Only the sums of the parts reach the driver: one row for each million
+rows of the table, beside those of the units.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from setsift.llm._common import written
 from setsift.llm.mixing import size_of
 
 UNITS = 4096
+#: Rows that one task numbers.
+PART_ROWS = 1 << 20
 
 
 def _group(text: Column) -> list[Column]:
@@ -39,22 +45,26 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def _plan(spark: SparkSession, thin: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """(large groups with first unit, pieces and parts; units with part, shard and the first slot of the part).
+def _plan(spark: SparkSession, thin: DataFrame, shards: int) -> tuple[DataFrame, int, DataFrame]:
+    """(large groups with first unit, pieces and parts; parts of a bundle; units with part, shard and the first slot of
+    the part).
 
-    Both have a bounded number of rows, so they may be broadcast.
+    The large groups are fewer than 2 * UNITS, the parts fewer than 9 * UNITS and two for each PART_ROWS rows, so both
+    may be broadcast.
     """
     groups = thin.groupBy("g_hash", "g_crc", "g_size").agg(F.count(F.lit(1)).alias("rows"))
     total = thin.agg(F.coalesce(F.sum("g_size"), F.lit(0)), F.count(F.lit(1))).first()
     large = groups.filter((F.col("g_size") * F.col("rows") * UNITS > total[0]) | (F.col("rows") * UNITS > total[1])).collect()
     table, unit = [], UNITS
+    bundle_parts = max(1, math.ceil(total[1] / UNITS / PART_ROWS))
+    part_rows = min(PART_ROWS, 4 * total[1] / UNITS)
     for g in sorted(large):
         share = max(g["g_size"] * g["rows"] / total[0], g["rows"] / total[1])
         pieces = max(1, math.ceil(share * shards * 4)) if share * shards * 4 > 1 and g["rows"] > 1 else 1
-        table.append((g["g_hash"], g["g_crc"], g["g_size"], unit, pieces, max(1, math.ceil(g["rows"] / pieces * UNITS / total[1] / 4))))
+        table.append((g["g_hash"], g["g_crc"], g["g_size"], unit, pieces, max(1, math.ceil(g["rows"] / pieces / part_rows))))
         unit += pieces
     large_df = spark.createDataFrame(table, "l_hash long, l_crc long, l_size long, l_unit int, pieces int, parts int")
-    sums = _units(thin, large_df).groupBy("unit", "part").agg(F.sum("g_size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()
+    sums = _units(thin, large_df, bundle_parts).groupBy("unit", "part").agg(F.sum("g_size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()
     sums = sorted(sums)
     names = sorted({r["unit"] for r in sums})
     at = {u: k for k, u in enumerate(names)}
@@ -67,14 +77,15 @@ def _plan(spark: SparkSession, thin: DataFrame, shards: int) -> tuple[DataFrame,
         s = int(shard[at[r["unit"]]])
         rows.append((r["unit"], r["part"], s, base[s]))
         base[s] += r["rows"]
-    return large_df, spark.createDataFrame(rows, "u_unit int, u_part int, u_shard int, u_base long")
+    return large_df, bundle_parts, spark.createDataFrame(rows, "u_unit int, u_part int, u_shard int, u_base long")
 
 
-def _units(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """Adds unit and part. ``rows`` has g_hash, g_crc, g_size and g_id (a hash of the id)."""
+def _units(rows: DataFrame, large: DataFrame, bundle_parts: int) -> DataFrame:
+    """Adds unit and part. ``rows`` has g_hash, g_crc, g_size and g_id (a hash of the id). The part goes by id and text,
+    so rows that share an id, null ones too, spread over the parts of a bundle."""
     own = (F.col("g_hash") == F.col("l_hash")) & (F.col("g_crc") == F.col("l_crc")) & (F.col("g_size") == F.col("l_size"))
     unit = F.when(F.col("l_unit").isNull(), F.pmod("g_hash", F.lit(UNITS))).otherwise(F.col("l_unit") + F.pmod("g_id", F.coalesce("pieces", F.lit(1))))
-    part = F.when(F.col("l_unit").isNull(), F.lit(0)).otherwise(F.pmod(F.shiftright("g_id", 20), F.coalesce("parts", F.lit(1))))
+    part = F.pmod(F.shiftright(F.xxhash64("g_id", "g_hash"), 20), F.coalesce("parts", F.lit(bundle_parts)))
     return rows.join(F.broadcast(large), own, "left").withColumn("unit", unit.cast("int")).withColumn("part", part.cast("int")).drop(*large.columns)
 
 
@@ -93,8 +104,8 @@ def shard_table(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
     a whole shard.
     """
     thin = written(_thin(docs, id_col, text_col), "shard-thin")
-    large, units = _plan(docs.sparkSession, thin, shards)
-    placed = _units(thin, large)
+    large, bundle_parts, units = _plan(docs.sparkSession, thin, shards)
+    placed = _units(thin, large, bundle_parts)
     placed = placed.join(F.broadcast(units), (F.col("unit") == F.col("u_unit")) & (F.col("part") == F.col("u_part")))
     order = Window.partitionBy("unit", "part").orderBy("doc_id", "g_hash", "g_crc", "g_size")
     return placed.select(
@@ -111,7 +122,7 @@ def shard_table(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
 
 def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``docs`` with a column ``shard`` (replacing one of that name): the same placement; the texts are not shuffled."""
-    large, units = _plan(docs.sparkSession, written(_thin(docs, "doc_id", "text"), "shard-thin"), shards)
-    rows = _units(docs.select(F.struct("*").alias("row"), *_group(F.col("text")), F.xxhash64("doc_id").alias("g_id")), large)
+    large, bundle_parts, units = _plan(docs.sparkSession, written(_thin(docs, "doc_id", "text"), "shard-thin"), shards)
+    rows = _units(docs.select(F.struct("*").alias("row"), *_group(F.col("text")), F.xxhash64("doc_id").alias("g_id")), large, bundle_parts)
     rows = rows.join(F.broadcast(units), (F.col("unit") == F.col("u_unit")) & (F.col("part") == F.col("u_part")))
     return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "shard"], F.col("u_shard").alias("shard"))
