@@ -75,6 +75,12 @@ def packed_hex(low: np.ndarray, has: np.ndarray) -> list[str]:
     return [r.tobytes().hex() if h else "" for r, h in zip(pairs, has, strict=True)]
 
 
+def order_bytes(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Sixteen bytes a pair that compare as the pairs do: both numbers big-endian with the sign bit turned."""
+    pairs = np.stack([ids.astype(np.int64), hashes.astype(np.int64)], 1).view(np.uint64) ^ U64(1 << 63)
+    return np.ascontiguousarray(pairs.astype(">u8")).view("S16").ravel()
+
+
 def _rows(ids: list, texts: list[str]) -> pa.RecordBatch:
     """``texts`` holds one text more than ``ids``: that after the last."""
     edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(texts, texts[1:], strict=False)]
@@ -96,7 +102,8 @@ def _rows(ids: list, texts: list[str]) -> pa.RecordBatch:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by range, ids ascending, the first document of the next range last: each meets its successor."""
+    """Rows come by range, ids ascending, the first document of the next range last: each meets its successor. A range
+    starts with all rows of its first (id, hash), so of those sent ahead the first stands for all."""
     ids, texts, size, part = [], [], 0, None
     for b in batches:
         for p, ahead, i, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
@@ -104,7 +111,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if p != part:
                 part, ids, texts, size, ended = p, [], [], 0, False
             if ended:
-                continue  # a further row that shares the id of the first of the next range
+                continue  # a further row that shares id and hash with the first of the next range
             texts.append(t)
             size += len(t)
             if ahead:
@@ -125,28 +132,31 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows that repeat an id follow each other in the order of a hash of their texts. Null texts are empty; an empty text
     has an empty fingerprint. An empty table gives an empty result; other columns are ignored.
 
-    One shuffle of the texts. A thin pass over the ids finds the first id of each range; the documents with these ids
-    are sent to the range before theirs as well, so that every task has the successor of its last document.
+    One shuffle of the texts. A pass over ids and hashes finds the first (id, hash) of each range; the documents with
+    these are sent to the range before theirs as well, so that every task has the successor of its last document. An id
+    that many rows share, the null one too, spreads over ranges by the hash; only rows alike in both stay together.
     """
     spark = docs.sparkSession
-    rows = slim(docs, id_col, text_col).withColumn("ord", F.coalesce("doc_id", F.lit(FIRST)))
+    rows = slim(docs, id_col, text_col).select("*", F.coalesce("doc_id", F.lit(FIRST)).alias("ord"), F.xxhash64("text").alias("hash"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(math.ceil(total / RANGE), 2 * spark.sparkContext.defaultParallelism)
-    heads = rows.select("ord").repartitionByRange(ranges, "ord").groupBy(F.spark_partition_id()).agg(F.min("ord").alias("first"))
-    first = np.array(sorted(r["first"] for r in heads.collect()), np.int64)
-    if not len(first):
+    heads = rows.select("ord", "hash").repartitionByRange(ranges, "ord", "hash").groupBy(F.spark_partition_id()).agg(F.min(F.struct("ord", "hash")).alias("first"))
+    heads = sorted(tuple(r["first"]) for r in heads.collect())
+    if not heads:
         return spark.createDataFrame([], SCHEMA)
+    first = order_bytes(*np.array(heads, np.int64).T)
 
     @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        """Twice the number of the id's range, plus 1 for the first id of the range."""
-        k = np.searchsorted(first, ids.to_numpy(), "right") - 1
-        return pd.Series((2 * k + (first[k] == ids.to_numpy())).astype(np.int32))
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        """Twice the number of the row's range, plus 1 for the first (id, hash) of the range."""
+        at = order_bytes(ids.to_numpy(), hashes.to_numpy())
+        k = np.searchsorted(first, at, "right") - 1
+        return pd.Series((2 * k + (first[k] == at)).astype(np.int32))
 
-    rows = rows.withColumn("place", place("ord")).withColumn("part", F.shiftright("place", 1))
+    rows = rows.withColumn("place", place("ord", "hash")).withColumn("part", F.shiftright("place", 1))
     own = F.struct(F.col("part"), F.lit(False).alias("ahead"))
     before = F.struct(F.pmod(F.col("part") - 1, F.lit(len(first))).alias("part"), F.lit(True).alias("ahead"))
     rows = rows.withColumn("to", F.explode(F.when(F.col("place") % 2 == 1, F.array(own, before)).otherwise(F.array(own))))
-    rows = rows.select(F.col("to.part").alias("part"), F.col("to.ahead").alias("ahead"), "doc_id", "text", "ord", F.xxhash64("text").alias("hash"))
-    rows = rows.repartition(len(first), "part").sortWithinPartitions("part", "ahead", "ord", "hash")
+    rows = rows.select(F.col("to.part").alias("part"), F.col("to.ahead").alias("ahead"), "doc_id", "text", "ord", "hash")
+    rows = rows.repartitionById(len(first), "part").sortWithinPartitions("part", "ahead", "ord", "hash")
     return rows.select("part", "ahead", "doc_id", "text").mapInArrow(_walk, SCHEMA)

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from llm_fixtures import SF01, empty, odd  # noqa: F401
+from pyspark.sql import functions as F
 
 from setsift.llm import decontam, fingerprints, sharding
 
@@ -94,6 +95,33 @@ def test_a_hot_group_is_split(spark):
     assert max(size) / min(size) < 1.1 and sum(len(s) > 1 for s in group.values()) == 1
 
 
+def test_packing_is_the_plain_greedy():
+    rng = np.random.default_rng(5)
+    v = np.ceil(rng.pareto(1.2, (400, 3)) * 10)
+    v[50:60] = v[50]  # ties
+    total, lack, want = v.sum(0), [[1 / 7] * 3 for _ in range(7)], {}
+    for k in sorted(range(len(v)), key=lambda k: (-max(v[k] / total), k)):
+        fit = [sum(a * b for a, b in zip(left, v[k] / total, strict=True)) for left in lack]
+        want[k] = max(range(7), key=lambda s: (fit[s], -s))
+        lack[want[k]] = [a - b for a, b in zip(lack[want[k]], v[k] / total, strict=True)]
+    got = sharding.pack(v, 7)
+    assert [want[k] for k in range(len(v))] == list(got)
+    load = np.array([(v[got == s] / total).sum(0) for s in range(7)])
+    assert load.max() < 1 / 7 + (v / total).max()
+
+
+def test_long_units_are_numbered_in_parts(spark, monkeypatch):
+    """Bundles and pieces larger than PART_ROWS; half of the rows share the null id, a third one text."""
+    monkeypatch.setattr(sharding, "UNITS", 64)
+    monkeypatch.setattr(sharding, "PART_ROWS", 20)
+    rows = [(i if i % 2 else None, "hot text" if i % 3 == 0 else f"text {i}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, bundle_parts, units = sharding._plan(spark, sharding._thin(docs, "doc_id", "text"), 16)
+    assert bundle_parts == 5 and units.groupBy("u_unit").count().agg({"count": "max"}).first()[0] >= 5
+    size, *_ = _shard_laws(sharding.shard_table(docs).collect(), rows)
+    assert sum(size) == sum(len(t) + 1 for _, t in rows)
+
+
 def test_shards_of_odd_rows(odd, empty):
     _shard_laws(sharding.shard_table(odd).collect(), [(r[0], r[1]) for r in odd.select("doc_id", "text").collect()])
     assert sharding.shard_table(empty).count() == 0
@@ -147,6 +175,27 @@ def test_fingerprints_of_odd_rows(spark, odd, empty, monkeypatch, slice_bytes):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(_edited(t, t).encode()).hexdigest()
 
 
+def test_fingerprints_of_one_id_on_half_of_the_rows(spark, monkeypatch):
+    """Rows of one id, the null one too, meet in the order of a hash of their texts, and spread over ranges."""
+    monkeypatch.setattr(fingerprints, "RANGE", 2000)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text of row {i} " * (1 + i % 4)) for i in range(900)] + [(7, "copy " * 9)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = docs.selectExpr("doc_id", "text", "xxhash64(text) h").collect()
+    order = sorted(hashed, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    want = sorted((r[0] or -1, len(r[1]), hashlib.sha256(_edited(r[1], order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, r in enumerate(order))
+    got = fingerprints.fingerprint_table(docs)
+    assert sorted((r["doc_id"] or -1, r["n_chars"], r["edited_sha256"]) for r in got.collect()) == want
+    sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]  # a range is a task
+    assert max(sizes) < 300 // 4 + 50
+
+
+def test_order_of_pairs_as_bytes():
+    edge = [-(2**63), -(2**63) + 1, -256, -1, 0, 1, 255, 256, 2**63 - 1]
+    pairs = [(a, b) for a in edge for b in edge]
+    got = fingerprints.order_bytes(*np.array(pairs, np.int64).T)
+    assert pairs == sorted(pairs) and list(got) == sorted(got) and len(set(got)) == len(pairs)
+
+
 def test_densification_keeps_small_sets_comparable():
     low = fingerprints.sketches([b"abcdefghijkl", b"abcdefghijkl", b"zyxwvutsrqpo", b"", b"ab"])
     has = np.array([True, True, True, False, True])
