@@ -4,11 +4,16 @@ Each report is built from one global aggregate over the checked table (a single
 whatever the table size) that is then unfolded into issue rows; nothing proportional
 to the data reaches the driver. The prototype report has a line per affected row, from one
 pass over the table.
+
+Where a run writes the checked table anyway, ``observe_labels`` and ``observe_crisp`` have the same aggregates collected
+as metrics of that write, so the reports need no job over the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import col
@@ -47,8 +52,7 @@ def _static(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ crisp domain (QCA input)
-def crisp_domain_report(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: missing count, non-0/1 count, smallest and largest invalid value."""
+def _crisp_counts(columns: list[str]) -> list[Column]:
     aggs = []
     for i, c in enumerate(columns):
         v = col(c).cast("double")
@@ -59,8 +63,10 @@ def crisp_domain_report(df: DataFrame, columns: list[str]) -> DataFrame:
             F.min(F.when(bad, v)).alias(f"min{i}"),
             F.max(F.when(bad, v)).alias(f"max{i}"),
         ]
-    aggs.append(F.count(F.lit(1)).alias("__rows"))
-    one = df.agg(*aggs)
+    return [*aggs, F.count(F.lit(1)).alias("__rows")]
+
+
+def _crisp_rows(one: DataFrame, columns: list[str]) -> DataFrame:
     rows = F.explode(
         F.array(
             *[
@@ -83,6 +89,32 @@ def crisp_domain_report(df: DataFrame, columns: list[str]) -> DataFrame:
     ).orderBy("_ord").drop("_ord")
 
 
+def crisp_domain_report(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column: missing count, non-0/1 count, smallest and largest invalid value."""
+    return _crisp_rows(df.agg(*_crisp_counts(columns)), columns)
+
+
+def _observed(df: DataFrame, name: str, aggs: list[Column]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """(``df`` whose first action collects ``aggs``, the function that gives them as a one-row table after it).
+
+    The first action should write ``df`` or count it, with nothing between that repeats or drops rows: metrics are
+    those of the rows that pass."""
+    schema = df.limit(0).agg(*aggs).schema  # types only, no job
+    seen = Observation(name)
+
+    def one_row() -> DataFrame:
+        values = seen.get
+        return df.sparkSession.createDataFrame([tuple(values[f.name] for f in schema)], schema)
+
+    return df.observe(seen, *aggs), one_row
+
+
+def observe_crisp(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """(``df`` to be written, function giving its ``crisp_domain_report`` once it has been written)."""
+    out, one = _observed(df, "crisp_domain", _crisp_counts(columns))
+    return out, lambda: _crisp_rows(one(), columns)
+
+
 def require_crisp(df: DataFrame, columns: list[str]) -> None:
     """Raise naming the first column with a value outside {0, 1} (missing values pass)."""
     bad = crisp_domain_report(df, columns).filter(F.col("severity") == "error").limit(1).collect()
@@ -141,27 +173,19 @@ def _objectionable(df: DataFrame, c: str) -> Column:
     return F.array_join(F.array_distinct(F.array_compact(F.array(F.min(bad), F.max(bad)))), ", ")
 
 
-def label_report(df: DataFrame, text: str = "text", conditions: list[str] | None = None) -> DataFrame:
-    """Checks of a labeled training table (severity error / warning / pass)."""
-    spark = df.sparkSession
-    if text not in df.columns:
-        return _static(spark, [("text_column", text, "error", f"There is no text column '{text}'.")])
-    if conditions is None:
-        conditions = binary_label_columns(df, [c if c != "text" else text for c in K.LABEL_EXCLUDE_COLUMNS])
-    if not conditions:
-        return _static(
-            spark,
-            [("label_columns", None, "error",
-              "There is no column of 0/1 labels to learn a condition from.")],
-        )
-    present = [c for c in conditions if c in df.columns]
+def _label_counts(df: DataFrame, text: str, conditions: list[str]) -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("__n"), F.count_if(is_blank(col(text))).alias("__blank")]
-    for i, c in enumerate(present):
+    for i, c in enumerate(c for c in conditions if c in df.columns):
         aggs += [_binary_ok(df, c).alias(f"ok{i}"), F.sum(_label_value(df, c)).alias(f"pos{i}"), _objectionable(df, c).alias(f"bad{i}")]
-    one = df.agg(*aggs)
+    return aggs
+
+
+def _label_issues(one: DataFrame, columns: list[str], text: str, conditions: list[str]) -> DataFrame:
+    """The report from the one row of ``_label_counts``; ``columns`` are those of the checked table."""
+    present = [c for c in conditions if c in columns]
     cands: list[tuple[Column, Column]] = []
     for c in conditions:
-        if c not in df.columns:
+        if c not in columns:
             cands.append((F.lit(True), _issue("label_column", c, "error", f"There is no label column '{c}'.")))
             continue
         i = present.index(c)
@@ -185,9 +209,40 @@ def label_report(df: DataFrame, text: str = "text", conditions: list[str] | None
     return _with_pass(_unfold(one, cands), "labeled_data", "Nothing to object to.")
 
 
+def label_report(df: DataFrame, text: str = "text", conditions: list[str] | None = None) -> DataFrame:
+    """Checks of a labeled training table (severity error / warning / pass)."""
+    spark = df.sparkSession
+    if text not in df.columns:
+        return _static(spark, [("text_column", text, "error", f"There is no text column '{text}'.")])
+    if conditions is None:
+        conditions = binary_label_columns(df, [c if c != "text" else text for c in K.LABEL_EXCLUDE_COLUMNS])
+    if not conditions:
+        return _static(
+            spark,
+            [("label_columns", None, "error",
+              "There is no column of 0/1 labels to learn a condition from.")],
+        )
+    return _label_issues(df.agg(*_label_counts(df, text, conditions)), df.columns, text, conditions)
+
+
+def observe_labels(df: DataFrame, text: str, conditions: list[str]) -> tuple[DataFrame, Callable[[], DataFrame], Callable[[], DataFrame]]:
+    """(``df`` to be written, functions giving its ``label_report`` and its ``training_report`` once it has been written).
+
+    The text column must be there; conditions may be missing, which the report says (the training report leaves them
+    out)."""
+    out, one = _observed(df, "labels", _label_counts(df, text, conditions))
+    present = [c for c in conditions if c in df.columns]
+    training = lambda: _training_rows(one().withColumnsRenamed({f"pos{i}": f"p{i}" for i in range(len(present))}), present)
+    return out, lambda: _label_issues(one(), df.columns, text, conditions), training
+
+
 def training_report(df: DataFrame, conditions: list[str]) -> DataFrame:
     """condition, n_training_cases, n_positive, n_negative, positive_rate (4 places)."""
     one = df.agg(F.count(F.lit(1)).alias("__n"), *[F.sum(_label_value(df, c)).cast("long").alias(f"p{i}") for i, c in enumerate(conditions)])
+    return _training_rows(one, conditions)
+
+
+def _training_rows(one: DataFrame, conditions: list[str]) -> DataFrame:
     rows = F.explode(
         F.array(*[F.struct(F.lit(i).alias("_ord"), F.lit(c).alias("condition"), F.coalesce(F.col(f"p{i}"), F.lit(0).cast("long")).alias("pos")) for i, c in enumerate(conditions)])
     )

@@ -28,7 +28,7 @@ from ..operators.columns import condition_name, parse_threshold_grid, score_colu
 from ..operators.score import prototype_cosine, prototype_names, select_prototypes
 from ..operators.tfidf import tfidf_prototype_scores
 from ..operators.truth_table import conditions_of, configuration_members, solutions, truth_table
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from ..sources import io
 
 
@@ -131,8 +131,12 @@ def run_prototype(
     otherwise lexical TF-IDF similarity of the texts to the prototype texts.
 
     The texts need an id and a text; without an outcome column every outcome is missing. The checkpoint holds ids,
-    outcomes and scores; tables that show texts (the explanations) read them again."""
+    outcomes and scores; tables that show texts (the explanations) read them again. The prototypes are read once: what
+    the run takes of them is written first, and checks, names and scores read that."""
     s = settings or RunSettings()
+    used = [c for c in (*K.PROTOTYPE_COLUMNS, prototype_vector_col or vector_col) if c in prototypes.columns]
+    # with their places, which order the scores: files need not come back in order
+    prototypes = stored(prototypes.select(*[col(c) for c in dict.fromkeys(used)], F.monotonically_increasing_id().alias("_place")), "prototypes")
     report = C.prototype_issues(prototypes)
     C.raise_on_error(report, "prototype table")
     if outcome not in texts.columns:
@@ -140,9 +144,9 @@ def run_prototype(
     base = texts.select(*[col(c) for c in (case_id, text, outcome, *([vector_col] if vector_col else []))])
     chosen = select_prototypes(prototypes, include_outcome_prototype)
     if vector_col:
-        full = prototype_cosine(base, prototypes, vector_col, prototype_vector_col or vector_col, include_outcome_prototype).drop(vector_col)
+        full = prototype_cosine(base, prototypes, vector_col, prototype_vector_col or vector_col, include_outcome_prototype, "_place").drop(vector_col)
     else:
-        full = tfidf_prototype_scores(base, chosen, prototype_names(prototypes, include_outcome_prototype), text)
+        full = tfidf_prototype_scores(base, chosen, prototype_names(prototypes, include_outcome_prototype, "_place"), text)
     scores = full.drop(text)
     if checkpoint:
         scores = cut_lineage(scores)
@@ -164,11 +168,19 @@ def run_supervised(
     checkpoint: bool = True,
 ) -> LazyTables:
     """Supervised mode: validate the labeled table, fit one classifier per condition,
-    score the texts, then the same tables as prototype mode (without explanations)."""
+    score the texts, then the same tables as prototype mode (without explanations).
+
+    The labeled table is read once: text and labels are written, the counts of both reports are metrics of that write,
+    and the fit reads what was written."""
     s = settings or RunSettings(scoring_method="Supervised classifier")
     if conditions is None:
         conditions = [c for c in labeled.columns if c not in (case_id, text, outcome, "label", "target_label")]
-    report = C.label_report(labeled, text, conditions)
+    if text not in labeled.columns or not conditions:
+        C.raise_on_error(C.label_report(labeled, text, conditions), "labeled training data")
+    used = dict.fromkeys(c for c in (text, *conditions) if c in labeled.columns)
+    labeled, report_of, training_of = C.observe_labels(labeled.select(*map(col, used)), text, conditions)
+    labeled = stored(labeled, "labeled")
+    report = report_of()
     C.raise_on_error(report, "labeled training data")
     clf = fit_classifiers(labeled, conditions, text, validate=False)
     if outcome not in texts.columns:
@@ -179,7 +191,7 @@ def run_supervised(
         scores = cut_lineage(scores)
     out = LazyTables()
     out.put("supervised_validation_report", report)
-    out.add("supervised_training_report", lambda: C.training_report(labeled, conditions))
+    out.add("supervised_training_report", training_of)
     return _downstream(out, scores, full, s, case_id, outcome, text)
 
 
@@ -201,7 +213,9 @@ def calibration_stage(spark, scores_path: str, out_dir: str, settings: RunSettin
     fuzzy = calibrate(scores, "fuzzy", s.full_out, s.crossover, s.full_in, protected=roles)
     crisp = calibrate(scores, "crisp", threshold=s.crisp_threshold, protected=roles)
     ready = qca_ready(crisp, outcome=outcome, case_id=case_id)
-    return io.write_bundle({"calibrated_membership_table_fuzzy": fuzzy, "calibrated_membership_table_crisp": crisp, "qca_ready_dataset": ready}, out_dir, fmt)
+    ready, domain = C.observe_crisp(ready, [c for c in ready.columns if c != case_id])
+    paths = io.write_bundle({"calibrated_membership_table_fuzzy": fuzzy, "calibrated_membership_table_crisp": crisp, "qca_ready_dataset": ready}, out_dir, fmt)
+    return paths | io.write_bundle({"crisp_domain_report": domain()}, out_dir, fmt)  # counted while the dataset was written
 
 
 def qca_stage(spark, ready_path: str, out_dir: str, settings: RunSettings | None = None, fmt: str = "parquet",

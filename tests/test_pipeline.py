@@ -1,9 +1,13 @@
 import tempfile
 
+import pytest
+
 from fixtures import CONDITIONS, DEMO_PROTOTYPES, DEMO_TEXTS, LABELED_DEMO
 from setsift.plans.pipeline import RunSettings, calibration_stage, chart_stage, qca_stage, run_prototype, run_supervised, score_stage
 from setsift.sources import io
+from setsift.operators import checks as C
 from setsift.operators.checks import prototype_issues
+from setsift.session import stored
 
 
 def _texts(spark):
@@ -105,3 +109,65 @@ def test_prototype_issues(spark):
     assert [(r.check, r.severity) for r in prototype_issues(fine).collect()] == [("prototype_quality", "pass")]
     missing = prototype_issues(bad.drop("type")).collect()
     assert missing[0].check == "required_column"
+
+
+def _counted(spark, df):
+    """``df`` and the accumulator of the rows that have been read from it."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            rows.add(len(b))
+            yield b
+
+    return df.mapInPandas(read, df.schema), rows
+
+
+def _labeled(spark):
+    return spark.createDataFrame(LABELED_DEMO, "case_id string, text string, " + ", ".join(f"{c} int" for c in CONDITIONS))
+
+
+def test_runs_read_labels_and_prototypes_once(spark):
+    labeled, rows = _counted(spark, _labeled(spark))
+    out = run_supervised(labeled, _texts(spark), CONDITIONS)
+    for name in ("supervised_validation_report", "supervised_training_report", "truth_table"):
+        out[name].collect()
+    assert rows.value == len(LABELED_DEMO)
+    protos, rows = _counted(spark, _protos(spark))
+    out = run_prototype(_texts(spark), protos)
+    for name in ("prototype_quality", "truth_table", "rich_text_prototype_explanations"):
+        out[name].collect()
+    assert rows.value == len(DEMO_PROTOTYPES)
+
+
+def test_observed_reports_are_the_reports(spark):
+    tables = [
+        _labeled(spark),
+        _labeled(spark).limit(0),
+        spark.createDataFrame([("a", 1, 2, "1", True), ("", 1, 0, "x", None), (None, None, 7, None, False)] * 3, "text string, x int, y int, z string, flag boolean"),
+    ]
+    for df in tables:
+        conds = [c for c in df.columns if c not in ("case_id", "text")]
+        seen, report, training = C.observe_labels(df, "text", [*conds, "absent"])
+        stored(seen, "observed")
+        assert report().collect() == C.label_report(df, "text", [*conds, "absent"]).collect()
+        assert training().collect() == C.training_report(df, conds).collect()
+        numbers = [c for c, t in df.dtypes if t == "int"]
+        seen, domain = C.observe_crisp(df, numbers)
+        stored(seen, "observed")
+        assert domain().collect() == C.crisp_domain_report(df, numbers).collect()
+
+
+def test_supervised_run_refuses_bad_labels(spark):
+    bad = _labeled(spark)
+    for df, conditions in ((bad.drop("text"), CONDITIONS), (bad, [*CONDITIONS, "absent"]), (bad, []), (bad.limit(0), CONDITIONS)):
+        with pytest.raises(ValueError, match="labeled training data"):
+            run_supervised(df, _texts(spark), conditions)
+
+
+def test_calibration_stage_reports_the_domain(spark, demo_scores):
+    d = tempfile.mkdtemp(prefix="setsift-test-")
+    io.write_table(demo_scores, f"{d}/scores")
+    paths = calibration_stage(spark, f"{d}/scores", d)
+    rows = io.read_table(spark, paths["crisp_domain_report"]).collect()
+    assert {r.column for r in rows} == {*CONDITIONS, "outcome"} and {(r.n_rows, r.severity) for r in rows} == {(10, "pass")}
