@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setsift.llm._common import written
+from setsift.operators.running import running
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Characters that count against a text's quality: ASCII marks and digits other than plain punctuation.
@@ -51,24 +52,26 @@ def place_of(key: Column) -> Column:
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """(source, source_size) to targets: weights in turn by code point (null last), all words shared by weight, no
-    target above ``most`` times its size, what is over going to the others by weight. One row per source; the windows
-    run over these rows alone."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (((F.row_number().over(by_name) - 1) % len(weights)) + 1).cast("int")))
+    target above ``most`` times its size, what is over going to the others by weight. One row per source.
+
+    Sources may be as many as hosts: their numbers and the sums in the order of size to weight are running sums over
+    ranges of sources. Only the totals and the level that ends the re-sharing are read on the driver.
+    """
+    sizes = written(sizes, "mix-sizes")
+    by_name = F.struct(F.col("source").isNull().alias("none"), "source")
+    ranked = running(sizes.select("*", by_name.alias("name"), F.lit(1).cast("long").alias("number")), [], "name", ["number"], "mix-named").drop("_next")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("number") - 1, F.lit(len(weights))) + 1).cast("int")))
     ranked = ranked.withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    ranked = (
-        ranked.withColumn("rank", F.row_number().over(order))
-        .withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward))
-        .withColumn("stop", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("rank", "level"))).over(whole))
-    )
-    return ranked.select(
-        "source",
-        "source_size",
-        F.when(F.col("rank") < F.col("stop.rank"), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("stop.level") * F.col("weight"))).alias("target"),
-    )
+    # sums of caps and weights up to each source by ratio; its own are taken out again for those before it
+    summed = ranked.select("source", "source_size", "cap", "weight", "ratio", F.struct("ratio", "name").alias("by"), F.lit(1).cast("long").alias("rank"), F.col("cap").alias("caps"), F.col("weight").alias("weighed"))
+    summed = written(running(summed, [], "by", ["rank", "caps", "weighed"], "mix-ratios").drop("_next", "by"), "mix-summed")
+    total = summed.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(total[0]) - F.col("caps") + F.col("cap")) / (F.lit(total[1]) - F.col("weighed") + F.col("weight"))
+    stop = summed.withColumn("level", level).filter(F.col("level") <= F.col("ratio")).agg(F.min(F.struct("rank", "level")).alias("stop")).first()["stop"]
+    if stop is None:  # no source at all
+        return summed.select("source", "source_size", F.lit(0.0).alias("target"))
+    shared = F.least(F.col("cap").cast("double"), F.lit(stop["level"]) * F.col("weight"))
+    return summed.select("source", "source_size", F.when(F.col("rank") < stop["rank"], F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
 def _crossing(rows: DataFrame, by: str, rest: DataFrame) -> DataFrame:

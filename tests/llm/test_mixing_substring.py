@@ -8,6 +8,7 @@ from llm_fixtures import SF01, empty, odd  # noqa: F401
 from pyspark.sql import functions as F
 
 from setsift.llm import mixing
+from setsift.operators import running
 from setsift.llm.substring import substring_dedup
 
 
@@ -32,6 +33,16 @@ def test_targets_are_those_of_resharing(spark, sizes):
     assert {r["source"]: round(r["target"], 6) for r in rows} == {k: round(v, 6) for k, v in want.items()}
 
 
+def test_targets_of_many_sources_by_ranges(spark, monkeypatch):
+    """Sources numbered and summed in ranges of a few; ties of the ratio and a null source among them."""
+    monkeypatch.setattr(running, "ROWS", 40)
+    sizes = {f"host {i:04}": (i * i * 37) % 401 * (1000 if i % 50 == 0 else 1) for i in range(500)} | {None: 12, "": 90}
+    rows = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = _fill(sizes)
+    assert len(rows) == len(sizes) and all(abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]]) for r in rows)
+    assert abs(sum(r["target"] for r in rows) - sum(sizes.values())) < 1e-3
+
+
 def test_taken_words_come_near_the_targets(spark):
     rows = mixing.mix_table(spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text", "source", "lang")).collect()
     taken, goal, most = Counter(), {}, Counter()
