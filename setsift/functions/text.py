@@ -6,6 +6,8 @@ space U+3000 counts as whitespace, as it does in Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ def word_count(text: Column | str) -> Column:
 
 def is_blank(text: Column | str) -> Column:
     """NULL, or empty / "nan" / "None" after trimming."""
-    t = F.trim(F.regexp_replace(_c(text).cast("string"), WS, " "))
-    return _c(text).isNull() | t.isin(*K.EMPTY_MARKERS)
+    markers = "|".join(re.escape(m) for m in K.EMPTY_MARKERS)
+    return _c(text).isNull() | _c(text).cast("string").rlike(rf"(?U)\A\s*(?:{markers})\s*\z")  # texts are not rewritten
 
 
 def latin_words(norm_text: Column) -> Column:

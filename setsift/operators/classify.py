@@ -1,9 +1,8 @@
 """Supervised scoring: TF-IDF features and one logistic regression per condition.
 
 Each condition gets an L2-penalised logistic regression (C = 1) with balanced class weights w = n / (2 n_class), fitted
-by :mod:`.logistic` over the persisted non-zeros of the labelled rows. These come from the n-gram counts of the distinct
-texts and are joined with the labels by the text's hashes, so rows and labels cannot be paired wrongly, whatever is
-recomputed. At most ``max_rows`` labelled rows are fitted: with more, the rows whose text hash lies below a fraction of
+by :mod:`.logistic` over the persisted non-zeros of the labelled rows. A row's non-zeros are made of its own text and
+stay beside its labels. The labelled rows and those to be fitted are written once. At most ``max_rows`` labelled rows are fitted: with more, the rows whose text hash lies below a fraction of
 its range, which is a sample that every run draws alike.
 """
 
@@ -12,14 +11,17 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from .. import constants as K
 from ..functions.names import col
-from .checks import _label_value, label_report, raise_on_error
+from ..session import ship, stored
+from .checks import _label_value, label_report, observe_labels, raise_on_error
+from .grams import lowered, sparse_rows
 from .logistic import fit_logistic, sigmoid
+from .partitioning import text_partitions
 from .tfidf import KEY, TfidfModel, fit_tfidf, normalized_dot_scores, text_key
 
 
@@ -34,8 +36,7 @@ class ConditionClassifier:
     def predict_scores(self, texts: DataFrame) -> DataFrame:
         """Adds ``<condition>_score`` = P(label = 1) for every fitted condition; ids do not matter.
 
-        The margin x.b of the normalised TF-IDF vector is a sum over the n-gram counts of a text against a
-        (term, coefficient) table: the same plan as that of the lexical prototype scores."""
+        The margin x.b of the normalised TF-IDF vector is counted where the text is read."""
         if not self.models:
             raise RuntimeError("fit the classifiers before predicting")
         if self.text not in texts.columns:
@@ -59,12 +60,29 @@ def training_rows(labeled: DataFrame, conditions: list[str], text: str, max_rows
 
 
 def features(base: DataFrame, model: TfidfModel, text: str) -> DataFrame:
-    """``base`` with its rows' non-zero features as arrays ``idx`` and ``val`` (empty without a known term)."""
-    lists = model.vectors(base.select(col(text)), text).groupBy(*KEY).agg(F.collect_list(F.struct("idx", "weight")).alias("_v"))
-    joined = base.join(lists, KEY, "left")
-    return joined.withColumns(
-        {"idx": F.coalesce(F.col("_v.idx"), F.array().cast("array<int>")), "val": F.coalesce(F.col("_v.weight"), F.array().cast("array<double>"))}
-    ).drop("_v", *KEY)
+    """``base`` without its text, with its rows' non-zero features as arrays ``idx`` and ``val`` (empty without a known term)."""
+    ship(base.sparkSession)
+    names = [c for c in base.columns if c not in (text, *KEY)]
+    own = {f"_c{j}": c for j, c in enumerate(names)}
+    rows = base.select(*[col(c).alias(k) for k, c in own.items()], lowered(col(text)).alias("_low"))
+    schema = StructType([*rows.drop("_low").schema, StructField("idx", ArrayType(IntegerType())), StructField("val", ArrayType(DoubleType()))])
+    return rows.mapInArrow(sparse_rows(model.terms, model.idf, [*own]), schema).withColumnsRenamed(own)
+
+
+def checked(labeled: DataFrame, conditions: list[str], text: str) -> DataFrame:
+    """The labelled rows, written once, if their report has no error; its counts are metrics of that write."""
+    if text not in labeled.columns or not conditions:
+        raise_on_error(label_report(labeled, text, conditions), "labeled data")
+    used = dict.fromkeys(c for c in (text, *conditions) if c in labeled.columns)
+    rows, report, _ = observe_labels(labeled.select(*map(col, used)), text, conditions)
+    rows = stored(rows, "labeled")
+    raise_on_error(report(), "labeled data")
+    return rows
+
+
+def dealt(base: DataFrame) -> DataFrame:
+    """The rows to be fitted, written once and dealt to all cores; every step of the fit reads these."""
+    return stored(base.repartition(text_partitions(base, 1), *KEY), "training-rows")
 
 
 def weighted(base: DataFrame, conditions: list[str]) -> DataFrame:
@@ -91,15 +109,11 @@ def fit_classifiers(
 ) -> ConditionClassifier:
     """Validate, fit the vocabulary on the labelled texts, then one model per condition."""
     if validate:
-        raise_on_error(label_report(labeled, text, conditions), "labeled data")
-    base = training_rows(labeled, conditions, text, max_rows)
+        labeled = checked(labeled, conditions, text)
+    base = dealt(training_rows(labeled, conditions, text, max_rows))
     model = fit_tfidf(base, text)
     data = features(weighted(base, conditions), model, text)
-    data = data.select("idx", "val", *[col(x) for c in conditions for x in (c, f"{c}__w")]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fitted = fit_logistic(data, conditions, len(model.terms), max_iter=max_iter, tol=tol)
-    finally:
-        data.unpersist()
+    fitted = fit_logistic(data, conditions, len(model.terms), max_iter=max_iter, tol=tol)
     return ConditionClassifier(model, {c: fitted[c] for c in conditions}, text)
 
 
@@ -110,7 +124,7 @@ def fit_predict_scores(labeled: DataFrame, texts: DataFrame, conditions: list[st
 def gradient_at_zero(labeled: DataFrame, conditions: list[str], text: str = "text") -> DataFrame:
     """(condition, term, gradient): the class-weighted gradient of the mean log loss at zero coefficients, per term;
     the intercept's has the term null. What the solver sees of the data in its first step, in long form."""
-    base = training_rows(labeled, conditions, text, K.MAX_TRAINING_ROWS)
+    base = dealt(training_rows(labeled, conditions, text, K.MAX_TRAINING_ROWS))
     model = fit_tfidf(base, text)
     rows = weighted(base, conditions)
     residual = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), (col(f"{c}__w") * (F.lit(0.5) - col(c))).alias("r"), col(f"{c}__w").alias("w")) for c in conditions]))

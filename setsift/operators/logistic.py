@@ -9,54 +9,88 @@ the L2 penalty then weighs every feature by 1/std^2, which for sparse TF-IDF fea
 ill-conditioned that 1000 of its steps end far from the optimum (``tests/test_classify.py`` shows the gap). Here the
 optimiser (L-BFGS, memory 10, stopping when max|gradient| <= tol or the relative decrease is below 64 eps, at most
 ``max_iter`` steps) runs on the driver over a vector of the vocabulary's size (at most its cap). Every evaluation of f
-and its gradient, for all conditions together, is one Spark job: margins by a higher-order function over a row's
-non-zeros, then a grouped sum per feature, so that a task sends at most one partial sum per feature and no task merges
-whole vectors.
+and its gradient, for all conditions together, is one Spark job over rows that are packed once, BLOCK at a time: margins
+and partial sums of a task come from its blocks' non-zeros as whole arrays, then a grouped sum per feature, so that a
+task sends at most one partial sum per feature and no task merges whole vectors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col
+from ..session import ship
+
 FTOL = 64 * np.finfo(float).eps
+#: Rows of a block.
+BLOCK = 1024
 
 
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def _margin(idx: Column, val: Column, coef: Column, intercept: Column) -> Column:
-    """intercept + sum_k val[k] * coef[idx[k]]"""
-    prods = F.zip_with(idx, val, lambda i, v: v * F.element_at(coef, i + 1))
-    return intercept + F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def evaluate(data: DataFrame, labels: list[str], weights: list[str], points: list[tuple[np.ndarray, float]]):
-    """Per (condition, point): the sum of weighted losses, its gradient, and that of the intercept, in one job.
-
-    The intercept is the feature -1, which each row has with value 1. The coefficients reach the tasks as one row.
-    """
-    spark, k, d = data.sparkSession, len(points), len(points[0][0])
-    schema = ", ".join(f"_b{j} array<double>, _b0{j} double" for j in range(k))
-    coefs = spark.createDataFrame([tuple(x for b, b0 in points for x in (b.tolist(), float(b0)))], schema)
-    z = data.crossJoin(F.broadcast(coefs)).select(
-        F.concat(F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("v")), F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("v")))).alias("_e"),
-        *[_margin(F.col("idx"), F.col("val"), F.col(f"_b{j}"), F.col(f"_b0{j}")).alias(f"_z{j}") for j in range(k)],
-        *[F.col(labels[j]).alias(f"_y{j}") for j in range(k)],
-        *[F.col(weights[j]).alias(f"_w{j}") for j in range(k)],
-    )
-    rows = z.select(
-        F.explode("_e").alias("_e"),
-        *[(F.col(f"_w{j}") * (sigmoid(F.col(f"_z{j}")) - F.col(f"_y{j}"))).alias(f"_r{j}") for j in range(k)],
-        *[(F.col(f"_w{j}") * (F.greatest(F.col(f"_z{j}"), F.lit(0.0)) + F.log1p(F.exp(-F.abs(f"_z{j}"))) - F.col(f"_y{j}") * F.col(f"_z{j}"))).alias(f"_l{j}") for j in range(k)],
-    )
-    sums = rows.groupBy("_e.i").agg(
-        *[F.sum(F.col("_e.v") * F.col(f"_r{j}")).alias(f"g{j}") for j in range(k)],
-        *[F.sum(F.when(F.col("_e.i") == -1, F.col(f"_l{j}"))).alias(f"l{j}") for j in range(k)],
-    )
-    got = {r["i"]: r for r in sums.collect()}
+def packed(n_labels: int):
+    """For ``mapInArrow``: BLOCK rows become one, their non-zeros and, per label, values ``_y<j>`` and weights ``_w<j>`` as
+    bytes, and sums of weights."""
+    schema = pa.schema([*((c, pa.binary()) for c in ("row", "idx", "val", "y", "w")), ("s", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(a, BLOCK)
+                idx, val = b.column("idx"), b.column("val")
+                row = np.repeat(np.arange(b.num_rows, dtype=np.int32), np.diff(idx.offsets.to_numpy()))
+                y, w = (np.stack([b.column(f"{c}{j}").to_numpy(zero_copy_only=False) for j in range(n_labels)]) for c in ("_y", "_w"))
+                parts = [row, idx.flatten().to_numpy().astype(np.int32), val.flatten().to_numpy().astype(float), y.astype(float), w.astype(float)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in parts), pa.array([w.sum(1)], schema.field("s").type)], schema=schema)
+
+    return run
+
+
+def partial_sums(points: list[tuple[int, np.ndarray, float]], n_labels: int):
+    """For ``mapInArrow`` over packed rows: a task's sum of weighted losses and of their gradient, a line per feature and
+    one, of feature -1, for loss and intercept."""
+    k = len(points)
+    names = ["i", *(f"g{j}" for j in range(k)), *(f"l{j}" for j in range(k))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = len(points[0][1])
+        grad, own, loss = np.zeros((k, d)), np.zeros(k), np.zeros(k)
+        for batch in batches:
+            for line in batch.to_pylist():
+                row, idx = (np.frombuffer(line[c], np.int32) for c in ("row", "idx"))
+                val, y, w = (np.frombuffer(line[c], float) for c in ("val", "y", "w"))
+                y, w = y.reshape(n_labels, -1), w.reshape(n_labels, -1)
+                for j, (label, b, b0) in enumerate(points):
+                    z = b0 + np.bincount(row, val * b[idx], minlength=y.shape[1])
+                    e = np.exp(-np.abs(z))
+                    r = w[label] * (np.where(z >= 0, 1.0, e) / (1.0 + e) - y[label])
+                    loss[j] += (w[label] * (np.maximum(z, 0.0) + np.log1p(e) - y[label] * z)).sum()
+                    own[j] += r.sum()
+                    grad[j] += np.bincount(idx, val * r[row], minlength=d)
+        at = np.flatnonzero(grad.any(0))
+        i = np.concatenate([[-1], at])
+        g = np.concatenate([own[:, None], grad[:, at]], 1)
+        pad = np.concatenate([loss[:, None], np.zeros((k, len(at)))], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), *map(pa.array, g), *map(pa.array, pad)], names)
+
+    return run
+
+
+def evaluate(blocks: DataFrame, n_labels: int, points: list[tuple[int, np.ndarray, float]]):
+    """Per (number of the label, coefficients, intercept): the sum of weighted losses, its gradient, and that of the
+    intercept, in one job over the packed rows."""
+    k, d = len(points), len(points[0][1])
+    names = [*(f"g{j}" for j in range(k)), *(f"l{j}" for j in range(k))]
+    lines = blocks.drop("s").mapInArrow(partial_sums(points, n_labels), ", ".join(["i int", *(f"{c} double" for c in names)]))
+    got = {r["i"]: r for r in lines.groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).collect()}
     out = []
     for j in range(k):
         g = np.zeros(d)
@@ -130,20 +164,26 @@ def fit_logistic(
 ) -> dict[str, tuple[np.ndarray, float, int]]:
     """``data`` has a row's non-zero features as ``idx`` (array<int>) and ``val`` (array<double>), and per label column
     ``<label>`` (0/1 double) and ``<label>__w`` (sample weight). Returns, per label, (coefficients, intercept,
-    iterations). ``data`` should be persisted."""
-    stats = data.agg(*[F.sum(f"`{lab}__w`").alias(lab) for lab in labels]).first()
-    gens, points, result = {}, {}, {}
-    for j, lab in enumerate(labels):
-        s_sum = float(stats[j])
-        gens[lab] = _lbfgs(n_features, s_sum, 1.0 / (c * s_sum), max_iter, tol)
-        points[lab] = next(gens[lab])
-    while points:
-        active = list(points)
-        raw = evaluate(data, [f"`{a}`" for a in active], [f"`{a}__w`" for a in active], [points[a] for a in active])
-        for lab, r in zip(active, raw):
-            try:
-                points[lab] = gens[lab].send(r)
-            except StopIteration as stop:
-                result[lab] = stop.value
-                del points[lab]
+    iterations). The rows are packed and persisted for the time of the fit."""
+    ship(data.sparkSession)
+    pairs = [x for j, lab in enumerate(labels) for x in (col(lab).alias(f"_y{j}"), col(f"{lab}__w").alias(f"_w{j}"))]
+    blocks = data.select("idx", "val", *pairs).mapInArrow(packed(len(labels)), "row binary, idx binary, val binary, y binary, w binary, s array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        stats = blocks.agg(*[F.sum(F.col("s")[j]) for j in range(len(labels))]).first()
+        gens, points, result = {}, {}, {}
+        for j, lab in enumerate(labels):
+            s_sum = float(stats[j])
+            gens[lab] = _lbfgs(n_features, s_sum, 1.0 / (c * s_sum), max_iter, tol)
+            points[lab] = next(gens[lab])
+        while points:
+            active = list(points)
+            raw = evaluate(blocks, len(labels), [(labels.index(a), *points[a]) for a in active])
+            for lab, r in zip(active, raw):
+                try:
+                    points[lab] = gens[lab].send(r)
+                except StopIteration as stop:
+                    result[lab] = stop.value
+                    del points[lab]
+    finally:
+        blocks.unpersist()
     return result

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.names import col
 from ..functions.text import words
-from ..session import stored
+from ..session import ship, stored
+from .grams import dot_products, lowered
 from .partitioning import rows_and_partitions, text_partitions
 from .skew import heavy_join, heavy_keys, many
 
@@ -175,12 +176,17 @@ def _joined_back(texts: DataFrame, text: str, dots: DataFrame, names: list[str])
 
 def normalized_dot_scores(texts: DataFrame, model: TfidfModel, weights: dict[str, list[float]], text: str = "text") -> DataFrame:
     """Adds a column per name of ``weights``: the dot product of its weights (one per vocabulary term) with the
-    normalised TF-IDF vector of the row's text."""
-    docs, _ = distinct_texts(texts, text)
-    rows = list(zip(model.terms, model.idf, *[[float(w) for w in ws] for ws in weights.values()]))
-    terms = texts.sparkSession.createDataFrame(rows, "term string, idf double, " + ", ".join(f"_w{j} double" for j in range(len(weights))))
-    joined = term_counts(docs, [*KEY, "_copies"], "_text", model.n_min, model.n_max).join(terms, "term")
-    return _joined_back(texts, text, _dot_columns(joined, len(weights)), list(weights))
+    normalised TF-IDF vector of the row's text. Texts are scored where they are read; only hashes and scores are shuffled."""
+    ship(texts.sparkSession)
+    _, parts = rows_and_partitions(texts)
+    rows = texts.select(*text_key(col(text)), lowered(col(text)).alias("_low"))
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    rows = rows if parts >= cores else rows.repartition(cores, *KEY)
+    names = [f"_s{j}" for j in range(len(weights))]
+    run = dot_products(model.terms, model.idf, [[float(w) for w in ws] for ws in weights.values()], KEY)
+    dots = rows.mapInArrow(run, ", ".join(["_h1 long, _h2 long", *(f"{s} double" for s in names)]))
+    dots = dots.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_copies"), *[F.max(s).alias(s) for s in names])
+    return _joined_back(texts, text, dots, list(weights))
 
 
 def last_prototypes(prototypes: DataFrame, order_col: str | None = None) -> DataFrame:
