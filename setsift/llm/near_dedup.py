@@ -10,8 +10,9 @@ verified on the full shingle sets. Sets that are equal are one class from the st
 A band key shared by many classes is not expanded into pairs: each class is first compared with the key's most connected
 class (an original rather than one of its copies). The links found give components. Where a key's other classes still
 belong to several components, those outside its largest one are compared with all of them, in blocks of BLOCK times BLOCK
-classes inside a task that returns links only; of keys with the same classes one is taken. So every pair that shares a
-key and could join two components is tested, and no pair without a shared key is.
+classes inside a task that returns links only; of keys with the same classes one is taken, and a pair is tested at the
+least key it shares only. So every pair that shares a key and could join two components is tested, once, and no pair
+without a shared key is.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ B, RATE = 1.001, 20.0
 #: Estimates this far below the bound (six standard deviations) are not verified.
 MARGIN = 6 * math.sqrt(0.8 * 0.2 / M)
 SLICE = 1 << 20
-#: Classes on each side of a block of comparisons.
-BLOCK = 256
+#: Classes on each side of a block of comparisons, and sets verified at once against one.
+BLOCK, STEP = 256, 32
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,15 +141,21 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             )
 
 
+def _keys(regs: np.ndarray) -> np.ndarray:
+    """The BANDS search keys of each sketch."""
+    regs = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN, regs.shape[:2])
+    for k in range(ROWS):
+        key = mix(key + regs[:, :, k])
+    return key.view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 4096):
             part = b.slice(at, 4096)
-            regs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN, regs.shape[:2])
-            for k in range(ROWS):
-                key = mix(key + regs[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["band", "cls"])
+            keys = _keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["band", "cls"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,36 +175,39 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 
 def _block_links(t: pa.Table) -> pa.Table:
-    """Links between the rows with ``left`` and the others, of different components, that share a band key.
+    """Links between the rows with ``left`` and the others, of different components, whose least shared key is the band.
 
     A pair whose components are joined by a link of the same block is left out: it would join nothing.
     """
     left = np.array(t.column("left").to_numpy(zero_copy_only=False), bool)
-    cls, root = t.column("cls").to_numpy(), t.column("root").to_numpy()
+    band, cls, root = t.column("band")[0].as_py(), t.column("cls").to_numpy(), np.array(t.column("root").to_numpy())
     regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, M)
+    keys = _keys(regs)
     sets = [np.sort(np.array(x.values.to_numpy(), np.int64)) for x in t.column("elements")]
-    size = np.array([len(x) for x in sets], float)
+    size = np.array([len(x) for x in sets], np.int64)
     right = np.flatnonzero(~left)
-    joined: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while joined.get(x, x) != x:
-            x = joined[x]
-        return x
-
     found = []
     for i in np.flatnonzero(left):
-        same = regs[right] == regs[i]
-        near = right[same.reshape(-1, BANDS, ROWS).all(2).any(1) & (root[right] != root[i])]
-        if len(near):
-            own = np.broadcast_to(regs[i], (len(near), M))
-            near = near[estimate(own, regs[near], np.full(len(near), size[i]), size[near]) >= PERCENT / 100 - MARGIN]
-        for j in near:
-            if find(root[i]) != find(root[j]):
-                common = np.isin(sets[i], sets[j], assume_unique=True).sum()
-                if common * 100 >= (size[i] + size[j] - common) * PERCENT:
+        near = right[root[right] != root[i]]
+        near = near[np.minimum(size[near], size[i]) * 100 >= np.maximum(size[near], size[i]) * PERCENT]
+        near = near[np.where(keys[near] == keys[i], keys[near], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == band]
+        if not len(near):
+            continue
+        like = estimate(np.broadcast_to(regs[i], (len(near), M)), regs[near], np.full(len(near), float(size[i])), size[near].astype(float))
+        order = np.argsort(-like, kind="stable")
+        near = near[order[like[order] >= PERCENT / 100 - MARGIN]]
+        for at in range(0, len(near), STEP):
+            some = near[at : at + STEP]
+            some = some[root[some] != root[i]]
+            if not len(some):
+                continue
+            elements = np.concatenate([sets[j] for j in some])
+            met = sets[i][np.minimum(np.searchsorted(sets[i], elements), size[i] - 1)] == elements
+            common = np.add.reduceat(met.astype(np.int64), np.cumsum(size[some]) - size[some])
+            for j in some[common * 100 >= (size[i] + size[some] - common) * PERCENT]:
+                if root[i] != root[j]:
                     found.append((int(cls[i]), int(cls[j])))
-                    joined[find(root[i])] = find(root[j])
+                    root[root == root[j]] = root[i]
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
@@ -206,7 +216,7 @@ def _links_between(labelled: DataFrame, classes: DataFrame, sets: DataFrame) ->
     the band's largest component against all of the band, block by block."""
     per_root = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
     bands = per_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-    # bands of the same classes would be compared in the same way
+    # bands of the same classes would be compared in the same way; the least is the one where their pairs are tested
     bands = bands.filter(F.col("all") > F.col("most")).groupBy("all", "x", "y").agg(F.min(F.struct("band", "main", "most")).alias("b"))
     bands = written(bands.select("b.band", "b.main", "b.most", "all"), "near-open")
     rows = labelled.join(bands, "band").withColumn("stray", F.col("root") != F.col("main"))
@@ -234,22 +244,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b) but the roots themselves, root being the component's least node.
 
-    Large-star and small-star steps in turn until nothing changes; each is a minimum by key and a join, and each round
-    is written to the shared folder. Nothing is gathered: what the driver sees of a round is two numbers.
+    Large-star and small-star steps in turn until all components are stars; each is a minimum by key and a join, and each
+    round is written to the shared folder. Nothing is gathered: what the driver sees of a round is one number.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    state = None
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = written(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select("v", "m")).distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
+        # an edge leads to a lesser node: components are stars when no node has two such edges, or one and is led to
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if not ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").agg(F.count(F.lit(1))).first()[0]:
             return edges.toDF("node", "root")
-        state = now
 
 
 def _members(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
@@ -275,7 +284,7 @@ def _members(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     labelled = others.select("band", "cls").join(joined.toDF("cls", "root"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
     more = written(_links_between(written(labelled, "near-labelled"), classes, sets), "near-links")
     if more.head(1):
-        joined = components(links.union(more))
+        joined = components(joined.toDF("a", "b").union(more))
     roots = classes.select("cls", "rep").join(joined.toDF("cls", "root"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("component"))
     least = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
     return rows.drop("sketch"), written(roots.join(least, "component").select("cls", "component", "component_id"), "near-components")

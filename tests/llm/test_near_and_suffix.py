@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_fixtures import empty, odd  # noqa: F401
 
@@ -78,6 +79,49 @@ def test_chains_beside_a_large_component(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == want
 
 
+def test_a_pair_is_compared_at_one_key_only(monkeypatch):
+    """Sets near the bound share many keys: blocks of all keys compare each once and still join what is linked."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 120)
+    sets = []
+    for _ in range(40):
+        own = base.copy()
+        own[rng.choice(120, rng.integers(6, 20), replace=False)] = rng.integers(0, 2**63, 1)
+        sets.append(np.unique(own))
+    n = len(sets)
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    sketches = [r.tobytes() for r in near_dedup.registers(near_dedup.minima(np.concatenate(sets).astype(np.uint64), cut))]
+    (keys,) = near_dedup._bands([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(sketches, pa.binary())], names=["cls", "sketch"])])
+    by_key = {}
+    for band, cls in zip(*(c.to_pylist() for c in keys.columns), strict=True):
+        by_key.setdefault(band, []).append(cls)
+    compared, estimate = Counter(), near_dedup.estimate
+
+    def counted(a, b, na, nb):
+        compared.update(zip((x.tobytes() for x in a), (x.tobytes() for x in b), strict=True))
+        return estimate(a, b, na, nb)
+
+    monkeypatch.setattr(near_dedup, "estimate", counted)
+    found = []
+    for band, members in by_key.items():
+        rows = [{"band": band, "left": left, "cls": c, "root": c, "sketch": sketches[c], "elements": sets[c].tolist()} for left in (True, False) for c in members]
+        found += zip(*(c.to_pylist() for c in near_dedup._block_links(pa.Table.from_pylist(rows)).columns), strict=True)
+    assert len(compared) > n and max(compared.values()) == 1
+    linked = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    whole = [set(x.tolist()) for x in sets]
+    assert all(linked(whole[a], whole[b]) for a, b in found)
+
+    def joined(links):
+        root = list(range(n))
+        for a, b in links:
+            root = [root[a] if r == root[b] else r for r in root]
+        return {frozenset(k for k in range(n) if root[k] == r) for r in root}
+
+    pairs = {(a, b) for members in by_key.values() for a in members for b in members if a < b}
+    want = joined([(a, b) for a, b in pairs if linked(whole[a], whole[b])])
+    assert joined(found) == want and 1 < len(want) < n
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = near_dedup.near_duplicates(odd, words=2).drop("doc_key").collect()
     assert sorted(map(tuple, got), key=repr) == _components([(r[0], r[1]) for r in odd.select("doc_id", "text").collect()])
