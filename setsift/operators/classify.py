@@ -2,8 +2,7 @@
 
 Each condition gets an L2-penalised logistic regression (C = 1) with balanced class weights w = n / (2 n_class), fitted
 by :mod:`.logistic` over the persisted non-zeros of the labelled rows. A row's non-zeros are made of its own text and
-stay beside its labels. The labelled rows and those to be fitted are written once. At most ``max_rows`` labelled rows are fitted: with more, the rows whose text hash lies below a fraction of
-its range, which is a sample that every run draws alike.
+stay beside its labels. The labelled rows and those to be fitted are written once. At most about ``max_rows`` labelled rows are fitted.
 """
 
 from __future__ import annotations
@@ -46,15 +45,15 @@ class ConditionClassifier:
         return margins.withColumns({names[c]: sigmoid(col(names[c]) + F.lit(float(m[1]))) for c, m in self.models.items()})
 
 
-def training_rows(labeled: DataFrame, conditions: list[str], text: str, max_rows: int) -> DataFrame:
-    """(_h1, _h2, text, conditions as 0/1 doubles) of at most about ``max_rows`` labelled rows."""
+def training_rows(labeled: DataFrame, conditions: list[str], text: str, max_rows: int | None = None) -> DataFrame:
+    """(_h1, _h2, text, conditions as 0/1 doubles) of all labelled rows. Only a caller who names ``max_rows`` gets fewer: the
+    rows whose text hash lies below a fraction of its range, about ``max_rows`` that every run draws alike."""
     base = labeled.select(
         *text_key(col(text)),
         F.coalesce(col(text).cast("string"), F.lit("")).alias(text),
         *[_label_value(labeled, c).cast("double").alias(c) for c in conditions],
     )
-    n = labeled.count()
-    if n <= max_rows:
+    if max_rows is None or (n := labeled.count()) <= max_rows:
         return base
     return base.filter(F.pmod("_h1", F.lit(1 << 30)) < F.lit(int((1 << 30) * max_rows / n)))
 
@@ -81,8 +80,8 @@ def checked(labeled: DataFrame, conditions: list[str], text: str) -> DataFrame:
 
 
 def dealt(base: DataFrame) -> DataFrame:
-    """The rows to be fitted, written once and dealt to all cores; every step of the fit reads these."""
-    return stored(base.repartition(text_partitions(base, 1), *KEY), "training-rows")
+    """The rows to be fitted, written once and dealt to all cores, copies of a text as well; every step of the fit reads these."""
+    return stored(base.repartition(text_partitions(base, 1)), "training-rows")
 
 
 def weighted(base: DataFrame, conditions: list[str]) -> DataFrame:
@@ -124,7 +123,7 @@ def fit_predict_scores(labeled: DataFrame, texts: DataFrame, conditions: list[st
 def gradient_at_zero(labeled: DataFrame, conditions: list[str], text: str = "text") -> DataFrame:
     """(condition, term, gradient): the class-weighted gradient of the mean log loss at zero coefficients, per term;
     the intercept's has the term null. What the solver sees of the data in its first step, in long form."""
-    base = dealt(training_rows(labeled, conditions, text, K.MAX_TRAINING_ROWS))
+    base = dealt(training_rows(labeled, conditions, text))
     model = fit_tfidf(base, text)
     rows = weighted(base, conditions)
     residual = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), (col(f"{c}__w") * (F.lit(0.5) - col(c))).alias("r"), col(f"{c}__w").alias("w")) for c in conditions]))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SF001
 from fixtures import CONDITIONS, LABELED_DEMO
 from setsift.operators.checks import label_report, training_report
-from setsift.operators.classify import fit_classifiers, fit_predict_scores, training_rows
+from setsift.operators.classify import fit_classifiers, fit_predict_scores, gradient_at_zero, training_rows
 from setsift.operators.tfidf import tfidf_vectors
 from setsift.plans.relations import dl_labeled
 
@@ -92,6 +92,28 @@ def test_repeated_and_missing_ids_and_the_bound_on_rows(spark):
     assert 3 <= len(few) <= 20 and sorted(few) == sorted(training_rows(df, CONDITIONS, "text", 10).collect())
 
 
+N_MANY = 220_000
+
+
+def _many(spark):
+    """(N_MANY labelled rows of the words a and b, each with blanks of its own so that no two hash alike; the rows of
+    (word, label) as two arrays)."""
+    i = F.col("id")
+    blanks = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x2003, 0x3000)))
+    text = F.concat(F.when(i % 3 == 0, "a").otherwise("b"), F.translate(F.conv(i.cast("string"), 10, 8), "01234567", blanks))
+    k = np.arange(N_MANY)
+    return spark.range(N_MANY).select(text.alias("text"), (i * i % 11 < 4).cast("int").alias("y")), k % 3 == 0, (k * k % 11 < 4).astype(float)
+
+
+def test_the_gradient_is_of_all_labelled_rows(spark):
+    """Of over 200,000 it was of a sample by text hash."""
+    df, a, y = _many(spark)
+    got = {r.term: r.gradient for r in gradient_at_zero(df, ["y"]).collect()}
+    r = _weights(y) * (0.5 - y) / N_MANY
+    own = {"a": r[a].sum() / 3**0.5, "b": r[~a].sum() / 3**0.5}
+    assert got == {None: pytest.approx(0, abs=1e-12)} | {t.format(c): pytest.approx(own[c], rel=1e-9) for c in own for t in (" {}", "{}", "{} ")}
+
+
 def test_fit_predict(spark):
     texts = spark.createDataFrame([(1, LABELED_DEMO[0][1]), (1, LABELED_DEMO[1][1]), (None, "")], "case_id long, text string")
     out = fit_predict_scores(_demo(spark), texts, CONDITIONS)
