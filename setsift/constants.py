@@ -77,7 +77,5 @@ NOTE_NO_SECOND = "There is no other condition."
 NOTE_MATCHED = "Terms in common with its prototype: %s."
 NOTE_NO_MATCH = "No term is shared with its prototype."
 
-# The supervised mode fits at most about this many labelled rows (a sample by text hash beyond it).
-MAX_TRAINING_ROWS = 200_000
 # Cases listed per configuration where a list is asked for; the long form has all of them.
 MAX_LISTED_CASES = 1000

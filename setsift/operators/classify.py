@@ -2,7 +2,7 @@
 
 Each condition gets an L2-penalised logistic regression (C = 1) with balanced class weights w = n / (2 n_class), fitted
 by :mod:`.logistic` over the persisted non-zeros of the labelled rows. A row's non-zeros are made of its own text and
-stay beside its labels. The labelled rows and those to be fitted are written once. At most about ``max_rows`` labelled rows are fitted.
+stay beside its labels. The labelled rows and those to be fitted are written once. All labelled rows are fitted.
 """
 
 from __future__ import annotations
@@ -104,9 +104,10 @@ def fit_classifiers(
     max_iter: int = K.MAX_ITER,
     tol: float = 1e-4,
     validate: bool = True,
-    max_rows: int = K.MAX_TRAINING_ROWS,
+    max_rows: int | None = None,
 ) -> ConditionClassifier:
-    """Validate, fit the vocabulary on the labelled texts, then one model per condition."""
+    """Validate, fit the vocabulary on the labelled texts, then one model per condition, over all labelled rows unless
+    ``max_rows`` is named."""
     if validate:
         labeled = checked(labeled, conditions, text)
     base = dealt(training_rows(labeled, conditions, text, max_rows))

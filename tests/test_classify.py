@@ -114,6 +114,19 @@ def test_the_gradient_is_of_all_labelled_rows(spark):
     assert got == {None: pytest.approx(0, abs=1e-12)} | {t.format(c): pytest.approx(own[c], rel=1e-9) for c in own for t in (" {}", "{}", "{} ")}
 
 
+def test_the_models_are_of_all_labelled_rows(spark):
+    """Of over 200,000 they were of a sample by text hash."""
+    df, a, y = _many(spark)
+    clf = fit_classifiers(df, ["y"], tol=1e-9)
+    assert clf.tfidf.n_docs == N_MANY
+    texts = spark.createDataFrame([("a",), ("b",)], "text string")
+    got = [r.y_score for r in clf.predict_scores(texts).orderBy("text").collect()]
+    kinds = [(w, v) for w in (True, False) for v in (0.0, 1.0)]  # the rows are of four kinds: their sums of weights suffice
+    X = np.array([[w] * 3 + [not w] * 3 for w, _ in kinds], float) / 3**0.5
+    sums = np.array([_weights(y)[(a == w) & (y == v)].sum() for w, v in kinds])
+    assert np.allclose(got, _newton(X, np.array([v for _, v in kinds]), sums)[::2], atol=1e-6)
+
+
 def test_fit_predict(spark):
     texts = spark.createDataFrame([(1, LABELED_DEMO[0][1]), (1, LABELED_DEMO[1][1]), (None, "")], "case_id long, text string")
     out = fit_predict_scores(_demo(spark), texts, CONDITIONS)
